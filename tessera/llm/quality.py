@@ -101,6 +101,12 @@ def _ratio(rule: str) -> Column:
     return F.coalesce(F.try_divide(F.col(top).cast("double"), F.col(bottom).cast("double")), F.lit(0.0))
 
 
+def _exceeded(rule: str) -> Column:
+    """How many of the rule's cutoffs a document exceeds."""
+    ratio = _ratio(rule)
+    return F.size(F.filter(F.array(*[F.lit(c) for c in grid(rule)]), lambda cut: ratio > cut))
+
+
 def binomial_tail(n: Column, k: Column, risk: float) -> Column:
     """P(Bin(n, risk) <= k), for k < n * risk (else 1): the term of k from a sum of logarithms, the lower ones by ratio."""
     q, p = 1 - risk, F.lit(risk)
@@ -123,7 +129,7 @@ def strata_of(labelled: DataFrame, min_labelled: int, max_strata: int) -> DataFr
 def certify(labelled: DataFrame, risk: float = 0.02, confidence: float = 0.05, good_weight: float = 10.0) -> DataFrame:
     """Cutoffs from rows of (stratum, doc_id, quality, the counts): one row per stratum, a column per rule (null: off)."""
     rules = list(RULES)
-    levels = F.array(*[F.struct(F.lit(r).alias("rule"), F.size(F.filter(F.array(*[F.lit(c) for c in grid(r)]), lambda c, x=_ratio(r): x > c)).alias("above")) for r in rules])
+    levels = F.array(*[F.struct(F.lit(r).alias("rule"), _exceeded(r).alias("above")) for r in rules])
     rows = labelled.select("stratum", (F.col("doc_id") % 2 != 0).alias("holdout"), (F.col("quality") == 1).alias("good"), F.explode(levels).alias("level"))
     # how many rows exceed the first i cutoffs and no more; at most strata x rules x (STEPS + 1) rows from here on
     cells = rows.groupBy("stratum", "level.rule", "level.above").agg(
