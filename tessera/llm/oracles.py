@@ -1,5 +1,91 @@
-"""DuckDB SQL for the contract queries that SQL can express."""
+"""DuckDB SQL for the contract queries that SQL can express over whole tables."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from tessera.llm import license_scan, quality
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP3 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: list_slice(ws, i, i + 2))) WHEN len(ws) > 0 THEN [ws] ELSE [] END AS sh FROM w),
+u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * n >= 90 * (len(a.sh) + len(b.sh) - n)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT * FROM (WITH RECURSIVE r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM r JOIN both_ways e ON e.x = r.b) SELECT a, min(b) AS least FROM r GROUP BY 1))
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least AS component_id FROM s JOIN reach ON a = s.doc_id
+"""
+
+OP7 = rf"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+win AS (SELECT doc_id, i, list_slice(ws, i, i + 12) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM win JOIN least USING (k), range(13) r(o) WHERE m < doc_id),
+pos AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+kept AS (SELECT pos.doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _op9(threshold: float = 0.8) -> str:
+    cell = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {cell(name)}, [{', '.join(map(cell, license_scan.bigrams(text)))}])" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+    return rf"""
+WITH t(rank, license, known) AS (VALUES {rows}),
+d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+l AS (SELECT doc_id, list_concat(string_split(x, chr(10)), list_filter(regexp_split_to_array(x, '\n[\x20\x09-\x0D]*\n'), lambda p: contains(p, chr(10)))) AS l FROM d),
+parts AS (SELECT doc_id, unnest(l) AS part, unnest(range(len(l))) AS line FROM l),
+g AS (SELECT doc_id, line, string_split(trim(lower(regexp_replace(part, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS ws FROM parts),
+grams AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams FROM g WHERE len(ws) > 1),
+scored AS (SELECT doc_id, line, rank, license, 2.0 * len(list_intersect(grams, known)) / (len(grams) + len(known)) AS dice FROM grams, t),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, rank) AS rn FROM scored WHERE dice >= {threshold} - 1e-12),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, rank) AS q, count(*) OVER (PARTITION BY doc_id) AS n FROM best WHERE rn = 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, license, round(dice, 6) AS dice FROM d LEFT JOIN (SELECT * FROM top WHERE q = 1) USING (doc_id)
+"""
+
+
+def _op4(risk: float = quality.RISK, confidence: float = 0.05, good_weight: float = 10.0, min_labelled: int = 2000, max_strata: int = 64) -> str:
+    rules = list(quality.RULES)
+    own = risk / len(rules)
+    ratio = {r: f"coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0.0)" for r, (a, b, _) in quality.RULES.items()}
+    cuts = {r: "[" + ", ".join(f"{c!r}::DOUBLE" for c in quality.grid(r)) + "]" for r in rules}
+    levels = " UNION ALL ".join(f"SELECT stratum, doc_id % 2 != 0 AS hold, quality = 1 AS good, '{r}' AS rule, len(list_filter({cuts[r]}, lambda c: {ratio[r]} > c)) AS above FROM labelled" for r in rules)
+    chosen = ", ".join(f"max(CASE WHEN rule = '{r}' THEN {cuts[r]}[above] END) AS cut_{r}" for r in rules)
+    rejected = " OR ".join(f"coalesce({ratio[r]} > cut_{r}, false)" for r in rules)
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+win AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM twice, range(5) r(o) GROUP BY 1),
+f0 AS (SELECT doc_id, lang, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_bangs,
+  length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+f AS (SELECT f0.* EXCLUDE (ls), len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed FROM f0 LEFT JOIN rep USING (doc_id)),
+truth AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1),
+lab0 AS (SELECT f.*, quality FROM f JOIN truth USING (doc_id) WHERE NOT base_failed),
+own AS (SELECT coalesce(lang, '') AS own_lang FROM lab0 GROUP BY lang HAVING count(*) >= {min_labelled} ORDER BY count(*) DESC, lang LIMIT {max_strata}),
+labelled AS (SELECT lab0.*, CASE WHEN own_lang IS NULL THEN 'pooled' ELSE '=' || own_lang END AS stratum FROM lab0 LEFT JOIN own ON coalesce(lang, '') = own_lang),
+levels AS ({levels}),
+cells AS (SELECT stratum, rule, a AS above, count(CASE WHEN above >= a AND hold AND good THEN 1 END) AS k, count(CASE WHEN hold AND good THEN 1 END) AS n,
+  count(CASE WHEN above >= a AND NOT hold AND good THEN 1 END) AS tg, count(CASE WHEN NOT hold AND good THEN 1 END) AS ng,
+  count(CASE WHEN above >= a AND NOT hold AND NOT good THEN 1 END) AS tb, count(CASE WHEN NOT hold AND NOT good THEN 1 END) AS nb
+  FROM levels, range(1, {quality.STEPS} + 1) r(a) GROUP BY 1, 2, 3),
+p AS (SELECT *, CASE WHEN k < n * {own!r} THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({own!r}::DOUBLE) + (n - i) * ln(1 - {own!r}::DOUBLE)))) ELSE 1 END AS tail FROM cells),
+ok AS (SELECT *, min(CASE WHEN tail <= {confidence} / greatest((SELECT count(DISTINCT stratum) FROM cells), 1) / {len(rules)} THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY above DESC ROWS UNBOUNDED PRECEDING) AS certified FROM p),
+gain AS (SELECT *, round(coalesce(tb * 1.0 / nullif(nb, 0), 0) - {good_weight} * coalesce(tg * 1.0 / nullif(ng, 0), 0), 9) AS gain FROM ok WHERE certified = 1),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, above DESC) AS rn FROM gain WHERE gain > 0) WHERE rn = 1),
+cuts AS (SELECT stratum, {chosen} FROM best GROUP BY 1),
+placed AS (SELECT f.*, CASE WHEN own_lang IS NULL THEN 'pooled' ELSE '=' || own_lang END AS stratum FROM f LEFT JOIN own ON coalesce(lang, '') = own_lang)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT (base_failed OR {rejected}) AS kept FROM placed LEFT JOIN cuts USING (stratum)
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard": OP3,
+    "op4_quality_rules": _op4(),
+    "op7_substring_dedup": OP7,
+    "op9_license_scan": _op9(),
+}

@@ -39,6 +39,8 @@ RULES = {
     "capitals": ("n_capitals", "word_chars", 0.96),
 }
 STEPS = 24
+#: Largest share of good documents that all rules together may reject in a stratum.
+RISK = 0.03
 
 
 def grid(rule: str) -> list[float]:
@@ -126,7 +128,7 @@ def strata_of(labelled: DataFrame, min_labelled: int, max_strata: int) -> DataFr
     return labelled.groupBy("lang").count().where(F.col("count") >= min_labelled).orderBy(F.desc("count"), "lang").limit(max_strata).select("lang", F.lit(True).alias("own"))
 
 
-def certify(labelled: DataFrame, risk: float = 0.02, confidence: float = 0.05, good_weight: float = 10.0) -> DataFrame:
+def certify(labelled: DataFrame, risk: float = RISK, confidence: float = 0.05, good_weight: float = 10.0) -> DataFrame:
     """Cutoffs from rows of (stratum, doc_id, quality, the counts): one row per stratum, a column per rule (null: off)."""
     rules = list(RULES)
     levels = F.array(*[F.struct(F.lit(r).alias("rule"), _exceeded(r).alias("above")) for r in rules])
@@ -150,7 +152,7 @@ def certify(labelled: DataFrame, risk: float = 0.02, confidence: float = 0.05, g
     return best.groupBy("stratum").agg(*[cutoff(r) for r in rules])
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.02, confidence: float = 0.05, min_labelled: int = 2000, max_strata: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = 0.05, min_labelled: int = 2000, max_strata: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, carry, BASE and kept for every row of docs. labels: doc_id, quality (1 good, 0 bad; null is no label)."""
     found = written(features(docs, carry), "features")
     truth = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
@@ -168,7 +170,9 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.02, con
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that pass, with their columns. Rows meet their verdict by a key of doc_id, text and lang."""
-    key = F.xxhash64(F.col("doc_id").cast("long"), "text", *(["lang"] if "lang" in docs.columns else [])).alias("_key")
-    found = quality_verdicts(docs.select("*", key), labels, carry=("_key",), **options)
-    bad = found.where("not kept").select("_key").distinct()
-    return docs.select("*", key).join(bad, "_key", "left_anti").select(*docs.columns)
+    lang = ["lang"] if "lang" in docs.columns else []
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text", *lang).alias("key")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", *lang, key)
+    found = quality_verdicts(rows.drop("doc"), labels, carry=("key",), **options)
+    bad = found.where("not kept").select("key").distinct()
+    return rows.select("doc", "key").join(bad, "key", "left_anti").select("doc.*")
