@@ -156,7 +156,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, rounds: int = 2) -> DataFra
     n_removed. Windows are judged on the input."""
     spark = docs.sparkSession
     buckets = partitions(spark)
-    shards = 4 * buckets
+    shards = buckets  # the answers have at most shards x buckets rows
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed")]
     own = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("row"), "doc_id", "text")
     own = own.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
