@@ -159,10 +159,7 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_oracles(spark, sf_dir, name):
-    import sys
-
-    sys.path.insert(0, "tests")
-    import oracle
+    from .. import oracle
 
     con = oracle.connect(sf_dir)
     columns, ours, theirs = oracle.differences(Q.QUERIES[name](spark, sf_dir), con, Q.oracle_sql()[name])
