@@ -148,6 +148,22 @@ def calibrate_isotonic(df: DataFrame, split: str = "split", y: str = "y", p: str
     return model.transform(df).withColumn(p, F.col("_iso")).drop("_iso")
 
 
+def report_rows(df: DataFrame, split: str = "split", y: str = "y", p: str = "yhat", calibrate: bool = True) -> DataFrame:
+    """The regression bundle per Dataset, Units (log as given, original after expm1) and Calibrated (by the validation line)."""
+    plain = df.select(F.col(split).alias("split"), C.finite(y).alias("y"), C.finite(p).alias("yhat")).where("y is not null and yhat is not null")
+    variants = [(False, plain)] + ([(True, calibrate_linear(plain))] if calibrate else [])
+    name = F.when(F.col("split") == "train", "Training").when(F.col("split") == "val", "Validation").otherwise("Test").alias("Dataset")
+    parts = [
+        rows.select(name, F.lit(units).alias("Units"), F.lit(done).alias("Calibrated"), f("y").alias("y"), f("yhat").alias("yhat"))
+        for done, rows in variants
+        for units, f in (("log", F.col), ("original", F.expm1))
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return regression_bundle(out, ["Dataset", "Units", "Calibrated"])
+
+
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adjusted Rand index and normalised mutual information (arithmetic mean) of two labellings, one row."""
     n_ab = df.groupBy(a, b).agg(F.count("*").alias("n"))

@@ -186,3 +186,21 @@ def with_predictions(test: DataFrame, predictions: DataFrame, keys: Sequence[str
     """Predicted values where there are any, else the table's own."""
     pred = predictions.select(*keys, F.col(value).alias("_pred"))
     return test.join(pred, list(keys), "left").withColumn(value, F.coalesce("_pred", value)).drop("_pred")
+
+
+def with_blocks(panel: DataFrame, assigned: DataFrame, keys: Sequence[str] = ("store", "item")) -> DataFrame:
+    """block_id by key; raises where a key has several blocks; rows outside every block (NULL or negative) go."""
+    own = assert_unique(assigned.select(*keys, "block_id").distinct(), keys)
+    return panel.join(own, list(keys)).where("block_id >= 0")
+
+
+def with_cluster_mean(pairs: DataFrame, value: str, clusters: Sequence[str] = ("store_cluster", "item_cluster"), name: str = "cluster_mean") -> DataFrame:
+    """The mean of a pair's cluster joined back to it; one row per pair, checked by construction."""
+    means = pairs.groupBy(*clusters).agg(F.avg(value).alias(name))
+    return pairs.join(means, list(clusters), "left")
+
+
+def with_median_columns(series: DataFrame, medians: DataFrame, cluster: str, value: str, names: Sequence, prefix: str) -> DataFrame:
+    """Cluster medians as one column per cluster, joined by date."""
+    wide = medians.groupBy("date").pivot(cluster, list(names)).agg(F.first(value))
+    return series.join(wide.select("date", *[F.col(f"`{n}`").alias(f"{prefix}{n}") for n in names]), "date", "left")

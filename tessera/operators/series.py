@@ -45,7 +45,8 @@ def rolling_mean(df: DataFrame, value: str, n: int, name: str, keys: Sequence[st
 def ewm(df: DataFrame, value: str, span: int, name: str, keys: Sequence[str] = KEYS, date: str = "date") -> DataFrame:
     """Exponentially weighted mean, alpha = 2 / (span + 1), seeded by the first value; a NULL carries the mean on and ages its weight.
 
-    One fold over each series' ordered array emits the whole result, linear in its length."""
+    One exchange: a fold over each series' ordered array emits all its values. The fold copies its output at each step,
+    which suits series of some thousand dates (a calendar bounds them); ewm_grouped is linear for longer ones."""
     a = 2.0 / (span + 1)
     rest = [c for c in df.columns if c not in keys]
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(date).alias("_o"), F.struct(*rest).alias("_r"), C.finite(value).alias("_v")))).alias("_s"))

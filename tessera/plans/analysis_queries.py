@@ -728,3 +728,129 @@ def _(spark, d):
 @query("t04_error_sums", "store:b n:b sse:f sae:f", "SELECT store, count(*) AS n, sum((y-yhat)*(y-yhat)) AS sse, sum(abs(y-yhat)) AS sae FROM fc WHERE yhat IS NOT NULL GROUP BY 1")
 def _(spark, d):
     return T.error_sums(X.forecasts(spark, d), ["store"], "y", "yhat")
+
+
+# ------------------------------------------------------------------ joins and reports on top
+
+_BUNDLE = "sqrt(avg((y-yhat)*(y-yhat))) AS RMSE, avg(abs(y-yhat)) AS MAE, quantile_cont(abs(y-yhat), 0.5) AS Median_AE"
+_CAL = "SELECT split, y, mb + s * (yhat - ma) AS yhat FROM sp, (SELECT covar_pop(yhat, y) / var_pop(yhat) AS s, avg(yhat) AS ma, avg(y) AS mb FROM sp WHERE split = 'val')"
+
+
+@query(
+    "m08_report_rows",
+    "Dataset:s Units:s Calibrated:s RMSE:f MAE:f Median_AE:f",
+    f"""SELECT CASE split WHEN 'train' THEN 'Training' WHEN 'val' THEN 'Validation' ELSE 'Test' END AS Dataset, Units, Calibrated, {_BUNDLE} FROM (
+      WITH sp AS (SELECT split, ln(1 + y) AS y, ln(1 + yhat) AS yhat FROM split_fc WHERE yhat IS NOT NULL), cal AS ({_CAL})
+      SELECT split, 'log' AS Units, 'false' AS Calibrated, y, yhat FROM sp UNION ALL SELECT split, 'original', 'false', exp(y) - 1, exp(yhat) - 1 FROM sp
+      UNION ALL SELECT split, 'log', 'true', y, yhat FROM cal UNION ALL SELECT split, 'original', 'true', exp(y) - 1, exp(yhat) - 1 FROM cal) GROUP BY 1, 2, 3""",
+)
+def _(spark, d):
+    f = X.forecasts(spark, d)
+    return E.report_rows(f.select("split", F.log1p("y").alias("y"), F.log1p("yhat").alias("yhat")))
+
+
+@query("j13_cluster_mean", "store:b item:b value:f cluster_mean:f", "SELECT store, item, value, avg(value) OVER (PARTITION BY r, c) AS cluster_mean FROM blocked")
+def _(spark, d):
+    return P.with_cluster_mean(X.blocked(spark, d), "value", ["r", "c"])
+
+
+@query("j17_panel_blocks", "store:b item:b date:d block_id:b", "SELECT store, item, date, store % 3 * 4 + item % 4 AS block_id FROM panel WHERE store % 5 <> 0")
+def _(spark, d):
+    own = X.sales_cells(spark, d).select("store", "item", F.when(F.col("store") % 5 == 0, -1).otherwise(F.col("store") % 3 * 4 + F.col("item") % 4).alias("block_id"))
+    return P.with_blocks(X.panel(spark, d), own)
+
+
+@query(
+    "j21_median_columns",
+    "store:b item:b date:d store_cluster_median_0:f store_cluster_median_2:f",
+    "SELECT store, item, date, a AS store_cluster_median_0, b AS store_cluster_median_2 FROM panel LEFT JOIN (SELECT date, quantile_cont(CASE WHEN store % 3 = 0 THEN growth_rate END, 0.5) AS a, quantile_cont(CASE WHEN store % 3 = 2 THEN growth_rate END, 0.5) AS b FROM daily GROUP BY 1) USING (date)",
+)
+def _(spark, d):
+    med = X.daily(spark, d).withColumn("k", F.col("store") % 3)
+    return P.with_median_columns(X.panel(spark, d), P.cluster_medians(med, "k", name="m"), "k", "m", [0, 1, 2], "store_cluster_median_")
+
+
+@query("a18_sideways_share", "store:b item:b sideways:f", "SELECT store, item, avg(CASE WHEN growth_rate IS NOT NULL THEN CASE WHEN abs(growth_rate) <= 0.01 THEN 1.0 ELSE 0.0 END END) AS sideways FROM weeks GROUP BY 1, 2")
+def _(spark, d):
+    from tessera.plans.pipelines import sideways_share
+
+    return sideways_share(_weeks(spark, d))
+
+
+@query("a50_distinct_counts", "n_store:b n_item:b n_date:b", "SELECT count(DISTINCT store) AS n_store, count(DISTINCT item) AS n_item, count(DISTINCT date) AS n_date FROM panel")
+def _(spark, d):
+    return X.panel(spark, d).agg(*[F.count_distinct(c).alias(f"n_{c}") for c in ("store", "item", "date")])
+
+
+@query("o01_sorted_top", "store:b item:b total:f n_days:b", "SELECT store, item, sum(unit_sales) AS total, count(*) AS n_days FROM panel GROUP BY 1, 2 ORDER BY n_days DESC NULLS LAST, total ASC, store, item LIMIT 20")
+def _(spark, d):
+    rows = X.panel(spark, d).groupBy("store", "item").agg(F.sum("unit_sales").alias("total"), F.count("*").alias("n_days"))
+    return rows.orderBy(F.desc_nulls_last("n_days"), F.asc("total"), "store", "item").limit(20)
+
+
+@query("u02_union_missing_columns", "store:b item:b city:s", "SELECT store, CAST(NULL AS BIGINT) AS item, city FROM stores UNION ALL SELECT NULL, item, NULL FROM items")
+def _(spark, d):
+    return X.stores(spark, d).select("store", "city").unionByName(X.items(spark, d).select("item"), allowMissingColumns=True)
+
+
+@query("c02_untied_kmeans", "store:b r:b")
+def _(spark, d):
+    x, rows, _ = _matrix(spark, d)
+    return K.label_frame(spark, rows, K.untied_double_kmeans(x, 3, 4)[0], "store", "r")
+
+
+@query("c05_median_sweep", "n_row:b n_col:b rss:f pve:f")
+def _(spark, d):
+    return K.sweep(spark, _matrix(spark, d)[0], [2], [2, 3], restarts=1, solver="double_kmedians")
+
+
+@query("c29_nmf_baseline", "n_row:b n_col:b rmse:f pve:f")
+def _(spark, d):
+    return K.sweep(spark, _matrix(spark, d)[0], [2, 3], [1], restarts=1, solver="nmf")
+
+
+@query("c31_parafac", "component:b norm:f")
+def _(spark, d):
+    import numpy as np
+
+    x = np.nan_to_num(_matrix(spark, d)[0])
+    f, _ = K.parafac(np.stack([x, x * x - 3], axis=2), 2)
+    return B.component_stats(spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(f[0]) for j, v in enumerate(row)], "id long, component long, loading double"))
+
+
+@query("c42_series_clusters", "store:b cluster:b")
+def _(spark, d):
+    wide = M.to_wide(X.sales_cells(spark, d), "store", "item", "value", [1, 2, 3, 4])
+    return K.cluster_series(wide, ["1", "2", "3", "4"], 3)
+
+
+@query("c43_cross_validation", "n_row:b n_col:b mse:f")
+def _(spark, d):
+    return K.cross_validate(spark, _matrix(spark, d)[0], [2, 3], [2, 3])
+
+
+@query("l11_tuning", "reg:f rmse:f")
+def _(spark, d):
+    series = S.split_by_fraction(X.panel(spark, d).select("store", "item", "date", "unit_sales"), 0.8)
+    return L.tune(L.lag_frame(series, "unit_sales"), "unit_sales", [f"unit_sales_lag_{k}" for k in (1, 2, 7, 14)], [0.0, 0.1, 1.0])
+
+
+@query("c41_cluster_panel", "cluster:s n:b")
+def _(spark, d):
+    from tessera.plans.pipelines import cluster_panel
+
+    return cluster_panel(spark, X.daily(spark, d), [2, 3], [2, 3])[0].groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("c27_explain_panel", "r:b c:b n_cells:b mean:f")
+def _(spark, d):
+    from tessera.plans.pipelines import explain_panel
+
+    return explain_panel(spark, X.daily(spark, d), 3, 4)[1]
+
+
+@query("l09_prepared_forecasts", "Model:s store:b item:b MAE:f")
+def _(spark, d):
+    from tessera.plans.pipelines import forecast_all
+
+    return forecast_all(X.panel(spark, d), ["naive", "theta"])
