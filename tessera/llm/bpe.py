@@ -16,18 +16,18 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Character classes of the Latin-1 range, where they cannot differ between Unicode versions.
 _L, _N, _S = r"A-Za-zªµºÀ-ÖØ-öø-ÿ", r"0-9²³¹¼½¾", r"\x09-\x0d\x20\x85\xa0"
-_PRE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -37,8 +37,24 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Cache(dict):
+    """Computed values of short keys; emptied when it holds `keep`."""
+
+    def __init__(self, compute, keep: int):
+        super().__init__()
+        self.compute, self.keep = compute, keep
+
+    def __missing__(self, key):
+        value = self.compute(key)
+        if len(key) < 64:
+            if len(self) >= self.keep:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class ForcedBoundaryBPE:
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 250_000):
         spec = json.load(open(path, encoding="utf-8"))
         stand_in = byte_alphabet()
         raw = {token: bytes(stand_in[c] for c in token) for token in spec["model"]["vocab"]}
@@ -46,7 +62,7 @@ class ForcedBoundaryBPE:
         self.stand_ins = {b: c for c, b in stand_in.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.id_bytes |= {str(i): t.encode() for t, i in self.special.items()}
-        self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         #: joined[a, b]: some token has byte a followed by byte b; elsewhere a cut is certain.
         self.joined = np.zeros((256, 256), bool)
         for token in raw.values():
@@ -54,9 +70,10 @@ class ForcedBoundaryBPE:
             self.joined[b[:-1], b[1:]] = True
         whole = Tokenizer.from_file(path)
         self.pre, self.model = whole.pre_tokenizer, whole.model
-        self.keep = keep
-        self.pre_tokens: dict[str, str] = {}
-        self.fragments: dict[bytes, str] = {}
+        self._joined = self.joined.tobytes()
+        self._decimal = {i: str(i) for i in [*spec["model"]["vocab"].values(), *self.special.values()]}
+        self.pre_tokens = Cache(self._pre_token, keep)
+        self.fragments = Cache(self._fragment, keep)
 
     @staticmethod
     @functools.cache
@@ -71,32 +88,20 @@ class ForcedBoundaryBPE:
 
     def split(self, data: bytes) -> list[bytes]:
         """Fragments between certain cuts."""
-        b = np.frombuffer(data, np.uint8)
-        cuts = np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1
-        if not len(cuts):
-            return [data]
-        edges = [0, *cuts.tolist(), len(data)]
-        return [data[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+        joined, out, at = self._joined, [], 0
+        for i in range(1, len(data)):
+            if not joined[data[i - 1] << 8 | data[i]]:
+                out.append(data[at:i])
+                at = i
+        out.append(data[at:])
+        return out
 
     def _fragment(self, fragment: bytes) -> str:
-        ids = self.fragments.get(fragment)
-        if ids is None:
-            ids = ",".join(map(str, self.merge(fragment)))
-            if len(fragment) < 64:
-                if len(self.fragments) >= self.keep:
-                    self.fragments.clear()
-                self.fragments[fragment] = ids
-        return ids
+        return ",".join([self._decimal[i] for i in self.merge(fragment)])
 
     def _pre_token(self, word: str) -> str:
-        ids = self.pre_tokens.get(word)
-        if ids is None:
-            ids = ",".join(map(self._fragment, self.split(word.encode())))
-            if len(word) < 64:
-                if len(self.pre_tokens) >= self.keep:
-                    self.pre_tokens.clear()
-                self.pre_tokens[word] = ids
-        return ids
+        parts = self.split(word.encode())
+        return self._fragment(parts[0]) if len(parts) == 1 else ",".join(map(self.fragments.__getitem__, parts))
 
     def _ordinary(self, text: str) -> str:
         try:
@@ -104,8 +109,7 @@ class ForcedBoundaryBPE:
             words = _PRE.findall(text)
         except UnicodeEncodeError:
             words = [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
-        got = self.pre_tokens.get
-        return ",".join([got(w) or self._pre_token(w) for w in words])
+        return ",".join(map(self.pre_tokens.__getitem__, words))
 
     def encode(self, text: str) -> str:
         """Decimal ids joined by commas."""
