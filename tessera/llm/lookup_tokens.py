@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import functools
+import re
+from array import array
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
 from tessera.llm.bpe import byte_alphabet
@@ -13,7 +14,7 @@ from tessera.llm.bpe import byte_alphabet
 #: What the tokenizer's own pre-tokenizer keeps, for texts of Latin-1 characters, where this spelling of the classes and
 #: str.lower() provably agree with it; other texts are encoded by the tokenizer as a whole.
 _LETTER, _NUMBER = r"A-Za-zªµºÀ-ÖØ-öø-ÿ", r"0-9²³¹¼½¾"
-_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\x09-\x0d\x20\x85\xa0{_LETTER}{_NUMBER}]+")
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\x09-\x0d\x20\x85\xa0{_LETTER}{_NUMBER}]+")
 
 
 class LookupEncoder(dict):
@@ -40,7 +41,7 @@ class LookupEncoder(dict):
         if len(self) >= self.keep:
             self.clear()
         merged = self.model.tokenize(piece.encode().decode("latin-1").translate(self.stand_ins))  # the merges alone
-        ids = np.array([t.id for t in merged], "<u4").tobytes()
+        ids = array("I", [t.id for t in merged]).tobytes()
         if len(piece) < 64:
             self[piece] = ids
         return ids
