@@ -32,6 +32,21 @@ def test_many_near_copies_over_several_blocks(spark):
     assert {r.component_id for r in got} == {0} and len(got) == 150
 
 
+@pytest.mark.parametrize("k, t, num, den", [(3, "9/10", 9, 10), (5, "4/5", 4, 5)])
+def test_families_of_several_blocks_with_stragglers(spark, k, t, num, den):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(140):
+        words = list(base)
+        for j in rng.choice(120, rng.integers(0, 9), replace=False):
+            words[j] = f"z{rng.integers(1000)}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_classes(H.frame(spark, rows), k, t, block_tokens=1500).collect()}
+    want = H.classes(rows, k, num, den)
+    assert got == want and 3 < len({c for _, c in want.values()}) < 140
+
+
 def test_keep_one_of_each(spark):
     rows = H.corpus()
     kept = keep_one_of_each(H.frame(spark, rows)).collect()
