@@ -126,7 +126,15 @@ class Words:
         up, down = _power(n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[_FOLD[data] if fold else data] * up, out=total[1:])
-        self.hash = mix((total[self.ends] - total[self.starts]) * down[self.starts]) if len(self.starts) else np.empty(0, np.uint64)
+        self._total, self._down = total, down
+        self.hash = self._spans(self.ends)
+
+    def _spans(self, ends: np.ndarray) -> np.ndarray:
+        return mix((self._total[ends] - self._total[self.starts]) * self._down[self.starts])
+
+    def prefixes(self, k: int) -> np.ndarray:
+        """Hashes of the words' first k bytes (of all, where shorter)."""
+        return self._spans(np.minimum(self.starts + k, self.ends))
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
