@@ -227,7 +227,7 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, threshold: str | Fractio
     spark = docs.sparkSession
     order = TokenOrder(t)
     sets = written(_sets(docs, k, order), "sets")
-    shards = 2 * partitions(spark)
+    shards = partitions(spark)
     lows = sets.where("low is not null").select(F.pmod("unit", F.lit(shards)).cast("int").alias("shard"), "unit", "doc_id", "n_shingles", "low")
     prefixes = written(_prefixes(lows, order, partitions(spark)), "prefixes")
     families = written(_families(prefixes, t), "families")
