@@ -12,8 +12,8 @@ needs, so only a fraction of the tokens is ever counted, yet prefixes consist of
    group points at the smallest group there, a combinable minimum, so no pairs of a bucket are formed. The connected
    candidate families are small because prefixes are rare tokens.
 4. Groups are expanded to their units, whose whole sets are read again and verified exactly. A family is cut into
-   blocks of bounded total size; each pair of blocks is one task row set, checked by an inverted index over the block,
-   and only a spanning forest of its links is returned. No cap, no sampling: every pair of a family is checked.
+   blocks of bounded total size, compared by an inverted index; a task returns a spanning forest of its links only. No
+   cap, no sampling: a pair of a family goes unchecked only where verified links already connect it.
 5. Components of the verified links give the class ids.
 
 Defined cases: null and empty texts have the empty set and link with nothing; fewer than k words give one shingle of
@@ -158,12 +158,15 @@ def _candidate_bits(families: DataFrame, bits: int = 1 << 22) -> np.ndarray:
     return table
 
 
-def _block_links(table: pa.Table, t: Fraction) -> pa.Table:
-    """A spanning forest of the links in one pair of blocks."""
+def _task_links(table: pa.Table, t: Fraction) -> pa.Table:
+    """A spanning forest of the links between a task's probes and all its units."""
     seen: dict[int, np.ndarray] = {}
-    for unit, tokens in zip(table["unit"].to_pylist(), table["tokens"], strict=True):
+    probes: set[int] = set()
+    for unit, tokens, probe in zip(table["unit"].to_pylist(), table["tokens"], table["probe"].to_pylist(), strict=True):
         if unit not in seen:
             seen[unit] = np.frombuffer(tokens.as_py(), np.uint64)
+        if probe:
+            probes.add(unit)
     units = list(seen)
     sets = [seen[u] for u in units]
     sizes = np.array([len(s) for s in sets])
@@ -182,23 +185,26 @@ def _block_links(table: pa.Table, t: Fraction) -> pa.Table:
 
     out: tuple[list, list] = ([], [])
     stop = np.cumsum(sizes)
-    for i in range(len(sets)):
+    for i, unit in enumerate(units):
+        if unit not in probes:
+            continue
         mine = column[stop[i] - sizes[i] : stop[i]]
         # how many tokens i shares with every unit: lengths of its tokens' posting lists, gathered at once
         a, n = first[mine], first[mine + 1] - first[mine]
         at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        shared = np.bincount(owner_by[at], minlength=len(sets))[:i]
-        union = sizes[:i] + sizes[i] - shared
+        shared = np.bincount(owner_by[at], minlength=len(sets))
+        union = sizes + sizes[i] - shared
         for j in np.flatnonzero(shared * t.denominator >= union * t.numerator):
             x, y = find(i), find(int(j))
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                out[0].append(units[i])
+                out[0].append(unit)
                 out[1].append(units[int(j)])
     return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
 
-def _verified_links(docs: DataFrame, families: DataFrame, k: int, t: Fraction, block_tokens: int) -> DataFrame:
+def _candidate_sets(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:
+    """(unit, family, n, tokens) of families with two or more units, each unit's whole set read again."""
     bits = _candidate_bits(families)
     n_bits = len(bits) * 32
 
@@ -212,13 +218,41 @@ def _verified_links(docs: DataFrame, families: DataFrame, k: int, t: Fraction, b
 
     read = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(n_bits)))
     tokens = read.mapInArrow(sets, "doc_id long, unit long, tokens binary")
-    size = families.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("members")).where("members > 1")
-    wanted = families.join(size, "family").select("unit", "doc_id", "family", F.ceil(F.col("total") / block_tokens).cast("int").alias("blocks"))
-    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("unit", F.lit(7)), F.col("blocks")).cast("int"))
-    loaded = tokens.join(wanted, ["doc_id", "unit"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = loaded.select("family", "block", "unit", "tokens", other).select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "unit", "tokens")
-    return spread.groupBy("family", "x", "y").applyInArrow(lambda table: _block_links(table, t), "a long, b long")
+    several = families.groupBy("family").count().where("count > 1").select("family")
+    return tokens.join(families.join(several, "family"), ["doc_id", "unit"]).select("unit", "family", "n", "tokens")
+
+
+def _blocks_of(members: DataFrame, block_tokens: int, name: str) -> DataFrame:
+    """(family, name): how many blocks of about block_tokens a family's members make."""
+    return members.groupBy("family").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias(name))
+
+
+def _verified_links(sets: DataFrame, t: Fraction, block_tokens: int) -> DataFrame:
+    """Links that give the same components as all links within the families.
+
+    First every block of a family is compared with itself and with the family's block 0. In families of several blocks,
+    all units that are then outside the family's largest component are compared with all units of the family; units
+    that the largest component already holds need no comparison with each other, so a family of very many near copies
+    moves its sets once for each block of stragglers, not once for each other block."""
+    links = lambda tasks: tasks.applyInArrow(lambda table: _task_links(table, t), "a long, b long")
+    block = F.pmod(F.xxhash64("unit", F.lit(7)), F.col("blocks")).cast("int")
+    placed = sets.join(_blocks_of(sets, block_tokens, "blocks"), "family").withColumn("block", block)
+    to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    first = placed.select("family", "block", "unit", "tokens", F.explode(to).alias("task")).withColumn("probe", F.col("block") == F.col("task"))
+    found = written(links(first.groupBy("family", "task")), "links")
+    large = placed.where("blocks > 1")
+    if large.isEmpty():
+        return found
+    roots = components(found).withColumnRenamed("node", "unit")
+    now = large.drop("tokens").join(roots, "unit", "left").withColumn("root", F.coalesce("root", "unit"))
+    main = now.groupBy("family", "root").count().groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    strays = written(now.join(main, "family").where("root <> main").select("family", "unit", "n"), "strays")
+    stray_blocks = _blocks_of(strays, block_tokens, "stray_blocks")
+    every = large.join(stray_blocks, "family")
+    targets = every.select("family", "unit", "tokens", F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("s"), F.col("block").alias("b"), F.lit(False).alias("probe"))
+    stray = F.pmod(F.xxhash64("unit", F.lit(11)), F.col("stray_blocks")).cast("int")
+    probes = every.join(strays.select("unit"), "unit", "left_semi").select("family", "unit", "tokens", stray.alias("s"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(True).alias("probe"))
+    return found.unionByName(written(links(targets.unionByName(probes).groupBy("family", "s", "b")), "stray-links"))
 
 
 def near_duplicate_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = "4/5", block_tokens: int = 1 << 16) -> DataFrame:
@@ -231,7 +265,8 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, threshold: str | Fractio
     lows = sets.where("low is not null").select(F.pmod("unit", F.lit(shards)).cast("int").alias("shard"), "unit", "doc_id", "n_shingles", "low")
     prefixes = written(_prefixes(lows, order, partitions(spark)), "prefixes")
     families = written(_families(prefixes, t), "families")
-    links = written(_verified_links(docs, families, k, t, block_tokens), "links")
+    candidates = written(_candidate_sets(docs, families, k), "candidates")
+    links = _verified_links(candidates, t, block_tokens)
     roots = components(links).withColumnRenamed("node", "unit")
     # units are merged through their root; a class is named by its smallest doc_id
     known = sets.where("doc_id is not null and n_shingles > 0")
