@@ -69,6 +69,24 @@ def test_components(spark):
     assert got == {5: 1, 3: 1, 9: 1, 1: 1, 20: 20, 21: 20, 22: 20}
 
 
+def test_components_of_long_paths_and_random_graphs(spark):
+    rng = np.random.default_rng(1)
+    path = rng.permutation(200)
+    edges = [(int(a), int(b)) for a, b in zip(path, path[1:])] + [tuple(map(int, 1000 + rng.integers(0, 300, 2))) for _ in range(200)]
+    parent = {n: n for e in edges for n in e}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in parent if any(a != b and n in (a, b) for a, b in edges)}
+
+
 def test_repeats_match_brute_force(spark):
     rows = H.corpus(160, seed=5)
     got = {r.doc_id: (r.n_words, r.n_removed, H.WORD.findall(r.text)) for r in remove_repeats(H.frame(spark, rows)).collect()}
