@@ -70,7 +70,7 @@ def store_holidays(holidays: DataFrame, stores: DataFrame) -> DataFrame:
 
     holidays: date, type, locale, locale_name. Regional and local holidays without a store keep a NULL store."""
     hol = holidays.select("date", "type", "locale", "locale_name")
-    national = hol.where("locale = 'National'").crossJoin(F.broadcast(stores.select("store")))
+    national = hol.where("locale = 'National'").crossJoin(stores.select("store"))
     regional = hol.where("locale = 'Regional'").join(stores.select("store", F.col("state").alias("locale_name")), "locale_name", "left")
     local = hol.where("locale = 'Local'").join(stores.select("store", F.col("city").alias("locale_name")), "locale_name", "left")
     keep = ["date", "store", "locale", "type"]
