@@ -237,23 +237,22 @@ def lookup(sorted_names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Connected components of edges(a long, b long): rows (node, root), root the smallest node of the component.
 
-    Each round points every node at its smallest neighbour, contracts the edges and repeats; only minima are
-    aggregated, so a node of very high degree is combined before the shuffle and never gathered."""
-    empty = edges.sparkSession.createDataFrame([], "node long, root long")
+    Each round points every node at the smallest neighbour of its smallest neighbour, contracts the edges and repeats; only
+    minima are aggregated, so a node of very high degree is combined before the shuffle and never gathered."""
+    spark = edges.sparkSession
     pairs = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
     roots = None
     for _ in range(rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"))
-        to = written(to.select(F.col("a").alias("node"), "to"), "pointers")
+        near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("b"))
+        far = near.select(F.col("a").alias("b"), F.col("b").alias("to"))
+        to = written(near.join(far, "b").select(F.col("a").alias("node"), "to"), "pointers")
         if to.isEmpty():
-            break
-        if roots is None:
-            roots = to.select("node", F.col("to").alias("root"))
-        else:
-            roots = written(roots.join(to.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            return spark.createDataFrame([], "node long, root long") if roots is None else written(roots, "roots")
+        step = to.select(F.col("node").alias("root"), "to")
+        roots = to.select("node", F.col("to").alias("root")) if roots is None else roots.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         left = to.select(F.col("node").alias("a"), F.col("to").alias("na"))
         right = to.select(F.col("node").alias("b"), F.col("to").alias("nb"))
         pairs = pairs.join(left, "a").join(right, "b").where("na <> nb").select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct()
         pairs = written(pairs, "edges")
-    return empty if roots is None else roots
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
