@@ -43,7 +43,7 @@ def partitions(spark: SparkSession) -> int:
 # ---------------------------------------------------------------- Arrow text access
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a record batch so that each slice holds about `limit` bytes of text (one longer text stays whole)."""
     if not batch.num_rows:
         return
