@@ -12,20 +12,24 @@ from pyspark.sql import functions as F
 from tessera.llm import ngram_join, packing, quality, secret_scan, substring_dedup
 from tessera.llm._common import written
 from tessera.llm.queries import vocabulary
+from tessera.sources.workers import share_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
+    share_path(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, similarity 0.8)."""
+    share_path(spark)
     return ngram_join.keep_one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of long repeats go; a text that loses all its words goes as well."""
+    share_path(spark)
     kept = substring_dedup.remove_repeats(docs).where("n_words = 0 or n_removed < n_words")
     names = docs.columns
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in names else None
@@ -34,6 +38,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text."""
+    share_path(spark)
     kept = secret_scan.redact(docs)
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None
     return kept.select(*[n_chars if c == "n_chars" else F.col(c) for c in docs.columns])
@@ -41,6 +46,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 2048 tokens: one row per piece."""
+    share_path(spark)
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
