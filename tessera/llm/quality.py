@@ -11,8 +11,11 @@ array functions, so nothing is shuffled. Rules reject when a ratio exceeds a cut
 * among the certified cutoffs the one with the best bad-minus-weighted-good rejection on the proposing half is used;
   none with a gain leaves the rule off in that stratum.
 
-Languages with fewer than `min_labelled` labelled rows, and those beyond the `max_strata` largest, form one stratum, so
-the cutoff table has at most max_strata + 1 rows and is broadcast. The features are written once to the shared folder.
+A stratum of n good holdout documents can certify a cutoff at all only if (1 - risk/rules) ** n <= confidence / (strata x
+rules), the tail of no rejection. Languages with fewer than `min_labelled` labelled rows and those beyond the `max_strata`
+largest are pooled, and further ones, the smallest first, until every stratum, the pooled one too, meets that bound
+(`strata_of`); if even all languages together do not, no rule can be certified. The cutoff table has at most max_strata + 1
+rows and is broadcast; `rules_in_force` reports it. The features are written once to the shared folder.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null lang is its own stratum; a null doc_id is
 kept (it matches no label); repeated rows are each returned; without labels, or with too few to certify anything, only
@@ -123,13 +126,31 @@ def binomial_tail(n: Column, k: Column, risk: float) -> Column:
     return F.when(k < n * risk, F.exp(log_top) * series).otherwise(F.lit(1.0))
 
 
-def strata_of(labelled: DataFrame, min_labelled: int, max_strata: int) -> DataFrame:
-    """The languages that are strata of their own: at most max_strata rows (lang)."""
-    return labelled.groupBy("lang").count().where(F.col("count") >= min_labelled).orderBy(F.desc("count"), "lang").limit(max_strata).select("lang", F.lit(True).alias("own"))
+def certifiable(n: Column, strata: Column, risk: float, confidence: float) -> Column:
+    """Whether n good holdout rows, none of them rejected, certify a cutoff in one of so many strata."""
+    return binomial_tail(n, F.lit(0).cast("long"), risk / len(RULES)) <= F.lit(confidence) / strata / len(RULES)
+
+
+def strata_of(labelled: DataFrame, min_labelled: int, max_strata: int, risk: float = RISK, confidence: float = 0.05) -> DataFrame:
+    """The languages that are strata of their own: at most max_strata rows (lang), as many as leave no stratum too small."""
+    good = F.count_if((F.col("doc_id") % 2 != 0) & (F.col("quality") == 1))
+    langs = labelled.groupBy("lang").agg(F.count("*").alias("n"), good.alias("good"))
+    every = langs.agg(F.sum("n").alias("all_n"), F.sum("good").alias("all_good"))
+    # at most max_strata rows from here on
+    top = langs.where(F.col("n") >= min_labelled).orderBy(F.desc("good"), F.desc("n"), "lang").limit(max_strata)
+    by = W.orderBy(F.desc("good"), F.desc("n"), "lang")
+    so_far = by.rowsBetween(W.unboundedPreceding, 0)
+    top = top.select("lang", "good", F.row_number().over(by).alias("rank"), F.sum("n").over(so_far).alias("own_n"), F.sum("good").over(so_far).alias("own_good")).join(F.broadcast(every))
+    rest = F.col("all_n") > F.col("own_n")
+    strata = F.col("rank") + rest.cast("int")
+    fits = certifiable(F.col("good"), strata, risk, confidence) & (~rest | certifiable(F.col("all_good") - F.col("own_good"), strata, risk, confidence))
+    whole = W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return top.withColumn("most", F.max(F.when(fits, F.col("rank"))).over(whole)).where("rank <= most").select("lang", F.lit(True).alias("own"))
 
 
 def certify(labelled: DataFrame, risk: float = RISK, confidence: float = 0.05, good_weight: float = 10.0) -> DataFrame:
-    """Cutoffs from rows of (stratum, doc_id, quality, the counts): one row per stratum, a column per rule (null: off)."""
+    """Cutoffs from rows of (stratum, doc_id, quality, the counts): one row per stratum with the number of its good holdout
+    rows, whether these can certify anything (`certifiable`), and a column per rule (null: off)."""
     rules = list(RULES)
     levels = F.array(*[F.struct(F.lit(r).alias("rule"), _exceeded(r).alias("above")) for r in rules])
     rows = labelled.select("stratum", (F.col("doc_id") % 2 != 0).alias("holdout"), (F.col("quality") == 1).alias("good"), F.explode(levels).alias("level"))
@@ -149,19 +170,32 @@ def certify(labelled: DataFrame, risk: float = RISK, confidence: float = 0.05, g
     gain = tested.where("certified = 1").withColumn("gain", F.round(rate("tune_bad") - good_weight * rate("tune_good"), 9)).where("gain > 0")
     best = gain.groupBy("stratum", "rule").agg(F.max_by("above", F.struct("gain", "above")).alias("above"))
     cutoff = lambda r: F.max(F.when(F.col("rule") == r, F.get(F.array(*[F.lit(c) for c in grid(r)]), F.col("above") - 1))).alias(f"cut_{r}")
-    return best.groupBy("stratum").agg(*[cutoff(r) for r in rules])
+    enough = certifiable(F.col("hold_good"), F.lit(confidence) / len(rules) / F.col("share"), risk, confidence)
+    strata = counts.groupBy("stratum").agg(F.max("all_hold_good").alias("hold_good")).join(F.broadcast(share)).select("stratum", "hold_good", enough.alias("certifiable"))
+    return strata.join(best.groupBy("stratum").agg(*[cutoff(r) for r in rules]), "stratum", "left")
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = 0.05, min_labelled: int = 2000, max_strata: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, carry, BASE and kept for every row of docs. labels: doc_id, quality (1 good, 0 bad; null is no label)."""
-    found = written(features(docs, carry), "features")
+def _learned(found: DataFrame, labels: DataFrame, risk: float, confidence: float, min_labelled: int, max_strata: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of features with their stratum, and the cutoffs."""
     truth = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     labelled = found.join(truth, "doc_id").where("not base_failed")
-    own = strata_of(labelled, min_labelled, max_strata)
+    own = written(strata_of(labelled, min_labelled, max_strata, risk, confidence), "strata")
     stratum = F.when(F.col("own"), F.concat(F.lit("="), F.coalesce("lang", F.lit("")))).otherwise("pooled")
     place = lambda df: df.join(F.broadcast(own.withColumnRenamed("lang", "own_lang")), F.col("lang").eqNullSafe(F.col("own_lang")), "left").withColumn("stratum", stratum)
-    cuts = written(certify(place(labelled), risk, confidence), "cutoffs")
-    judged = place(found).join(F.broadcast(cuts), "stratum", "left")
+    return place(found), written(certify(place(labelled), risk, confidence), "cutoffs")
+
+
+def rules_in_force(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = 0.05, min_labelled: int = 2000, max_strata: int = 64) -> DataFrame:
+    """One row per stratum: stratum, hold_good, certifiable, in_force (names of the rules that are on)."""
+    _, cuts = _learned(written(features(docs), "features"), labels, risk, confidence, min_labelled, max_strata)
+    on = F.array_compact(F.array(*[F.when(F.col(f"cut_{r}").isNotNull(), F.lit(r)) for r in RULES]))
+    return cuts.select("stratum", "hold_good", "certifiable", on.alias("in_force"))
+
+
+def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = 0.05, min_labelled: int = 2000, max_strata: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carry, BASE and kept for every row of docs. labels: doc_id, quality (1 good, 0 bad; null is no label)."""
+    placed, cuts = _learned(written(features(docs, carry), "features"), labels, risk, confidence, min_labelled, max_strata)
+    judged = placed.join(F.broadcast(cuts), "stratum", "left")
     rejected = F.lit(False)
     for rule in RULES:
         rejected = rejected | F.coalesce(_ratio(rule) > F.col(f"cut_{rule}"), F.lit(False))

@@ -76,6 +76,36 @@ def test_cutoffs_reject_junk_and_spare_clean_documents(spark):
     assert all(got[i] == (i % 5 != 0) for i in range(6000))
 
 
+def test_small_strata_are_pooled_until_a_rule_can_be_certified(spark):
+    """Production parameters: en has 2,200 labelled rows, yet alone too few good holdout ones for two strata."""
+    rows, truth = [], []
+    for i in range(3600):
+        good = i % 20 != 0
+        words = [f"w{i}x{j}" for j in range(14)]
+        rows.append((i, " ".join(words if good else [w + "***" for w in words]), "en" if i < 2200 else ["de", "es", "fr"][i % 3], "s", 0))
+        truth.append((i, int(good), 0))
+    docs, labels = H.frame(spark, rows), H.labels(spark, truth)
+    report = {r.stratum: r for r in quality.rules_in_force(docs, labels).collect()}
+    assert list(report) == ["pooled"] and report["pooled"].certifiable and "symbols" in report["pooled"].in_force
+    got = {r.doc_id: r.kept for r in quality.quality_verdicts(docs, labels).collect()}
+    assert all(got[i] == (i % 20 != 0) for i in range(3600))
+
+
+def test_strata_meet_the_exact_bound(spark):
+    """0.995 ** n <= 0.05 / strata / 6 needs n = 956, 1094, 1175 good holdout rows for 1, 2, 3 strata."""
+    def own(**good):
+        rows = [(lang, 2 * i + 1, 1) for lang, n in good.items() for i in range(n)]
+        return sorted(r.lang for r in quality.strata_of(spark.createDataFrame(rows, "lang string, doc_id long, quality int"), 100, 64).collect())
+
+    assert own(en=1094, de=1094) == ["de", "en"]  # no rest: two strata
+    assert own(en=1094, de=1093) == []  # as the rest, de is a second stratum too small
+    assert own(en=1093, de=1093) == []
+    assert own(en=955) == [] and own(en=956) == ["en"]
+    assert own(en=1175, de=1175, es=600, fr=575) == ["de", "en"]
+    assert own(en=1176, de=1175, es=600, fr=574) == ["en"]
+    assert own(en=1200, de=1174, es=600, fr=600) == ["en"]
+
+
 def test_certified_cutoffs_hold_their_risk(spark):
     """A rule whose ratio tells nothing is never switched on."""
     rng = np.random.default_rng(8)
