@@ -131,6 +131,26 @@ def test_licenses(spark):
     assert license_scan.license_of(H.frame(spark, [])).count() == 0
 
 
+def test_licenses_inside_longer_text(spark):
+    permission = license_scan.NOTICES[1][1]
+    words = permission.split()
+    apache = license_scan.NOTICES[0][1].split()
+    commented = "# Copyright 2021 Foo\n#\n" + "".join(f"# {' '.join(apache[i : i + 9])}\n" for i in range(0, len(apache), 9)) + "\nimport os"
+    texts = [
+        (permission, "MIT", 1),
+        ("\n".join(" ".join(words[i : i + 7]) for i in range(0, len(words), 7)), "MIT", 1),
+        (license_scan.NOTICES[2][1], "MIT", 1),
+        (commented, "Apache-2.0", 2),  # its first line as a whole, the other lines by a window
+        ("Copyright 2021 Foo. Released under the MIT License.", "MIT", 1),
+        ("All of this text, written over many years, is here. This work is licensed under the GNU General Public License, version 3. More follows.", "GPL-3.0", 1),
+        ("Released under the MIT License.\n\nParts of it, as told before, are something else: Licensed under CC BY-SA 4.0. Thanks to all.", "MIT", 2),
+        ("Licensed\n\nunder the Apache\n\nLicense, Version 2.0.", "Apache-2.0", 1),
+        ("The driver's license was released under pressure, and the version of the work was public.", None, 0),
+    ]
+    got = {r.doc_id: (r.license, r.n_matches) for r in license_scan.license_of(H.frame(spark, [(i, t, "en", "s", 0) for i, (t, *_) in enumerate(texts)])).collect()}
+    assert got == {i: (name, n) for i, (_, name, n) in enumerate(texts)}
+
+
 def _dice(a, b):
     return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
 
