@@ -1,7 +1,8 @@
 """Secret scans: a battery of randomness tests per inferred encoding, with length-aware false-discovery control.
 
-Patterns give the base spans (assign, access, hex). Further candidates are maximal runs of token characters of 20 to
-512 characters. A candidate's encoding is the smallest alphabet that holds all its characters (hex, base32, base36,
+Patterns give the base spans (assign, access, hex). Further candidates are maximal runs of token characters, 20 at least,
+and the pieces of 20 at least into which a run falls at the characters outside base64, base64url and base62; of overlapping
+ones that pass, the one with most bits stays. A candidate's encoding is the smallest alphabet that holds all its characters (hex, base32, base36,
 base58/62, base64). The battery tests it as a uniform sequence over that alphabet:
 
 * chi-squared of the symbol counts (moments of the exact multinomial),
@@ -40,7 +41,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _HINT = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}+(?![A-Za-z0-9+/_-])=*")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?![A-Za-z0-9+/_-])=*")
+_PIECES = [re.compile(p) for p in (r"[A-Za-z0-9+/]{20,}+", r"[A-Za-z0-9_-]{20,}+", r"[A-Za-z0-9]{20,}+")]
 
 #: Alphabets by size (fixed values).
 ALPHABETS = {
@@ -68,6 +70,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], BASE.index(s[0])))
 
 
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, token) of the runs and their pieces; a run's padding belongs to the span of what ends with it."""
+    out = set()
+    for m in _CANDIDATE.finditer(text):
+        run = m[0].rstrip("=")
+        for piece in (x for p in _PIECES for x in p.finditer(run)):
+            end = m.end() if piece.end() == len(run) else m.start() + piece.end()
+            out.add((m.start() + piece.start(), end, piece[0]))
+    return sorted(out)
+
+
 def encoding(token: str) -> str | None:
     """The smallest alphabet that holds the token."""
     chars = set(token)
@@ -111,7 +124,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 text = t.as_py() or ""
                 counts += np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
                 bases.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in base_spans(text)])
-                cands.append([{"start": m.start(), "end": m.end(), "token": m[0].rstrip("=")} for m in _CANDIDATE.finditer(text)])
+                cands.append([dict(zip(("start", "end", "token"), c, strict=True)) for c in candidates(text)])
             per_row = [counts.tolist()] + [None] * (batch.num_rows - 1)  # the batch's counts ride on its first row
             yield pa.record_batch([batch.column(0), pa.array(bases, span), pa.array(cands, cand), pa.array(per_row[: batch.num_rows], pa.list_(pa.int64()))], names=["doc_id", "base", "candidates", "bytes"])
 
@@ -131,13 +144,17 @@ def _tested(scanned: DataFrame, log_freq: np.ndarray, alpha: float) -> DataFrame
                 for c in row:
                     token = c["token"]
                     name = encoding(token)
-                    if len(token) < STRATA[0] or name is None or not (any(ch.isdigit() for ch in token) and any(ch.isalpha() for ch in token)):
+                    if name is None:
                         continue
                     p = min(1.0, 3 * min(battery(token, name).values()))
                     if p >= alpha:
                         stratum = sum(len(token) >= s for s in STRATA) - 1
                         passed.append({"start": c["start"], "end": c["end"], "encoding": name, "stratum": stratum, "bits": int(min(255, max(0, log_e_value(token, name, log_freq)))), "p": p})
-                tokens.append(passed)
+                apart: list[dict] = []
+                for t in sorted(passed, key=lambda t: (-t["bits"], t["start"] - t["end"], t["start"])):
+                    if all(t["end"] <= o["start"] or o["end"] <= t["start"] for o in apart):
+                        apart.append(t)
+                tokens.append(sorted(apart, key=lambda t: t["start"]))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(tokens, kind)], names=["doc_id", "base", "tokens"])
 
     schema = "doc_id long, base array<struct<kind:string,start:int,end:int>>, tokens array<struct<start:int,end:int,encoding:string,stratum:int,bits:int,p:double>>"

@@ -112,6 +112,17 @@ def test_random_tokens_are_found_and_redacted(spark):
         assert clean[i] == want + t[at:]
 
 
+def test_long_split_and_letters_only_tokens_are_found(spark):
+    rng = np.random.default_rng(12)
+    draw = lambda name, n: "".join(secret_scan.ALPHABETS[name][i] for i in rng.integers(0, len(secret_scan.ALPHABETS[name]), n))
+    letters = "".join(c for c in draw("base62", 80) if c.isalpha())[:40]
+    url = draw("base64url", 19) + "_" + draw("base64url", 30)
+    texts = [draw("base64", 1600), f"com/reset/{url}", letters]
+    rows = H.corpus(60) + [(1000 + i, f"die Rede war von {t} und mehr", "en", "s", 0) for i, t in enumerate(texts)]
+    clean = {r.doc_id: r.text for r in secret_scan.redact(H.frame(spark, rows)).collect()}
+    assert [clean[1000 + i] for i in range(3)] == [f"die Rede war von {t} und mehr" for t in ("[secret]", "com/reset/[secret]", "[secret]")]
+
+
 def test_secrets_of_odd_rows(spark):
     assert secret_scan.secret_spans(H.odd_frame(spark)).count() == len(H.ODD)
     assert secret_scan.redact(H.odd_frame(spark)).count() == len(H.ODD)
