@@ -820,8 +820,9 @@ def _(spark, d):
 
 @query("c42_series_clusters", "store:b cluster:b")
 def _(spark, d):
-    wide = M.to_wide(X.sales_cells(spark, d), "store", "item", "value", [1, 2, 3, 4])
-    return K.cluster_series(wide, ["1", "2", "3", "4"], 3)
+    cells = X.sales_cells(spark, d)
+    items = sorted(r.item for r in cells.select("item").distinct().collect())
+    return K.cluster_series(M.to_wide(cells, "store", "item", "value", items), [str(i) for i in items], 3)
 
 
 @query("c43_cross_validation", "n_row:b n_col:b mse:f")

@@ -304,3 +304,20 @@ def test_cluster_series(spark):
     df = spark.createDataFrame([("a", 0.0, 0.1), ("b", 0.1, 0.0), ("c", 9.0, 9.1), ("d", 9.1, 9.0)], "k string, x double, y double")
     got = {r.k: r.cluster for r in K.cluster_series(df, ["x", "y"], 2).collect()}
     assert got["a"] == got["b"] != got["c"] == got["d"]
+
+
+def test_cluster_series_keeps_rows_with_missing_cells(spark):
+    df = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.1, None), (2, 9.0, 9.0), (3, None, 9.1), (4, float("nan"), 8.9)], "k long, x double, y double")
+    got = {r.k: r.cluster for r in K.cluster_series(df, ["x", "y"], 2).collect()}
+    assert len(got) == 5 and got[2] == got[3] == got[4] != got[0]
+
+
+def test_series_clusters_use_every_item(spark, sf_dir, monkeypatch):
+    from tessera.plans import fixtures, registry
+
+    seen = []
+    fit = K.cluster_series
+    monkeypatch.setattr(K, "cluster_series", lambda wide, features, *a: seen.append(features) or fit(wide, features, *a))
+    n = registry.queries()["c42_series_clusters"](spark, sf_dir).count()
+    cells = fixtures.sales_cells(spark, sf_dir)
+    assert n == cells.select("store").distinct().count() and len(seen[0]) == cells.select("item").distinct().count()
