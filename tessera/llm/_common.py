@@ -15,13 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+_run = f"tessera-{uuid.uuid4().hex}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset the warehouse, in local mode a temporary
+    folder that goes with the process."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tessera-"))
         atexit.register(__import__("shutil").rmtree, _own_dir[0], True)
@@ -29,13 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    All tables of one process lie in one folder, see `release`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{_run}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table of `written` that nothing reads any more."""
+    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    for folder in folders:
+        _delete(table.sparkSession, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every table this process has written: results are read from them, so call it when those are stored."""
+    _delete(spark, f"{shared_dir(spark)}/{_run}")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -72,22 +96,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_BYTE = np.frombuffer(hashlib.shake_128(b"tessera byte names").digest(2048), np.uint64).copy()
-_STEP = np.uint64(0x9E3779B97F4A7C15 & ~7 | 5)
-_STEP_INV = np.uint64(pow(int(_STEP), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        for name, base in (("up", _STEP), ("down", _STEP_INV)):
-            p = np.full(max(n, 1 << 18), base, np.uint64)
-            p[0] = 1
-            _powers[name] = np.cumprod(p, dtype=np.uint64)
-    up, down = _powers["up"][:n], _powers["down"]
-    if n > 1 << 23:  # a huge single text: don't keep its tables
-        _powers.clear()
-    return up, down
+_NAME = 0xD6E8FEB86659FD93
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -99,11 +109,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_LONG = 16
+
+
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a text column: byte spans, owning row and a 64-bit hash of the bytes.
+    """Words `[^\\x20\\x09-\\x0D]+` of a text column: byte spans, owning row and names.
 
-    `space` tells the separating bytes. hash(word) = mix(sum of name(byte_j) * step**j) mod 2**64, got for all words at once from prefix sums; equal
-    words have equal hashes whatever the batch. fold lower-cases A-Z first."""
+    `space` tells the separating bytes; fold lower-cases A-Z first. A word's name is 128 bits in two lanes, `hash` and
+    `check`: words of up to 16 bytes are two integers and a length, mixed without loss in each lane; longer ones are hashed
+    by BLAKE2b. Equal words have equal names whatever the batch, and no regularity of the words makes names collide.
+    Beside the text this keeps some bytes a byte and a few numbers a word."""
 
     def __init__(self, col: pa.Array, fold: bool = False, space: np.ndarray = SPACE):
         data, off = text_bytes(col)
@@ -123,86 +138,118 @@ class Words:
         self.row = np.searchsorted(off, self.starts, "right") - 1
         self.counts = np.bincount(self.row, minlength=self.rows)[: self.rows]
         self.first = np.concatenate([[0], np.cumsum(self.counts)])  # words of row r: first[r]..first[r+1]
-        up, down = _power(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[_FOLD[data] if fold else data] * up, out=total[1:])
-        self._total, self._down = total, down
-        self.hash = self._spans(self.ends)
-
-    def _spans(self, ends: np.ndarray) -> np.ndarray:
-        return mix((self._total[ends] - self._total[self.starts]) * self._down[self.starts])
+        self._padded = np.concatenate([_FOLD[data] if fold else data, np.zeros(2 * _LONG, np.uint8)])
+        self.hash, self.check = self._named(self.ends - self.starts)
+
+    def _named(self, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both lanes of the first `length` bytes of each word."""
+        eight = np.lib.stride_tricks.sliding_window_view(self._padded, 8)
+        halves = []
+        for at in (0, 8):
+            got = eight[self.starts + at].view("<u8")[:, 0]
+            halves.append(got & _LOW_BYTES[np.clip(length - at, 0, 8)])
+        size = length.astype(np.uint64)
+        lanes = [mix(halves[0] ^ mix(halves[1] ^ mix(size + np.uint64(seed)))) for seed in (_NAME, _NAME << 1 & 2**64 - 1)]
+        long = np.flatnonzero(length > _LONG)
+        if len(long):
+            stops = (self.starts[long] + length[long]).tolist()
+            whole = [hashlib.blake2b(self._padded[a:b], digest_size=16).digest() for a, b in zip(self.starts[long].tolist(), stops, strict=True)]
+            digest = np.frombuffer(b"".join(whole), "<u8").reshape(-1, 2)
+            for k in (0, 1):
+                lanes[k][long] = digest[:, k]
+        return lanes[0], lanes[1]
 
     def prefixes(self, k: int) -> np.ndarray:
-        """Hashes of the words' first k bytes (of all, where shorter)."""
-        return self._spans(np.minimum(self.starts + k, self.ends))
+        """Names of the words' first k bytes (of all, where shorter)."""
+        return self._named(np.minimum(self.ends - self.starts, k))[0]
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """Order-sensitive hashes of k consecutive values; entry i covers i..i+k-1 (crosses rows: the caller masks)."""
+    """Order-sensitive names of k consecutive values; entry i covers i..i+k-1 (crosses rows: the caller masks).
+
+    Stretches are doubled, each step mixed, and the stretches of k's binary digits joined."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = h[:n].copy()
-    for j in range(1, k):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + h[j : j + n]
-    return mix(out)
+    out, done, width, power = None, 0, 1, h
+    while True:
+        if k & width:
+            part = power[done : done + n]
+            out = part if out is None else mix(out * np.uint64(_NAME) + part)
+            done += width
+        if 2 * width > k:
+            return mix(out + np.uint64(k))
+        power = mix(power[:-width] * np.uint64(_NAME + 2 * width) + power[width:])
+        width *= 2
 
 
 # ---------------------------------------------------------------- census rounds
-# A shard is a set of rows that is dealt to one group; each shard sends its sorted distinct 64-bit names to the buckets
-# of the name space, a bucket merges what all shards sent and answers each shard with the names that two or more
-# documents hold. A shard sends a name once however many documents hold it, so a hot name costs one entry a shard.
+# A shard is a set of rows that is dealt to one group; each shard sends its sorted distinct names to the buckets of the name
+# space, a bucket merges what all shards sent and answers each shard with the names that two or more documents hold. A shard
+# sends a name once however many documents hold it, so a hot name costs one entry a shard. Shards and buckets are sized by
+# bytes (`shards_for`), so a group's memory does not depend on the number of shuffle partitions.
+
+ASK = "bucket int, shard int, names binary, checks binary, docs binary, least binary"
+ANSWER = "shard int, names binary, checks binary, docs binary, least binary"
+SHARD_BYTES = 1 << 26
+
+
+def shards_for(spark: SparkSession, n_bytes: int | None) -> int:
+    """How many shards of about SHARD_BYTES, one a shuffle partition at least."""
+    return min(2**31 - 1, max(partitions(spark), -(-(n_bytes or 0) // SHARD_BYTES)))
+
 
-ASK = "bucket int, shard int, names binary, docs binary, least binary"
-ANSWER = "shard int, names binary, docs binary, least binary"
+def _cells(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
 
 
-def ask_rows(shard: int, names: np.ndarray, docs: np.ndarray, least: np.ndarray | None, buckets: int) -> pa.Table:
-    """One row a bucket from a shard's sorted distinct names, how many documents hold each, and the smallest doc_id."""
-    to = (names % np.uint64(buckets)).astype(np.int32)
+def ask_rows(shard: int, buckets: int, names: np.ndarray, docs: np.ndarray, checks: np.ndarray | None = None, least: np.ndarray | None = None) -> pa.Table:
+    """One row a bucket from a shard's distinct names (with second lanes), how many documents hold each (bytes or 32-bit
+    integers) and the smallest doc_id."""
+    to = (names % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
-    names, docs, to = names[order], docs[order], to[order]
-    least = None if least is None else least[order]
-    cuts = np.searchsorted(to, np.arange(buckets + 1))
-    keep = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    cell = lambda a, b: None if a is None else a[cuts[b] : cuts[b + 1]].tobytes()
-    return pa.table(
-        [
-            pa.array(keep, pa.int32()),
-            pa.array([shard] * len(keep), pa.int32()),
-            pa.array([cell(names, b) for b in keep], pa.binary()),
-            pa.array([cell(docs.astype(np.uint32), b) for b in keep], pa.binary()),
-            pa.array([cell(least, b) for b in keep], pa.binary()),
-        ],
-        names=["bucket", "shard", "names", "docs", "least"],
-    )
+    ends = np.flatnonzero(np.diff(to[order], append=-1)) + 1 if len(to) else np.empty(0, np.int64)
+    cuts = list(zip(np.concatenate([[0], ends[:-1]]).astype(int).tolist(), ends.tolist(), strict=True)) if len(ends) else []
+    columns = [None if c is None else c[order] for c in (names, checks, docs, least)]
+    cells = [pa.array([None if c is None else c[i:j].tobytes() for i, j in cuts], pa.binary()) for c in columns]
+    keep = to[order][[i for i, _ in cuts]] if cuts else []
+    return pa.table([pa.array(keep, pa.int32()), pa.array([shard] * len(cuts), pa.int32()), *cells], names=["bucket", "shard", "names", "checks", "docs", "least"])
 
 
 def _bucket(table: pa.Table) -> pa.Table:
-    names = [np.frombuffer(x.as_py(), np.uint64) for x in table["names"]]
-    docs = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["docs"]]).astype(np.int64)
-    has_least = table["least"].null_count == 0
-    sizes = [len(x) for x in names]
-    every = np.concatenate(names)
-    distinct, at = np.unique(every, return_inverse=True)
-    total = np.bincount(at, weights=docs, minlength=len(distinct)).astype(np.int64)
-    shared = total[at] >= 2
-    if has_least:
-        mine = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["least"]])
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, at, mine)
-    out: dict[str, list] = {"shard": [], "names": [], "docs": [], "least": []}
+    """Answers of one bucket. Where smallest doc_ids were sent, a shard only hears of names that a document smaller than one
+    of its own holds."""
+    sizes = [len(x.as_py()) // 8 for x in table["names"]]
+    names = _cells(table, "names", np.uint64)
+    width = len(table["docs"][0].as_py()) // max(1, sizes[0])
+    docs = _cells(table, "docs", np.uint8 if width == 1 else np.uint32).astype(np.int64)
+    checks = _cells(table, "checks", np.uint64) if table["checks"].null_count == 0 else None
+    least = _cells(table, "least", np.int64) if table["least"].null_count == 0 else None
+    order = np.argsort(names, kind="stable") if checks is None else np.lexsort((checks, names))
+    new = np.ones(len(names), bool)
+    new[1:] = names[order[1:]] != names[order[:-1]]
+    if checks is not None:
+        new[1:] |= checks[order[1:]] != checks[order[:-1]]
+    first = np.flatnonzero(new)
+    group = np.empty(len(names), np.int64)
+    group[order] = np.cumsum(new) - 1
+    total = np.add.reduceat(docs[order], first)[group]
+    told = total >= 2
+    if least is not None:
+        smallest = np.minimum.reduceat(least[order], first)[group]
+        told &= (least > smallest) | (docs >= 2)
+    out: dict[str, list] = {"shard": [], "names": [], "checks": [], "docs": [], "least": []}
     stop = 0
     for shard, size in zip(table["shard"].to_pylist(), sizes, strict=True):
         start, stop = stop, stop + size
-        mask = shared[start:stop]
-        if mask.any():
-            pick = at[start:stop][mask]
+        pick = start + np.flatnonzero(told[start:stop])
+        if len(pick):
             out["shard"].append(shard)
-            out["names"].append(every[start:stop][mask].tobytes())
-            out["docs"].append(np.minimum(total[pick], 2**32 - 1).astype(np.uint32).tobytes())
-            out["least"].append(least[pick].tobytes() if has_least else None)
-    return pa.table([pa.array(out["shard"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("names", "docs", "least"))], names=list(out))
+            out["names"].append(names[pick].tobytes())
+            out["checks"].append(None if checks is None else checks[pick].tobytes())
+            out["docs"].append(np.minimum(total[pick], 2**32 - 1).astype(np.uint32).tobytes() if width == 4 else None)
+            out["least"].append(None if least is None else smallest[pick].tobytes())
+    return pa.table([pa.array(out["shard"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("names", "checks", "docs", "least"))], names=list(out))
 
 
 def census(asked: DataFrame) -> DataFrame:
@@ -210,17 +257,31 @@ def census(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(_bucket, ANSWER)
 
 
-def answered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """A shard's answers as sorted names with document counts and smallest doc_ids."""
-    if not table.num_rows:
-        return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64)
-    names = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["names"]])
-    docs = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["docs"]])
-    order = np.argsort(names)
-    least = None
-    if table["least"].null_count == 0:
-        least = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["least"]])[order]
-    return names[order], docs[order], least
+class Answers:
+    """A shard's answers, sorted by name."""
+
+    def __init__(self, table: pa.Table):
+        some = table.num_rows > 0
+        has = lambda c: some and table[c].null_count == 0
+        self.names = _cells(table, "names", np.uint64) if some else np.empty(0, np.uint64)
+        checks = _cells(table, "checks", np.uint64) if has("checks") else None
+        order = np.argsort(self.names, kind="stable") if checks is None else np.lexsort((checks, self.names))
+        self.names = self.names[order]
+        self.checks = None if checks is None else checks[order]
+        self.docs = _cells(table, "docs", np.uint32)[order] if has("docs") else None
+        self.least = _cells(table, "least", np.int64)[order] if has("least") else None
+
+    def find(self, names: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
+        """Positions among the answers, -1 where absent."""
+        at = lookup(self.names, names)
+        if checks is None or not len(self.names):
+            return at
+        while True:  # on to the next of equal first lanes, as long as the second lane differs
+            off = (at >= 0) & (self.checks[at] != checks)
+            if not off.any():
+                return at
+            on = np.minimum(at + 1, len(self.names) - 1)
+            at = np.where(off, np.where((at + 1 < len(self.names)) & (self.names[on] == names), on, -1), at)
 
 
 def lookup(sorted_names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -234,25 +295,30 @@ def lookup(sorted_names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- connected components
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a long, b long): rows (node, root), root the smallest node of the component.
 
-    Each round points every node at the smallest neighbour of its smallest neighbour, contracts the edges and repeats; only
+    Each round points every node at the smallest neighbour of its smallest neighbour, contracts the edges and repeats until
+    no edge is left (every round merges each node that still has one, so there are at most log2 of their number). Only
     minima are aggregated, so a node of very high degree is combined before the shuffle and never gathered."""
     spark = edges.sparkSession
     pairs = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    roots = None
-    for _ in range(rounds):
+    roots, steps = None, []
+    while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("b"))
         far = near.select(F.col("a").alias("b"), F.col("b").alias("to"))
         to = written(near.join(far, "b").select(F.col("a").alias("node"), "to"), "pointers")
+        steps.append(to)
         if to.isEmpty():
-            return spark.createDataFrame([], "node long, root long") if roots is None else written(roots, "roots")
+            settled = spark.createDataFrame([], "node long, root long") if roots is None else written(roots, "roots")
+            for old in (pairs, *steps):
+                discard(old)
+            return settled
         step = to.select(F.col("node").alias("root"), "to")
         roots = to.select("node", F.col("to").alias("root")) if roots is None else roots.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         left = to.select(F.col("node").alias("a"), F.col("to").alias("na"))
         right = to.select(F.col("node").alias("b"), F.col("to").alias("nb"))
-        pairs = pairs.join(left, "a").join(right, "b").where("na <> nb").select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct()
-        pairs = written(pairs, "edges")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        contracted = written(pairs.join(left, "a").join(right, "b").where("na <> nb").select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct(), "edges")
+        discard(pairs)
+        pairs = contracted

@@ -1,24 +1,27 @@
 """N-gram Jaccard join: exact near-duplicate classes by a grouped prefix join.
 
-Sets are distinct k-word shingles (64-bit hashes) of lower-cased words. Two sets with Jaccard similarity >= t share a
+Sets are distinct k-word shingles (64-bit names) of lower-cased words. Two sets with Jaccard similarity >= t share a
 token among the first n - ceil(t*n) + 1 of each in any common total order. The order here is (hash tier, document
 frequency, hash): the tier comes from the hash alone and tier 0 holds about 2.5 times as many tokens as a prefix
 needs, so only a fraction of the tokens is ever counted, yet prefixes consist of each document's rarest tokens there.
 
 1. One Arrow pass turns texts into sets; documents with equal sets are one unit from then on (one row per partition
-   and unit carries its low tokens, so a hot copy is combined before any shuffle).
+   and unit carries its low tokens, so a hot copy is combined before any shuffle). A unit is named by 128 bits of a
+   cryptographic hash; should two units share the first 64, both are named anew (`settle_names`).
 2. A census round counts the low tokens over all units; tokens of a single unit can make no candidate and are dropped.
-3. Units with identical (size, prefix) collapse into one group. Groups meet through (prefix token, size band): every
-   group points at the smallest group there, a combinable minimum, so no pairs of a bucket are formed. The connected
-   candidate families are small because prefixes are rare tokens.
-4. Groups are expanded to their units, whose whole sets are read again and verified exactly. A family is cut into
-   blocks of bounded total size, compared by an inverted index; a task returns a spanning forest of its links only. No
-   cap, no sampling: a pair of a family goes unchecked only where verified links already connect it.
+3. Units with identical (size, prefix) collapse into one group. Groups meet through (prefix token, size band). Group pairs
+   there must pass the size filter and the positional filter (tokens left after the shared one must suffice for the
+   overlap); of the pairs that pass only a spanning forest is kept, so no pairs of a bucket are written. A bucket of
+   more than `bucket` groups is not gathered: its groups point at its smallest one, unfiltered, by a combinable minimum.
+4. Connected groups are expanded to their units, whose whole sets are read again and verified exactly. A family is cut
+   into blocks of bounded total size, compared by an inverted index; a task returns a spanning forest of its links only.
+   No cap, no sampling: a pair of a family goes unchecked only where verified links already connect it.
 5. Components of the verified links give the class ids.
 
 Defined cases: null and empty texts have the empty set and link with nothing; fewer than k words give one shingle of
-all of them; rows with a null doc_id get counted shingles and a null component_id; repeated rows are each returned;
-a table without rows gives no rows; only doc_id and text are read.
+all of them; rows with a null doc_id get counted shingles and a null component_id; rows of one doc_id and different
+texts are judged apart; repeated rows are each returned; a table without rows gives no rows; only doc_id and text are
+read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -33,27 +36,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import ANSWER, ASK, Words, answered, ask_rows, census, components, grams, lookup, partitions, text_slices, written
+from tessera.llm._common import ASK, Answers, Words, ask_rows, census, components, grams, partitions, shards_for, text_slices, written
 
-_SETS = "doc_id long, unit long, n_shingles long, low binary"
+_SETS = "doc_id long, copy long, unit long, mark long, n_shingles long, low binary"
 
 
 def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
+    """The sorted distinct shingle names of each row."""
     h = grams(words.hash, k)
     for r in range(words.rows):
         a, n = int(words.first[r]), int(words.counts[r])
         if n >= k:
             yield np.unique(h[a : a + n - k + 1])
         elif n:
-            yield grams(words.hash[a : a + n], n) ^ np.uint64(n)
+            yield grams(words.hash[a : a + n], n)
         else:
             yield h[:0]
 
 
-def set_name(s: np.ndarray) -> int:
-    """64-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def name_of(*parts: bytes) -> tuple[int, int]:
+    """Two 64-bit lanes of a name."""
+    digest = hashlib.blake2b(b"".join(parts), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def prefix_length(n: int, t: Fraction) -> int:
@@ -78,84 +82,186 @@ class TokenOrder:
         return tokens[: np.searchsorted(self.tier(tokens), last, "right")]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, copy (tells texts of one doc_id apart) and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").alias("text"))
+
+
 def _sets(docs: DataFrame, k: int, order: TokenOrder) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for whole in batches:
             for batch in text_slices(whole):
-                units, sizes, lows = [], [], []
-                for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(Words(batch.column(1), fold=True), k), strict=True):
-                    unit = set_name(s)
-                    first = len(s) > 0 and doc is not None and unit not in seen
+                units, marks, sizes, lows = [], [], [], []
+                for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(Words(batch.column(2), fold=True), k), strict=True):
+                    unit, mark = name_of(s.tobytes())
+                    first = len(s) > 0 and doc is not None and (unit, mark) not in seen
                     if first:
-                        seen.add(unit)
+                        seen.add((unit, mark))
                     units.append(unit)
+                    marks.append(mark)
                     sizes.append(len(s))
                     lows.append(order.low(s).tobytes() if first else None)
-                yield pa.record_batch([batch.column(0), pa.array(units, pa.int64()), pa.array(sizes, pa.int64()), pa.array(lows, pa.binary())], names=["doc_id", "unit", "n_shingles", "low"])
+                columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (units, marks, sizes)), pa.array(lows, pa.binary())]
+                yield pa.record_batch(columns, names=["doc_id", "copy", "unit", "mark", "n_shingles", "low"])
+
+    return _keyed(docs).mapInArrow(run, _SETS)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
 
+def settle_names(sets: DataFrame) -> DataFrame:
+    """Rows with (unit, mark): where units of different marks share their name, each gets a name of both."""
+    shared = sets.groupBy("unit").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a <> b").select("unit", F.lit(True).alias("twice"))
+    shared = written(shared, "shared-names")
+    if shared.isEmpty():
+        return sets
+    unit = F.when(F.col("twice"), F.xxhash64("unit", "mark")).otherwise(F.col("unit"))
+    return sets.join(shared, "unit", "left").withColumn("unit", unit).select(*sets.columns)
 
-def _distinct_units(table: pa.Table) -> list[tuple[int, int, int, np.ndarray]]:
-    """(unit, doc_id, size, low tokens) of a shard, each unit once."""
-    found: dict[int, tuple[int, int, int, np.ndarray]] = {}
-    for unit, doc, n, low in zip(table["unit"].to_pylist(), table["doc_id"].to_pylist(), table["n_shingles"].to_pylist(), table["low"], strict=True):
-        if unit not in found or doc < found[unit][1]:
-            found[unit] = (unit, doc, n, np.frombuffer(low.as_py(), np.uint64))
+
+def _distinct_units(table: pa.Table) -> list[tuple[int, int, int, int, np.ndarray]]:
+    """(unit, mark, doc_id, size, low tokens) of a shard, each unit once."""
+    found: dict[int, tuple[int, int, int, int, np.ndarray]] = {}
+    for unit, mark, doc, n, low in zip(*(table[c].to_pylist() for c in ("unit", "mark", "doc_id", "n_shingles")), table["low"], strict=True):
+        if unit not in found or doc < found[unit][2]:
+            found[unit] = (unit, mark, doc, n, np.frombuffer(low.as_py(), np.uint64))
     return list(found.values())
 
 
+_PREFIXES = "unit long, mark long, doc_id long, n long, prefix array<long>, places array<long>, grp long, grp_mark long"
+
+
 def _prefixes(lows: DataFrame, order: TokenOrder, buckets: int) -> DataFrame:
-    """Units with a prefix token that some other unit holds: (unit, doc_id, n, prefix array, prefix_name)."""
+    """Units with a prefix token that some other unit holds: the shared tokens with their places in the order, and the
+    names of the group of equal size and prefix."""
 
     def ask(table: pa.Table) -> pa.Table:
         units = _distinct_units(table)
-        every = np.concatenate([u[3] for u in units])
-        names, docs = np.unique(every, return_counts=True)
-        return ask_rows(table["shard"][0].as_py(), names, docs, None, buckets)
+        names, docs = np.unique(np.concatenate([u[4] for u in units]), return_counts=True)
+        return ask_rows(table["shard"][0].as_py(), buckets, names, docs.astype(np.uint32))
 
     def choose(table: pa.Table, replies: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"unit": [], "doc_id": [], "n": [], "prefix": [], "prefix_name": []}
-        names, docs, _ = answered(replies)
-        for unit, doc, n, low in _distinct_units(table) if table.num_rows else []:
-            at = lookup(names, low)
-            count = np.where(at >= 0, docs[at], 1) if len(names) else np.ones(len(low))
+        out: dict[str, list] = {c: [] for c in ("unit", "mark", "doc_id", "n", "prefix", "places", "grp", "grp_mark")}
+        answers = Answers(replies)
+        for unit, mark, doc, n, low in _distinct_units(table) if table.num_rows else []:
+            at = answers.find(low)
+            count = np.where(at >= 0, answers.docs[at], 1) if len(answers.names) else np.ones(len(low))
             chosen = np.lexsort((low, count, order.tier(low)))[: prefix_length(n, order.t)]
-            shared = np.sort(low[chosen[count[chosen] > 1]])
-            if len(shared):
-                whole = np.sort(low[chosen])
-                for key, x in zip(out, (unit, doc, n, shared.astype(np.int64), set_name(whole)), strict=True):
+            places = np.flatnonzero(count[chosen] > 1)
+            if len(places):
+                grp = name_of(n.to_bytes(8, "little"), low[chosen].tobytes())
+                for key, x in zip(out, (unit, mark, doc, n, low[chosen[places]].astype(np.int64), places, *grp), strict=True):
                     out[key].append(x)
-        return pa.table([pa.array(out["unit"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["prefix"], pa.list_(pa.int64())), pa.array(out["prefix_name"], pa.int64())], names=list(out))
+        kinds = [pa.list_(pa.int64()) if c in ("prefix", "places") else pa.int64() for c in out]
+        return pa.table([pa.array(c, kind) for c, kind in zip(out.values(), kinds, strict=True)], names=list(out))
 
     replies = census(lows.groupBy("shard").applyInArrow(ask, ASK))
-    return lows.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(choose, "unit long, doc_id long, n long, prefix array<long>, prefix_name long")
+    return lows.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(choose, _PREFIXES)
+
+
+def passing_pairs(token: np.ndarray, band: np.ndarray, grp: np.ndarray, n: np.ndarray, place: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, per (token, band), of the group pairs that pass the size and the positional filter.
+
+    Rows are sorted by token, band, n. For the first token a similar pair shares, the overlap is at most one plus the
+    tokens either has after it; so every similar pair passes at one of its tokens."""
+    rows = len(token)
+    last = np.ones(rows, bool)
+    last[:-1] = (token[1:] != token[:-1]) | (band[1:] != band[:-1])
+    ends = np.flatnonzero(last) + 1
+    end = ends[np.searchsorted(ends, np.arange(rows), "right")] if rows else ends
+    parent = np.arange(rows)
 
+    def roots(i: np.ndarray) -> np.ndarray:
+        r = parent[i]
+        while (parent[r] != r).any():
+            r = parent[r]
+        parent[i] = r
+        return r
 
-def _families(prefixes: DataFrame, t: Fraction) -> DataFrame:
-    """Units with the candidate family they are in: (unit, doc_id, n, family), families of two or more units."""
-    group = F.xxhash64("n", "prefix_name")
-    units = prefixes.select("unit", "doc_id", "n", group.alias("grp"))
-    groups = prefixes.groupBy(group.alias("grp")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    after = n - place - 1
+    a, b = [], []
+    i, d = np.arange(rows), 1
+    while len(i := i[i + d < end[i]]):
+        i = i[n[i] * t.denominator >= n[i + d] * t.numerator]
+        j = i + d
+        passes = (1 + np.minimum(after[i], after[j])) * (t.numerator + t.denominator) >= t.numerator * (n[i] + n[j])
+        x, y = i[passes], j[passes]
+        apart = roots(x) != roots(y)
+        for p, q in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+            u, v = find(p), find(q)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                a.append(p)
+                b.append(q)
+        d += 1
+    return grp[a], grp[b]
+
+
+def _group_edges(tokens: DataFrame, t: Fraction, bucket: int) -> DataFrame:
+    """Edges (a, b) between groups from rows (token, band, grp, n, place)."""
+    sizes = tokens.groupBy("token", "band").agg(F.count("*").alias("groups"), F.min("grp").alias("head"))
+    hot = written(sizes.where(F.col("groups") > bucket).select("token", "band", "head"), "hot-tokens")
+    placed = tokens.join(hot, ["token", "band"], "left")
+    stars = placed.where("grp <> head").select(F.col("grp").alias("a"), F.col("head").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        names = ("token", "band", "grp", "n", "place")
+
+        def edges(columns: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = passing_pairs(*columns, t)
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in names]
+            if held is not None:
+                columns = [np.concatenate([x, y]) for x, y in zip(held, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            token, band = columns[0], columns[1]
+            cut = int(np.argmax((token == token[-1]) & (band == band[-1])))  # the last bucket may go on in the next batch
+            held = [c[cut:] for c in columns]
+            if cut:
+                yield edges([c[:cut] for c in columns])
+        if held is not None:
+            yield edges(held)
+
+    cold = placed.where("head is null").select("token", "band", "grp", "n", "place")
+    pairs = cold.repartition(partitions(tokens.sparkSession), "token", "band").sortWithinPartitions("token", "band", "n", "grp").mapInArrow(run, "a long, b long")
+    return stars.unionByName(pairs)
+
+
+def _families(prefixes: DataFrame, t: Fraction, bucket: int) -> DataFrame:
+    """Units with the candidate family they are in: (unit, mark, doc_id, n, family), families of two or more units."""
+    groups = prefixes.groupBy("grp", "grp_mark").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("places").alias("places"), F.count("*").alias("members"))
+    groups = written(groups, "groups")
     band = F.floor(F.log("n") / (math.log(1 / t) * (1 + 1e-9)))  # sizes within the ratio t are at most one band apart
-    tokens = groups.select("grp", band.alias("band"), F.explode("prefix").alias("token"))
-    tokens = tokens.select("grp", "token", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    least = tokens.groupBy("token", "band").agg(F.min("grp").alias("head"), F.max("grp").alias("other")).where("head < other").drop("other")
-    edges = tokens.join(least, ["token", "band"]).where("grp <> head").select(F.col("grp").alias("a"), F.col("head").alias("b"))
-    roots = components(edges)
-    placed = units.join(roots.withColumnRenamed("node", "grp"), "grp", "left").select("unit", "doc_id", "n", F.coalesce("root", "grp").alias("family"))
-    return placed
+    tokens = groups.select("grp", "n", band.alias("low_band"), F.explode(F.arrays_zip("prefix", "places")).alias("at"))
+    tokens = tokens.select(F.col("at.prefix").alias("token"), F.explode(F.array("low_band", F.col("low_band") + 1)).alias("band"), "grp", "n", F.col("at.places").alias("place"))
+    roots = components(_group_edges(tokens, t, bucket)).withColumnRenamed("node", "grp")
+    several = groups.groupBy("grp").agg(F.sum("members").alias("members")).join(roots, "grp", "left").where("members > 1 or root is not null")
+    several = written(several.select("grp", F.coalesce("root", "grp").alias("family")), "families")
+    return prefixes.join(several, "grp").select("unit", "mark", "doc_id", "n", "family")
+
 
+def _candidate_sets(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:
+    """(unit, family, n, tokens): each candidate unit's whole set, read again from the document that stands for it."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole):
+                found = list(shingle_sets(Words(batch.column("text"), fold=True), k))
+                same = pa.array([name_of(s.tobytes())[1] == mark for s, mark in zip(found, batch.column("mark").to_pylist(), strict=True)], pa.bool_())
+                rows = [*(batch.column(c) for c in ("unit", "family", "n")), pa.array([s.tobytes() for s in found], pa.binary())]
+                yield pa.record_batch(rows, names=["unit", "family", "n", "tokens"]).filter(same)  # a doc_id may have other texts
 
-def _candidate_bits(families: DataFrame, bits: int = 1 << 22) -> np.ndarray:
-    """A bit table (512 KB whatever the input) that holds every candidate's doc_id; lets the second read drop the rest."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    rows = families.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("m"))
-    table = np.zeros(bits // 32, np.uint32)
-    for w, m in rows.toLocalIterator():  # at most bits/32 rows
-        table[w] = m
-    return table
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null")
+    return read.join(families, "doc_id").select("unit", "mark", "family", "n", "text").mapInArrow(sets, "unit long, family long, n long, tokens binary")
 
 
 def _task_links(table: pa.Table, t: Fraction) -> pa.Table:
@@ -203,25 +309,6 @@ def _task_links(table: pa.Table, t: Fraction) -> pa.Table:
     return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
 
-def _candidate_sets(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:
-    """(unit, family, n, tokens) of families with two or more units, each unit's whole set read again."""
-    bits = _candidate_bits(families)
-    n_bits = len(bits) * 32
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            slot = whole.column(2).to_numpy()
-            hit = (bits[slot // 32] >> (slot % 32).astype(np.uint32)) & np.uint32(1)
-            for batch in text_slices(whole.filter(pa.array(hit.astype(bool)))):
-                found = list(shingle_sets(Words(batch.column(1), fold=True), k))
-                yield pa.record_batch([batch.column(0), pa.array([set_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "unit", "tokens"])
-
-    read = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(n_bits)))
-    tokens = read.mapInArrow(sets, "doc_id long, unit long, tokens binary")
-    several = families.groupBy("family").count().where("count > 1").select("family")
-    return tokens.join(families.join(several, "family"), ["doc_id", "unit"]).select("unit", "family", "n", "tokens")
-
-
 def _blocks_of(members: DataFrame, block_tokens: int, name: str) -> DataFrame:
     """(family, name): how many blocks of about block_tokens a family's members make."""
     return members.groupBy("family").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias(name))
@@ -233,56 +320,66 @@ def _verified_links(sets: DataFrame, t: Fraction, block_tokens: int) -> DataFram
     First every block of a family is compared with itself and with the family's block 0. In families of several blocks,
     all units that are then outside the family's largest component are compared with all units of the family; units
     that the largest component already holds need no comparison with each other, so a family of very many near copies
-    moves its sets once for each block of stragglers, not once for each other block."""
+    moves its sets once for each block of stragglers, not once for each other block. Only families of several blocks
+    have a row in the tables of block counts; these are written first, so that a large family meets them in a join of
+    its own stage, broadcast or split by size."""
     links = lambda tasks: tasks.applyInArrow(lambda table: _task_links(table, t), "a long, b long")
+    several = written(_blocks_of(sets, block_tokens, "blocks").where("blocks > 1"), "blocks")
     block = F.pmod(F.xxhash64("unit", F.lit(7)), F.col("blocks")).cast("int")
-    placed = sets.join(_blocks_of(sets, block_tokens, "blocks"), "family").withColumn("block", block)
+    placed = sets.join(several, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", block)
     to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = placed.select("family", "block", "unit", "tokens", F.explode(to).alias("task")).withColumn("probe", F.col("block") == F.col("task"))
     found = written(links(first.groupBy("family", "task")), "links")
-    large = placed.where("blocks > 1")
-    if large.isEmpty():
+    if several.isEmpty():
         return found
+    large = placed.where("blocks > 1")
     roots = components(found).withColumnRenamed("node", "unit")
-    now = large.drop("tokens").join(roots, "unit", "left").withColumn("root", F.coalesce("root", "unit"))
-    main = now.groupBy("family", "root").count().groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    now = written(large.drop("tokens").join(roots, "unit", "left").withColumn("root", F.coalesce("root", "unit")), "rooted")
+    main = written(now.groupBy("family", "root").count().groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("main")), "main")
     strays = written(now.join(main, "family").where("root <> main").select("family", "unit", "n"), "strays")
-    stray_blocks = _blocks_of(strays, block_tokens, "stray_blocks")
-    every = large.join(stray_blocks, "family")
+    every = large.join(written(_blocks_of(strays, block_tokens, "stray_blocks"), "stray-blocks"), "family")
     targets = every.select("family", "unit", "tokens", F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("s"), F.col("block").alias("b"), F.lit(False).alias("probe"))
     stray = F.pmod(F.xxhash64("unit", F.lit(11)), F.col("stray_blocks")).cast("int")
     probes = every.join(strays.select("unit"), "unit", "left_semi").select("family", "unit", "tokens", stray.alias("s"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(True).alias("probe"))
     return found.unionByName(written(links(targets.unionByName(probes).groupBy("family", "s", "b")), "stray-links"))
 
 
-def near_duplicate_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = "4/5", block_tokens: int = 1 << 16) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+def _classes(docs: DataFrame, k: int, threshold: str | Fraction, block_tokens: int, bucket: int) -> DataFrame:
+    """One row per document: doc_id, copy, unit, n_shingles, root (the class; null for empty sets and null doc_ids)."""
     t = Fraction(threshold)
     spark = docs.sparkSession
     order = TokenOrder(t)
-    sets = written(_sets(docs, k, order), "sets")
-    shards = partitions(spark)
-    lows = sets.where("low is not null").select(F.pmod("unit", F.lit(shards)).cast("int").alias("shard"), "unit", "doc_id", "n_shingles", "low")
-    prefixes = written(_prefixes(lows, order, partitions(spark)), "prefixes")
-    families = written(_families(prefixes, t), "families")
-    candidates = written(_candidate_sets(docs, families, k), "candidates")
-    links = _verified_links(candidates, t, block_tokens)
+    sets = settle_names(written(_sets(docs, k, order), "sets"))
+    first = sets.where("low is not null")
+    shards = shards_for(spark, first.agg(F.sum(F.length("low"))).first()[0])
+    lows = first.select(F.pmod("unit", F.lit(shards)).cast("int").alias("shard"), "unit", "mark", "doc_id", "n_shingles", "low")
+    prefixes = written(_prefixes(lows, order, shards), "prefixes")
+    families = written(_families(prefixes, t, bucket), "candidates")
+    links = _verified_links(written(_candidate_sets(docs, families, k), "candidate-sets"), t, block_tokens)
     roots = components(links).withColumnRenamed("node", "unit")
-    # units are merged through their root; a class is named by its smallest doc_id
-    known = sets.where("doc_id is not null and n_shingles > 0")
-    least = known.groupBy("unit").agg(F.min("doc_id").alias("least"))
-    least = least.join(roots, "unit", "left").select("unit", F.coalesce("root", "unit").alias("root"), "least")
-    linked = least.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("class_least"))
-    names = least.join(linked, "root", "left").select("unit", F.coalesce("class_least", "least").alias("name"))
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("name"))
-    return sets.join(names, "unit", "left").select("doc_id", "n_shingles", own.alias("component_id"))
-
-
-def keep_one_of_each(docs: DataFrame, k: int = 5, threshold: str | Fraction = "4/5") -> DataFrame:
-    """The documents without near copies: of each class the row with the smallest doc_id stays, once.
-
-    Rows with a null doc_id stay. Repeated rows of the same doc_id and text stay once; columns of docs are kept."""
-    classes = near_duplicate_classes(docs, k, threshold)
-    gone = classes.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    return sets.join(roots, "unit", "left").select("doc_id", "copy", "unit", "n_shingles", F.when(known, F.coalesce("root", "unit")).alias("root"))
+
+
+def near_duplicate_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = "4/5", block_tokens: int = 1 << 16, bucket: int = 256) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    rows = written(_classes(docs, k, threshold, block_tokens, bucket), "classes")
+    names = written(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "names")
+    return rows.join(names, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, threshold: str | Fraction = "4/5", block_tokens: int = 1 << 16, bucket: int = 256) -> DataFrame:
+    """The documents without near copies: of each class one row stays, that of the smallest doc_id (and there of the least
+    name of a text), with its columns.
+
+    Rows of one doc_id and different texts are different documents. Rows with a null doc_id and rows without a word stay,
+    but repeated rows of the same doc_id and text stay once (their other columns being those of any one of them)."""
+    rows = written(_classes(docs, k, threshold, block_tokens, bucket), "classes").where("root is not null")
+    least = written(rows.groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    heads = rows.join(least, "root").where("doc_id = least").groupBy("root").agg(F.min("doc_id").alias("least"), F.min("copy").alias("least_copy"))
+    gone = rows.join(written(heads, "heads"), "root").where("doc_id <> least or copy <> least_copy").select("doc_id", "copy").distinct()
+    inside = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    held = docs.select(inside, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"))
+    kept = held.join(written(gone, "gone"), ["doc_id", "copy"], "left_anti")
+    once = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "copy"]))
+    return once.select("doc.*")
