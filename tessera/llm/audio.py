@@ -3,13 +3,15 @@
 Storage is a RIFF/WAVE container with unsigned 8-bit mono samples, one sample a byte, hence lossless. Features come from
 the bytes read back: polyphase resampling by 2/5 (windowed-sinc, one phase per output residue), overlapped frames
 (Hann), log-mel filterbank energies, and segments of active sound by two-threshold hysteresis on frame energy. The
-log-mel frames of a clip are stored as tensors of the fixed shape (32 frames, 16 mels), zero-padded at the end, each
-with its time span; `to_tensors` gives them as Arrow's fixed-shape tensor type.
+log-mel frames of a clip are tensors of the fixed shape (32 frames, 16 mels), zero-padded at the end, each with its time
+span; a document's clips are stored as one Arrow IPC stream whose log_mel column is Arrow's fixed-shape tensor type
+(`tensor_table` writes and reads it), in a binary column that any executor writes and any reader opens.
 
-One Arrow pass, no shuffle; frames are computed in blocks, so memory follows the block and not the text.
+One Arrow pass a step, no shuffle. Resampling, frames and spectra are computed in blocks of frames straight from the stored
+bytes, so beside the media a document takes 68 bytes a frame (160 bytes of text) and its tensors.
 
-Defined cases: null and empty texts store 64 zero bytes; a null doc_id is kept; repeated rows are each returned, equal
-texts with equal values; a table without rows gives no rows; only doc_id and text are read.
+Defined cases: null and empty texts store 64 zero bytes; null media have null features; a null doc_id is kept; repeated
+rows are each returned, equal texts with equal values; a table without rows gives no rows; only the columns named are read.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import written
+
 RATE, UP, DOWN = 16_000, 2, 5
 FRAME, HOP, MELS, SHAPE = 160, 64, 16, (32, 16)
 BLOCK = 1 << 12  # frames at a time
+OUT = 1 << 24  # bytes of tensors in a batch
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -89,32 +94,42 @@ _BANK = _mel_bank(RATE * UP / DOWN)
 _HANN = np.hanning(FRAME).astype(np.float32)
 
 
-def resample(samples: np.ndarray) -> np.ndarray:
-    """Unsigned 8-bit samples -> float32 at UP/DOWN of the rate; output j is centred on input j*DOWN/UP."""
-    x = np.concatenate([np.zeros(_REACH, np.float32), (samples.astype(np.float32) - 128) / 128, np.zeros(_REACH + DOWN, np.float32)])
-    n = -(-len(samples) * UP // DOWN)
+def resample(samples: np.ndarray, first: int = 0, stop: int | None = None) -> np.ndarray:
+    """Unsigned 8-bit samples -> float32 at UP/DOWN of the rate, outputs [first, stop), first a multiple of UP; output j is
+    centred on input j*DOWN/UP, and there is silence around the samples."""
+    total = -(-len(samples) * UP // DOWN)
+    stop = total if stop is None else min(stop, total)
+    n = max(0, stop - first)
     out = np.empty(n, np.float32)
-    views = np.lib.stride_tricks.sliding_window_view(x, 2 * _REACH + 1)
-    for r in range(UP):
-        first = r * DOWN // UP
-        count = len(out[r::UP])
-        out[r::UP] = views[first : first + count * DOWN : DOWN][:count] @ _FIR[r]
+    low, high = first * DOWN // UP - _REACH, (stop * DOWN) // UP + _REACH + DOWN + 1
+    x = np.zeros(max(0, high - low), np.float32)
+    a, b = max(0, low), min(len(samples), high)
+    if b > a:
+        x[a - low : b - low] = (samples[a:b].astype(np.float32) - 128) / 128
+    if n:
+        views = np.lib.stride_tricks.sliding_window_view(x, 2 * _REACH + 1)
+        for r in range(UP):
+            count = len(out[r::UP])
+            out[r::UP] = views[r * DOWN // UP :: DOWN][:count] @ _FIR[r]
     return out
 
 
-def log_mel(wave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frames x mels log energies, frame energies in dB) of overlapped frames; a short tail is zero-padded."""
-    n = max(1, -(-max(0, len(wave) - FRAME) // HOP) + 1)
-    padded = np.zeros((n - 1) * HOP + FRAME, np.float32)
-    padded[: len(wave)] = wave
-    frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
+def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(frames x mels log energies, frame energies in dB) of overlapped frames of the resampled sound; a short tail is
+    zero-padded."""
+    length = -(-len(samples) * UP // DOWN)
+    n = max(1, -(-max(0, length - FRAME) // HOP) + 1)
     mel, db = np.empty((n, MELS), np.float32), np.empty(n, np.float32)
     for at in range(0, n, BLOCK):
-        block = frames[at : at + BLOCK]
+        count = min(BLOCK, n - at)
+        wave = resample(samples, at * HOP, at * HOP + (count - 1) * HOP + FRAME)
+        padded = np.zeros((count - 1) * HOP + FRAME, np.float32)
+        padded[: len(wave)] = wave
+        block = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
         spectrum = np.fft.rfft(block * _HANN, axis=1)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        mel[at : at + BLOCK] = np.log(power @ _BANK + 1e-6)
-        db[at : at + BLOCK] = 10 * np.log10((block * block).mean(axis=1) + 1e-9)
+        mel[at : at + count] = np.log(power @ _BANK + 1e-6)
+        db[at : at + count] = 10 * np.log10((block * block).mean(axis=1) + 1e-9)
     return mel, db
 
 
@@ -130,7 +145,7 @@ def segments(db: np.ndarray, rise: float = 1.5, fall: float = 0.5) -> list[tuple
 
 
 def features(payload: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    mel, db = log_mel(resample(np.frombuffer(payload, np.uint8)))
+    mel, db = log_mel(np.frombuffer(payload, np.uint8))
     return mel, db, segments(db)
 
 
@@ -153,43 +168,56 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _MEDIA)
 
 
+def clips(mel: np.ndarray, spans: list[tuple[int, int]]) -> dict[str, np.ndarray]:
+    """The clips of SHAPE[0] frames: time span, activity and log_mel (n, *SHAPE)."""
+    n = -(-len(mel) // SHAPE[0])
+    tensors = np.zeros((n, *SHAPE), np.float32)
+    tensors.reshape(-1, MELS)[: len(mel)] = mel
+    active = np.zeros(n, bool)
+    for a, b in spans:
+        active[a // SHAPE[0] : -(-b // SHAPE[0])] = True
+    starts = range(0, n * SHAPE[0], SHAPE[0])
+    ms = [np.array([frame_ms(min(len(mel), s + d)) for s in starts], np.int64) for d in (0, SHAPE[0])]
+    return {"start_ms": ms[0], "end_ms": ms[1], "active": active, "log_mel": tensors}
+
+
+def tensor_table(found: dict[str, np.ndarray]) -> pa.Table:
+    """Clips as an Arrow table with a fixed-shape tensor column."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(found["log_mel"].reshape(-1)), SHAPE[0] * SHAPE[1])
+    tensor = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), SHAPE), flat)
+    return pa.table([pa.array(found[c]) for c in ("start_ms", "end_ms", "active")] + [tensor], names=["start_ms", "end_ms", "active", "log_mel"])
+
+
+def write_tensors(found: dict[str, np.ndarray]) -> bytes:
+    """Clips as an Arrow IPC stream."""
+    table, sink = tensor_table(found), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> pa.Table:
+    """The table of a stored stream, log_mel being a fixed-shape tensor column."""
+    return pa.ipc.open_stream(stored).read_all()
+
+
 _TENSORS = "doc_id long, clip int, start_ms long, end_ms long, active boolean, log_mel array<float>"
 
 
-def audio_tensors(media: DataFrame) -> DataFrame:
-    """Rows of (doc_id, media) -> one row per clip of SHAPE[0] frames: time span, activity, log_mel flattened to SHAPE."""
+def audio_tensors(features: DataFrame) -> DataFrame:
+    """Rows of (doc_id, tensors) -> one row per clip with its time span, activity and log_mel flattened to SHAPE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, blob in zip(batch.column(0), batch.column(1), strict=True):
-                mel, _, spans = features(read_wave(blob.as_py())[0])
-                n = -(-len(mel) // SHAPE[0])
-                clips = np.zeros((n, *SHAPE), np.float32)
-                clips.reshape(-1, MELS)[: len(mel)] = mel
-                on = np.zeros(n, bool)
-                for a, b in spans:
-                    on[a // SHAPE[0] : -(-b // SHAPE[0])] = True
-                starts = [k * SHAPE[0] for k in range(n)]
-                yield pa.record_batch(
-                    [
-                        pa.array([doc.as_py()] * n, pa.int64()),
-                        pa.array(range(n), pa.int32()),
-                        pa.array([frame_ms(s) for s in starts], pa.int64()),
-                        pa.array([frame_ms(min(len(mel), s + SHAPE[0])) for s in starts], pa.int64()),
-                        pa.array(on),
-                        pa.array(list(clips.reshape(n, -1)), pa.list_(pa.float32())),
-                    ],
-                    names=["doc_id", "clip", "start_ms", "end_ms", "active", "log_mel"],
-                )
-
-    return media.select(F.col("doc_id").cast("long"), "media").where("media is not null").mapInArrow(run, _TENSORS)
-
-
-def to_tensors(table: pa.Table) -> pa.Table:
-    """The log_mel column of collected or re-read rows as Arrow fixed-shape tensors."""
-    flat = table["log_mel"].combine_chunks().flatten()
-    tensor = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), SHAPE), pa.FixedSizeListArray.from_arrays(flat, SHAPE[0] * SHAPE[1]))
-    return table.set_column(table.schema.get_field_index("log_mel"), "log_mel", tensor)
+            for doc, stored in zip(batch.column(0), batch.column(1), strict=True):
+                for part in read_tensors(stored.as_py()).to_batches():
+                    n = part.num_rows
+                    flat = part.column("log_mel").storage.flatten()
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * SHAPE[0] * SHAPE[1], SHAPE[0] * SHAPE[1]), pa.int32()), flat)
+                    rest = [part.column(c) for c in ("start_ms", "end_ms", "active")]
+                    yield pa.record_batch([pa.array([doc.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), *rest, lists], names=["doc_id", "clip", "start_ms", "end_ms", "active", "log_mel"])
+
+    return features.select(F.col("doc_id").cast("long"), "tensors").where("tensors is not null").mapInArrow(run, _TENSORS)
 
 
 def summary(mel: np.ndarray, db: np.ndarray, spans: list[tuple[int, int]]) -> str:
@@ -199,22 +227,44 @@ def summary(mel: np.ndarray, db: np.ndarray, spans: list[tuple[int, int]]) -> st
     return f"frames={len(mel)};segments={len(spans)};active_ms={active};db={float(db.mean(dtype=np.float64)):.2f};mel={bands}"
 
 
-_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def spans_text(spans: list[tuple[int, int]]) -> str:
+    """Active segments as start-end in milliseconds, comma-joined."""
+    return ",".join(f"{frame_ms(a)}-{frame_ms(b)}" for a, b in spans)
+
+
+_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, active_ms string, n_clips int, tensors binary"
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """Digests of stored media and of what is read back from them, with the features' summary."""
+def media_features(media: DataFrame) -> DataFrame:
+    """Of (doc_id, media, n_bytes): digests of the stored media and of what is read back from them, the features' summary,
+    the active segments and the clips' tensors (`read_tensors`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda b: hashlib.sha256(b).hexdigest()
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary())
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "active_ms", "n_clips", "tensors"]
         for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
-            for cell in batch.column(1):
-                blob = cell.as_py()
-                payload, _ = read_wave(blob)
-                for col, x in zip(rows, (len(payload), sha(payload), zlib.crc32(payload[-64:]), len(blob), sha(blob), summary(*features(payload))), strict=True):
-                    col.append(x)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.select("doc_id", "media", "n_bytes").mapInArrow(run, _DIGEST)
+            held: list[tuple[int, list]] = []
+            weight = 0
+            for at in range(batch.num_rows):
+                blob = batch.column(1)[at].as_py()
+                row: list = [None] * len(kinds)
+                if blob is not None:
+                    payload, _ = read_wave(blob)
+                    mel, db, spans = features(payload)
+                    found = clips(mel, spans)
+                    row = [len(payload), sha(payload), zlib.crc32(payload[-64:]), len(blob), sha(blob), summary(mel, db, spans), spans_text(spans), len(found["active"]), write_tensors(found)]
+                held.append((at, row))
+                weight += len(row[-1] or b"")
+                if weight >= OUT or at + 1 == batch.num_rows:
+                    part = batch.slice(held[0][0], len(held))
+                    columns = [pa.array([r[k] for _, r in held], kind) for k, kind in enumerate(kinds)]
+                    yield pa.record_batch([part.column(0), part.column(2), *columns], names=["doc_id", "n_bytes", *names])
+                    held, weight = [], 0
+
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").alias("media"), F.col("n_bytes").cast("long").alias("n_bytes")).mapInArrow(run, _FEATURES)
+
+
+def stored_media(docs: DataFrame) -> DataFrame:
+    """`to_media`, written to the shared folder and read back."""
+    return written(to_media(docs), "media")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import license_scan, quality
+from tessera.llm import license_scan
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -30,9 +30,11 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 
 def _op9(threshold: float = 0.8) -> str:
     cell = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({i}, {cell(name)}, [{', '.join(map(cell, license_scan.bigrams(text)))}])" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+    rows = ", ".join(f"({i}, {cell(name)}, {cell(text)})" for i, (name, text) in enumerate(license_scan.TEMPLATES))
     return rf"""
-WITH t(rank, license, known) AS (VALUES {rows}),
+WITH t0(rank, license, body) AS (VALUES {rows}),
+t1 AS (SELECT rank, license, string_split(trim(lower(regexp_replace(body, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS ws FROM t0),
+t AS (SELECT rank, license, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS known FROM t1),
 d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 l AS (SELECT doc_id, list_concat(string_split(x, chr(10)), list_filter(regexp_split_to_array(x, '\n[\x20\x09-\x0D]*\n'), lambda p: contains(p, chr(10)))) AS l FROM d),
 parts AS (SELECT doc_id, unnest(l) AS part, unnest(range(len(l))) AS line FROM l),
@@ -45,14 +47,25 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, license, round(dic
 """
 
 
-def _op4(risk: float = quality.RISK, confidence: float = 0.05, good_weight: float = 10.0, min_labelled: int = 2000, max_strata: int = 64) -> str:
-    rules = list(quality.RULES)
-    own = risk / len(rules)
-    ratio = {r: f"coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0.0)" for r, (a, b, _) in quality.RULES.items()}
-    cuts = {r: "[" + ", ".join(f"{c!r}::DOUBLE" for c in quality.grid(r)) + "]" for r in rules}
-    levels = " UNION ALL ".join(f"SELECT stratum, doc_id % 2 != 0 AS hold, quality = 1 AS good, '{r}' AS rule, len(list_filter({cuts[r]}, lambda c: {ratio[r]} > c)) AS above FROM labelled" for r in rules)
-    chosen = ", ".join(f"max(CASE WHEN rule = '{r}' THEN {cuts[r]}[above] END) AS cut_{r}" for r in rules)
-    rejected = " OR ".join(f"coalesce({ratio[r]} > cut_{r}, false)" for r in rules)
+#: The six rules: ratio and largest of 24 evenly spaced cutoffs.
+_RATIOS = {
+    "symbols": ("n_symbols", "n_words", 1.2),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.96),
+    "repeats": ("n_repeat_words", "n_words", 0.24),
+    "long_words": ("word_chars", "n_words", 24.0),
+    "shouting": ("n_bangs", "n_words", 1.2),
+    "capitals": ("n_capitals", "word_chars", 0.96),
+}
+
+
+def _op4(risk: float = 0.03, confidence: float = 0.05, good_weight: float = 10.0) -> str:
+    rules = sorted(_RATIOS)
+    ratio = {r: f"coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0.0)" for r, (a, b, _) in _RATIOS.items()}
+    at = lambda r, i: f"round({_RATIOS[r][2]!r}::DOUBLE * ({i}) / 24, 6)"
+    levels = " UNION ALL ".join(f"SELECT stratum, quality = 1 AS good, '{r}' AS rule, i, {ratio[r]} > {at(r, 'i')} AS hit FROM lab, range(1, 25) g(i) WHERE doc_id % 2 = 0" for r in rules)
+    cut = "CASE rule " + " ".join(f"WHEN '{r}' THEN {at(r, 'i')}" for r in rules) + " END"
+    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {ratio[r]}" for r in rules) + " END"
+    tail = "(SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}::DOUBLE) + (n - i) * ln(1 - {p}::DOUBLE))) FROM range(0, 100000) z(i) WHERE i <= k)".replace("{p}", repr(risk))
     return rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
 win AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
@@ -60,26 +73,26 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 rep AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM twice, range(5) r(o) GROUP BY 1),
 f0 AS (SELECT doc_id, lang, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_bangs,
-  length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
-f AS (SELECT f0.* EXCLUDE (ls), len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-  n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed FROM f0 LEFT JOIN rep USING (doc_id)),
+  length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS ls FROM d),
+f AS MATERIALIZED (SELECT f0.* EXCLUDE (ls, lang), CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS stratum, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed FROM f0 LEFT JOIN rep USING (doc_id)),
 truth AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1),
-lab0 AS (SELECT f.*, quality FROM f JOIN truth USING (doc_id) WHERE NOT base_failed),
-own AS (SELECT coalesce(lang, '') AS own_lang FROM lab0 GROUP BY lang HAVING count(*) >= {min_labelled} ORDER BY count(*) DESC, lang LIMIT {max_strata}),
-labelled AS (SELECT lab0.*, CASE WHEN own_lang IS NULL THEN 'pooled' ELSE '=' || own_lang END AS stratum FROM lab0 LEFT JOIN own ON coalesce(lang, '') = own_lang),
-levels AS ({levels}),
-cells AS (SELECT stratum, rule, a AS above, count(CASE WHEN above >= a AND hold AND good THEN 1 END) AS k, count(CASE WHEN hold AND good THEN 1 END) AS n,
-  count(CASE WHEN above >= a AND NOT hold AND good THEN 1 END) AS tg, count(CASE WHEN NOT hold AND good THEN 1 END) AS ng,
-  count(CASE WHEN above >= a AND NOT hold AND NOT good THEN 1 END) AS tb, count(CASE WHEN NOT hold AND NOT good THEN 1 END) AS nb
-  FROM levels, range(1, {quality.STEPS} + 1) r(a) GROUP BY 1, 2, 3),
-p AS (SELECT *, CASE WHEN k < n * {own!r} THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({own!r}::DOUBLE) + (n - i) * ln(1 - {own!r}::DOUBLE)))) ELSE 1 END AS tail FROM cells),
-ok AS (SELECT *, min(CASE WHEN tail <= {confidence} / greatest((SELECT count(DISTINCT stratum) FROM cells), 1) / {len(rules)} THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY above DESC ROWS UNBOUNDED PRECEDING) AS certified FROM p),
-gain AS (SELECT *, round(coalesce(tb * 1.0 / nullif(nb, 0), 0) - {good_weight} * coalesce(tg * 1.0 / nullif(ng, 0), 0), 9) AS gain FROM ok WHERE certified = 1),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, above DESC) AS rn FROM gain WHERE gain > 0) WHERE rn = 1),
-cuts AS (SELECT stratum, {chosen} FROM best GROUP BY 1),
-placed AS (SELECT f.*, CASE WHEN own_lang IS NULL THEN 'pooled' ELSE '=' || own_lang END AS stratum FROM f LEFT JOIN own ON coalesce(lang, '') = own_lang)
+lab AS MATERIALIZED (SELECT f.*, quality FROM f JOIN truth USING (doc_id) WHERE NOT base_failed),
+rated AS (SELECT stratum, rule, i, count(CASE WHEN hit AND NOT good THEN 1 END) / greatest(count(CASE WHEN NOT good THEN 1 END), 1)
+  - {good_weight} * (count(CASE WHEN hit AND good THEN 1 END) / greatest(count(CASE WHEN good THEN 1 END), 1)) AS gain FROM ({levels}) GROUP BY 1, 2, 3),
+best AS (SELECT * FROM (SELECT stratum, rule, i, round(gain, 9) AS gain, row_number() OVER (PARTITION BY stratum, rule ORDER BY round(gain, 9) DESC, i DESC) AS q FROM rated WHERE round(gain, 9) > 0) WHERE q = 1),
+plan AS MATERIALIZED (SELECT stratum, rule, {cut} AS cut, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, rule) AS rank FROM best),
+hold AS (SELECT * FROM lab WHERE doc_id % 2 != 0 AND quality = 1),
+first AS (SELECT doc_id, min(rank) AS first, any_value(stratum) AS stratum FROM hold JOIN plan USING (stratum) WHERE {value} > cut GROUP BY 1),
+sizes AS (SELECT stratum, n, pow(1 - {risk!r}::DOUBLE, n) AS p FROM (SELECT DISTINCT stratum FROM plan) LEFT JOIN (SELECT stratum, count(*) AS n FROM hold GROUP BY 1) USING (stratum)),
+tarone AS (SELECT min(k) AS k FROM range(1, 10001) r(k) WHERE (SELECT count(*) FROM sizes WHERE p <= {confidence} / k) <= k),
+sets AS (SELECT stratum, rank, n, count(first) AS k FROM plan JOIN sizes USING (stratum) LEFT JOIN first ON first.stratum = plan.stratum AND first.first <= plan.rank GROUP BY plan.stratum, stratum, rank, n, p HAVING p <= {confidence} / (SELECT k FROM tarone)),
+failed AS (SELECT stratum, min(rank) AS at FROM sets WHERE NOT (k < n * {risk!r} AND {tail} <= {confidence} / (SELECT k FROM tarone)) GROUP BY 1),
+force AS (SELECT plan.* FROM plan JOIN sets USING (stratum, rank) LEFT JOIN failed USING (stratum) WHERE rank < coalesce(at, 99)),
+gone AS (SELECT DISTINCT f.stratum, f.doc_id FROM f JOIN force USING (stratum) WHERE {value} > cut)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT (base_failed OR {rejected}) AS kept FROM placed LEFT JOIN cuts USING (stratum)
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM gone) AS kept FROM f
 """
 
 

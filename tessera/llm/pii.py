@@ -109,6 +109,20 @@ _PROPOSE: dict[str, tuple[Callable[[str], bool], Callable[[str], Iterator[tuple[
 _DIGIT = re.compile(r"[0-9]")
 
 
+def _uncovered(spans: list[Span]) -> list[Span]:
+    """Without the bare numbers (account) that a more telling span overlaps; one sweep by start."""
+    kept: list[Span] = []
+    others = sorted((s for s in spans if s.kind != "account"), key=lambda s: s.start)
+    at, reach = 0, 0
+    for s in sorted((s for s in spans if s.kind == "account"), key=lambda s: s.start):
+        while at < len(others) and others[at].start < s.end:  # all that start before its end; account spans do not overlap
+            reach = max(reach, others[at].end)
+            at += 1
+        if reach <= s.start:
+            kept.append(s)
+    return [s for s in spans if s.kind != "account"] + kept
+
+
 def find_pii(text: str, threshold: float = 0.6, reach: int = 40) -> list[Span]:
     """All spans by start, then kind; code points, end exclusive. Context is `reach` characters on either side."""
     out: list[Span] = []
@@ -121,8 +135,7 @@ def find_pii(text: str, threshold: float = 0.6, reach: int = 40) -> list[Span]:
             score = prior + 0.4 * any(w in near for w in CONTEXT[kind]) - 0.2 * any(w in near for w in AGAINST)
             if kind in BASE or score >= threshold:
                 out.append(Span(kind, start, end, round(min(1.0, max(0.0, score)), 2)))
-    if any(s.kind == "account" for s in out):  # a bare number is reported only where no more telling span covers it
-        out = [s for s in out if s.kind != "account" or not any(o.kind != "account" and o.start < s.end and s.start < o.end for o in out)]
+    out = _uncovered(out)
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 

@@ -1,25 +1,27 @@
 """Quality rules with risk-controlled thresholds. DataFrame functions only.
 
 Per document: word and symbol counts, duplicate lines and repeated 5-word windows (see `features`), all inside the row by
-array functions, so nothing is shuffled. Rules reject when a ratio exceeds a cutoff. Cutoffs are learned from labels:
-
-* half of the labelled rows (even doc_id) proposes, the other half certifies;
-* a cutoff is certified in a stratum (language) if the exact binomial tail P(Bin(n, risk) <= k) is at most
-  confidence / (strata x rules), k of n good holdout documents being rejected there: its false-rejection rate is then at
-  most `risk` (total risk / rules) with that confidence. Along a rule's grid cutoffs are tested from the mildest on and
-  testing stops at the first failure (fixed sequence), strata and rules are corrected by Bonferroni;
-* among the certified cutoffs the one with the best bad-minus-weighted-good rejection on the proposing half is used;
-  none with a gain leaves the rule off in that stratum.
-
-A stratum of n good holdout documents can certify a cutoff at all only if (1 - risk/rules) ** n <= confidence / (strata x
-rules), the tail of no rejection. Languages with fewer than `min_labelled` labelled rows and those beyond the `max_strata`
-largest are pooled, and further ones, the smallest first, until every stratum, the pooled one too, meets that bound
-(`strata_of`); if even all languages together do not, no rule can be certified. The cutoff table has at most max_strata + 1
-rows and is broadcast; `rules_in_force` reports it. The features are written once to the shared folder.
+array functions, so nothing is shuffled. Rules reject when a ratio exceeds a cutoff. Cutoffs are learned from labels, in
+every language (stratum) apart:
+
+* half of the labelled rows (even doc_id) proposes: per rule the cutoff with the best bad-minus-weighted-good rejection, and
+  an order of the rules by that gain (rules without a gain are left out). This gives nested rule sets, the first rule, the
+  first two, and so on;
+* the other half certifies: a rule set is certified if the exact binomial tail P(Bin(n, risk) <= k) is at most the
+  stratum's share of `confidence`, k of the n good holdout documents being rejected by any rule of the set. The sets are
+  tested from the smallest on and testing stops at the first failure (fixed sequence, which needs no correction), strata
+  share `confidence` by Bonferroni in Tarone's form: strata whose n could not certify anything, (1 - risk) ** n being above
+  the share, are not counted and certify nothing. So with probability 1 - confidence the rules in force falsely reject
+  at most the share `risk` of good documents in every stratum at once;
+* the largest certified set is in force in the stratum.
+
+No stratum is pooled with others and none has a minimum size of labels but that bound (99 good holdout rows for one
+stratum, 145 for four); `rules_in_force` reports each. The features are written once to the shared folder.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null lang is its own stratum; a null doc_id is
-kept (it matches no label); repeated rows are each returned; without labels, or with too few to certify anything, only
-the base rules apply; a table without rows gives no rows.
+kept (it matches no label); several labels of a doc_id count as the least; ties in gain go to the mildest cutoff, then
+to the first rule by name; repeated rows are each returned; without labels, or with too few to certify anything, only
+the base rules apply; a table without rows gives no rows; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -56,8 +58,8 @@ def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang, carry, the counts in BASE, n_lines, n_bangs, n_capitals of every whole text.
 
     n_repeat_words: each 5-word window becomes (hash << b) | position with 2**b > n_words; equal windows are neighbours
-    after sorting; the positions so found are merged as intervals of five words. At least 44 bits of hash remain for a
-    text of a million words, 54 for one of a thousand."""
+    after sorting. What so agrees in the upper bits is sorted by the whole 64-bit hash, neighbours of equal hash are
+    compared by their words, and the positions found are merged as intervals of five words."""
     text = F.coalesce("text", F.lit(""))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.cast("string").alias("lang"), text.alias("text"), *carry)
@@ -83,14 +85,19 @@ def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         "n_bangs",
         "n_capitals",
+        "words",
         windows.alias("windows"),
     )
     mask = F.expr("shiftleft(1L, length(bin(n_words))) - 1")
     rows = rows.withColumn("mask", mask)
-    rows = rows.withColumn("keyed", F.sort_array(F.transform("windows", lambda h, i: h.bitwiseAND(F.bitwise_not("mask")).bitwiseOR(i.cast("long"))))).drop("windows")
-    same = lambda x, y: F.coalesce(x.bitwiseOR(F.col("mask")) == y.bitwiseOR(F.col("mask")), F.lit(False))
-    twice = F.filter("keyed", lambda x, i: same(x, F.get("keyed", i - 1)) | same(x, F.get("keyed", i + 1)))
-    rows = rows.withColumn("twice", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.col("mask"))))).drop("keyed", "mask")
+    rows = rows.withColumn("keyed", F.sort_array(F.transform("windows", lambda h, i: h.bitwiseAND(F.bitwise_not("mask")).bitwiseOR(i.cast("long")))))
+    close = lambda x, y: F.coalesce(x.bitwiseOR(F.col("mask")) == y.bitwiseOR(F.col("mask")), F.lit(False))
+    near = F.filter("keyed", lambda x, i: close(x, F.get("keyed", i - 1)) | close(x, F.get("keyed", i + 1)))
+    at = F.transform(near, lambda x: x.bitwiseAND(F.col("mask")).cast("int"))
+    rows = rows.withColumn("near", F.sort_array(F.transform(at, lambda p: F.struct(F.get("windows", p).alias("h"), p.alias("p"))))).drop("keyed", "mask", "windows")
+    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (F.slice("words", x["p"] + 1, 5) == F.slice("words", y["p"] + 1, 5)), F.lit(False))
+    twice = F.filter("near", lambda x, i: same(x, F.get("near", i - 1)) | same(x, F.get("near", i + 1)))
+    rows = rows.withColumn("twice", F.sort_array(F.transform(twice, lambda x: x["p"].cast("long")))).drop("near", "words")
     covered = F.aggregate(
         "twice",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
@@ -112,90 +119,101 @@ def _exceeded(rule: str) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in grid(rule)]), lambda cut: ratio > cut))
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln n! by Stirling's series at n + 9, so its error is below 1e-13 for every n."""
+    x = n.cast("double") + 9
+    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    shift = F.log(n.cast("double") + 1)
+    for i in range(2, 9):
+        shift = shift + F.log(n.cast("double") + i)
+    return series - shift
+
+
 def binomial_tail(n: Column, k: Column, risk: float) -> Column:
-    """P(Bin(n, risk) <= k), for k < n * risk (else 1): the term of k from a sum of logarithms, the lower ones by ratio."""
-    q, p = 1 - risk, F.lit(risk)
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    log_top = F.aggregate(steps, n * F.log1p(-p), lambda acc, i: acc + F.log((n - i + 1) / i * (risk / q)))
+    """P(Bin(n, risk) <= k), for k < n * risk (else 1): the term of k, and the lower ones by their ratio as far down as they
+    change a double (12 standard deviations and 60 more)."""
+    q, lost = 1 - risk, n - k
+    log_top = _log_factorial(n) - _log_factorial(k) - _log_factorial(lost) + k * F.log(F.lit(risk)) + lost * F.log(F.lit(q))
+    count = F.least(k, F.ceil(12 * F.sqrt(n * (risk * q))) + 60)
+    steps = F.when(k > 0, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.array().cast("array<bigint>"))
     series = F.aggregate(
-        F.reverse(steps),
+        steps,
         F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
-        lambda acc, i: F.struct((acc["term"] * (i * q / ((n - i + 1) * risk))).alias("term"), (acc["sum"] + acc["term"] * (i * q / ((n - i + 1) * risk))).alias("sum")),
+        lambda acc, j: F.struct((acc["term"] * ((k - j) * q / ((n - k + j + 1) * risk))).alias("term"), (acc["sum"] + acc["term"] * ((k - j) * q / ((n - k + j + 1) * risk))).alias("sum")),
         lambda acc: acc["sum"],
     )
     return F.when(k < n * risk, F.exp(log_top) * series).otherwise(F.lit(1.0))
 
 
-def certifiable(n: Column, strata: Column, risk: float, confidence: float) -> Column:
-    """Whether n good holdout rows, none of them rejected, certify a cutoff in one of so many strata."""
-    return binomial_tail(n, F.lit(0).cast("long"), risk / len(RULES)) <= F.lit(confidence) / strata / len(RULES)
-
+def _stratum() -> Column:
+    return F.when(F.col("lang").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("lang")))
 
-def strata_of(labelled: DataFrame, min_labelled: int, max_strata: int, risk: float = RISK, confidence: float = 0.05) -> DataFrame:
-    """The languages that are strata of their own: at most max_strata rows (lang), as many as leave no stratum too small."""
-    good = F.count_if((F.col("doc_id") % 2 != 0) & (F.col("quality") == 1))
-    langs = labelled.groupBy("lang").agg(F.count("*").alias("n"), good.alias("good"))
-    every = langs.agg(F.sum("n").alias("all_n"), F.sum("good").alias("all_good"))
-    # at most max_strata rows from here on
-    top = langs.where(F.col("n") >= min_labelled).orderBy(F.desc("good"), F.desc("n"), "lang").limit(max_strata)
-    by = W.orderBy(F.desc("good"), F.desc("n"), "lang")
-    so_far = by.rowsBetween(W.unboundedPreceding, 0)
-    top = top.select("lang", "good", F.row_number().over(by).alias("rank"), F.sum("n").over(so_far).alias("own_n"), F.sum("good").over(so_far).alias("own_good")).join(F.broadcast(every))
-    rest = F.col("all_n") > F.col("own_n")
-    strata = F.col("rank") + rest.cast("int")
-    fits = certifiable(F.col("good"), strata, risk, confidence) & (~rest | certifiable(F.col("all_good") - F.col("own_good"), strata, risk, confidence))
-    whole = W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return top.withColumn("most", F.max(F.when(fits, F.col("rank"))).over(whole)).where("rank <= most").select("lang", F.lit(True).alias("own"))
 
-
-def certify(labelled: DataFrame, risk: float = RISK, confidence: float = 0.05, good_weight: float = 10.0) -> DataFrame:
-    """Cutoffs from rows of (stratum, doc_id, quality, the counts): one row per stratum with the number of its good holdout
-    rows, whether these can certify anything (`certifiable`), and a column per rule (null: off)."""
+def propose(tune: DataFrame, good_weight: float) -> DataFrame:
+    """From rows of (stratum, good, the counts): stratum and per rule cut_ and rank_ (null: not proposed)."""
     rules = list(RULES)
     levels = F.array(*[F.struct(F.lit(r).alias("rule"), _exceeded(r).alias("above")) for r in rules])
-    rows = labelled.select("stratum", (F.col("doc_id") % 2 != 0).alias("holdout"), (F.col("quality") == 1).alias("good"), F.explode(levels).alias("level"))
+    rows = tune.select("stratum", "good", F.explode(levels).alias("level"))
     # how many rows exceed the first i cutoffs and no more; at most strata x rules x (STEPS + 1) rows from here on
-    cells = rows.groupBy("stratum", "level.rule", "level.above").agg(
-        *[F.count_if((F.col("holdout") == h) & (F.col("good") == g)).alias(name) for name, h, g in (("hold_good", True, True), ("tune_good", False, True), ("tune_bad", False, False))]
-    )
+    cells = rows.groupBy("stratum", "level.rule", "level.above").agg(F.count_if(F.col("good")).alias("good"), F.count_if(~F.col("good")).alias("bad"))
     every = cells.select("stratum", "rule").distinct().select("stratum", "rule", F.explode(F.sequence(F.lit(0), F.lit(STEPS))).alias("above"))
     cells = every.join(cells, ["stratum", "rule", "above"], "left").fillna(0)
     by = W.partitionBy("stratum", "rule")
     down = by.orderBy(F.desc("above")).rowsBetween(W.unboundedPreceding, 0)
-    counts = cells.select("stratum", "rule", "above", *[F.sum(c).over(down).alias(c) for c in ("hold_good", "tune_good", "tune_bad")], *[F.sum(c).over(by).alias(f"all_{c}") for c in ("hold_good", "tune_good", "tune_bad")]).where("above > 0")
-    share = counts.select("stratum").distinct().agg((F.lit(confidence) / F.greatest(F.count("*"), F.lit(1)) / len(rules)).alias("share"))
-    tested = counts.join(F.broadcast(share)).withColumn("passed", (binomial_tail(F.col("all_hold_good"), F.col("hold_good"), risk / len(rules)) <= F.col("share")).cast("int"))
-    tested = tested.withColumn("certified", F.min("passed").over(by.orderBy(F.desc("above")).rowsBetween(W.unboundedPreceding, 0)))
-    rate = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(f"all_{c}").cast("double")), F.lit(0.0))
-    gain = tested.where("certified = 1").withColumn("gain", F.round(rate("tune_bad") - good_weight * rate("tune_good"), 9)).where("gain > 0")
-    best = gain.groupBy("stratum", "rule").agg(F.max_by("above", F.struct("gain", "above")).alias("above"))
-    cutoff = lambda r: F.max(F.when(F.col("rule") == r, F.get(F.array(*[F.lit(c) for c in grid(r)]), F.col("above") - 1))).alias(f"cut_{r}")
-    enough = certifiable(F.col("hold_good"), F.lit(confidence) / len(rules) / F.col("share"), risk, confidence)
-    strata = counts.groupBy("stratum").agg(F.max("all_hold_good").alias("hold_good")).join(F.broadcast(share)).select("stratum", "hold_good", enough.alias("certifiable"))
-    return strata.join(best.groupBy("stratum").agg(*[cutoff(r) for r in rules]), "stratum", "left")
-
-
-def _learned(found: DataFrame, labels: DataFrame, risk: float, confidence: float, min_labelled: int, max_strata: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of features with their stratum, and the cutoffs."""
+    rate = lambda c: F.coalesce(F.try_divide(F.sum(c).over(down).cast("double"), F.sum(c).over(by).cast("double")), F.lit(0.0))
+    gains = cells.select("stratum", "rule", "above", F.round(rate("bad") - good_weight * rate("good"), 9).alias("gain")).where("above > 0 and gain > 0")
+    best = gains.groupBy("stratum", "rule").agg(F.max("gain").alias("gain"), F.max_by("above", F.struct("gain", "above")).alias("above"))
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("stratum").orderBy(F.desc("gain"), "rule")))
+    cut = lambda r: F.get(F.array(*[F.lit(c) for c in grid(r)]), F.col("above") - 1)
+    own = lambda r, c: F.max(F.when(F.col("rule") == r, c))
+    return ranked.groupBy("stratum").agg(*[own(r, cut(r)).alias(f"cut_{r}") for r in rules], *[own(r, F.col("rank")).alias(f"rank_{r}") for r in rules])
+
+
+def certify(plan: DataFrame, holdout: DataFrame, risk: float, confidence: float) -> DataFrame:
+    """From `propose` and the good holdout rows (stratum, the counts): one row per proposed stratum with hold_good, certifiable
+    and the cutoffs of the rules in force (null: off)."""
+    rules = list(RULES)
+    met = holdout.join(plan, "stratum")
+    first = F.least(*[F.when(_ratio(r) > F.col(f"cut_{r}"), F.col(f"rank_{r}")) for r in rules])  # null: no rule rejects
+    counts = met.select("stratum", first.alias("first")).groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col("first") <= j).alias(f"k{j}") for j in range(1, len(rules) + 1)])
+    # one row a stratum from here on
+    strata = plan.join(counts, "stratum", "left").fillna(0, ["n", *[f"k{j}" for j in range(1, len(rules) + 1)]])
+    strata = strata.withColumn("least_p", F.exp(F.col("n") * F.log(F.lit(1 - risk))))
+    order = W.orderBy("least_p", "stratum")
+    strata = strata.withColumn("place", F.row_number().over(order)).withColumn("next_p", F.lead("least_p").over(order))
+    share = strata.agg((F.lit(confidence) / F.min(F.when(F.coalesce(F.col("next_p") > F.lit(confidence) / F.col("place"), F.lit(True)), F.col("place")))).alias("share"))
+    tested = strata.join(F.broadcast(share))  # one row
+    passed, held = F.col("least_p") <= F.col("share"), F.lit(0)
+    for j in range(1, len(rules) + 1):
+        passed = passed & (binomial_tail(F.col("n"), F.col(f"k{j}"), risk) <= F.col("share"))
+        held = F.when(passed, F.lit(j)).otherwise(held)
+    tested = tested.withColumn("held", held)
+    cuts = [F.when(F.col(f"rank_{r}") <= F.col("held"), F.col(f"cut_{r}")).alias(f"cut_{r}") for r in rules]
+    return tested.select("stratum", F.col("n").alias("hold_good"), (F.col("least_p") <= F.col("share")).alias("certifiable"), *cuts)
+
+
+def _learned(found: DataFrame, labels: DataFrame, risk: float, confidence: float, good_weight: float) -> DataFrame:
+    """The cutoffs of every proposed stratum."""
     truth = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    labelled = found.join(truth, "doc_id").where("not base_failed")
-    own = written(strata_of(labelled, min_labelled, max_strata, risk, confidence), "strata")
-    stratum = F.when(F.col("own"), F.concat(F.lit("="), F.coalesce("lang", F.lit("")))).otherwise("pooled")
-    place = lambda df: df.join(F.broadcast(own.withColumnRenamed("lang", "own_lang")), F.col("lang").eqNullSafe(F.col("own_lang")), "left").withColumn("stratum", stratum)
-    return place(found), written(certify(place(labelled), risk, confidence), "cutoffs")
+    counts = sorted({c for top, bottom, _ in RULES.values() for c in (top, bottom)})
+    labelled = found.where("not base_failed").join(truth, "doc_id").select(_stratum().alias("stratum"), (F.col("doc_id") % 2 != 0).alias("holdout"), (F.col("quality") == 1).alias("good"), *counts)
+    labelled = written(labelled, "labelled")
+    plan = written(propose(labelled.where("not holdout"), good_weight), "proposed")
+    return written(certify(plan, labelled.where("holdout and good"), risk, confidence), "cutoffs")
 
 
-def rules_in_force(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = 0.05, min_labelled: int = 2000, max_strata: int = 64) -> DataFrame:
-    """One row per stratum: stratum, hold_good, certifiable, in_force (names of the rules that are on)."""
-    _, cuts = _learned(written(features(docs), "features"), labels, risk, confidence, min_labelled, max_strata)
+def rules_in_force(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = 0.05, good_weight: float = 10.0) -> DataFrame:
+    """One row per stratum for which rules were proposed: stratum (= and the language, empty for null), hold_good,
+    certifiable, in_force (names of the rules that are on)."""
+    cuts = _learned(written(features(docs), "features"), labels, risk, confidence, good_weight)
     on = F.array_compact(F.array(*[F.when(F.col(f"cut_{r}").isNotNull(), F.lit(r)) for r in RULES]))
     return cuts.select("stratum", "hold_good", "certifiable", on.alias("in_force"))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = 0.05, min_labelled: int = 2000, max_strata: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = 0.05, good_weight: float = 10.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, carry, BASE and kept for every row of docs. labels: doc_id, quality (1 good, 0 bad; null is no label)."""
-    placed, cuts = _learned(written(features(docs, carry), "features"), labels, risk, confidence, min_labelled, max_strata)
-    judged = placed.join(F.broadcast(cuts), "stratum", "left")
+    found = written(features(docs, carry), "features")
+    judged = found.withColumn("stratum", _stratum()).join(_learned(found, labels, risk, confidence, good_weight), "stratum", "left")
     rejected = F.lit(False)
     for rule in RULES:
         rejected = rejected | F.coalesce(_ratio(rule) > F.col(f"cut_{rule}"), F.lit(False))
@@ -203,10 +221,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, con
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that pass, with their columns. Rows meet their verdict by a key of doc_id, text and lang."""
-    lang = ["lang"] if "lang" in docs.columns else []
-    key = F.xxhash64(F.col("doc_id").cast("long"), "text", *lang).alias("key")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", *lang, key)
-    found = quality_verdicts(rows.drop("doc"), labels, carry=("key",), **options)
-    bad = found.where("not kept").select("key").distinct()
-    return rows.select("doc", "key").join(bad, "key", "left_anti").select("doc.*")
+    """The rows of docs that pass, with their columns, which the features carry along."""
+    lang = [F.col("lang").alias("lang")] if "lang" in docs.columns else []
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), *lang)
+    return quality_verdicts(rows, labels, carry=("doc",), **options).where("kept").select("doc.*")

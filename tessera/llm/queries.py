@@ -53,7 +53,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(_docs(spark, sf_dir))
-    return found.select("doc_id", *[_count("spans", k) for k in pii.BASE], F.sha2(_joined("spans", pii.BASE), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return found.select("doc_id", *[_count("spans", k) for k in pii.KINDS], F.size("spans").cast("long").alias("n_spans"), F.sha2(_joined("spans", pii.BASE), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_spans(_docs(spark, sf_dir)).withColumn("spans", secret_scan.spans_in_order())
     counts = [_count("base", k) for k in secret_scan.BASE]
-    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.size("spans").cast("long").alias("n_spans"), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.media_digests(audio.to_media(_docs(spark, sf_dir)))
+    return audio.media_features(audio.stored_media(_docs(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

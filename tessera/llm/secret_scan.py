@@ -1,25 +1,30 @@
 """Secret scans: a battery of randomness tests per inferred encoding, with length-aware false-discovery control.
 
 Patterns give the base spans (assign, access, hex). Further candidates are maximal runs of token characters, 20 at least,
-and the pieces of 20 at least into which a run falls at the characters outside base64, base64url and base62; of overlapping
-ones that pass, the one with most bits stays. A candidate's encoding is the smallest alphabet that holds all its characters (hex, base32, base36,
-base58/62, base64). The battery tests it as a uniform sequence over that alphabet:
+and the pieces of 20 at least into which a run falls at the characters outside base64, base64url and base62. A piece's
+encoding is the smallest alphabet that holds all its characters (hex, base32, base36, base58/62, base64). The battery
+tests it as a uniform sequence over that alphabet:
 
 * chi-squared of the symbol counts (moments of the exact multinomial),
 * number of runs above/below the middle of the alphabet,
 * lag-1 serial correlation of the symbol indices;
 
-a candidate passes if the Bonferroni-combined p-value is at least `alpha`. Against ordinary text stands the likelihood
-ratio of the uniform alphabet to the corpus's own character frequencies (counted over all documents). Under ordinary
-text its expectation is at most 1, so it is an e-value, and it grows with the length. Per length stratum the e-BH rule
-at level `fdr` picks the cutoff from a histogram of fixed size, so the expected share of ordinary tokens among those
-reported is bounded in each.
+a piece passes if the Bonferroni-combined p-value is at least `alpha`. The hypothesis tested of a run is that it is
+ordinary: characters drawn as in the corpus's runs of letters, digits and the like. Against it stands, for each piece, the
+likelihood ratio of a token that is uniform over one of the eight alphabets, each as likely as the others (so the choice
+of the alphabet is paid for), to the corpus's character frequencies; it counts 0 where the battery fails. Characters other
+than the 62 letters and digits are weighed by their share relative to these, which only lowers the ratio, so its
+expectation for ordinary text is at most 1, for whichever class of characters the piece was cut by: an e-value. The run's
+e-value is the mean of its pieces'. Per stratum of run length e-BH at level `fdr` runs over *all* runs of the corpus, those
+that failed the battery included, from a histogram of fixed size: whatever the dependence between runs, the expected share
+of ordinary ones among those reported is at most `fdr` in each stratum. In a reported run the pieces that reach the cutoff
+themselves are named, of overlapping ones that with most bits.
 
 Passes: (1) Arrow over the texts: base spans, candidates, byte counts, written to the shared folder; (2) the candidates'
 tests and their histogram (8 x 256 cells at most go to the driver); (3) selection and assembly, DataFrame only.
 
 Defined cases: null and empty texts have no spans; a null doc_id is kept; repeated rows are each returned (and counted);
-a table without rows gives no rows; only doc_id and text are read.
+ties in bits go to the longer, then the first piece; a table without rows gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -70,15 +75,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], BASE.index(s[0])))
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, token) of the runs and their pieces; a run's padding belongs to the span of what ends with it."""
-    out = set()
-    for m in _CANDIDATE.finditer(text):
+def candidates(text: str) -> list[tuple[int, int, int, int, str]]:
+    """(run, length of the run, start, end, token) of the runs' pieces, each once; a run's padding belongs to the span of
+    what ends with it."""
+    out = []
+    for number, m in enumerate(_CANDIDATE.finditer(text)):
         run = m[0].rstrip("=")
-        for piece in (x for p in _PIECES for x in p.finditer(run)):
-            end = m.end() if piece.end() == len(run) else m.start() + piece.end()
-            out.add((m.start() + piece.start(), end, piece[0]))
-    return sorted(out)
+        pieces = {x.span() for p in _PIECES for x in p.finditer(run)}
+        for a, b in sorted(pieces):
+            out.append((number, len(run), m.start() + a, m.end() if b == len(run) else m.start() + b, run[a:b]))
+    return out
 
 
 def encoding(token: str) -> str | None:
@@ -108,57 +114,92 @@ def battery(token: str, name: str) -> dict[str, float]:
     return {"chi2": p_chi2, "runs": p_runs, "serial": p_serial}
 
 
-def log_e_value(token: str, name: str, log_freq: np.ndarray) -> float:
-    """Log likelihood ratio of the uniform alphabet to ordinary text, bits."""
-    return float(-len(token) * math.log2(len(ALPHABETS[name])) - log_freq[np.frombuffer(token.encode(), np.uint8)].sum())
+def log_shares(counts: np.ndarray) -> np.ndarray:
+    """Log2 of each byte's share among letters and digits, from byte counts of the corpus (add-one, so none is 0)."""
+    counts = counts + 1.0
+    plain = [ord(c) for c in ALPHABETS["base62"]]
+    return np.log2(counts / counts[plain].sum())
+
+
+def log_e_value(token: str, log_share: np.ndarray) -> float:
+    """Log2 of the likelihood ratio of a uniform token, over an alphabet that any of the eight may be, to ordinary text."""
+    chars = set(token)
+    sizes = sorted(len(index) for index in _INDEX.values() if chars <= index.keys())
+    if not sizes:
+        return -math.inf
+    uniform = -len(token) * math.log2(sizes[0]) + math.log2(sum((sizes[0] / k) ** len(token) for k in sizes) / len(_INDEX))
+    return float(uniform - log_share[np.frombuffer(token.encode(), np.uint8)].sum())
 
 
-def _scan(docs: DataFrame) -> DataFrame:
+def _scan(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, base, candidates, bytes of rows (keys, text)."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    cand = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("token", pa.string())]))
+    fields = [("run", pa.int32()), ("size", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("token", pa.string())]
+    names = [f for f, _ in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bases, cands, counts = [], [], np.zeros(256, np.int64)
-            for t in batch.column(1):
+            for t in batch.column("text"):
                 text = t.as_py() or ""
                 counts += np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
                 bases.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in base_spans(text)])
-                cands.append([dict(zip(("start", "end", "token"), c, strict=True)) for c in candidates(text)])
+                cands.append([dict(zip(names, c, strict=True)) for c in candidates(text)])
             per_row = [counts.tolist()] + [None] * (batch.num_rows - 1)  # the batch's counts ride on its first row
-            yield pa.record_batch([batch.column(0), pa.array(bases, span), pa.array(cands, cand), pa.array(per_row[: batch.num_rows], pa.list_(pa.int64()))], names=["doc_id", "base", "candidates", "bytes"])
-
-    schema = "doc_id long, base array<struct<kind:string,start:int,end:int>>, candidates array<struct<start:int,end:int,token:string>>, bytes array<bigint>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-
-
-def _tested(scanned: DataFrame, log_freq: np.ndarray, alpha: float) -> DataFrame:
-    """Candidates that pass the battery, with stratum and e-value: doc_id, base, tokens."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("stratum", pa.int32()), ("bits", pa.int32()), ("p", pa.float64())]))
+            columns = [pa.array(bases, span), pa.array(cands, pa.list_(pa.struct(fields))), pa.array(per_row[: batch.num_rows], pa.list_(pa.int64()))]
+            yield pa.record_batch([*(batch.column(k) for k in keys), *columns], names=[*keys, "base", "candidates", "bytes"])
+
+    schema = ", ".join(f"{k} long" for k in keys) + ", base array<struct<kind:string,start:int,end:int>>"
+    return docs.select(*keys, "text").mapInArrow(run, schema + ", candidates array<struct<run:int,size:int,start:int,end:int,token:string>>, bytes array<bigint>")
+
+
+def judge(found: list[dict], log_share: np.ndarray, alpha: float) -> tuple[list[dict], list[dict]]:
+    """The runs of a text (stratum, bits of the e-value), and the pieces that pass the battery, none overlapping."""
+    runs: dict[int, list[float]] = {}
+    sizes, passed = {}, []
+    for c in found:
+        token = c["token"]
+        name, e = encoding(token), -math.inf
+        if name is not None:
+            p = min(1.0, 3 * min(battery(token, name).values()))
+            if p >= alpha:
+                e = log_e_value(token, log_share)
+                passed.append({"start": c["start"], "end": c["end"], "run": c["run"], "encoding": name, "bits": _bits(e), "p": p})
+        runs.setdefault(c["run"], []).append(e)
+        sizes[c["run"]] = c["size"]
+    told = {}
+    for number, es in runs.items():
+        top = max(es)
+        mean = top + math.log2(sum(2.0 ** max(-1000.0, e - top) for e in es) / len(es)) if top > -math.inf else top
+        told[number] = {"stratum": sum(sizes[number] >= s for s in STRATA) - 1, "bits": _bits(mean)}
+    apart: list[dict] = []
+    for t in sorted(passed, key=lambda t: (-t["bits"], t["start"] - t["end"], t["start"])):
+        if all(t["end"] <= o["start"] or o["end"] <= t["start"] for o in apart if o["run"] == t["run"]):
+            apart.append(t)
+    pieces = [{**t, "stratum": told[t["run"]]["stratum"], "run_bits": told[t["run"]]["bits"]} for t in sorted(apart, key=lambda t: t["start"])]
+    return list(told.values()), pieces
+
+
+def _bits(e: float) -> int:
+    return int(min(255.0, max(0.0, e)))
+
+
+def _tested(scanned: DataFrame, keys: list[str], log_share: np.ndarray, alpha: float) -> DataFrame:
+    """keys, base, runs (stratum, bits) and tokens that pass the battery."""
+    run_type = [("stratum", pa.int32()), ("bits", pa.int32())]
+    token_type = [("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("stratum", pa.int32()), ("run_bits", pa.int32()), ("bits", pa.int32()), ("p", pa.float64())]
+    wanted = [f for f, _ in token_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = []
-            for row in batch.column(2).to_pylist():
-                passed = []
-                for c in row:
-                    token = c["token"]
-                    name = encoding(token)
-                    if name is None:
-                        continue
-                    p = min(1.0, 3 * min(battery(token, name).values()))
-                    if p >= alpha:
-                        stratum = sum(len(token) >= s for s in STRATA) - 1
-                        passed.append({"start": c["start"], "end": c["end"], "encoding": name, "stratum": stratum, "bits": int(min(255, max(0, log_e_value(token, name, log_freq)))), "p": p})
-                apart: list[dict] = []
-                for t in sorted(passed, key=lambda t: (-t["bits"], t["start"] - t["end"], t["start"])):
-                    if all(t["end"] <= o["start"] or o["end"] <= t["start"] for o in apart):
-                        apart.append(t)
-                tokens.append(sorted(apart, key=lambda t: t["start"]))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(tokens, kind)], names=["doc_id", "base", "tokens"])
-
-    schema = "doc_id long, base array<struct<kind:string,start:int,end:int>>, tokens array<struct<start:int,end:int,encoding:string,stratum:int,bits:int,p:double>>"
-    return scanned.select("doc_id", "base", "candidates").mapInArrow(run, schema)
+            judged = [judge(row, log_share, alpha) for row in batch.column("candidates").to_pylist()]
+            runs = pa.array([r for r, _ in judged], pa.list_(pa.struct(run_type)))
+            tokens = pa.array([[{f: t[f] for f in wanted} for t in ts] for _, ts in judged], pa.list_(pa.struct(token_type)))
+            yield pa.record_batch([*(batch.column(k) for k in keys), batch.column("base"), runs, tokens], names=[*keys, "base", "runs", "tokens"])
+
+    schema = ", ".join(f"{k} long" for k in keys) + ", base array<struct<kind:string,start:int,end:int>>, runs array<struct<stratum:int,bits:int>>"
+    schema += ", tokens array<struct<start:int,end:int,encoding:string,stratum:int,run_bits:int,bits:int,p:double>>"
+    return scanned.select(*keys, "base", "candidates").mapInArrow(run, schema)
 
 
 def e_bh_cutoffs(histogram: dict[tuple[int, int], int], totals: dict[int, int], fdr: float) -> list[int]:
@@ -174,26 +215,27 @@ def e_bh_cutoffs(histogram: dict[tuple[int, int], int], totals: dict[int, int],
     return out
 
 
-def secret_spans(docs: DataFrame, fdr: float = 0.01, alpha: float = 0.001) -> DataFrame:
-    """(doc_id, base, found) of every whole text; found are the method's own spans (kind `random`, encoding, bits, p)."""
-    scanned = written(_scan(docs), "secrets")
-    counts = np.ones(256)  # add-one, so unseen bytes have a frequency
+def _spans(texts: DataFrame, keys: list[str], fdr: float, alpha: float) -> DataFrame:
+    """keys, base, found of rows (keys, text)."""
+    scanned = written(_scan(texts, keys), "secrets")
+    counts = np.zeros(256)
     for byte, n in scanned.where("bytes is not null").select(F.posexplode("bytes").alias("b", "n")).groupBy("b").agg(F.sum("n")).collect():
         counts[byte] += n
-    counts[[0x20, *range(0x09, 0x0E)]] = 0  # a token holds no white space
-    with np.errstate(divide="ignore"):
-        log_freq = np.log2(counts / counts.sum())
-    log_freq[~np.isfinite(log_freq)] = 0
-    tested = written(_tested(scanned, log_freq, alpha), "tested")
-    cells = tested.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.bits").count().collect()
+    tested = written(_tested(scanned, keys, log_shares(counts), alpha), "tested")
+    cells = tested.select(F.explode("runs").alias("t")).groupBy("t.stratum", "t.bits").count().collect()
     histogram = {(s, b): n for s, b, n in cells}
     totals: dict[int, int] = {}
     for (s, _), n in histogram.items():
         totals[s] = totals.get(s, 0) + n
     cut = F.array(*[F.lit(c) for c in e_bh_cutoffs(histogram, totals, fdr)])
-    found = F.filter("tokens", lambda t: t["bits"] >= F.get(cut, t["stratum"]))
+    found = F.filter("tokens", lambda t: (t["run_bits"] >= F.get(cut, t["stratum"])) & (t["bits"] >= F.get(cut, t["stratum"])))
     free = F.filter(found, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return tested.select("doc_id", "base", free.alias("found"))
+    return tested.select(*keys, "base", free.alias("found"))
+
+
+def secret_spans(docs: DataFrame, fdr: float = 0.01, alpha: float = 0.001) -> DataFrame:
+    """(doc_id, base, found) of every whole text; found are the method's own spans (kind `random`, encoding, bits, p)."""
+    return _spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), ["doc_id"], fdr, alpha)
 
 
 def spans_in_order() -> Column:
@@ -208,16 +250,17 @@ def spans_in_order() -> Column:
 def redact(docs: DataFrame, fdr: float = 0.01, mark: str = "[secret]") -> DataFrame:
     """Columns of docs, every secret span of the text replaced by `mark`.
 
-    Texts and spans meet through a key of the text itself, so null or repeated doc_ids do no harm, and a text that occurs
-    often is scanned once. Only texts with spans have a row on the other side of that join."""
-    key = F.xxhash64("text", F.lit(1))
-    texts = docs.where("text is not null").select(key.alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    spans = secret_spans(texts, fdr).select(F.col("doc_id").alias("key"), spans_in_order().alias("spans")).where(F.size("spans") > 0)
+    Texts and spans meet through two 64-bit keys of the text itself, so null or repeated doc_ids do no harm, and a text
+    that occurs often is scanned once. Only texts with spans have a row on the other side of that join."""
+    keys = ["key", "other_key"]
+    key = [F.xxhash64("text", F.lit(1)).alias("key"), F.xxhash64(F.lit(2), "text").alias("other_key")]
+    texts = docs.where("text is not null").select(*key, F.col("text").alias("text")).dropDuplicates(keys)
+    spans = written(_spans(texts, keys, fdr, 0.001).select(*keys, spans_in_order().alias("spans")).where(F.size("spans") > 0), "spans")
     step = lambda acc, s: F.struct(
         F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring("doc.text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
         F.greatest(acc["at"], s["end"]).alias("at"),
     )
-    joined = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key")).join(spans, "key", "left")
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *key).join(spans, keys, "left")
     joined = joined.withColumn("done", F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step))
     text = F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(F.concat("done.out", F.substring("doc.text", F.col("done.at") + 1, F.length("doc.text"))))
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

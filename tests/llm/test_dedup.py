@@ -4,9 +4,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm._common import Words, components
-from tessera.llm.ngram_join import keep_one_of_each, near_duplicate_classes
-from tessera.llm.substring_dedup import Windows, recompress, remove_repeats
+from fractions import Fraction
+
+from tessera.llm._common import Answers, Words, _bucket, ask_rows, components, discard, grams, release, shards_for, shared_dir, written
+from tessera.llm.ngram_join import keep_one_of_each, near_duplicate_classes, passing_pairs, settle_names
+from tessera.llm.substring_dedup import HighSymbols, Windows, _covered, recompress, remove_repeats
 
 from . import helpers as H
 
@@ -25,10 +27,10 @@ def test_chain_of_links_is_one_class(spark):
     assert got == {i: c for i, (_, c) in H.classes(rows, 3, 9, 10).items()}
 
 
-def test_many_near_copies_over_several_blocks(spark):
+def test_many_near_copies_over_several_blocks_and_full_buckets(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:i] + [f"z{i}"] + base[i + 1 :]), "en", "s", 0) for i in range(150)]
-    got = near_duplicate_classes(H.frame(spark, rows), 3, "9/10", block_tokens=4000).collect()
+    got = near_duplicate_classes(H.frame(spark, rows), 3, "9/10", block_tokens=4000, bucket=3).collect()
     assert {r.component_id for r in got} == {0} and len(got) == 150
 
 
@@ -54,6 +56,116 @@ def test_keep_one_of_each(spark):
     assert {r.doc_id for r in kept} == want and len(kept) == len(want)
 
 
+def test_keep_one_of_each_tells_texts_of_one_id_apart(spark):
+    text = lambda seed: " ".join(f"{seed}{j}" for j in range(30))
+    rows = [(5, text("a")), (5, text("b")), (6, text("a")), (1, text("c")), (7, text("d")), (7, text("e")), (8, text("b")), (3, text("e")), (7, text("d")), (None, text("a")), (9, ""), (9, None), (9, "")]
+    kept = keep_one_of_each(H.frame(spark, [(i, t, "en", "s", 0) for i, t in rows])).collect()
+    key = lambda r: (r[0] or -1, r[1] or "~")
+    want = [(5, text("a")), (5, text("b")), (1, text("c")), (7, text("d")), (3, text("e")), (None, text("a")), (9, ""), (9, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=key) == sorted(want, key=key)
+
+
+def _thue_morse(n, letters):
+    """Such words collide under every polynomial hash modulo a power of two."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [8, 1024, 4096])
+def test_regular_words_and_windows_have_different_names(n):
+    a, b = _thue_morse(n, "ab"), _thue_morse(n, "ba")
+    w = Words(pa.array([f"{a} {b}"]))
+    assert w.hash[0] != w.hash[1] and w.check[0] != w.check[1] and w.hash[0] != w.check[0]
+    x = np.where([c == "a" for c in a], np.uint64(3), np.uint64(5))
+    assert grams(x, n)[0] != grams(np.uint64(8) - x, n)[0]
+
+
+def test_regular_words_link_and_remove_nothing(spark):
+    a, b = _thue_morse(2048, "AB"), _thue_morse(2048, "BA")
+    rows = [(1, f"{a} q r s", "en", "s", 0), (2, f"{b} q r s", "en", "s", 0)]
+    got = {r.doc_id: r.component_id for r in near_duplicate_classes(H.frame(spark, rows), 3, "9/10").collect()}
+    assert got == {1: 1, 2: 2}
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{a} {tail}", "en", "s", 0), (2, f"{b} {tail}", "en", "s", 0), (3, f"{a} {tail}", "en", "s", 0)]
+    assert {r.doc_id: r.n_removed for r in remove_repeats(H.frame(spark, rows)).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_units_that_share_a_name_are_named_anew(spark):
+    rows = [(1, 10, 7), (2, 10, 7), (3, 10, 8), (4, 11, 9)]
+    got = {r.doc_id: r.unit for r in settle_names(spark.createDataFrame(rows, "doc_id long, unit long, mark long")).collect()}
+    assert got[1] == got[2] != got[3] and 10 not in (got[1], got[3]) and got[4] == 11
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=14), min_size=2, max_size=9), st.sampled_from([Fraction(4, 5), Fraction(9, 10), Fraction(1, 2)]))
+def test_similar_groups_stay_connected(sets, t):
+    """Bucket by bucket, as the join sees them: groups by prefix tokens with places, any pair of similar sets is connected."""
+    import math
+
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for token in range(26):
+        rows = []
+        for g, s in enumerate(sets):
+            order = sorted(s)
+            prefix = order[: len(s) - math.ceil(t * len(s)) + 1]
+            if token in prefix:
+                rows.append((len(s), g, prefix.index(token)))
+        rows.sort()
+        if rows:
+            n, g, place = (np.array(c) for c in zip(*rows))
+            for a, b in zip(*passing_pairs(np.full(len(rows), token), np.zeros(len(rows)), g, n, place, t)):
+                parent[find(int(a))] = find(int(b))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            if i < j and len(x & y) >= t * len(x | y):
+                assert find(i) == find(j)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.sampled_from([1, 2]), st.integers(0, 4), st.integers(-5, 5)), min_size=1, max_size=30), st.booleans())
+def test_census_answers(entries, checked):
+    """(name, check, shard, doc): names equal in the first lane only are told apart."""
+    asked, want = [], {}
+    for shard in sorted({e[2] for e in entries}):
+        mine = sorted({(n, c if checked else 0) for n, c, s, _ in entries if s == shard})
+        docs = {k: {d for n, c, s, d in entries if s == shard and (n, c if checked else 0) == k} for k in mine}
+        names, checks = (np.array(x, np.uint64) for x in zip(*mine))
+        asked.append(ask_rows(shard, 1, names, np.array([min(2, len(docs[k])) for k in mine], np.uint8), checks if checked else None, np.array([min(docs[k]) for k in mine], np.int64)))
+        for k in mine:
+            want.setdefault(k, {})[shard] = docs[k]
+    answers = _bucket(pa.concat_tables(asked))
+    for shard in {e[2] for e in entries}:
+        mine = Answers(answers.filter(pa.compute.equal(answers["shard"], shard)))
+        for (n, c), by in want.items():
+            if shard not in by:
+                continue
+            least = min(d for ds in by.values() for d in ds)
+            told = any(d > least for d in by[shard])
+            at = mine.find(np.array([n], np.uint64), np.array([c], np.uint64) if checked else None)[0]
+            assert (at >= 0) == told or (at >= 0 and min(by[shard]) == least)
+            if told:
+                assert mine.least[at] == least
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+
+    table = written(spark.range(3), "scratch")
+    folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.isdir(folder) and table.count() == 3
+    discard(table)
+    assert not os.path.isdir(folder)
+    kept = written(spark.range(3), "scratch").inputFiles()[0].removeprefix("file://")
+    release(spark)
+    assert not os.path.exists(kept) and shared_dir(spark)
+    assert shards_for(spark, 10 << 30) == 160 and shards_for(spark, None) == 4
+
+
 def test_odd_rows_have_defined_classes(spark):
     got = near_duplicate_classes(H.odd_frame(spark), 3, "9/10").collect()
     assert len(got) == len(H.ODD)
@@ -142,3 +254,29 @@ def test_words_match_the_pattern(texts):
         assert seen.setdefault(word, name) == name
     assert len(set(seen.values())) == len(seen)
     assert np.array_equal(words.first, np.cumsum([0, *words.counts]))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), min_size=1, max_size=200), st.lists(st.sampled_from("abcdef"), max_size=60))
+def test_high_symbols_name_what_they_replace(words, more):
+    texts = [" ".join(words), " ".join(more + words), " ".join(words)]
+    flat = [x for t in texts for x in t.split()]
+    w = Words(pa.array(texts))
+    name, check, start, end, row = HighSymbols(w, 6).joined(3)
+    spelled = {}
+    for n, c, a, b in zip(name.tolist(), check.tolist(), start, end):
+        assert spelled.setdefault((n, c), flat[a:b]) == flat[a:b]
+    copies = [[k for k, r in zip(zip(name.tolist(), check.tolist()), row) if r == i] for i in (0, 2)]
+    assert copies[0] == copies[1]
+
+
+def test_covered():
+    assert _covered(np.array([1, 2, 6]), np.array([3, 4, 7]), 8).tolist() == [False, True, True, True, False, False, True, False]
+
+
+def test_long_copies_are_settled_by_high_symbols(spark):
+    rng = np.random.default_rng(8)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 90, 700))
+    rows = [(i, text if i % 2 else f"{text} and something else {i}", "en", "s", 0) for i in range(6)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_repeats(H.frame(spark, rows)).collect()}
+    assert got == {i: (len(w), sum(m)) for i, w, m in H.without_repeats(rows)}

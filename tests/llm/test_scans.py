@@ -88,6 +88,32 @@ def test_battery_tells_random_from_ordinary():
     assert min(secret_scan.battery("aaaaaaaaaaaaaaaaaaaaaaaa1", "base36").values()) < 1e-4
 
 
+def test_ordinary_text_is_not_reported():
+    """Runs of ordinary characters, unevenly distributed: the e-values average to at most 1 and no cutoff is met."""
+    rng = np.random.default_rng(21)
+    chars = secret_scan.ALPHABETS["base64"] + "-_"
+    share = rng.dirichlet(np.full(66, 0.3))
+    texts = ["".join(chars[i] for i in rng.choice(66, rng.integers(20, 60), p=share)) for _ in range(4000)]
+    counts = np.bincount(np.frombuffer("".join(texts).encode(), np.uint8), minlength=256)
+    log_share = secret_scan.log_shares(counts)
+    histogram, totals, e = {}, {}, []
+    for text in texts:
+        found = [dict(zip(("run", "size", "start", "end", "token"), c)) for c in secret_scan.candidates(text)]
+        e += [2.0 ** secret_scan.log_e_value(c["token"], log_share) for c in found if c["token"] == text]
+        for run in secret_scan.judge(found, log_share, 0.001)[0]:
+            histogram[run["stratum"], run["bits"]] = histogram.get((run["stratum"], run["bits"]), 0) + 1
+            totals[run["stratum"]] = totals.get(run["stratum"], 0) + 1
+    assert np.mean(e) <= 1 and sum(totals.values()) > 3000
+    for stratum, cut in enumerate(secret_scan.e_bh_cutoffs(histogram, totals, 0.01)):
+        assert not any(b >= cut for s, b in histogram if s == stratum)
+
+
+def test_all_runs_count_as_tests():
+    """A run that fails the battery is still one of the hypotheses."""
+    runs, pieces = secret_scan.judge([{"run": 0, "size": 24, "start": 0, "end": 24, "token": "a" * 24}], np.zeros(256), 0.001)
+    assert runs == [{"stratum": 1, "bits": 0}] and not pieces
+
+
 def test_e_bh_by_hand():
     # stratum 0: 4 candidates at 12, 12, 3, 1 bits, level 0.01: two at 12 >= log2(4 / (0.01 * 2)) = 7.6
     assert 7.6 < secret_scan.e_bh_cutoffs({(0, 12): 2, (0, 3): 1, (0, 1): 1}, {0: 4}, 0.01)[0] <= 12
@@ -123,6 +149,55 @@ def test_long_split_and_letters_only_tokens_are_found(spark):
     assert [clean[1000 + i] for i in range(3)] == [f"die Rede war von {t} und mehr" for t in ("[secret]", "com/reset/[secret]", "[secret]")]
 
 
+def _hex_digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_secret_query_digests(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    token = "".join(secret_scan.ALPHABETS["base62"][i] for i in rng.integers(0, 62, 44))
+    rows = H.corpus(60) + [(900, f"é {token} then password=hunter2222 and AKIA{'A1' * 9}", "en", "s", 0), (901, "0123456789abcdef" * 3, "en", "s", 0)]
+    d = str(tmp_path)
+    H.frame(spark, rows).write.parquet(f"{d}/documents.parquet")
+    got = {r.doc_id: r for r in Q.op8_secret_scan(spark, d).collect()}
+    assert len(got) == len(rows)
+    for i, t, *_ in rows:
+        base = _plain_secrets(t)
+        r = got[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == b for b, *_ in base) for k in secret_scan.BASE)
+        assert r.base_sha256 == _hex_digest(base)
+        own = [("random", 2, 2 + len(token))] if i == 900 else []
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(base + own, key=lambda s: (s[1], (*secret_scan.BASE, "random").index(s[0]))))
+
+
+def test_pii_query_digests(spark, tmp_path):
+    rows = [(1, "é mail a@b.co, ip 1.2.3.4 or 999.1.1.1; card 4111 1111 1111 1111", "en", "s", 0), (2, None, "en", "s", 0), (3, "iban GB82WEST12345698765432 born 12.03.1990, ssn 123-45-6789, account 12345678", "en", "s", 0), (4, "call +1 (555) 123-4567 now", "en", "s", 0)]
+    d = str(tmp_path)
+    H.frame(spark, rows).write.parquet(f"{d}/documents.parquet")
+    got = {r.doc_id: r for r in Q.op5_pii(spark, d).collect()}
+    for i, t, *_ in rows:
+        base = _plain_pii(t or "")
+        assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(sum(k == b for b, *_ in base) for k in pii.BASE)
+        assert got[i].base_sha256 == _hex_digest(base)
+    more = {s.split(":")[0]: rows[2][1][int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[3].spans.split(",")}
+    assert more["iban"] == "GB82WEST12345698765432" and more["birth"] == "12.03.1990" and more["national"] == "123-45-6789" and more["account"] == "12345678"
+    assert got[4].spans == "phone:5:22" and got[3].n_spans == len(got[3].spans.split(","))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["account", "card", "iban"]), st.integers(0, 40), st.integers(1, 12)), max_size=10))
+def test_bare_numbers_under_other_spans_go(spans):
+    spans = [pii.Span(k, a, a + n, 1.0) for k, a, n in spans]
+    taken = 0
+    for s in sorted((s for s in spans if s.kind == "account"), key=lambda s: s.start):  # account spans never overlap
+        if s.start < taken:
+            spans.remove(s)
+        else:
+            taken = s.end
+    want = [s for s in spans if s.kind != "account" or not any(o.kind != "account" and o.start < s.end and s.start < o.end for o in spans)]
+    assert sorted(pii._uncovered(spans)) == sorted(want)
+
+
 def test_secrets_of_odd_rows(spark):
     assert secret_scan.secret_spans(H.odd_frame(spark)).count() == len(H.ODD)
     assert secret_scan.redact(H.odd_frame(spark)).count() == len(H.ODD)
@@ -204,12 +279,50 @@ def test_segments_need_both_thresholds():
     assert audio.segments(db, rise=1.5, fall=0.5) == [(4, 7)]
 
 
-def test_tensors_have_fixed_shape_and_spans(spark):
+def test_features_do_not_depend_on_blocks(monkeypatch):
+    samples = np.random.default_rng(3).integers(0, 256, 40_000).astype(np.uint8)
+    whole = audio.log_mel(samples)
+    monkeypatch.setattr(audio, "BLOCK", 7)
+    for a, b in zip(whole, audio.log_mel(samples), strict=True):
+        assert np.allclose(a, b, atol=1e-4)
+    assert np.allclose(audio.resample(samples, 100, 300), audio.resample(samples)[100:300], atol=1e-6)
+
+
+def test_tensors_are_stored_with_their_spans(spark):
     media = audio.to_media(H.odd_frame(spark))
-    rows = audio.audio_tensors(media).toArrow()
-    t = audio.to_tensors(rows)
-    assert isinstance(t["log_mel"].type, pa.FixedShapeTensorType) and t["log_mel"].type.shape == list(audio.SHAPE)
-    assert all(a < b for a, b in zip(rows["start_ms"].to_pylist(), rows["end_ms"].to_pylist()))
+    stored = audio.media_features(media)
+    for r in stored.collect():
+        table = audio.read_tensors(bytes(r.tensors))
+        kind = table.schema.field("log_mel").type
+        assert isinstance(kind, pa.FixedShapeTensorType) and kind.shape == list(audio.SHAPE) and table.num_rows == r.n_clips
+        spans = list(zip(table["start_ms"].to_pylist(), table["end_ms"].to_pylist()))
+        assert spans[0][0] == 0 and all(a < b for a, b in spans) and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+        active = [tuple(map(int, s.split("-"))) for s in r.active_ms.split(",") if s]
+        assert table["active"].to_pylist() == [any(a < y and x < b for a, b in active) for x, y in spans]
+    rows = audio.audio_tensors(stored).collect()
+    mel, _, _ = audio.features(audio.payload_of("same words again " * 30)[0])
+    mine = [r for r in rows if r.doc_id == 6]
+    got = np.concatenate([np.array(r.log_mel).reshape(audio.SHAPE) for r in sorted(mine, key=lambda r: r.clip)])
+    assert np.allclose(got[: len(mel)], mel) and not got[len(mel) :].any()
+
+
+def test_null_media_have_null_features(spark):
+    got = audio.media_features(spark.createDataFrame([(1, None, None)], "doc_id long, media binary, n_bytes long")).first()
+    assert got.doc_id == 1 and got.feature is None and got.tensors is None
+
+
+def _plain_summary(payload):
+    """The features' text from whole arrays, without blocks or phases."""
+    x, taps = np.zeros(2 * len(payload)), audio._REACH
+    x[::2] = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    n = np.arange(-2 * taps, 2 * taps + 1)
+    sound = np.convolve(x, np.sinc(n / 5) / 5 * np.hanning(len(n)) * 2)[2 * taps :][: len(x)][::5]
+    frames = max(1, -(-max(0, len(sound) - 160) // 64) + 1)
+    sound = np.append(sound, np.zeros((frames - 1) * 64 + 160 - len(sound)))
+    cut = np.stack([sound[64 * i : 64 * i + 160] for i in range(frames)])
+    mel = np.log(np.abs(np.fft.rfft(cut * np.hanning(160), axis=1)) ** 2 @ audio._mel_bank(6400).astype(float) + 1e-6)
+    db = 10 * np.log10((cut * cut).mean(axis=1) + 1e-9)
+    return audio.summary(mel.astype(np.float32), db.astype(np.float32), audio.segments(db.astype(np.float32)))
 
 
 def test_media_query(spark, tmp_path):
@@ -221,4 +334,10 @@ def test_media_query(spark, tmp_path):
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        with BytesIO() as f:
+            with wave.open(f, "wb") as w:
+                w.setnchannels(1), w.setsampwidth(1), w.setframerate(audio.RATE), w.writeframes(payload)
+            media = f.getvalue()
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature == _plain_summary(payload)
     assert rows[1].feature == rows[2].feature and rows[5].feature == rows[6].feature
