@@ -249,8 +249,31 @@ def _families(prefixes: DataFrame, t: Fraction, bucket: int) -> DataFrame:
     return prefixes.join(several, "grp").select("unit", "mark", "doc_id", "n", "family")
 
 
+_MOST_BITS = 1 << 26  # 8 MB
+
+
+def _candidate_bits(families: DataFrame) -> np.ndarray:
+    """A bit table that holds every candidate's doc_id, some 16 bits for each and 8 MB at most: the second read of the texts
+    passes these and a share of others, which the join then drops. A full table passes more, never less."""
+    n = families.count()
+    bits = min(_MOST_BITS, 1 << max(16, (16 * n).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    rows = families.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("m")).toArrow()
+    table = np.zeros(bits // 32, np.uint32)
+    table[rows["w"].to_numpy()] = rows["m"].to_numpy()
+    return table
+
+
 def _candidate_sets(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:
     """(unit, family, n, tokens): each candidate unit's whole set, read again from the document that stands for it."""
+    bits = _candidate_bits(families)
+    n_bits = len(bits) * 32
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            hit = (bits[slot // 32] >> (slot % 32).astype(np.uint32)) & np.uint32(1)
+            yield batch.select(["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -261,6 +284,7 @@ def _candidate_sets(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:
                 yield pa.record_batch(rows, names=["unit", "family", "n", "tokens"]).filter(same)  # a doc_id may have other texts
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null")
+    read = read.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(n_bits))).mapInArrow(possible, "doc_id long, text string")
     return read.join(families, "doc_id").select("unit", "mark", "family", "n", "text").mapInArrow(sets, "unit long, family long, n long, tokens binary")
 
 
@@ -354,7 +378,7 @@ def _classes(docs: DataFrame, k: int, threshold: str | Fraction, block_tokens: i
     shards = shards_for(spark, first.agg(F.sum(F.length("low"))).first()[0])
     lows = first.select(F.pmod("unit", F.lit(shards)).cast("int").alias("shard"), "unit", "mark", "doc_id", "n_shingles", "low")
     prefixes = written(_prefixes(lows, order, shards), "prefixes")
-    families = written(_families(prefixes, t, bucket), "candidates")
+    families = written(_families(prefixes, t, bucket), "candidates")  # written, so that its size decides how texts meet it
     links = _verified_links(written(_candidate_sets(docs, families, k), "candidate-sets"), t, block_tokens)
     roots = components(links).withColumnRenamed("node", "unit")
     known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)

@@ -88,8 +88,8 @@ first AS (SELECT doc_id, min(rank) AS first, any_value(stratum) AS stratum FROM
 sizes AS (SELECT stratum, n, pow(1 - {risk!r}::DOUBLE, n) AS p FROM (SELECT DISTINCT stratum FROM plan) LEFT JOIN (SELECT stratum, count(*) AS n FROM hold GROUP BY 1) USING (stratum)),
 tarone AS (SELECT min(k) AS k FROM range(1, 10001) r(k) WHERE (SELECT count(*) FROM sizes WHERE p <= {confidence} / k) <= k),
 sets AS (SELECT stratum, rank, n, count(first) AS k FROM plan JOIN sizes USING (stratum) LEFT JOIN first ON first.stratum = plan.stratum AND first.first <= plan.rank GROUP BY plan.stratum, stratum, rank, n, p HAVING p <= {confidence} / (SELECT k FROM tarone)),
-failed AS (SELECT stratum, min(rank) AS at FROM sets WHERE NOT (k < n * {risk!r} AND {tail} <= {confidence} / (SELECT k FROM tarone)) GROUP BY 1),
-force AS (SELECT plan.* FROM plan JOIN sets USING (stratum, rank) LEFT JOIN failed USING (stratum) WHERE rank < coalesce(at, 99)),
+failed AS (SELECT stratum, min(rank) AS stop_at FROM sets WHERE NOT (k < n * {risk!r} AND {tail} <= {confidence} / (SELECT k FROM tarone)) GROUP BY 1),
+force AS (SELECT plan.* FROM plan JOIN sets USING (stratum, rank) LEFT JOIN failed USING (stratum) WHERE rank < coalesce(stop_at, 99)),
 gone AS (SELECT DISTINCT f.stratum, f.doc_id FROM f JOIN force USING (stratum) WHERE {value} > cut)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM gone) AS kept FROM f

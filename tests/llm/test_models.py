@@ -88,7 +88,7 @@ def test_every_language_is_a_stratum_of_its_own(spark):
     """Production parameters: 99 good holdout rows certify alone, 134 for three strata; fr has too few and is not counted."""
     rows, truth = [], []
     for i in range(3600):
-        lang = ["en", "en", "en", "de", None, "en"][i % 6] if i < 3000 else ("fr" if i < 3100 else "en")
+        lang = ["en", "en", "en", "de", None, "en"][i // 2 % 6] if i < 3000 else ("fr" if i < 3100 else "en")
         good = i % 7 != 0
         words = [f"w{i}x{j}" for j in range(14)]
         rows.append((i, " ".join(words if good else [w + "***" for w in words]), lang, "s", 0))
