@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns
 of documents. run() applies them to documents, each stage's result written as Parquet in the shared folder and reread.
+
+Defined cases, of every stage: a table without rows gives none; a null doc_id is a document of its own; rows of one doc_id
+and different texts are different documents; columns beyond doc_id and text are carried along whatever their names
+(n_chars, where there is one, is counted again when a stage changes the text); very long texts are taken whole. What a
+stage does with null and empty texts and with repeated rows stands at the stage.
 """
 
 from __future__ import annotations
@@ -16,19 +21,21 @@ from tessera.sources.workers import share_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go. Null and empty texts fail the base rules (no words); repeated rows go or stay together."""
     share_path(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five words, similarity 0.8)."""
+    """One document of each group of near copies stays (five words, similarity 0.8), that of the smallest doc_id. Null texts and
+    texts without a word are near nothing and stay; repeated rows of one doc_id and text stay once."""
     share_path(spark)
     return ngram_join.keep_one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of long repeats go; a text that loses all its words goes as well."""
+    """Words of long repeats go; a text that loses all its words goes as well. Null and empty texts stay as they are; rows of
+    equal doc_id don't remove each other's words, so repeated rows are each kept; a null doc_id loses nothing."""
     share_path(spark)
     kept = substring_dedup.remove_repeats(docs).where("n_words = 0 or n_removed < n_words")
     names = docs.columns
@@ -37,7 +44,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text."""
+    """Secrets are masked in the text. Null and empty texts stay as they are; equal texts, repeated rows too, are masked alike."""
     share_path(spark)
     kept = secret_scan.redact(docs)
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None
@@ -45,7 +52,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 2048 tokens: one row per piece."""
+    """Training sequences of at most 2048 tokens: one row per piece. A null or empty text is one piece with the end id;
+    repeated rows are packed once each."""
     share_path(spark)
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 

@@ -18,17 +18,51 @@ def candidates(cells: DataFrame, rows: DataFrame, cols: DataFrame, blocks: DataF
     return cells.join(rows, "store").join(cols, "item").join(blocks, ["r", "c"])
 
 
+#: score of block value b for a cell of value x whose fitted value (all its blocks together) is fit
 SCORES = {
-    "gaussian_delta": lambda x, b: x * b - 0.5 * b * b,
-    "dominant": lambda x, b: F.abs(b),
-    "poisson_delta": lambda x, b: x * F.log(F.greatest(b, F.lit(1e-12))) - b,
+    "gaussian_delta": lambda x, fit, b, eps: (x - fit) * b - 0.5 * b * b,
+    "poisson_delta": lambda x, fit, b, eps: x * (F.log(F.greatest(fit, F.lit(eps))) - F.log(F.greatest(F.greatest(fit, F.lit(eps)) - b, F.lit(eps)))) - b,
+    "dominant": lambda x, fit, b, eps: F.abs(b),
+    "dominant_poisson": lambda x, fit, b, eps: b,
 }
 
 
-def assign_blocks(cells: DataFrame, rows: DataFrame, cols: DataFrame, blocks: DataFrame, score: str = "gaussian_delta", n_cols: int | None = None) -> DataFrame:
-    """Best block per cell, lowest (r, c) among equals; cells in no block get r = c = block_id = -1. block_id = r * n_cols + c."""
-    cand = candidates(cells, rows, cols, blocks).withColumn("score", SCORES[score](F.col("value"), F.col("b")))
-    best = cand.groupBy("store", "item").agg(F.max_by(F.struct("r", "c"), F.struct("score", -F.col("r"), -F.col("c"))).alias("m"))
+def assign_blocks(
+    cells: DataFrame,
+    rows: DataFrame,
+    cols: DataFrame,
+    blocks: DataFrame,
+    score: str = "gaussian_delta",
+    n_cols: int | None = None,
+    allowed: DataFrame | None = None,
+    min_abs_b: float | None = None,
+    on_empty: str = "fallback",
+    eps: float = 1e-9,
+) -> DataFrame:
+    """Best block per cell, lowest (r, c) among equals; cells in no block get r = c = block_id = -1. block_id = r * n_cols + c.
+
+    Delta scores measure how much the loss falls by the block, from the residual of the whole fit. `allowed` (r, c, allowed)
+    or min_abs_b narrows the choice; a cell all of whose blocks are ruled out gets the dominant allowed block of all
+    (`fallback`, (0, 0) if none is allowed), -1 (`skip`) or an error (`raise`)."""
+    if on_empty not in ("fallback", "skip", "raise"):
+        raise ValueError(f"on_empty: {on_empty}")
+    if allowed is None and min_abs_b is not None:
+        allowed = blocks.select("r", "c", (F.abs("b") >= min_abs_b).alias("allowed"))
+    cand = candidates(cells, rows, cols, blocks).withColumn("_fit", F.sum("b").over(W.partitionBy("store", "item")))
+    if allowed is not None:
+        cand = cand.join(allowed.select("r", "c", F.col("allowed").alias("_ok")), ["r", "c"], "left")
+    else:
+        cand = cand.withColumn("_ok", F.lit(True))
+    value = F.when(F.coalesce("_ok", F.lit(False)), SCORES[score](F.col("value"), F.col("_fit"), F.col("b"), eps))
+    cand = cand.withColumn("score", value)
+    best = cand.groupBy("store", "item").agg(F.max_by(F.when(F.col("score").isNotNull(), F.struct("r", "c")), F.struct("score", -F.col("r"), -F.col("c"))).alias("m"))
+    if on_empty != "skip":
+        dominant = F.abs("b") if score != "dominant_poisson" else F.col("b")
+        open_ = blocks if allowed is None else blocks.join(allowed.where("allowed").select("r", "c"), ["r", "c"], "left_semi")
+        first = open_.agg(F.max_by(F.struct("r", "c"), F.struct(dominant, -F.col("r"), -F.col("c"))).alias("_first"))  # one row
+        zero = F.lit(0).cast(blocks.schema["r"].dataType).alias("r"), F.lit(0).cast(blocks.schema["c"].dataType).alias("c")
+        instead = F.coalesce("_first", F.struct(*zero)) if on_empty == "fallback" else F.raise_error(F.lit("a cell has no allowed block")).cast(best.schema["m"].dataType)
+        best = best.join(F.broadcast(first)).select("store", "item", F.when(F.col("m").isNull(), instead).otherwise(F.col("m")).alias("m"))
     width = F.lit(n_cols) if n_cols is not None else None
     if width is None:
         best = best.join(F.broadcast(blocks.agg((F.max("c") + 1).alias("_w"))))
@@ -46,12 +80,18 @@ def reconstruct(cells: DataFrame, rows: DataFrame, cols: DataFrame, blocks: Data
 
 def ablation(cells: DataFrame, rows: DataFrame, cols: DataFrame, blocks: DataFrame) -> DataFrame:
     """Rise of the squared error when a block is left out: sum over its cells of (x - xhat + b)^2 - (x - xhat)^2."""
-    fitted = reconstruct(cells, rows, cols, blocks)
-    cand = candidates(fitted, rows, cols, blocks)
+    cand = candidates(cells, rows, cols, blocks).withColumn("xhat", F.sum("b").over(W.partitionBy("store", "item")))
     e = F.col("value") - F.col("xhat")
     return cand.groupBy("r", "c").agg(F.sum((e + F.col("b")) * (e + F.col("b")) - e * e).alias("delta_loss"), F.count("*").alias("n_cells"))
 
 
+def block_stats(cells: DataFrame, rows: DataFrame, cols: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Per block with cells: b, n_rows, n_cols, n_cells, delta_loss (of leaving it out) and effect_score = |b| sqrt(n_cells)."""
+    n_rows, n_cols = rows.groupBy("r").agg(F.count("*").alias("n_rows")), cols.groupBy("c").agg(F.count("*").alias("n_cols"))
+    stats = ablation(cells, rows, cols, blocks).join(blocks.select("r", "c", "b"), ["r", "c"]).join(n_rows, "r").join(n_cols, "c")
+    return stats.withColumn("effect_score", F.abs("b") * F.sqrt("n_cells"))
+
+
 def explained(cells: DataFrame, fitted: str = "xhat", baseline: str = "column_mean") -> DataFrame:
     """TSS, RSS and PVE against column means, the grand mean or zero."""
     base = {"column_mean": F.avg("value").over(W.partitionBy("item")), "grand_mean": None, "zero": F.lit(0.0)}[baseline]
@@ -143,22 +183,47 @@ def weighted_blocks(cells: DataFrame, rows: DataFrame, cols: DataFrame, blocks:
     return explain_blocks(cells, rows, cols, blocks, 1).drop("top_stores", "top_items")
 
 
-def mask_by_gap(blocks: DataFrame) -> DataFrame:
-    """Per row cluster the blocks before the largest drop of |b| in falling order."""
-    w = W.partitionBy("r").orderBy(F.desc(F.abs("b")), "c")
-    ranked = blocks.withColumn("rk", F.row_number().over(w)).withColumn("drop", F.abs("b") - F.abs(F.lead("b").over(w)))
-    cut = ranked.where("drop is not null").groupBy("r").agg(F.max_by("rk", F.struct("drop", -F.col("rk"))).alias("cut"))
-    return ranked.join(cut, "r", "left").withColumn("allowed", F.col("rk") <= F.coalesce("cut", F.col("rk"))).select("r", "c", "b", "allowed")
+def mask_by_gap(blocks: DataFrame, min_keep: int = 4, eps: float = 1e-12) -> DataFrame:
+    """Blocks, of all together, with |b| at or above the value before the largest drop in falling order, min_keep at least;
+    values up to eps don't count (all of them if there is nothing else: none is allowed)."""
+    own = F.abs("b")
+    w = W.orderBy(F.desc("a"), "r", "c")  # blocks, not cells
+    ranked = blocks.select("r", "c", own.alias("a")).where(F.col("a") > eps).withColumn("rk", F.row_number().over(w)).withColumn("drop", F.col("a") - F.lead("a").over(w))
+    keep = ranked.agg(F.greatest(F.coalesce(F.max_by("rk", F.struct("drop", -F.col("rk"))), F.lit(1)), F.lit(min_keep)).alias("_k"))
+    cut = ranked.join(F.broadcast(keep)).where("rk <= _k").agg(F.min("a").alias("_cut"))
+    return blocks.join(F.broadcast(cut)).withColumn("allowed", F.coalesce(own >= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def mask_top_k(blocks: DataFrame, k: int) -> DataFrame:
-    w = W.partitionBy("r").orderBy(F.desc(F.abs("b")), "c")
-    return blocks.withColumn("allowed", F.row_number().over(w) <= k)
-
-
-def mask_by_quantile(blocks: DataFrame, q: float) -> DataFrame:
-    cut = blocks.agg(F.percentile(F.abs("b"), q).alias("_q"))
-    return blocks.join(F.broadcast(cut)).withColumn("allowed", F.abs("b") >= F.col("_q")).drop("_q")
+    """Blocks, of all together, with |b| at or above the k-th greatest (equals stay)."""
+    top = blocks.select(F.abs("b").alias("a")).orderBy(F.desc("a")).limit(k).agg(F.min("a").alias("_cut"))
+    return blocks.join(F.broadcast(top)).withColumn("allowed", F.coalesce(F.abs("b") >= F.col("_cut"), F.lit(False))).drop("_cut")
+
+
+def gap_cutoff(stats: DataFrame, column: str, least: int = 1) -> DataFrame:
+    """One row `cut`: the value before the largest relative jump of the rising values, rounded down, `least` at least."""
+    w = W.orderBy("x")
+    rows = stats.select(C.finite(column).alias("x")).where("x is not null").withColumn("next", F.lead("x").over(w)).withColumn("at", F.row_number().over(w))  # blocks, not cells
+    jump = (F.col("next") - F.col("x")) / F.greatest("x", F.lit(1e-12))
+    before = F.coalesce(F.max_by(F.when(jump.isNotNull(), F.col("x")), F.struct(jump, -F.col("at"))), F.min("x"))
+    return rows.agg(F.greatest(F.coalesce(F.floor(before), F.lit(least)), F.lit(least)).cast("double").alias("cut"))
+
+
+def mask_by_stats(stats: DataFrame, rule: str = "delta_then_size", size_quantile: float = 0.5, delta_quantile: float = 0.5, min_rows: int = 1, min_cols: int = 1) -> DataFrame:
+    """Blocks of `block_stats` by size_gap, effect_gap, delta_then_size or quantiles (of n_cells), with enough rows and columns."""
+    if rule == "size_gap":
+        keep, cuts = F.col("n_cells") >= F.col("cut"), gap_cutoff(stats, "n_cells", min_rows * min_cols)
+    elif rule == "effect_gap":
+        keep, cuts = F.col("effect_score") >= F.col("cut"), gap_cutoff(stats, "effect_score")
+    elif rule == "delta_then_size":
+        cuts = stats.agg(F.percentile("delta_loss", delta_quantile).alias("cut"), F.percentile("n_cells", size_quantile).alias("cut2"))  # blocks, not cells
+        keep = (F.col("delta_loss") > 0) & (F.col("delta_loss") >= F.col("cut")) & (F.col("n_cells") >= F.col("cut2"))
+    elif rule == "quantiles":
+        keep, cuts = F.col("n_cells") >= F.col("cut"), stats.agg(F.percentile("n_cells", size_quantile).alias("cut"))
+    else:
+        raise ValueError(f"unknown rule: {rule}")
+    allowed = F.coalesce(keep, F.lit(False)) & (F.col("n_rows") >= min_rows) & (F.col("n_cols") >= min_cols)
+    return stats.join(F.broadcast(cuts)).withColumn("allowed", allowed).drop(*cuts.columns)
 
 
 def cell_mask(cells: DataFrame, rows: DataFrame, cols: DataFrame, mask: DataFrame) -> DataFrame:
@@ -167,13 +232,17 @@ def cell_mask(cells: DataFrame, rows: DataFrame, cols: DataFrame, mask: DataFram
     return cells.join(covered, ["store", "item"], "left_semi")
 
 
-def energy_elbow(blocks: DataFrame) -> DataFrame:
-    """Cumulative energy of |b| in falling order and the knee: the greatest lead over the diagonal (one row)."""
-    w = W.orderBy(F.desc(F.abs("b")), "r", "c")  # blocks, not cells
-    n = blocks.agg(F.count("*").alias("_n"), F.sum(F.abs("b")).alias("_t"))
-    cum = blocks.withColumn("k", F.row_number().over(w)).withColumn("cum", F.sum(F.abs("b")).over(w.rowsBetween(W.unboundedPreceding, 0))).join(F.broadcast(n))
-    lead = F.try_divide("cum", "_t") - F.col("k") / F.col("_n")
-    return cum.agg(F.max_by("k", F.struct(F.round(lead, 9), -F.col("k"))).alias("keep"), F.max(lead).alias("lead"))
+def energy_elbow(blocks: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """Cumulative energy b^2 * rows * columns of the blocks in falling order and the knee: the greatest lead of its share over
+    the diagonal (one row: keep, lead; keep 1 where there is no energy)."""
+    n_rows, n_cols = rows.groupBy("r").agg(F.count("*").alias("n_rows")), cols.groupBy("c").agg(F.count("*").alias("n_cols"))
+    size = F.coalesce("n_rows", F.lit(0)) * F.coalesce("n_cols", F.lit(0))
+    e = blocks.join(n_rows, "r", "left").join(n_cols, "c", "left").select("r", "c", (F.col("b") * F.col("b") * size).alias("e"))
+    w = W.orderBy(F.desc("e"), "r", "c")  # blocks, not cells
+    n = e.agg(F.count("*").alias("_n"), F.sum("e").alias("_t"))
+    cum = e.withColumn("k", F.row_number().over(w)).withColumn("cum", F.sum("e").over(w.rowsBetween(W.unboundedPreceding, 0))).join(F.broadcast(n))
+    lead = F.when(F.col("_t") > 0, F.col("cum") / (F.col("_t") + 1e-12)) - F.col("k") / F.col("_n")
+    return cum.agg(F.coalesce(F.max_by("k", F.when(lead.isNotNull(), F.struct(F.round(lead, 9), -F.col("k")))), F.lit(1)).alias("keep"), F.max(lead).alias("lead"))
 
 
 def merge_by_sign(labelled: DataFrame, how: str = "mean") -> DataFrame:
@@ -220,10 +289,17 @@ def flat_assignments(chosen: DataFrame, everything: DataFrame, factor: str, id:
     return everything.select(id).distinct().join(chosen.select(id, "component"), id, "left").select(F.lit(factor).alias("factor_name"), F.col(id).cast("string").alias("item_name"), F.col("component").alias("cluster_id"))
 
 
-def component_stats(factors: DataFrame) -> DataFrame:
-    """Per component: L2 norm, emptiness, mean, quartiles."""
+def component_norms(factors: DataFrame) -> DataFrame:
+    """Per component: L2 norm of its loadings and whether it is empty."""
     x = F.col("loading").cast("double")
-    return factors.groupBy("component").agg(F.sqrt(F.sum(x * x)).alias("norm"), (F.sqrt(F.sum(x * x)) < 1e-8).alias("is_empty"), F.avg(x).alias("mean"), F.percentile(x, 0.25).alias("q25"), F.percentile(x, 0.75).alias("q75"))
+    norm = F.sqrt(F.sum(x * x))
+    return factors.groupBy("component").agg(norm.alias("norm"), (norm < 1e-8).alias("is_empty"))
+
+
+def component_stats(factors: DataFrame) -> DataFrame:
+    """One row: number of components, of empty ones, and mean and quartiles of the components' norms."""
+    norms = component_norms(factors)
+    return norms.agg(F.count("*").alias("total"), F.count_if("is_empty").alias("empty"), F.avg("norm").alias("mean"), F.percentile("norm", 0.25).alias("q25"), F.percentile("norm", 0.75).alias("q75"))
 
 
 def reconstruction_metrics(cells: DataFrame, by: Sequence[str] = ("feature",), x: str = "value", fitted: str = "xhat") -> DataFrame:
@@ -239,7 +315,8 @@ def silhouette(cells: DataFrame, labels: DataFrame, metric: str = "euclid") -> D
     fewer than two members. Quadratic in the number of stores, a catalogue."""
     other = cells.select("item", F.col("store").alias("s2"), F.col("value").alias("v2"))
     e = F.col("value") - F.col("v2")
-    d = {"euclid": F.sqrt(F.sum(e * e)), "manhattan": F.sum(F.abs(e)), "huber": F.sum(C.huber(e))}[metric]
+    size = 0.5 * (F.sum(F.abs("value")) + F.sum(F.abs("v2")))
+    d = {"euclid": F.sqrt(F.sum(e * e)), "manhattan": F.sum(F.abs(e)), "huber": F.sum(C.huber(e)), "mav_ratio": F.sum(F.abs(e)) / F.greatest(size, F.lit(1e-12))}[metric]
     dist = cells.join(other, "item").where("store <> s2").groupBy("store", "s2").agg(d.alias("d"))
     to = dist.join(labels, "store").join(labels.select(F.col("store").alias("s2"), F.col("r").alias("r2")), "s2").groupBy("store", "r", "r2").agg(F.avg("d").alias("d"))
     per = to.groupBy("store").agg(F.max(F.when(F.col("r") == F.col("r2"), F.col("d"))).alias("a"), F.min(F.when(F.col("r") != F.col("r2"), F.col("d"))).alias("b"))
@@ -266,12 +343,19 @@ def top_settings(scores: DataFrame, metric: str, n: int) -> DataFrame:
     return scores.join(best.select("n_row", "n_col"), ["n_row", "n_col"], "left_semi")
 
 
-def cluster_profiles(features: DataFrame, assignments: DataFrame, factor: str, key: str, columns: Sequence[str], keep: int | None = None) -> DataFrame:
-    """Mean feature profile and size per cluster of a factor; keep: the largest ones."""
+def cluster_profiles(features: DataFrame, assignments: DataFrame, factor: str, key: str, columns: Sequence[str], keep: int | None = None, by: str = "size", seed: int = 0) -> DataFrame:
+    """Mean feature profile and size per cluster of a factor; keep: so many, by greatest `size`, greatest sample `variance`
+    over the profile's features, or at `random` (a hash of the cluster and the seed)."""
     means = features.groupBy(key).agg(*[F.avg(C.finite(c)).alias(c) for c in columns])
     own = assignments.where(F.col("factor_name") == factor).select(F.col("item_name").cast("long").alias(key), "cluster_id").where("cluster_id is not null")
     out = means.join(own, key).groupBy("cluster_id").agg(F.count("*").alias("size"), *[F.avg(c).alias(c) for c in columns])
-    return out if keep is None else out.orderBy(F.desc("size"), "cluster_id").limit(keep)
+    if keep is None:
+        return out
+    total = sum((F.coalesce(c, F.lit(0.0)) for c in columns), F.lit(0.0))
+    n = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
+    spread = sum((F.coalesce(F.pow(F.col(c) - F.col("_mean"), 2), F.lit(0.0)) for c in columns), F.lit(0.0)) / F.nullif(n - 1, F.lit(0))
+    order = {"size": F.desc("size"), "variance": F.desc_nulls_last("_var"), "random": F.xxhash64("cluster_id", F.lit(seed)).asc()}[by]
+    return out.withColumn("_mean", F.try_divide(total, n)).withColumn("_var", spread).orderBy(order, "cluster_id").limit(keep).drop("_mean", "_var")
 
 
 def row_pattern_order(labelled: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tessera.functions import columns as C
 from tessera.operators import matrix as M
 from tessera.operators import metrics as E
 from tessera.operators import series as S
+from tessera.operators.quantiles import global_quantiles
 
-#: model -> what it can use
+#: model -> where it is fitted (one series, or all at once) and which covariates it takes there
 MODELS: dict[str, dict[str, bool]] = {
     "naive": {"local": True, "global": False, "past": False, "future": False, "built": True},
     "exponential_smoothing": {"local": True, "global": False, "past": False, "future": False, "built": True},
@@ -21,8 +23,9 @@ MODELS: dict[str, dict[str, bool]] = {
     "auto_arima": {"local": True, "global": False, "past": False, "future": True, "built": True},
     "kalman": {"local": True, "global": False, "past": False, "future": True, "built": True},
     "linear_regression": {"local": True, "global": True, "past": True, "future": True, "built": True},
-    "random_forest": {"local": True, "global": True, "past": True, "future": True, "built": True},
-    "gradient_boosting": {"local": True, "global": True, "past": True, "future": True, "built": True},
+    "huber": {"local": False, "global": True, "past": True, "future": True, "built": True},
+    "random_forest": {"local": False, "global": True, "past": True, "future": True, "built": True},
+    "gradient_boosting": {"local": False, "global": True, "past": True, "future": True, "built": True},
     **{m: {"local": True, "global": True, "past": True, "future": m in ("tft", "tsmixer", "tide"), "built": False} for m in ("nbeats", "tft", "tsmixer", "block_rnn", "tcn", "tide")},
 }
 
@@ -39,11 +42,11 @@ def dataset(df: DataFrame, features: Sequence[str], target: str, val_days: int,
     """split, features imputed and min-max scaled on training rows, target clipped and robust-scaled on them, weight 1 if missing."""
     rows = S.split_by_date(df.where(C.is_finite(target)), val_days, test_days, date)
     train = F.col("split") == "train"
-    medians = rows.where(train).agg(*[C.safe_median(c).alias(f"_m_{c}") for c in features])
+    medians = global_quantiles(rows.where(train), {c: C.finite(c) for c in features}, [0.5])
+    medians = medians.select(*[F.get(f"`{c}`", F.lit(0)).alias(f"_m_{c}") for c in features])
     rows = rows.join(F.broadcast(medians)).withColumns({c: F.coalesce(C.finite(c), F.col(f"_m_{c}"), F.lit(0.0)) for c in features}).drop(*[f"_m_{c}" for c in features])
     rows = M.minmax_apply(rows, M.minmax_fit(rows, features, train), features)
-    rows = M.clip_target(rows, target, train).withColumn("_all", F.lit(1))
-    rows = M.robust_scale(rows, target, ["_all"], train).drop("_all")
+    rows = M.robust_scale_all(M.clip_target(rows, target, train), target, train)
     return rows.withColumn("weight", F.coalesce(C.finite(weight), F.lit(1.0)) if weight else F.lit(1.0))
 
 
@@ -71,28 +74,128 @@ def _ses(y, alpha):
     return level
 
 
-def local_forecast(y, horizon: int, model: str):
-    """Point forecasts of one series."""
+def _ets(y, horizon: int, period: int):
+    """Level, trend (damped or not) and, where there are two periods, an additive season; all parameters of a grid run
+    together, the form is chosen by AIC of the one-step errors."""
     import numpy as np
 
+    a, b, g, damp = (x.ravel() for x in np.meshgrid([0.1, 0.2, 0.4, 0.6, 0.8], [0.0, 0.05, 0.2], [0.0, 0.1, 0.3], [0.9, 1.0], indexing="ij"))
+    best = (np.inf, None)
+    for m in (1, period) if 1 < period <= len(y) // 2 else (1,):
+        use = g == 0 if m == 1 else np.ones(len(g), bool)
+        aa, bb, gg, phi = a[use], b[use], g[use], damp[use]
+        first = y[:m].mean()
+        season = np.tile(y[:m] - first if m > 1 else np.zeros(1), (len(aa), 1))
+        level, trend, sse = np.full(len(aa), first if m > 1 else y[0]), np.zeros(len(aa)), np.zeros(len(aa))
+        for t in range(m if m > 1 else 1, len(y)):
+            base = level + phi * trend
+            e = y[t] - base - season[:, t % m]
+            sse += e * e
+            level, trend = base + aa * e, phi * trend + aa * bb * e
+            season[:, t % m] += gg * e
+        n = max(1, len(y) - m)
+        k = int(sse.argmin())
+        aic = n * np.log(sse[k] / n + 1e-12) + 2 * (3 + (m if m > 1 else 0))
+        if aic < best[0]:
+            steps = np.arange(1, horizon + 1)
+            ahead = level[k] + trend[k] * np.cumsum(phi[k] ** steps) + season[k, (len(y) + steps - 1) % m]
+            best = (aic, ahead)
+    return best[1]
+
+
+def _season(y, period: int):
+    """Additive seasonal means by position around a line, zeros where the autocorrelation at the period is not significant (90 %)."""
+    import numpy as np
+
+    out = np.zeros(max(1, period))
+    if 1 < period <= len(y) // 2:
+        t = np.arange(len(y))
+        d = y - np.polyval(np.polyfit(t, y, 1), t)
+        r = (d[period:] * d[:-period]).sum() / max(1e-12, (d * d).sum())
+        if r > 1.645 / np.sqrt(len(y)):
+            out = np.array([d[i::period].mean() for i in range(period)])
+            out -= out.mean()
+    return out
+
+
+def _arima(y, horizon: int, period: int):
+    """ARIMA(p, d, q) with a seasonal lag: d by the smaller deviation, the rest by AIC of two-stage least squares (residuals of
+    a long autoregression stand for the innovations)."""
+    import numpy as np
+
+    d = int(len(y) > 3 and np.diff(y).std() < y.std())
+    w = np.diff(y) if d else y
+    bound = 10 * (np.abs(y).max() + 1)
+    lagged = lambda x, ks, start: [x[start - k : len(x) - k] for k in ks]
+    long = max(0, min(10, len(w) // 4))
+    x = np.column_stack([np.ones(len(w) - long), *lagged(w, range(1, long + 1), long)])
+    coef, *_ = np.linalg.lstsq(x, w[long:], rcond=None)
+    e = np.concatenate([np.zeros(long), w[long:] - x @ coef])
+    best = (np.inf, None)
+    seasons = ((), (period,)) if 1 < period <= len(w) // 3 else ((),)
+    start = min(len(w) - 1, max(long, 3, *(s[0] for s in seasons if s), 0))
+    for p in range(0, 4):
+        for q in range(0, 3):
+            for extra in seasons:
+                ar = sorted({*range(1, p + 1), *extra})
+                if max([p, q, *extra, 0]) > start:
+                    continue
+                x = np.column_stack([np.ones(len(w) - start), *lagged(w, ar, start), *lagged(e, range(1, q + 1), start)])
+                n = len(x)
+                if n <= x.shape[1] + 1:
+                    continue
+                coef, *_ = np.linalg.lstsq(x, w[start:], rcond=None)
+                rss = float(((w[start:] - x @ coef) ** 2).sum())
+                aic = n * np.log(rss / n + 1e-12) + 2 * x.shape[1]
+                if aic < best[0]:
+                    best = (aic, (coef, ar, q))
+    if best[1] is None:
+        return np.full(horizon, y[-1] if d else y.mean())
+    coef, ar, q = best[1]
+    past, shocks = list(w), list(e)
+    for _ in range(horizon):
+        step = coef[0] + sum(c * past[-k] for c, k in zip(coef[1:], ar)) + sum(c * shocks[-k] for c, k in zip(coef[1 + len(ar) :], range(1, q + 1)))
+        past.append(float(np.clip(step, -bound, bound)))
+        shocks.append(0.0)
+    ahead = np.array(past[-horizon:])
+    return np.clip(y[-1] + np.cumsum(ahead), -bound, bound) if d else ahead
+
+
+def _lag_regression(y, horizon: int, lags: int, ridge: float = 1e-3):
+    """Least squares on the last values, applied to its own forecasts."""
+    import numpy as np
+
+    lags = max(1, min(lags, len(y) // 3))
+    x = np.column_stack([np.ones(len(y) - lags), *[y[lags - k : len(y) - k] for k in range(1, lags + 1)]])
+    penalty = ridge * np.eye(x.shape[1])
+    penalty[0, 0] = 0
+    coef = np.linalg.lstsq(x.T @ x + penalty * len(x), x.T @ y[lags:], rcond=None)[0]
+    past, bound = list(y), 10 * (np.abs(y).max() + 1)
+    for _ in range(horizon):
+        past.append(float(np.clip(coef[0] + np.dot(coef[1:], past[: -lags - 1 : -1]), -bound, bound)))
+    return np.array(past[-horizon:])
+
+
+def local_forecast(y, horizon: int, model: str, period: int = 7, x=None, x_ahead=None):
+    """Point forecasts of one series. x, x_ahead: future covariates of the known and the coming dates, for the models that
+    take them (their linear part is fitted first, the model gets what it leaves)."""
+    import numpy as np
+
+    if x is not None and MODELS[model]["future"] and x.shape[1]:
+        design = np.column_stack([np.ones(len(y)), x])
+        coef = np.linalg.lstsq(design.T @ design + 1e-6 * len(y) * np.eye(design.shape[1]), design.T @ y, rcond=None)[0]
+        rest = local_forecast(y - x @ coef[1:], horizon, model, period)
+        return rest + x_ahead @ coef[1:]
     if model == "naive":
         return np.full(horizon, y[-1])
-    if model == "exponential_smoothing":  # level and damped trend, parameters by grid on one-step errors
-        best = (np.inf, None)
-        for a in (0.1, 0.2, 0.4, 0.6, 0.8):
-            for b in (0.0, 0.05, 0.2):
-                level, trend, sse = y[0], 0.0, 0.0
-                for v in y[1:]:
-                    e = v - (level + 0.9 * trend)
-                    sse += e * e
-                    level, trend = level + 0.9 * trend + a * e, 0.9 * trend + a * b * e
-                best = min(best, (sse, (level, trend)), key=lambda p: p[0])
-        level, trend = best[1]
-        return level + trend * np.cumsum(0.9 ** np.arange(1, horizon + 1))
+    if model == "exponential_smoothing":
+        return _ets(y, horizon, period)
     if model == "theta":
+        season = _season(y, period)
+        own = y - season[np.arange(len(y)) % len(season)]
         t = np.arange(len(y))
-        slope, intercept = np.polyfit(t, y, 1) if len(y) > 1 else (0.0, y[0])
-        line = 2 * y - (intercept + slope * t)
+        slope, intercept = np.polyfit(t, own, 1) if len(y) > 1 else (0.0, y[0])
+        line = 2 * own - (intercept + slope * t)
         errors = []
         for a in (0.1, 0.3, 0.5, 0.7, 0.9):
             level, sse = line[0], 0.0
@@ -101,19 +204,12 @@ def local_forecast(y, horizon: int, model: str):
                 level += a * (v - level)
             errors.append((sse, a))
         level = _ses(line, min(errors)[1])
-        return (level + intercept + slope * (len(y) + np.arange(horizon))) / 2
-    if model == "auto_arima":  # AR(p), p by AIC of least squares
-        best = (np.inf, None)
-        for p in range(0, min(8, len(y) // 4) + 1):
-            x = np.column_stack([np.ones(len(y) - p), *[y[p - k : len(y) - k] for k in range(1, p + 1)]])
-            coef, *_ = np.linalg.lstsq(x, y[p:], rcond=None)
-            n, rss = len(y) - p, float(((y[p:] - x @ coef) ** 2).sum())
-            best = min(best, (n * np.log(rss / n + 1e-12) + 2 * (p + 1), coef), key=lambda q: q[0])
-        coef, past = best[1], list(y)
-        bound = 10 * (np.abs(y).max() + 1)
-        for _ in range(horizon):
-            past.append(float(np.clip(coef[0] + sum(c * past[-k] for k, c in enumerate(coef[1:], 1)), -bound, bound)))
-        return np.array(past[-horizon:])
+        ahead = len(y) + np.arange(horizon)
+        return (level + intercept + slope * ahead) / 2 + season[ahead % len(season)]
+    if model == "auto_arima":
+        return _arima(y, horizon, period)
+    if model == "linear_regression":
+        return _lag_regression(y, horizon, 2 * max(1, period))
     if model == "kalman":  # local level, signal-to-noise by likelihood grid
         best = (np.inf, y[-1])
         for q in (0.001, 0.01, 0.1, 1.0):
@@ -129,22 +225,43 @@ def local_forecast(y, horizon: int, model: str):
     raise ValueError(model)
 
 
-def forecast_local(series: DataFrame, value: str, models: Sequence[str], keys: Sequence[str] = S.KEYS, date: str = "date") -> DataFrame:
-    """Model, keys, date, y, yhat over each series' validation rows. One group is one series."""
+def _robust(train, *others):
+    """Columns scaled by median and IQR of the training rows (IQR 0 counts as 1): (scaled train, scaled others, median, IQR)."""
+    import numpy as np
+
+    middle = np.median(train, axis=0)
+    spread = np.subtract(*np.percentile(train, [75, 25], axis=0))
+    spread = np.where(spread > 0, spread, 1.0)
+    return (train - middle) / spread, [(o - middle) / spread for o in others], middle, spread
+
+
+def forecast_local(series: DataFrame, value: str, models: Sequence[str], keys: Sequence[str] = S.KEYS, date: str = "date", period: int = 7, future: Sequence[str] = (), scaled: bool = False) -> DataFrame:
+    """Model, keys, date, y, yhat over each series' validation rows. One group is one series.
+
+    future: columns known ahead. scaled: every series and covariate is scaled by its own training median and IQR, forecasts
+    are scaled back."""
     for m in models:
-        require(m)
+        if not MODELS[require(m)]["local"]:
+            raise ValueError(f"{m} is fitted over all series: see fit_global")
     schema = T.StructType([T.StructField("Model", T.StringType()), *[series.schema[k] for k in keys], series.schema[date], T.StructField("y", T.DoubleType()), T.StructField("yhat", T.DoubleType())])
+    future = list(future)
 
     def run(pdf):
+        import numpy as np
         import pandas as pd
 
         pdf = pdf.sort_values(date)
         train, val = pdf[pdf["split"] == "train"], pdf[pdf["split"] == "val"]
         out = []
-        for m in models:
-            if len(train) and len(val):
-                yhat = local_forecast(train[value].to_numpy(float), len(val), m)
-                out.append(val[[*keys, date]].assign(Model=m, y=val[value].astype(float), yhat=yhat))
+        if len(train) and len(val):
+            y, middle, spread = train[value].to_numpy(float), 0.0, 1.0
+            x, ahead = (np.nan_to_num(p[future].to_numpy(float)) for p in (train, val))
+            if scaled:
+                y, _, middle, spread = _robust(y)
+                x, (ahead,), _, _ = _robust(x, ahead)
+            for m in models:
+                yhat = local_forecast(y, len(val), m, period, x if future else None, ahead if future else None)
+                out.append(val[[*keys, date]].assign(Model=m, y=val[value].astype(float), yhat=yhat * spread + middle))
         names = [f.name for f in schema.fields]
         return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
 
@@ -161,24 +278,44 @@ def evaluate(forecasts: DataFrame, series: DataFrame, value: str, keys: Sequence
 # ------------------------------------------------------------------ global lag regression (Spark ML)
 
 
-def lag_frame(series: DataFrame, value: str, steps: Sequence[int] = (1, 2, 7, 14), keys: Sequence[str] = S.KEYS, date: str = "date") -> DataFrame:
-    out = S.lags(series, value, steps, keys, date)
-    return out.dropna(subset=[f"{value}_lag_{k}" for k in steps])
+def lag_frame(series: DataFrame, value: str, steps: Sequence[int] = (1, 2, 7, 14), keys: Sequence[str] = S.KEYS, date: str = "date", past: Sequence[str] = (), past_steps: Sequence[int] = (1,), future: Sequence[str] = (), future_steps: Sequence[int] = (0,)) -> DataFrame:
+    """Lags of the value and of covariates: `past` ones are known up to the day before (steps >= 1), `future` ones up to the
+    day itself (steps >= 0, never ahead). All lags share one window; rows without every lag of the value go, covariates
+    that are missing count as 0."""
+    if any(k < 1 for k in [*steps, *past_steps]) or any(k < 0 for k in future_steps):
+        raise ValueError("lags must not look ahead")
+    w = W.partitionBy(*keys).orderBy(date)
+    names = lag_names(value, steps, past, past_steps, future, future_steps)
+    own = {f"{value}_lag_{k}": F.lag(value, k).over(w) for k in steps}
+    more = {f"{c}_lag_{k}": F.coalesce(F.lag(F.col(c).cast("double"), k).over(w) if k else F.col(c).cast("double"), F.lit(0.0)) for cs, ks in ((past, past_steps), (future, future_steps)) for c in cs for k in ks}
+    out = series.withColumns({n: {**own, **more}[n] for n in names})
+    return out.dropna(subset=list(own))
+
+
+def lag_names(value: str, steps: Sequence[int] = (1, 2, 7, 14), past: Sequence[str] = (), past_steps: Sequence[int] = (1,), future: Sequence[str] = (), future_steps: Sequence[int] = (0,)) -> list[str]:
+    """The feature columns of lag_frame."""
+    return [f"{value}_lag_{k}" for k in steps] + [f"{c}_lag_{k}" for cs, ks in ((past, past_steps), (future, future_steps)) for c in cs for k in ks]
 
 
-def fit_global(frame: DataFrame, value: str, features: Sequence[str], model: str = "linear_regression", seed: int = 7):
-    """A Spark ML pipeline fitted on the training rows."""
+def fit_global(frame: DataFrame, value: str, features: Sequence[str], model: str = "linear_regression", seed: int = 7, early_stop: float | None = None):
+    """A Spark ML pipeline fitted on the training rows.
+
+    early_stop: boosting stops once the error of the validation rows falls by less than this share."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
+    if not MODELS[require(model)]["global"]:
+        raise ValueError(f"{model} is fitted per series: see forecast_local")
+    boosting = lambda: GBTRegressor(labelCol=value, predictionCol="yhat", maxIter=20, seed=seed)
     estimator = {
         "linear_regression": lambda: LinearRegression(labelCol=value, predictionCol="yhat", regParam=1e-3),
         "huber": lambda: LinearRegression(labelCol=value, predictionCol="yhat", loss="huber"),
         "random_forest": lambda: RandomForestRegressor(labelCol=value, predictionCol="yhat", numTrees=20, seed=seed),
-        "gradient_boosting": lambda: GBTRegressor(labelCol=value, predictionCol="yhat", maxIter=20, seed=seed),
+        "gradient_boosting": lambda: boosting().setValidationIndicatorCol("_val").setValidationTol(early_stop) if early_stop is not None else boosting(),
     }[model]()
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), estimator]).fit(frame.where("split = 'train'"))
+    rows = frame.where("split = 'train'") if model != "gradient_boosting" or early_stop is None else frame.where("split in ('train', 'val')").withColumn("_val", F.col("split") == "val")
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), estimator]).fit(rows)
 
 
 def benchmark(frame: DataFrame, value: str, features: Sequence[str], models: Sequence[str]) -> DataFrame:
@@ -227,8 +364,6 @@ def batch_predict(df: DataFrame, coefficients: DataFrame, features: Sequence[str
 
 def suggest_learning_rate(curve: DataFrame, skip_start: int = 10, skip_end: int = 5) -> DataFrame:
     """curve: step, lr, loss. The lr with the steepest fall of the loss by central difference, ends skipped."""
-    from pyspark.sql import Window as W
-
     w = W.orderBy("step")  # a curve has some hundred points
     n = curve.agg(F.count("*").alias("_n"))
     rows = curve.withColumn("_g", (F.lead("loss").over(w) - F.lag("loss").over(w)) / 2).withColumn("_i", F.row_number().over(w)).join(F.broadcast(n))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions import columns as C
+from tessera.operators.quantiles import global_quantiles
 
 
 def cells(df: DataFrame, value: str, rows: str = "store", cols: str = "item", how: str = "mean") -> DataFrame:
@@ -92,6 +93,14 @@ def robust_scale(df: DataFrame, value: str, keys: Sequence[str], train: Column,
     return df.join(stats, list(keys)).withColumn(name or value, (x - F.col("_m")) / F.when(iqr > 0, iqr).otherwise(1.0)).drop("_m", "_a", "_b")
 
 
+def robust_scale_all(df: DataFrame, value: str, train: Column, name: str | None = None) -> DataFrame:
+    """(x - median) / IQR with statistics of all training rows; IQR 0 counts as 1."""
+    x = C.finite(value)
+    stats = global_quantiles(df, {"q": F.when(train, x)}, [0.25, 0.5, 0.75]).select(*[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("_a", "_m", "_b"))])
+    iqr = F.col("_b") - F.col("_a")
+    return df.join(F.broadcast(stats)).withColumn(name or value, (x - F.col("_m")) / F.when(iqr > 0, iqr).otherwise(1.0)).drop("_m", "_a", "_b")
+
+
 def minmax_fit(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
     """One row of training minima and maxima."""
     return df.agg(*[f(F.when(train, C.finite(c))).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
@@ -117,7 +126,8 @@ def minmax_invert(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> Da
 def clip_target(df: DataFrame, value: str, train: Column) -> DataFrame:
     """Clipped to [floor of the training 1 % quantile, ceiling of the 99 % one]."""
     x = F.when(train, C.finite(value))
-    ends = df.agg(F.floor(F.percentile(x, 0.01)).cast("double").alias("_lo"), F.ceil(F.percentile(x, 0.99)).cast("double").alias("_hi"))
+    q = global_quantiles(df, {"q": x}, [0.01, 0.99])
+    ends = q.select(F.floor(F.get("q", F.lit(0))).cast("double").alias("_lo"), F.ceil(F.get("q", F.lit(1))).cast("double").alias("_hi"))
     return df.join(F.broadcast(ends)).withColumn(value, C.clip(value, F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions import columns as C
+from tessera.operators.quantiles import global_quantiles
 
 
 def date_range(df: DataFrame, start: str | None = None, end: str | None = None, date: str = "date") -> DataFrame:
@@ -152,7 +153,8 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 def fill(df: DataFrame, medians: Sequence[str] = (), constants: dict[str, float] | None = None) -> DataFrame:
     """NULLs to a column's median (one-row broadcast) or to a constant."""
     if medians:
-        stats = df.agg(*[F.percentile(C.finite(c), 0.5).alias(f"_m_{c}") for c in medians])
+        stats = global_quantiles(df, {c: C.finite(c) for c in medians}, [0.5])
+        stats = stats.select(*[F.get(f"`{c}`", F.lit(0)).alias(f"_m_{c}") for c in medians])
         df = df.join(F.broadcast(stats))
         df = df.withColumns({c: F.coalesce(C.finite(c), F.col(f"_m_{c}")) for c in medians}).drop(*[f"_m_{c}" for c in medians])
     return df.fillna(constants) if constants else df

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tessera.functions import columns as C
+from tessera.operators.quantiles import global_quantiles
 
 KEYS = ("store", "item")
 
@@ -29,7 +30,8 @@ def growth(df: DataFrame, value: str, keys: Sequence[str] = KEYS, date: str = "d
 
 def winsorise(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99, name: str | None = None) -> DataFrame:
     """Clip to global quantiles; (-1, 1) where there is no value at all."""
-    stats = df.agg(F.coalesce(F.percentile(C.finite(value), low), F.lit(-1.0)).alias("_lo"), F.coalesce(F.percentile(C.finite(value), high), F.lit(1.0)).alias("_hi"))
+    ends = global_quantiles(df, {"q": C.finite(value)}, [low, high])
+    stats = ends.select(F.coalesce(F.get("q", F.lit(0)), F.lit(-1.0)).alias("_lo"), F.coalesce(F.get("q", F.lit(1)), F.lit(1.0)).alias("_hi"))
     return df.join(F.broadcast(stats)).withColumn(name or value, C.clip(value, F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
@@ -45,17 +47,20 @@ def rolling_mean(df: DataFrame, value: str, n: int, name: str, keys: Sequence[st
 def ewm(df: DataFrame, value: str, span: int, name: str, keys: Sequence[str] = KEYS, date: str = "date") -> DataFrame:
     """Exponentially weighted mean, alpha = 2 / (span + 1), seeded by the first value; a NULL carries the mean on and ages its weight.
 
-    One exchange: a fold over each series' ordered array emits all its values. The fold copies its output at each step,
-    which suits series of some thousand dates (a calendar bounds them); ewm_grouped is linear for longer ones."""
-    a = 2.0 / (span + 1)
+    One exchange: a fold over each series' ordered array emits all its values, in chunks, so that what a step copies is a
+    chunk; ewm_grouped does the same in a grouped Arrow pass."""
+    a, size = 2.0 / (span + 1), 128
     rest = [c for c in df.columns if c not in keys]
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(date).alias("_o"), F.struct(*rest).alias("_r"), C.finite(value).alias("_v")))).alias("_s"))
-    state = "struct<y:double,w:double,out:array<double>>"
+    step = lambda acc, s: _ewm_step(acc, s["_v"], a)
+    nothing = F.array().cast("array<double>")
+    begin = lambda acc: F.struct(acc["y"].alias("y"), acc["w"].alias("w"), nothing.alias("out"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / size).cast("int")), lambda i: F.slice("_s", i * size + 1, F.lit(size)))
     fold = F.aggregate(
-        F.transform("_s", lambda s: s["_v"]),
-        F.from_json(F.lit('{"w":1.0,"out":[]}'), state),
-        lambda acc, v: _ewm_step(acc, v, a),
-        lambda acc: acc["out"],
+        chunks,
+        F.from_json(F.lit('{"w":1.0,"outs":[]}'), "struct<y:double,w:double,outs:array<array<double>>>"),
+        lambda acc, chunk: _ewm_chunk(acc["outs"], F.aggregate(chunk, begin(acc), step)),
+        lambda acc: F.flatten(acc["outs"]),
     )
     rows = rows.withColumn("_y", fold)
     pairs = F.arrays_zip(F.transform("_s", lambda s: s["_r"]).alias("r"), F.col("_y").alias("y"))
@@ -69,6 +74,10 @@ def _ewm_step(acc: Column, v: Column, a: float) -> Column:
     return F.struct(y.alias("y"), w.alias("w"), F.concat(acc["out"], F.array(y)).alias("out"))
 
 
+def _ewm_chunk(outs: Column, done: Column) -> Column:
+    return F.struct(done["y"].alias("y"), done["w"].alias("w"), F.concat(outs, F.array(done["out"])).alias("outs"))
+
+
 def ewm_grouped(df: DataFrame, value: str, span: int, name: str, keys: Sequence[str] = KEYS, date: str = "date") -> DataFrame:
     """The same in one grouped Arrow pass, for series too long for an array fold."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
@@ -124,6 +133,40 @@ def wide_windows(df: DataFrame, size: int, value: str = "unit_sales", keys: Sequ
     return out.where(F.col("_k") == size).drop("_w", "_k")
 
 
+def sales_windows(df: DataFrame, size: int, value: str = "unit_sales", promo: str = "onpromotion", weight: str | None = None, keys: Sequence[str] = KEYS, date: str = "date") -> DataFrame:
+    """Windows of `size` calendar days from the first date of the table, one row per series and window with any row:
+    start_date, sales_day_i (sum, 0 on a missing day), promo_day_i (maximum, 0), growth_rate_i (per cent on the previous day,
+    on day 1 the day before the window; NULL where that is absent or 0) and the first weight."""
+    if size <= 0:
+        raise ValueError("window size must be positive")
+    first = df.agg(F.min(date).alias("_first"))
+    own = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    days = df.join(F.broadcast(first)).withColumn("_at", F.datediff(date, "_first"))
+    days = days.groupBy(*keys, "_first", F.floor(F.col("_at") / size).cast("int").alias("_w"), (F.col("_at") % size + 1).alias("_d")).agg(F.sum(C.finite(value)).alias("_v"), F.max(F.col(promo).cast("int")).alias("_p"), F.min(own).alias("_weight"))
+    day = lambda c, i: F.max(F.when(F.col("_d") == i, F.col(c)))
+    sums = {f"sales_day_{i}": day("_v", i) for i in range(1, size + 1)} | {f"promo_day_{i}": day("_p", i) for i in range(1, size + 1)}
+    wide = days.groupBy(*keys, "_first", "_w").agg(F.min_by("_weight", "_d").alias("weight"), *[c.alias(n) for n, c in sums.items()])
+    w = W.partitionBy(*keys).orderBy("_w")
+    wide = wide.withColumn("_before", F.when(F.lag("_w").over(w) == F.col("_w") - 1, F.lag(f"sales_day_{size}").over(w)))
+    filled = wide.withColumns({n: F.coalesce(n, F.lit(0)) for n in sums})
+    growth_of = {f"growth_rate_{i}": C.change(f"sales_day_{i}", F.col("_before") if i == 1 else F.col(f"sales_day_{i - 1}")) * 100 for i in range(1, size + 1)}
+    out = filled.withColumns(growth_of).withColumn("start_date", F.date_add("_first", F.col("_w") * size))
+    return out.select(*keys, "start_date", "weight", *sums, *growth_of)
+
+
+def with_calendar(windows: DataFrame, start: str = "start_date") -> DataFrame:
+    """Windows joined with the calendar features of their first day: an inner join on the distinct days."""
+    days = calendar_features(windows.select(F.col(start).alias("date")).distinct()).withColumnRenamed("date", start)
+    return windows.join(days, start)
+
+
+def from_full_week(df: DataFrame, value: str = "unit_sales", date: str = "date") -> DataFrame:
+    """Negative values become 0; rows before the first Monday go, so that weeks are whole from the start."""
+    first = df.agg(F.min(date).alias("_first"))
+    monday = F.next_day(F.date_sub("_first", 1), "Mon")
+    return df.join(F.broadcast(first)).where(F.col(date) >= monday).withColumn(value, F.greatest(F.col(value), F.lit(0.0))).drop("_first")
+
+
 def next_window_targets(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS, order: str = "start_date") -> DataFrame:
     """y_<column>: the series' next window, NULL at the last."""
     return df.withColumns({f"y_{c}": F.lead(c).over(_by(keys, order)) for c in columns})
@@ -156,9 +199,25 @@ def split_by_fraction(df: DataFrame, share: float = 0.8, keys: Sequence[str] = K
 
 
 def running_median(df: DataFrame, value: str, name: str = "running_median", keys: Sequence[str] = KEYS, date: str = "date") -> DataFrame:
-    """Exact median of the series so far; 0 before the first value."""
-    w = _by(keys, date).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn(name, F.coalesce(F.percentile(C.finite(value), 0.5).over(w), F.lit(0.0)))
+    """Exact median of the series so far; 0 before the first value. Two heaps in a grouped Arrow pass: n log n a series."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def run(pdf):
+        from heapq import heappush, heappushpop
+        from math import isfinite
+
+        pdf = pdf.sort_values(date, kind="stable")
+        low, high, out = [], [], []  # the lower half negated
+        for x in pdf[value].astype("float64"):
+            if isfinite(x):
+                if len(low) > len(high):
+                    heappush(high, -heappushpop(low, -x))
+                else:
+                    heappush(low, -heappushpop(high, x))
+            out.append(0.0 if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
+        return pdf.assign(**{name: out})
+
+    return df.groupBy(*keys).applyInPandas(run, schema)
 
 
 def online_median(df: DataFrame, value: str, start: float = 0.0, eta: float = 0.1, keys: Sequence[str] = KEYS, date: str = "date") -> DataFrame:
@@ -193,7 +252,8 @@ def calendar_features(df: DataFrame, date: str = "date") -> DataFrame:
 def ma1_walk_forward(df: DataFrame, value: str = "growth_rate", keys: Sequence[str] = KEYS, date: str = "date", least: int = 7) -> DataFrame:
     """One-step forecasts of a constant + MA(1), refitted on every prefix of at least `least` finite, varied values.
 
-    Order-dependent and iterative, hence grouped Arrow; theta by a grid on conditional least squares."""
+    Order-dependent and iterative, hence grouped Arrow; theta by a grid on conditional least squares. An error is linear in
+    the mean, e = E - mean * M with E and M running over the values, so each prefix costs one step and not a pass."""
     schema = T.StructType([df.schema[k] for k in keys] + [df.schema[date], T.StructField("forecast", T.DoubleType())])
 
     def run(pdf):
@@ -203,16 +263,19 @@ def ma1_walk_forward(df: DataFrame, value: str = "growth_rate", keys: Sequence[s
         x = pdf[value].to_numpy(float)
         grid = np.linspace(-0.95, 0.95, 39)
         out = np.full(len(x), np.nan)
-        for i in range(least, len(x) + 1):
-            y = x[:i]
-            if not np.isfinite(y).all() or np.ptp(y) == 0:
-                continue
-            d = y - y.mean()
-            e, sse = np.zeros(len(grid)), np.zeros(len(grid))
-            for v in d:
-                e = v - grid * e
-                sse += e * e
-            out[i - 1] = y.mean() + grid[sse.argmin()] * e[sse.argmin()]
+        shift = x[0] if len(x) else 0.0  # keeps the sums of squares small beside their differences
+        e, m, ee, em, mm = np.zeros((5, len(grid)))
+        total, least_x, most_x = 0.0, np.inf, -np.inf
+        for i, v in enumerate(x - shift, 1):
+            if not np.isfinite(v):
+                break
+            e, m = v - grid * e, 1 - grid * m
+            ee, em, mm = ee + e * e, em + e * m, mm + m * m
+            total, least_x, most_x = total + v, min(least_x, v), max(most_x, v)
+            if i >= least and most_x > least_x:
+                mean = total / i
+                k = (ee - 2 * mean * em + mean * mean * mm).argmin()
+                out[i - 1] = shift + mean + grid[k] * (e[k] - mean * m[k])
         return pdf[[*keys, date]].assign(forecast=out)
 
     return df.groupBy(*keys).applyInPandas(run, schema)

@@ -37,27 +37,47 @@ def top_count_shares(df: DataFrame, value: str, n: int) -> DataFrame:
 
 def tau_diagnostics(weeks: DataFrame, taus: Sequence[float], keys: Sequence[str] = S.KEYS, growth: str = "growth_rate", date: str = "week_end") -> DataFrame:
     """Per tau: shares by direction over all rows, mean |g|, soft-thresholded mean, L1 reduction and variance, and the
-    median, P10 and P90 over series of direction churn (opposite consecutive signs among consecutive non-zero pairs)."""
-    spark = weeks.sparkSession
-    grid = spark.createDataFrame([(float(t),) for t in taus], "tau double")
-    rows = weeks.select(*keys, date, C.finite(growth).alias("g")).crossJoin(F.broadcast(grid))
-    rows = rows.withColumn("dir", F.when(F.col("g") > F.col("tau"), 1).when(F.col("g") < -F.col("tau"), -1).otherwise(0))
-    rows = rows.withColumn("before", F.lag("dir").over(W.partitionBy("tau", *keys).orderBy(date)))
-    soft = C.soft_threshold("g", "tau")
-    inside = F.when(F.abs("g") < F.col("tau"), 1.0).otherwise(0.0)
-    overall = rows.groupBy("tau").agg(
-        F.avg(F.when(F.col("g") > F.col("tau"), 1.0).otherwise(0.0)).alias("frac_up"),
-        F.avg(inside).alias("frac_sideways"),
-        F.avg(F.when(F.col("g") < -F.col("tau"), 1.0).otherwise(0.0)).alias("frac_down"),
-        F.avg(F.abs("g")).alias("mean_abs"),
-        F.avg(F.abs(soft)).alias("mean_soft"),
-        F.try_divide(F.sum(F.abs("g")) - F.sum(F.abs(soft)), F.sum(F.abs("g"))).alias("l1_reduction"),
-        F.var_pop(soft).alias("var_soft"),
+    median, P10 and P90 over series of direction churn (opposite consecutive signs among consecutive non-zero pairs).
+
+    The lag is taken once and every tau is a set of conditional aggregates per series: rows are never repeated per tau; what
+    is exploded are series x taus partial sums."""
+    w = W.partitionBy(*keys).orderBy(date)
+    rows = weeks.select(*keys, date, C.finite(growth).alias("g")).withColumn("before", F.lag("g").over(w))
+
+    def of(t: float) -> Column:
+        tau = F.lit(float(t))
+        sign = lambda c: F.when(F.col(c) > tau, 1).when(F.col(c) < -tau, -1).otherwise(0)
+        both = (sign("g") != 0) & (sign("before") != 0)
+        soft = C.soft_threshold("g", tau)
+        return F.struct(
+            tau.alias("tau"),
+            F.count_if(F.col("g") > tau).alias("up"),
+            F.count_if(F.abs("g") < tau).alias("inside"),
+            F.count_if(F.col("g") < -tau).alias("down"),
+            F.sum(F.abs(soft)).alias("soft_abs"),
+            F.sum(soft).alias("soft_sum"),
+            F.sum(soft * soft).alias("soft_sq"),
+            F.try_divide(F.count_if(both & (sign("g") != sign("before"))).cast("double"), F.count_if(both)).alias("churn"),
+        )
+
+    per = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count("g").alias("n_g"), F.sum(F.abs("g")).alias("abs_g"), F.array(*[of(t) for t in taus]).alias("t"))
+    flat = per.select("n", "n_g", "abs_g", F.explode("t").alias("t")).select("n", "n_g", "abs_g", "t.*")
+    total = flat.groupBy("tau").agg(*[F.sum(c).cast("double").alias(c) for c in ("n", "n_g", "abs_g", "up", "inside", "down", "soft_abs", "soft_sum", "soft_sq")], *[F.percentile("churn", q).alias(f"churn_{c}") for c, q in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))])
+    share = lambda a, b: F.try_divide(F.col(a), F.col(b))
+    mean = share("soft_sum", "n_g")
+    return total.select(
+        "tau",
+        share("up", "n").alias("frac_up"),
+        share("inside", "n").alias("frac_sideways"),
+        share("down", "n").alias("frac_down"),
+        share("abs_g", "n_g").alias("mean_abs"),
+        share("soft_abs", "n_g").alias("mean_soft"),
+        F.try_divide(F.col("abs_g") - F.col("soft_abs"), F.col("abs_g")).alias("l1_reduction"),
+        F.greatest(share("soft_sq", "n_g") - mean * mean, F.lit(0.0)).alias("var_soft"),
+        "churn_median",
+        "churn_p10",
+        "churn_p90",
     )
-    both = (F.col("dir") != 0) & (F.col("before") != 0)
-    churn = rows.groupBy("tau", *keys).agg(F.try_divide(F.count_if(both & (F.col("dir") != F.col("before"))).cast("double"), F.count_if(both)).alias("churn"))
-    spread = churn.groupBy("tau").agg(F.percentile("churn", 0.5).alias("churn_median"), F.percentile("churn", 0.1).alias("churn_p10"), F.percentile("churn", 0.9).alias("churn_p90"))
-    return overall.join(spread, "tau")
 
 
 def _supported(n: Column, least: int, value: Column) -> Column:
@@ -133,11 +153,12 @@ def mav_by_cluster(df: DataFrame, value: str, labels: DataFrame) -> DataFrame:
 
 
 def variance_ratio(clusters: DataFrame) -> DataFrame:
-    """Weighted between-cluster variance, pooled within-cluster variance and their ratio from mav_by_cluster rows."""
+    """Between-cluster variance (over n - 1 pairs; NULL for a single cluster), pooled within-cluster variance and their ratio
+    from mav_by_cluster rows."""
     total = F.sum("n_pairs")
     mean = clusters.agg(F.try_divide(F.sum(F.col("mav_mean") * F.col("n_pairs")), F.sum("n_pairs").cast("double")).alias("_m"))
     rows = clusters.join(F.broadcast(mean))
-    between = F.try_divide(F.sum(F.col("n_pairs") * F.pow(F.col("mav_mean") - F.col("_m"), 2)), total.cast("double"))
+    between = F.when(F.count("*") > 1, F.sum(F.col("n_pairs") * F.pow(F.col("mav_mean") - F.col("_m"), 2)) / F.greatest(total - 1, F.lit(1)).cast("double"))
     within = F.try_divide(F.sum((F.col("n_pairs") - 1) * F.coalesce("mav_var", F.lit(0.0))), F.nullif(total - F.count("*"), F.lit(0)).cast("double"))
     return rows.agg(between.alias("between"), within.alias("within"), F.try_divide(between, within).alias("ratio"))
 
@@ -190,15 +211,27 @@ def quartiles(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.5).alias("median"), F.percentile(x, 0.75).alias("q3"))
 
 
+#: 97.5 % quantiles of Student's t for 1 to 30 degrees of freedom (fixed values).
+T_975 = (12.7062047, 4.3026527, 3.1824463, 2.7764451, 2.5705818, 2.4469119, 2.3646243, 2.3060041, 2.2621572, 2.2281389, 2.2009852, 2.1788128, 2.1603687, 2.1447867, 2.1314495, 2.1199053, 2.1098156, 2.1009220, 2.0930241, 2.0859634, 2.0796138, 2.0738731, 2.0686576, 2.0638986, 2.0595386, 2.0555294, 2.0518305, 2.0484071, 2.0452296, 2.0422725)
+
+
 def mean_interval(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Mean and t-based 95 % half-width per group (Cornish-Fisher expansion of the t quantile, exact to 1e-3 from n = 4)."""
+    """Mean and t-based 95 % half-width per group. The t quantile is a table up to 30 degrees of freedom and a
+    Cornish-Fisher expansion beyond, both right to 1e-6."""
     z = 1.959963984540054
     v = F.count(value) - 1
-    t = z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v * v) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v * v * v)
+    far = z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v * v) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v * v * v) + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / (92160 * v * v * v * v)
+    t = F.when(v <= 30, F.get(F.array(*map(F.lit, T_975)), (v - 1).cast("int"))).otherwise(far)
     half = F.when(v >= 1, t * F.stddev_samp(value) / F.sqrt(F.count(value)))
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), half.alias("half_width"))
 
 
+def with_mav(df: DataFrame, value: str, by: Sequence[str] = S.KEYS, log1p: bool = True, zeros: bool = True, name: str | None = None) -> DataFrame:
+    """Adds the group's mean absolute value to each of its rows."""
+    means = df.groupBy(*by).agg(C.mav(value, log1p, zeros).alias(name or "_".join([*by, "mav"])))
+    return df.join(means, list(by), "left")
+
+
 def first_present(df: DataFrame, value: str, order: str, keys: Sequence[str] = S.KEYS) -> DataFrame:
     """The earliest non-NULL value per key."""
     return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min_by(value, order).alias(value))

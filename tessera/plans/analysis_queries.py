@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessera.functions import columns as C
 from tessera.operators import blocks as B
@@ -142,7 +143,7 @@ def _(spark, d):
 @query(
     "a31_variance_ratio",
     "between:f within:f ratio:f".replace("between", "var_between").replace("within", "var_within"),
-    f"""SELECT vb AS var_between, vw AS var_within, vb / vw AS ratio FROM (SELECT sum(n_pairs * (mav_mean - m) * (mav_mean - m)) / sum(n_pairs) AS vb, sum((n_pairs - 1) * coalesce(mav_var, 0)) / nullif(sum(n_pairs) - count(*), 0) AS vw
+    f"""SELECT vb AS var_between, vw AS var_within, vb / vw AS ratio FROM (SELECT sum(n_pairs * (mav_mean - m) * (mav_mean - m)) / (sum(n_pairs) - 1) AS vb, sum((n_pairs - 1) * coalesce(mav_var, 0)) / nullif(sum(n_pairs) - count(*), 0) AS vw
       FROM (SELECT *, sum(mav_mean * n_pairs) OVER () / sum(n_pairs) OVER () AS m FROM ({_MAVC})))""",
 )
 def _(spark, d):
@@ -201,12 +202,15 @@ def _(spark, d):
 
 @query(
     "a42_mean_interval",
-    "store:b mean:f half_width:f",
-    """SELECT store, avg(unit_sales) AS mean, (z + (z*z*z + z) / (4*v) + (5*pow(z,5) + 16*z*z*z + 3*z) / (96*v*v) + (3*pow(z,7) + 19*pow(z,5) + 17*z*z*z - 15*z) / (384*v*v*v)) * stddev_samp(unit_sales) / sqrt(v + 1) AS half_width
-      FROM panel JOIN (SELECT store, CAST(count(*) - 1 AS DOUBLE) AS v, CAST(1.959963984540054 AS DOUBLE) AS z FROM panel GROUP BY 1) USING (store) GROUP BY store, v, z""",
+    "grp:b mean:f half_width:f",
+    """SELECT grp, avg(unit_sales) AS mean, t * stddev_samp(unit_sales) / sqrt(count(*)) AS half_width
+      FROM (SELECT *, CAST(least(row_number() OVER (ORDER BY date, store, item) - 1, 27) AS BIGINT) // 4 AS grp FROM panel QUALIFY row_number() OVER (ORDER BY date, store, item) <= 40)
+      JOIN (VALUES (0, 3.18244630528371), (1, 3.18244630528371), (2, 3.18244630528371), (3, 3.18244630528371), (4, 3.18244630528371), (5, 3.18244630528371), (6, 2.13144954555978)) q(grp, t) USING (grp) GROUP BY grp, t""",
 )
 def _(spark, d):
-    return A.mean_interval(X.panel(spark, d), ["store"], "unit_sales")
+    at = F.row_number().over(W.orderBy("date", "store", "item")) - 1
+    few = X.panel(spark, d).orderBy("date", "store", "item").limit(40).withColumn("grp", F.floor(F.least(at, F.lit(27)) / 4))  # six groups of 4 and one of 16
+    return A.mean_interval(few, ["grp"], "unit_sales")
 
 
 @query("a44_histogram", "bin:b n:b", "SELECT least(floor((x - lo) / (hi - lo) * 50) + 1, 50) AS bin, count(*) AS n FROM (SELECT unit_sales AS x FROM panel), (SELECT min(unit_sales) AS lo, max(unit_sales) AS hi FROM panel) GROUP BY 1")
@@ -451,13 +455,29 @@ def _cand(spark, d):
     return X.sales_cells(spark, d), X.row_members(spark, d), X.col_members(spark, d), X.blocks(spark, d)
 
 
-for _name, _score in (("gaussian_delta", "value * b - 0.5 * b * b"), ("dominant", "abs(b)"), ("poisson_delta", "value * ln(greatest(b, 1e-12)) - b")):
+_FITTED = "(SELECT *, sum(b) OVER (PARTITION BY store, item) AS fit FROM cand)"
+for _name, _score in (("gaussian_delta", "(value - fit) * b - 0.5 * b * b"), ("dominant", "abs(b)"), ("poisson_delta", "value * (ln(greatest(fit, 1e-9)) - ln(greatest(greatest(fit, 1e-9) - b, 1e-9))) - b")):
 
-    @query(f"c15_assign_{_name}", "store:b item:b r:b c:b block_id:b", f"SELECT store, item, r, c, r * 5 + c AS block_id FROM (SELECT *, row_number() OVER (PARTITION BY store, item ORDER BY {_score} DESC, r, c) AS rn FROM cand) WHERE rn = 1")
+    @query(f"c15_assign_{_name}", "store:b item:b r:b c:b block_id:b", f"SELECT store, item, r, c, r * 5 + c AS block_id FROM (SELECT *, row_number() OVER (PARTITION BY store, item ORDER BY {_score} DESC, r, c) AS rn FROM {_FITTED}) WHERE rn = 1")
     def _(spark, d, score=_name):
         return B.assign_blocks(*_cand(spark, d), score=score, n_cols=5)
 
 
+_STRONG = "(SELECT r, c, b FROM blocks ORDER BY abs(b) DESC LIMIT 3)"
+
+
+@query(
+    "c15_assign_allowed",
+    "store:b item:b r:b c:b block_id:b",
+    f"""SELECT store, item, coalesce(r, gr) AS r, coalesce(c, gc) AS c, coalesce(r, gr) * 5 + coalesce(c, gc) AS block_id FROM sales_cells LEFT JOIN
+      (SELECT * FROM (SELECT store, item, f.r, f.c, row_number() OVER (PARTITION BY store, item ORDER BY (value - fit) * f.b - 0.5 * f.b * f.b DESC, f.r, f.c) AS rn FROM {_FITTED} f JOIN {_STRONG} s ON s.r = f.r AND s.c = f.c) WHERE rn = 1) USING (store, item),
+      (SELECT r AS gr, c AS gc FROM blocks ORDER BY abs(b) DESC, r, c LIMIT 1)""",
+)
+def _(spark, d):
+    x, r, c, b = _cand(spark, d)
+    return B.assign_blocks(x, r, c, b, n_cols=5, allowed=B.mask_top_k(b, 3))
+
+
 @query("c16_predict_rows", "store:b r:b", """SELECT store, r FROM (SELECT store, r, row_number() OVER (PARTITION BY store ORDER BY round(dot - half, 9) DESC, r) AS rn FROM (SELECT s.store, g.r, sum(value * g) AS dot FROM sales_cells s JOIN (SELECT store % 3 AS r, item, avg(value) AS g FROM sales_cells GROUP BY 1, 2) g USING (item) GROUP BY 1, 2)
       JOIN (SELECT r, sum(g * g) / 2 AS half FROM (SELECT store % 3 AS r, item, avg(value) AS g FROM sales_cells GROUP BY 1, 2) GROUP BY 1) USING (r)) WHERE rn = 1""")
 def _(spark, d):
@@ -465,26 +485,38 @@ def _(spark, d):
     return B.predict_rows(x, x.groupBy((F.col("store") % 3).alias("r"), "item").agg(F.avg("value").alias("g")))
 
 
-@query("c18_gap_mask", "r:b c:b allowed:s", """SELECT r, c, CASE WHEN rk <= coalesce(cut, rk) THEN 'true' ELSE 'false' END AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY abs(b) DESC, c) AS rk FROM blocks)
-      LEFT JOIN (SELECT r, rk AS cut FROM (SELECT r, rk, row_number() OVER (PARTITION BY r ORDER BY dr DESC, rk) AS q FROM (SELECT r, row_number() OVER w AS rk, abs(b) - abs(lead(b) OVER w) AS dr FROM blocks WINDOW w AS (PARTITION BY r ORDER BY abs(b) DESC, c)) WHERE dr IS NOT NULL) WHERE q = 1) USING (r)""")
+@query(
+    "c18_gap_mask",
+    "r:b c:b allowed:s",
+    """SELECT r, c, CASE WHEN abs(b) >= (SELECT min(a) FROM (SELECT abs(b) AS a, row_number() OVER (ORDER BY abs(b) DESC) AS rk FROM blocks WHERE abs(b) > 1e-12)
+        WHERE rk <= greatest(4, (SELECT rk FROM (SELECT rk, a - lead(a) OVER (ORDER BY rk) AS dr FROM (SELECT abs(b) AS a, row_number() OVER (ORDER BY abs(b) DESC) AS rk FROM blocks WHERE abs(b) > 1e-12)) WHERE dr IS NOT NULL ORDER BY dr DESC, rk LIMIT 1))) THEN 'true' ELSE 'false' END AS allowed FROM blocks""",
+)
 def _(spark, d):
     return B.mask_by_gap(X.blocks(spark, d))
 
 
-@query("c18_top_k_mask", "r:b c:b allowed:s", "SELECT r, c, CASE WHEN row_number() OVER (PARTITION BY r ORDER BY abs(b) DESC, c) <= 2 THEN 'true' ELSE 'false' END AS allowed FROM blocks")
+@query("c18_top_k_mask", "r:b c:b allowed:s", "SELECT r, c, CASE WHEN abs(b) >= (SELECT min(a) FROM (SELECT abs(b) AS a FROM blocks ORDER BY a DESC LIMIT 6)) THEN 'true' ELSE 'false' END AS allowed FROM blocks")
 def _(spark, d):
-    return B.mask_top_k(X.blocks(spark, d), 2)
+    return B.mask_top_k(X.blocks(spark, d), 6)
 
 
-@query("c18_quantile_mask", "r:b c:b allowed:s", "SELECT r, c, CASE WHEN abs(b) >= (SELECT quantile_cont(abs(b), 0.6) FROM blocks) THEN 'true' ELSE 'false' END AS allowed FROM blocks")
-def _(spark, d):
-    return B.mask_by_quantile(X.blocks(spark, d), 0.6)
+_BSTATS = """bs AS (SELECT *, abs(b) * sqrt(n_cells) AS effect FROM (SELECT r, c, any_value(b) AS b, sum(pow(value - fit + b, 2) - pow(value - fit, 2)) AS delta, count(*) AS n_cells FROM (SELECT *, sum(b) OVER (PARTITION BY store, item) AS fit FROM cand) GROUP BY 1, 2)),
+      sizes AS (SELECT * FROM (SELECT r, count(*) AS n_rows FROM row_m GROUP BY 1), (SELECT c, count(*) AS n_cols FROM col_m GROUP BY 1)),
+      jumps AS (SELECT 'n' AS k, n_cells AS x, (lead(n_cells) OVER w - n_cells) / greatest(n_cells, 1e-12) AS j, row_number() OVER w AS at FROM bs WINDOW w AS (ORDER BY n_cells)
+        UNION ALL SELECT 'e', effect, (lead(effect) OVER w - effect) / greatest(effect, 1e-12), row_number() OVER w FROM bs WINDOW w AS (ORDER BY effect)),
+      cuts AS (SELECT (SELECT greatest(4, floor(x)) FROM jumps WHERE k = 'n' AND j IS NOT NULL ORDER BY j DESC, at LIMIT 1) AS by_size, (SELECT greatest(1, floor(x)) FROM jumps WHERE k = 'e' AND j IS NOT NULL ORDER BY j DESC, at LIMIT 1) AS by_effect,
+        (SELECT quantile_cont(delta, 0.5) FROM bs) AS by_delta, (SELECT quantile_cont(n_cells, 0.5) FROM bs) AS by_half, (SELECT quantile_cont(n_cells, 0.6) FROM bs) AS by_q)"""
+for _rule, _keep in (("size_gap", "n_cells >= by_size"), ("effect_gap", "effect >= by_effect"), ("delta_then_size", "delta > 0 AND delta >= by_delta AND n_cells >= by_half"), ("quantiles", "n_cells >= by_q")):
+
+    @query(f"c18_{_rule}_mask", "r:b c:b allowed:s n_cells:b effect_score:f delta_loss:f", f"SELECT * FROM (WITH {_BSTATS} SELECT r, c, n_cells, effect AS effect_score, delta AS delta_loss, CASE WHEN {_keep} AND n_rows >= 2 AND n_cols >= 2 THEN 'true' ELSE 'false' END AS allowed FROM bs JOIN sizes USING (r, c), cuts)")
+    def _(spark, d, rule=_rule):
+        return B.mask_by_stats(B.block_stats(*_cand(spark, d)), rule, size_quantile=0.6 if rule == "quantiles" else 0.5, min_rows=2, min_cols=2)
 
 
-@query("c19_cell_mask", "store:b item:b", "SELECT DISTINCT store, item FROM cand JOIN (SELECT r, c FROM (SELECT r, c, row_number() OVER (PARTITION BY r ORDER BY abs(b) DESC, c) AS rk FROM blocks) WHERE rk <= 1) USING (r, c)")
+@query("c19_cell_mask", "store:b item:b", "SELECT DISTINCT store, item FROM cand JOIN (SELECT r, c FROM blocks ORDER BY abs(b) DESC LIMIT 4) USING (r, c)")
 def _(spark, d):
     x, r, c, b = _cand(spark, d)
-    return B.cell_mask(x, r, c, B.mask_top_k(b, 1))
+    return B.cell_mask(x, r, c, B.mask_top_k(b, 4))
 
 
 @query("c20_ablation", "r:b c:b delta_loss:f n_cells:b", "SELECT r, c, sum(pow(value - xhat + b, 2) - pow(value - xhat, 2)) AS delta_loss, count(*) AS n_cells FROM (SELECT *, sum(b) OVER (PARTITION BY store, item) AS xhat FROM cand) GROUP BY 1, 2")
@@ -531,9 +563,14 @@ def _(spark, d):
     return B.reconstruct(*_cand(spark, d))
 
 
-@query("c25_elbow", "keep:b lead:f", "SELECT k AS keep, ld AS lead FROM (SELECT *, row_number() OVER (ORDER BY round(ld, 9) DESC, k) AS q FROM (SELECT k, cum / t - k * 1.0 / n AS ld FROM (SELECT row_number() OVER w AS k, sum(abs(b)) OVER (w ROWS UNBOUNDED PRECEDING) AS cum, sum(abs(b)) OVER () AS t, count(*) OVER () AS n FROM blocks WINDOW w AS (ORDER BY abs(b) DESC, r, c)))) WHERE q = 1")
+@query(
+    "c25_elbow",
+    "keep:b lead:f",
+    """SELECT k AS keep, ld AS lead FROM (SELECT *, row_number() OVER (ORDER BY round(ld, 9) DESC, k) AS q FROM (SELECT k, cum / t - k * 1.0 / n AS ld FROM (SELECT row_number() OVER w AS k, sum(e) OVER (w ROWS UNBOUNDED PRECEDING) AS cum, sum(e) OVER () AS t, count(*) OVER () AS n
+      FROM (SELECT r, c, b * b * nr * nc AS e FROM blocks JOIN (SELECT r, count(*) AS nr FROM row_m GROUP BY 1) USING (r) JOIN (SELECT c, count(*) AS nc FROM col_m GROUP BY 1) USING (c)) WINDOW w AS (ORDER BY e DESC, r, c)))) WHERE q = 1""",
+)
 def _(spark, d):
-    return B.energy_elbow(X.blocks(spark, d))
+    return B.energy_elbow(X.blocks(spark, d), X.row_members(spark, d), X.col_members(spark, d))
 
 
 @query("c26_merge_by_sign", "r:b c:b b:f merged:b", "SELECT r, c, avg(value) - 3 AS b, CASE WHEN avg(value) - 3 < 0 THEN 0 ELSE 1 END AS merged FROM blocked GROUP BY 1, 2")
@@ -541,7 +578,15 @@ def _(spark, d):
     return B.merge_by_sign(X.blocked(spark, d).withColumn("value", F.col("value") - 3))
 
 
-@query("c33_component_stats", "component:b norm:f is_empty:s mean:f q25:f q75:f", "SELECT component, sqrt(sum(loading*loading)) AS norm, CASE WHEN sqrt(sum(loading*loading)) < 1e-8 THEN 'true' ELSE 'false' END AS is_empty, avg(loading) AS mean, quantile_cont(loading, 0.25) AS q25, quantile_cont(loading, 0.75) AS q75 FROM factors GROUP BY 1")
+_NORMS = "SELECT component, sqrt(sum(loading * loading)) AS norm, CASE WHEN sqrt(sum(loading * loading)) < 1e-8 THEN 'true' ELSE 'false' END AS is_empty FROM factors GROUP BY 1"
+
+
+@query("c33_component_norms", "component:b norm:f is_empty:s", _NORMS)
+def _(spark, d):
+    return B.component_norms(X.factors(spark, d))
+
+
+@query("c33_component_stats", "total:b empty:b mean:f q25:f q75:f", f"SELECT count(*) AS total, count(CASE WHEN is_empty = 'true' THEN 1 END) AS empty, avg(norm) AS mean, quantile_cont(norm, 0.25) AS q25, quantile_cont(norm, 0.75) AS q75 FROM ({_NORMS})")
 def _(spark, d):
     return B.component_stats(X.factors(spark, d))
 
@@ -815,7 +860,7 @@ def _(spark, d):
 
     x = np.nan_to_num(_matrix(spark, d)[0])
     f, _ = K.parafac(np.stack([x, x * x - 3], axis=2), 2)
-    return B.component_stats(spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(f[0]) for j, v in enumerate(row)], "id long, component long, loading double"))
+    return B.component_norms(spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(f[0]) for j, v in enumerate(row)], "id long, component long, loading double"))
 
 
 @query("c42_series_clusters", "store:b cluster:b")

@@ -70,13 +70,15 @@ def write_blocks(df: DataFrame, path: str) -> None:
 def collect_metrics(spark: SparkSession, root: str) -> DataFrame:
     """All metrics CSV files below root as text columns, with the model name from the parent folder.
 
-    Files may differ in columns: the union keeps all, in order of first sight."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*metrics*.csv").load(root).select("path").orderBy("path")
-    paths = [r.path for r in files.toLocalIterator()]  # file names only
-    if not paths:
+    Files may differ in columns: the union keeps all, in order of first sight. One pass groups the files by their header
+    line, then each header is one read of its files, so the plan grows with the number of headers and not of files."""
+    every = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*metrics*.csv")
+    lines = every.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split_part(F.regexp_replace("value", "\r", ""), F.lit("\n"), F.lit(1)).alias("header"))
+    found = lines.where("trim(header) <> ''").groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()  # file names only
+    if not found:
         return spark.createDataFrame([], "model_name string, path string")
-    frames = [spark.read.csv(p, header=True) for p in paths]
-    own = [f.withColumn("path", F.col("_metadata.file_path")).withColumn("model_name", F.regexp_extract("path", r"([^/]+)/[^/]*$", 1)) for f in frames]
+    frames = [spark.read.csv(r.paths, header=True).withColumn("path", F.col("_metadata.file_path")) for r in sorted(found, key=lambda r: r.paths)]
+    own = [f.withColumn("model_name", F.regexp_extract("path", r"([^/]+)/[^/]*$", 1)) for f in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), own)
 
 
@@ -95,6 +97,42 @@ def load_model_config(path: str, known: Iterable[str]) -> dict[str, dict]:
     return {k: v for k, v in spec.items() if k in known}
 
 
+def read_clusters(spark: SparkSession, path: str, store_cluster: str | None = None, item_cluster: str | None = None) -> DataFrame:
+    """A table written by `write_clusters`, of exactly one store or item cluster: the filter prunes folders."""
+    if (store_cluster is None) == (item_cluster is None):
+        raise ValueError("give either a store cluster or an item cluster")
+    key, value = ("store_cluster", store_cluster) if item_cluster is None else ("item_cluster", item_cluster)
+    return spark.read.parquet(path).where(F.col(key).cast("string") == str(value))
+
+
+def write_clusters(df: DataFrame, path: str) -> None:
+    """One folder per (store_cluster, item_cluster)."""
+    keys = ["store_cluster", "item_cluster"]
+    df.repartition(*keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
+
+
+def write_model(parts: dict[str, DataFrame], path: str) -> None:
+    """A model's tables (factors, assignments, settings), one folder each."""
+    for name, df in parts.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_model(spark: SparkSession, path: str, names: Iterable[str]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def read_tensor(spark: SparkSession, path: str) -> DataFrame:
+    """A long tensor (store, item, feature, value) with a mask column, one row for each cell of the grid; a repeated cell is an
+    error when the rows are read."""
+    df = spark.read.parquet(path)
+    axis = lambda c: df.select(c).distinct()
+    cells = df.groupBy("store", "item", "feature").agg(F.count("*").alias("_n"), F.first("value").alias("value"))
+    cells = cells.withColumn("value", F.when(F.col("_n") > 1, F.raise_error(F.lit("repeated cell")).cast("double")).otherwise(F.col("value"))).drop("_n")
+    grid = axis("store").crossJoin(axis("item")).crossJoin(axis("feature"))  # the tensor's own size
+    out = grid.join(cells, ["store", "item", "feature"], "left")
+    return out.withColumn("mask", F.col("value").isNotNull())
+
+
 def latest_versions(df: DataFrame, path: str = "path") -> DataFrame:
     """Of model_<store cluster>_<item cluster>_<name>[-v<n>] files the highest version per key."""
     pattern = r"model_([^_]+)_([^_]+)_(.+?)(?:-v(\d+))?(?:\.[a-z]+)?$"

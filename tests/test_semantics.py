@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,8 +174,13 @@ def test_normalisation_rules(spark):
 
 
 def test_gap_mask_and_hard_assignment(spark):
-    blocks = spark.createDataFrame([(0, 0, 9.0), (0, 1, -8.0), (0, 2, 1.0), (1, 0, 2.0)], "r long, c long, b double")
-    assert {(r.r, r.c) for r in B.mask_by_gap(blocks).where("allowed").collect()} == {(0, 0), (0, 1), (1, 0)}
+    blocks = spark.createDataFrame([(0, 0, 9.0), (0, 1, -8.0), (0, 2, 1.0), (1, 0, 2.0), (1, 1, 0.5), (1, 2, 0.0)], "r long, c long, b double")
+    allowed = lambda mask: {(r.r, r.c) for r in mask.where("allowed").collect()}
+    assert allowed(B.mask_by_gap(blocks, min_keep=1)) == {(0, 0), (0, 1)}
+    assert allowed(B.mask_by_gap(blocks)) == {(0, 0), (0, 1), (1, 0), (0, 2)}  # four at least
+    assert allowed(B.mask_by_gap(blocks.where("r = 1 and c = 2"))) == set()
+    assert allowed(B.mask_top_k(blocks, 2)) == {(0, 0), (0, 1)}
+    assert allowed(B.mask_top_k(blocks.unionByName(spark.createDataFrame([(2, 0, 8.0)], blocks.schema)), 2)) == {(0, 0), (0, 1), (2, 0)}  # equals stay
     f = spark.createDataFrame([(1, 0, 0.0), (1, 1, 0.0), (2, 0, -3.0), (2, 1, 3.0)], "id long, component long, loading double")
     assert {r.id: r.cluster_id for r in B.hard_assignment(f).collect()} == {1: None, 2: 0}
     assert B.cumulative_threshold(f).where("id = 1").count() == 0
@@ -321,3 +327,129 @@ def test_series_clusters_use_every_item(spark, sf_dir, monkeypatch):
     n = registry.queries()["c42_series_clusters"](spark, sf_dir).count()
     cells = fixtures.sales_cells(spark, sf_dir)
     assert n == cells.select("store").distinct().count() and len(seen[0]) == cells.select("item").distinct().count()
+
+
+def test_block_scores_use_the_residual(spark):
+    """One cell of value 4 under blocks 2 and 1: fitted 3, residual 1."""
+    cells = spark.createDataFrame([(1, 1, 4.0)], "store long, item long, value double")
+    rows = spark.createDataFrame([(1, 0), (1, 1)], "store long, r long")
+    cols = spark.createDataFrame([(1, 0)], "item long, c long")
+    blocks = spark.createDataFrame([(0, 0, 2.0), (1, 0, 1.0), (2, 0, 5.0)], "r long, c long, b double")
+    pick = lambda **o: B.assign_blocks(cells, rows, cols, blocks, n_cols=1, **o).first().r
+    assert pick() == 1  # 1 * 2 - 2 = 0 against 1 * 1 - 0.5
+    assert pick(score="poisson_delta") == 0  # 4 ln 3 - 2 against 4 (ln 3 - ln 2) - 1
+    assert pick(score="dominant") == 0
+    only = spark.createDataFrame([(0, 0, True)], "r long, c long, allowed boolean")
+    assert pick(allowed=only) == 0
+    assert pick(min_abs_b=4.0) == 2  # no allowed block of its own: the dominant one of all
+    assert pick(min_abs_b=4.0, on_empty="skip") == -1
+    assert pick(min_abs_b=9.0) == 0
+    with pytest.raises(Exception, match="no allowed block"):
+        pick(min_abs_b=4.0, on_empty="raise")
+
+
+def test_block_energy_and_component_norms(spark):
+    blocks = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "r long, c long, b double")
+    rows = spark.createDataFrame([(i, 0) for i in range(3)], "store long, r long")
+    cols = spark.createDataFrame([(i, 0) for i in range(10)] + [(99, 1)], "item long, c long")
+    got = B.energy_elbow(blocks, rows, cols).first()  # energies 30 and 12
+    assert got.keep == 1 and got.lead == pytest.approx(30 / 42 - 0.5)
+    assert B.energy_elbow(blocks.withColumn("b", F.lit(0.0)), rows, cols).first().keep == 1
+    f = spark.createDataFrame([(1, 0, 3.0), (2, 0, 4.0), (1, 1, 0.0), (2, 1, 0.0)], "id long, component long, loading double")
+    r = B.component_stats(f).first()
+    assert (r.total, r.empty, r["mean"], r.q25, r.q75) == (2, 1, 2.5, 1.25, 3.75)
+
+
+def test_variance_ratio_and_interval(spark):
+    clusters = spark.createDataFrame([(1.0, 0.0, 2), (4.0, 2.0, 2)], "mav_mean double, mav_var double, n_pairs long")
+    r = A.variance_ratio(clusters).first()
+    assert (r["between"], r.within, r.ratio) == (pytest.approx(3.0), pytest.approx(1.0), pytest.approx(3.0))
+    assert A.variance_ratio(clusters.limit(1)).first()["between"] is None
+    rows = [("a", 1.0), ("a", 3.0), *[("b", float(i)) for i in range(41)], ("c", 1.0)]
+    got = {r.k: r.half_width for r in A.mean_interval(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert got["a"] == pytest.approx(12.7062047) and got["c"] is None
+    assert got["b"] == pytest.approx(2.0210754 * np.std(range(41), ddof=1) / math.sqrt(41), rel=1e-6)
+
+
+@pytest.mark.parametrize("few", [1 << 20, 50])
+def test_global_quantiles(spark, monkeypatch, few):
+    from tessera.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "ACCURACY", 1000 if few == 50 else quantiles.ACCURACY)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=5000), np.full(700, 0.25)])
+    df = spark.createDataFrame([(float(v), None, 1.0) for v in x] + [(None, None, 1.0)], "a double, b double, c double")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.73, 0.99, 1.0]
+    got = quantiles.global_quantiles(df, {"a": F.col("a"), "b": F.col("b"), "c": F.col("c")}, shares).first()
+    assert got.a == pytest.approx(np.quantile(x, shares).tolist())
+    assert got.b == [None] * 7 and got.c == [1.0] * 7
+
+
+def test_long_series_folds(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(3, 1, 300)
+    x[[0, 5, 6, 299]] = np.nan
+    df = spark.createDataFrame([(1, 1, i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)], "store long, item long, date long, v double")
+    ewm = [r.y for r in S.ewm(df, "v", 7, "y").orderBy("date").collect()]
+    want = pd.Series(x).ewm(span=7, adjust=False).mean()
+    assert ewm[0] is None and ewm[1:] == pytest.approx(want[1:].tolist())
+    med = [r.running_median for r in S.running_median(df, "v").orderBy("date").collect()]
+    assert med == pytest.approx(pd.Series(x).expanding().median().fillna(0).tolist())
+    ma = {r.date: r.forecast for r in S.ma1_walk_forward(df.where("date between 7 and 60"), "v").collect()}
+    grid, y = np.linspace(-0.95, 0.95, 39), x[7:61]
+    for i in (7, 20, 54):
+        d = y[:i] - y[:i].mean()
+        e, sse = np.zeros(39), np.zeros(39)
+        for v in d:
+            e = v - grid * e
+            sse += e * e
+        assert ma[7 + i - 1] == pytest.approx(y[:i].mean() + grid[sse.argmin()] * e[sse.argmin()])
+
+
+def test_local_models_follow_seasons_trends_and_covariates():
+    t = np.arange(140)
+    season = np.array([0, 2, 5, 1, -3, -4, -1.0])[t % 7]
+    for model in ("exponential_smoothing", "theta", "auto_arima", "linear_regression"):
+        ahead = L.local_forecast(50 + 0.3 * t[:126] + season[:126], 14, model)
+        assert np.abs(ahead - (50 + 0.3 * t[126:] + season[126:])).max() < 3.0, model
+    x = np.random.default_rng(2).integers(0, 2, (140, 1)).astype(float)
+    y = 20 + 8 * x[:, 0]
+    for model in ("auto_arima", "kalman"):
+        assert np.abs(L.local_forecast(y[:126], 14, model, x=x[:126], x_ahead=x[126:]) - y[126:]).max() < 0.5, model
+    for model in ("naive", "exponential_smoothing", "theta", "auto_arima", "kalman", "linear_regression"):
+        assert np.isfinite(L.local_forecast(np.array([1.0, 2.0]), 3, model)).all()
+    with pytest.raises(ValueError):
+        L.forecast_local(None, "y", ["random_forest"])
+
+
+def test_scaling_does_not_change_equivariant_forecasts(spark):
+    rows = [(1, 1, i, float(10 + 3 * i % 11), "train" if i < 40 else "val") for i in range(50)]
+    df = spark.createDataFrame(rows, "store long, item long, date long, y double, split string")
+    plain, scaled = ([r.yhat for r in L.forecast_local(df, "y", ["naive", "theta"], scaled=s).orderBy("Model", "date").collect()] for s in (False, True))
+    assert plain == pytest.approx(scaled)
+
+
+def test_early_stopping_uses_the_validation_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(a), float(rng.normal()), "train" if i % 4 else "val") for i, a in enumerate(rng.normal(size=400))]
+    df = spark.createDataFrame(rows, "a double, y double, split string")  # nothing to learn
+    trees = lambda stop: len(L.fit_global(df, "y", ["a"], "gradient_boosting", early_stop=stop).stages[-1].trees)
+    assert trees(0.01) < trees(None) == 20
+
+
+def test_leaf_order_keeps_clusters_together():
+    rng = np.random.default_rng(3)
+    label = rng.permutation(np.arange(30) % 3)
+    order = K.leaf_order(label[:, None] * 10 + rng.normal(0, 0.1, (30, 4)))
+    assert sorted(order) == list(range(30)) and (np.diff(label[order]) != 0).sum() == 2
+
+
+def test_metrics_files_are_read_by_header(spark, tmp_path):
+    for name, text in (("m1/metrics.csv", "a,b\n1,2\n"), ("m2/metrics.csv", "b,c\n3,4\n5,6\n"), ("m3/my_metrics_x.csv", "a,b\n7,8\n"), ("m4/metrics.csv", ""), ("m5/other.csv", "a\n9\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {(r.model_name, r.a, r.b, r.c) for r in io.collect_metrics(spark, str(tmp_path)).collect()}
+    assert got == {("m1", "1", "2", None), ("m2", None, "3", "4"), ("m2", None, "5", "6"), ("m3", "7", "8", None)}
+    with pytest.raises(ValueError):
+        io.read_clusters(spark, "x")
