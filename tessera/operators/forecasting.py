@@ -307,12 +307,12 @@ def fit_global(frame: DataFrame, value: str, features: Sequence[str], model: str
 
     if not MODELS[require(model)]["global"]:
         raise ValueError(f"{model} is fitted per series: see forecast_local")
-    boosting = lambda: GBTRegressor(labelCol=value, predictionCol="yhat", maxIter=20, seed=seed)
+    stop = {} if early_stop is None else {"validationIndicatorCol": "_val", "validationTol": early_stop}
     estimator = {
         "linear_regression": lambda: LinearRegression(labelCol=value, predictionCol="yhat", regParam=1e-3),
         "huber": lambda: LinearRegression(labelCol=value, predictionCol="yhat", loss="huber"),
         "random_forest": lambda: RandomForestRegressor(labelCol=value, predictionCol="yhat", numTrees=20, seed=seed),
-        "gradient_boosting": lambda: boosting().setValidationIndicatorCol("_val").setValidationTol(early_stop) if early_stop is not None else boosting(),
+        "gradient_boosting": lambda: GBTRegressor(labelCol=value, predictionCol="yhat", maxIter=20, seed=seed, **stop),
     }[model]()
     rows = frame.where("split = 'train'") if model != "gradient_boosting" or early_stop is None else frame.where("split in ('train', 'val')").withColumn("_val", F.col("split") == "val")
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), estimator]).fit(rows)

@@ -502,9 +502,9 @@ def _(spark, d):
 
 _BSTATS = """bs AS (SELECT *, abs(b) * sqrt(n_cells) AS effect FROM (SELECT r, c, any_value(b) AS b, sum(pow(value - fit + b, 2) - pow(value - fit, 2)) AS delta, count(*) AS n_cells FROM (SELECT *, sum(b) OVER (PARTITION BY store, item) AS fit FROM cand) GROUP BY 1, 2)),
       sizes AS (SELECT * FROM (SELECT r, count(*) AS n_rows FROM row_m GROUP BY 1), (SELECT c, count(*) AS n_cols FROM col_m GROUP BY 1)),
-      jumps AS (SELECT 'n' AS k, n_cells AS x, (lead(n_cells) OVER w - n_cells) / greatest(n_cells, 1e-12) AS j, row_number() OVER w AS at FROM bs WINDOW w AS (ORDER BY n_cells)
+      jumps AS (SELECT 'n' AS k, n_cells AS x, (lead(n_cells) OVER w - n_cells) / greatest(n_cells, 1e-12) AS j, row_number() OVER w AS pos FROM bs WINDOW w AS (ORDER BY n_cells)
         UNION ALL SELECT 'e', effect, (lead(effect) OVER w - effect) / greatest(effect, 1e-12), row_number() OVER w FROM bs WINDOW w AS (ORDER BY effect)),
-      cuts AS (SELECT (SELECT greatest(4, floor(x)) FROM jumps WHERE k = 'n' AND j IS NOT NULL ORDER BY j DESC, at LIMIT 1) AS by_size, (SELECT greatest(1, floor(x)) FROM jumps WHERE k = 'e' AND j IS NOT NULL ORDER BY j DESC, at LIMIT 1) AS by_effect,
+      cuts AS (SELECT (SELECT greatest(4, floor(x)) FROM jumps WHERE k = 'n' AND j IS NOT NULL ORDER BY j DESC, pos LIMIT 1) AS by_size, (SELECT greatest(1, floor(x)) FROM jumps WHERE k = 'e' AND j IS NOT NULL ORDER BY j DESC, pos LIMIT 1) AS by_effect,
         (SELECT quantile_cont(delta, 0.5) FROM bs) AS by_delta, (SELECT quantile_cont(n_cells, 0.5) FROM bs) AS by_half, (SELECT quantile_cont(n_cells, 0.6) FROM bs) AS by_q)"""
 for _rule, _keep in (("size_gap", "n_cells >= by_size"), ("effect_gap", "effect >= by_effect"), ("delta_then_size", "delta > 0 AND delta >= by_delta AND n_cells >= by_half"), ("quantiles", "n_cells >= by_q")):
 

@@ -126,9 +126,9 @@ def _(spark, d):
     return features.select("store", "item", F.lit(len(kept)).alias("n_kept"))
 
 
-_WIN = """WITH z AS (SELECT min(date) AS z FROM panel), e AS (SELECT store, item, date, unit_sales AS s, onpromotion AS p, date_diff('day', z, date) AS at FROM panel, z),
-      w AS (SELECT DISTINCT store, item, at // 7 AS w FROM e), g AS (SELECT store, item, w, i, CAST(z + CAST(w * 7 AS INTEGER) AS DATE) AS start_date FROM w, range(1, 8) r(i), z),
-      f AS (SELECT g.*, coalesce(e.s, 0) AS s, coalesce(e.p, 0) AS p, CASE WHEN i = 1 THEN b.s ELSE coalesce(b.s, 0) END AS prev FROM g LEFT JOIN e ON e.store = g.store AND e.item = g.item AND e.at = g.w * 7 + g.i - 1 LEFT JOIN e b ON b.store = g.store AND b.item = g.item AND b.at = g.w * 7 + g.i - 2)"""
+_WIN = """WITH z AS (SELECT min(date) AS z FROM panel), e AS (SELECT store, item, date, unit_sales AS s, onpromotion AS p, date_diff('day', z, date) AS pos FROM panel, z),
+      w AS (SELECT DISTINCT store, item, pos // 7 AS w FROM e), g AS (SELECT store, item, w, i, CAST(z + CAST(w * 7 AS INTEGER) AS DATE) AS start_date FROM w, range(1, 8) r(i), z),
+      f AS (SELECT g.*, coalesce(e.s, 0) AS s, coalesce(e.p, 0) AS p, CASE WHEN i = 1 THEN b.s ELSE coalesce(b.s, 0) END AS prev FROM g LEFT JOIN e ON e.store = g.store AND e.item = g.item AND e.pos = g.w * 7 + g.i - 1 LEFT JOIN e b ON b.store = g.store AND b.item = g.item AND b.pos = g.w * 7 + g.i - 2)"""
 
 
 @query(
@@ -221,7 +221,7 @@ def _(spark, d):
 @query("t03_online_median", "event_type:s n:b low:s high:s", "SELECT event_type, count(value) AS n, 'true' AS low, 'true' AS high FROM events GROUP BY 1")
 def _(spark, d):
     schema = X.table(spark, d, "events").schema
-    stream = T.event_stream(spark, f"{d}/events.parquet", schema)
+    stream = T.event_stream(spark, d, schema, name="events.parquet")
     path = scratch_path(spark, "online")
     table = T.drain(T.online_median(stream, "event_type", "value", 0.01), f"online_{path[-32:]}", path, "update")
     ends = X.table(spark, d, "events").groupBy("event_type").agg(F.min("value").alias("a"), F.max("value").alias("b"))
@@ -233,7 +233,7 @@ def _(spark, d):
 
 @query("t01_stream_tumbling", "event_type:s start:d n:b total:f", "SELECT event_type, CAST(DATE '1970-01-01' + CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 3 * 3 AS INTEGER) AS DATE) AS start, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
 def _(spark, d):
-    stream = T.event_stream(spark, f"{d}/events.parquet", X.table(spark, d, "events").schema)
+    stream = T.event_stream(spark, d, X.table(spark, d, "events").schema, name="events.parquet")
     path = scratch_path(spark, "tumbling")
     return T.drain(T.tumbling(stream, ["event_type"], 3, "value", late="4000 days"), f"tumbling_{path[-32:]}", path)
 

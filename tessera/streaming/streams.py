@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def event_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str = "ts", per_trigger: int = 1) -> DataFrame:
-    """A Parquet folder or file as a stream, event time as timestamp."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
+def event_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str = "ts", per_trigger: int = 1, name: str | None = None) -> DataFrame:
+    """A folder of Parquet files (those called `name`, a glob) as a stream, event time as timestamp."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    reader = reader if name is None else reader.option("pathGlobFilter", name)
+    return reader.parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
 
 
 def tumbling(df: DataFrame, keys: Sequence[str], days: int, value: str, ts: str = "ts", late: str = "1 day") -> DataFrame:
