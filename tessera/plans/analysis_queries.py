@@ -807,8 +807,8 @@ def _(spark, d):
 
 @query(
     "j21_median_columns",
-    "store:b item:b date:d store_cluster_median_0:f store_cluster_median_2:f",
-    "SELECT store, item, date, a AS store_cluster_median_0, b AS store_cluster_median_2 FROM panel LEFT JOIN (SELECT date, quantile_cont(CASE WHEN store % 3 = 0 THEN growth_rate END, 0.5) AS a, quantile_cont(CASE WHEN store % 3 = 2 THEN growth_rate END, 0.5) AS b FROM daily GROUP BY 1) USING (date)",
+    "store:b item:b date:d store_cluster_median_0:f store_cluster_median_1:f store_cluster_median_2:f",
+    "SELECT store, item, date, a AS store_cluster_median_0, c AS store_cluster_median_1, b AS store_cluster_median_2 FROM panel LEFT JOIN (SELECT date, quantile_cont(CASE WHEN store % 3 = 0 THEN growth_rate END, 0.5) AS a, quantile_cont(CASE WHEN store % 3 = 1 THEN growth_rate END, 0.5) AS c, quantile_cont(CASE WHEN store % 3 = 2 THEN growth_rate END, 0.5) AS b FROM daily GROUP BY 1) USING (date)",
 )
 def _(spark, d):
     med = X.daily(spark, d).withColumn("k", F.col("store") % 3)
