@@ -1,4 +1,8 @@
-"""Word-level id lookup for the lower-casing word BPE: pieces of text repeat, so each distinct one is encoded once."""
+"""Word-level id lookup for the lower-casing word BPE: pieces of text repeat, so each distinct one is encoded once.
+
+Defined cases: an empty text has no ids (a null one is the caller's to replace); the text is taken whole however long; a text
+with characters beyond Latin-1 or with a special token in it is encoded by the tokenizer itself; equal texts have equal
+ids whatever was encoded before, the kept pieces being a bounded cache only."""
 
 from __future__ import annotations
 

@@ -197,39 +197,65 @@ def test_plain_convolution_gives_the_same_scores(spark):
         assert got[r] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
 
 
-def _fixture(spark, tmp_path, rows):
+def _fixture(spark, tmp_path, rows, truth=None):
     d = str(tmp_path)
     H.frame(spark, rows).write.parquet(f"{d}/documents.parquet")
-    H.labels(spark, [(i, 1, 0) for i in range(20)]).write.parquet(f"{d}/labels.parquet")
+    H.labels(spark, truth or [(i, 1, 0) for i in range(20)]).write.parquet(f"{d}/labels.parquet")
     return d
 
 
 def test_pipeline_matches_brute_force(spark, tmp_path):
+    """With learned cutoffs (words with *** are junk) and random tokens that only the battery finds."""
     from tokenizers import Tokenizer
 
     from tessera.llm import secret_scan
 
+    rng = np.random.default_rng(17)
+    letters = secret_scan.ALPHABETS["base62"]
     rows = H.corpus(150, seed=11)
-    got = corpus_pipeline.run(spark, _fixture(spark, tmp_path, rows)).collect()
-    kept = [r for r in rows if not _features(r[1])[5]]
+    truth = []
+    for i in range(1000, 1840):  # 140 good holdout rows a language
+        junk = i % 3 == 0
+        words = [f"***{i}{j % 10}" if junk else f"w{i}x{j:02d}" for j in range(14)]
+        if i % 40 == 1 and not junk:
+            words[5] = "".join(letters[k] for k in rng.integers(0, 62, 48))
+        rows.append((i, " ".join(words), ["en", "de"][i // 2 % 2], "s", 0))
+        truth.append((i, int(not junk), 0))
+    got = corpus_pipeline.run(spark, _fixture(spark, tmp_path, rows, truth)).collect()
+    kept = [r for r in rows if not _features(r[1])[5] and "***" not in r[1]]
     cls = H.classes(kept, 5, 4, 5)
     kept = [r for r in kept if cls[r[0]][1] == r[0]]
     lib = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    want = {}
+    want, masked = {}, 0
     texts = {r[0]: r[1] for r in kept}
     for i, words, mask in H.without_repeats(kept):
         if words and all(mask):
             continue
         text = " ".join(w for w, gone in zip(words, mask) if not gone) if any(mask) else texts[i]
+        spans = [(a, b) for _, a, b in secret_scan.base_spans(text)]
+        tokens = [w for w in text.split() if len(w) == 48]
+        masked += len(tokens)
+        spans += [(text.index(w), text.index(w) + 48) for w in tokens]
         out, at = "", 0
-        for _, a, b in secret_scan.base_spans(text):
+        for a, b in sorted(spans):
             out, at = out + text[at:a] + "[secret]", b
         ids = [*lib.encode(out + text[at:], add_special_tokens=False).ids, 0]
         for k in range(0, len(ids), 2048):
             want[i, k // 2048] = zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())
+    assert masked >= 5
     assert {(r.doc_id, r.piece): r.ids_crc32 for r in got} == want
 
 
+def test_texts_of_one_id_are_judged_apart(spark, tmp_path):
+    rows = [(1, "ein Text mit mehr als zehn Worten steht hier fuer die erste Zeile", "de", "s", 0), (1, "zu kurz", "de", "s", 0), (1, "x" * 100_000, "de", "s", 0), (None, "auch ohne Nummer ein Text mit mehr als zehn Worten der hier bleibt", "de", "s", 0)]
+    d = _fixture(spark, tmp_path, rows)
+    for name in ("op2_bpe", "op4_quality_rules", "op5_pii", "op6_toxicity", "op8_secret_scan", "op9_license_scan", "op10_audio"):
+        assert Q.QUERIES[name](spark, d).count() == 4, name
+    assert {(r.doc_id, r.kept) for r in Q.op4_quality_rules(spark, d).collect()} == {(1, True), (1, False), (None, True)}
+    pieces = corpus_pipeline.run(spark, d).collect()
+    assert sorted((r.doc_id or 0) for r in pieces) == [0, 1]
+
+
 def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     d = _fixture(spark, tmp_path, H.corpus(60))
     docs = H.odd_frame(spark)

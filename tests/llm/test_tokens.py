@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm import bpe, packing
 from tessera.llm.lookup_tokens import LookupEncoder
+from tessera.llm import queries as Q
 from tessera.llm.queries import vocabulary
 
 from . import helpers as H
@@ -60,6 +62,35 @@ def test_round_trip_rows(spark):
     assert bpe.bpe_round_trip(H.frame(spark, []), BYTE_BPE).count() == 0
 
 
+def _documents(spark, tmp_path, rows):
+    H.frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_bpe_query_digests(spark, tmp_path):
+    rows = [r for r in H.ODD if r[0] not in (None, 5)] + [(700 + i, *r[1:]) for i, r in enumerate(H.corpus(20))]
+    lib = Tokenizer.from_file(BYTE_BPE)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in Q.op2_bpe(spark, _documents(spark, tmp_path, rows)).collect()}
+    want = {}
+    for i, t, *_ in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want[i] = (len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False)))
+    assert got == want
+
+
+def test_packing_query(spark, tmp_path):
+    rows = H.corpus(40) + [(500, "wort " * 5000, "en", "s", 0), (501, None, "en", "s", 0)]
+    lib = Tokenizer.from_file(WORD_BPE)
+    got = Q.op1_best_fit_packing(spark, _documents(spark, tmp_path, rows)).collect()
+    _check(got, {r[0] for r in rows})
+    want = {}
+    for i, t, *_ in rows:
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
+        want |= {(i, k // 2048): (k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())) for k in range(0, len(ids), 2048)}
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=120), st.integers(1, 20))
 def test_best_fit_keeps_its_bounds(lengths, open_bins):
