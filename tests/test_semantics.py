@@ -453,3 +453,42 @@ def test_metrics_files_are_read_by_header(spark, tmp_path):
     assert got == {("m1", "1", "2", None), ("m2", None, "3", "4"), ("m2", None, "5", "6"), ("m3", "7", "8", None)}
     with pytest.raises(ValueError):
         io.read_clusters(spark, "x")
+
+
+def test_sweep_scores_labels_and_small_clusters(spark):
+    x, r, c = planted()
+    rows = {(k.n_row, k.n_col): k for k in K.sweep(spark, x, [3], [4, 6], restarts=8, least_size=3).collect()}
+    best = rows[3, 4]
+    v = np.where(x >= 0, x, 0)
+    block = pd.Series((best.restart * 0 + r[:, None] * 4 + c[None]).ravel())
+    groups = pd.Series(v.ravel()).groupby(block)
+    between = (groups.size() * (groups.mean() - v.mean()) ** 2).sum() / (v.size - 1)
+    within = (groups.var(ddof=1) * (groups.size() - 1)).sum() / (v.size - len(groups))
+    assert best.var_between == pytest.approx(between) and best.var_ratio == pytest.approx(between / within)
+    assert best.silhouette > 0.9 and best.least_size == 6 and best.pve > 0.99
+    none = K.sweep(spark, x, [3], [4], restarts=1, least_size=25).first()
+    assert none.rss is None and none.silhouette is None and none.least_size < 25
+    assert K.sweep(spark, x, [2], [2], restarts=1, solver="nmtf").first().silhouette is None
+
+
+def test_silhouette_matches_the_definition():
+    rng = np.random.default_rng(2)
+    x, labels = rng.normal(size=(9, 3)), np.array([0, 0, 0, 2, 2, 2, 5, 5, 5])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i in range(9):
+        a = d[i, (labels == labels[i]) & (np.arange(9) != i)].mean()
+        b = min(d[i, labels == k].mean() for k in {0, 2, 5} - {labels[i]})
+        want.append((b - a) / max(a, b))
+    assert K.row_silhouette(x, labels) == pytest.approx(np.mean(want))
+    assert K.row_silhouette(x[:4], labels[:4]) is None
+
+
+def test_block_lasso_is_a_minimum():
+    rng = np.random.default_rng(0)
+    x, u, v = rng.normal(size=(20, 15)), np.eye(3)[rng.integers(0, 3, 20)], np.eye(4)[rng.integers(0, 4, 15)]
+    u[0, :2] = 1
+    loss = lambda b: 0.5 * ((x - u @ b @ v.T) ** 2).sum() + 5e-4 * (b * b).sum() + 2 * np.abs(b).sum()
+    b = K._lasso_blocks(x, u, v, 1e-3, 2.0)
+    assert all(loss(b + rng.normal(0, 0.01, b.shape)) >= loss(b) - 1e-9 for _ in range(200))
+    assert np.isfinite(K._ridge_blocks(x, np.hstack([u, u]), v, 0.0)).all()  # singular without its diagonal
