@@ -251,6 +251,40 @@ def merge_by_sign(labelled: DataFrame, how: str = "mean") -> DataFrame:
     return b.withColumn("merged", F.when(F.col("b") < 0, 0).otherwise(1))
 
 
+def value_groups(values: Sequence[float], k: int) -> list[float]:
+    """Upper ends of the k intervals that split values with the least sum of squares (exact, by dynamic programming)."""
+    import numpy as np
+
+    x = np.sort(np.asarray(values, float))
+    n, k = len(x), min(k, len(np.unique(x)))
+    s1, s2 = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
+    cost = lambda i, j: s2[j] - s2[i] - (s1[j] - s1[i]) ** 2 / (j - i)  # noqa: E731  values i..j-1
+    best = np.full((k + 1, n + 1), np.inf)
+    back = np.zeros((k + 1, n + 1), int)
+    best[0, 0] = 0
+    for g in range(1, k + 1):
+        for j in range(g, n + 1):
+            options = [best[g - 1, i] + cost(i, j) for i in range(g - 1, j)]
+            back[g, j] = g - 1 + int(np.argmin(options))
+            best[g, j] = min(options)
+    ends, j = [], n
+    for g in range(k, 0, -1):
+        ends.append(float(x[j - 1]))
+        j = back[g, j]
+    return ends[::-1]
+
+
+def merge_by_value(labelled: DataFrame, k: int, how: str = "mean") -> DataFrame:
+    """Blocks merged by their statistic into k groups of least squares: group 0 has the lowest. The blocks' values, rows times
+    columns of the cluster grid, are split on the driver."""
+    b = prototypes(labelled, how)
+    ends = value_groups([r.b for r in b.select("b").where("b is not null").collect()], k)
+    group = F.lit(len(ends) - 1)
+    for i in range(len(ends) - 2, -1, -1):
+        group = F.when(F.col("b") <= ends[i], F.lit(i)).otherwise(group)
+    return b.withColumn("merged", F.when(F.col("b").isNotNull(), group))
+
+
 def membership_histogram(memberships: DataFrame, key: str) -> DataFrame:
     """How many keys belong to how many clusters."""
     return memberships.groupBy(key).agg(F.count_distinct("cluster").alias("n_clusters")).groupBy("n_clusters").agg(F.count("*").alias("n_keys"))

@@ -160,6 +160,13 @@ def _(spark, d):
     return B.silhouette(x, x.select("store").distinct().withColumn("r", F.col("store") % 3), "mav_ratio")
 
 
+@query("c26_merge_by_value", "r:b c:b merged:b", "SELECT r, c, CASE WHEN r * 4 + c IN (0, 6, 9) THEN 2 WHEN r * 4 + c IN (1, 4, 11) THEN 0 ELSE 1 END AS merged FROM blocked GROUP BY 1, 2")
+def _(spark, d):
+    k = F.col("r") * 4 + F.col("c")
+    level = F.when(k.isin(0, 6, 9), 9.0).when(k.isin(1, 4, 11), -3.0).otherwise(2.0)
+    return B.merge_by_value(X.blocked(spark, d).withColumn("value", level + k / 100), 3)
+
+
 @query("r05_transpose", "store:b item:b value:f", "SELECT item AS store, store AS item, value FROM sales_cells")
 def _(spark, d):
     return M.transpose(X.sales_cells(spark, d))

@@ -492,3 +492,16 @@ def test_block_lasso_is_a_minimum():
     b = K._lasso_blocks(x, u, v, 1e-3, 2.0)
     assert all(loss(b + rng.normal(0, 0.01, b.shape)) >= loss(b) - 1e-9 for _ in range(200))
     assert np.isfinite(K._ridge_blocks(x, np.hstack([u, u]), v, 0.0)).all()  # singular without its diagonal
+
+
+def test_values_split_with_least_squares():
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        x = np.sort(np.round(rng.normal(size=8), 3))
+        sse = lambda cuts: sum(((g - g.mean()) ** 2).sum() for g in np.split(x, cuts))
+        want = min(sse(c) for c in combinations(range(1, 8), 2))
+        ends = B.value_groups(x, 3)
+        assert sse([int(np.searchsorted(x, e, "right")) for e in ends[:-1]]) == pytest.approx(want)
+    assert B.value_groups([2.0, 2.0, 1.0], 3) == [1.0, 2.0]
