@@ -32,16 +32,41 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
+_tables: list[str] = []  # folders written and not removed, oldest first
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    All tables of one process lie in one folder, see `release`."""
+    All tables of one process lie in one folder; `only`, `discard` and `release` remove them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{_run}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place in the order of written tables, for `only`."""
+    return len(_tables)
+
+
+def only(since: int, *tables: DataFrame) -> None:
+    """Of the tables written since a mark remove all but those that the given ones read."""
+    mine, kept = _tables[since:], _tables_of(tables)
+    for path in mine:
+        if path not in kept:
+            _delete(tables[0].sparkSession, path)
+            _tables.remove(path)
+
+
+def _tables_of(frames: tuple[DataFrame, ...]) -> set[str]:
+    """Which written tables the given frames read, whatever else they read."""
+    names = {p.rsplit("/", 1)[1]: p for p in _tables}
+    folders = {f.rsplit("/", 2)[-2] for frame in frames for f in frame.inputFiles()} if names else set()
+    return {names[f] for f in folders & names.keys()}
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
@@ -53,11 +78,13 @@ def discard(table: DataFrame) -> None:
     folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
     for folder in folders:
         _delete(table.sparkSession, folder)
+        _tables[:] = [t for t in _tables if t.rsplit("/", 1)[1] != folder.rsplit("/", 1)[1]]
 
 
 def release(spark: SparkSession) -> None:
     """Remove every table this process has written: results are read from them, so call it when those are stored."""
     _delete(spark, f"{shared_dir(spark)}/{_run}")
+    _tables.clear()
 
 
 def partitions(spark: SparkSession) -> int:

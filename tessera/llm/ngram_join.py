@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import ASK, Answers, Words, ask_rows, census, components, grams, partitions, shards_for, text_slices, written
+from tessera.llm._common import ASK, Answers, Words, ask_rows, census, components, grams, mark, only, partitions, shards_for, text_slices, written
 
 _SETS = "doc_id long, copy long, unit long, mark long, n_shingles long, low binary"
 
@@ -387,8 +387,10 @@ def _classes(docs: DataFrame, k: int, threshold: str | Fraction, block_tokens: i
 
 def near_duplicate_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = "4/5", block_tokens: int = 1 << 16, bucket: int = 256) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    since = mark()
     rows = written(_classes(docs, k, threshold, block_tokens, bucket), "classes")
     names = written(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "names")
+    only(since, rows, names)
     return rows.join(names, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
@@ -398,12 +400,15 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, threshold: str | Fraction = "4
 
     Rows of one doc_id and different texts are different documents. Rows with a null doc_id and rows without a word stay,
     but repeated rows of the same doc_id and text stay once (their other columns being those of any one of them)."""
+    since = mark()
     rows = written(_classes(docs, k, threshold, block_tokens, bucket), "classes").where("root is not null")
     least = written(rows.groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     heads = rows.join(least, "root").where("doc_id = least").groupBy("root").agg(F.min("doc_id").alias("least"), F.min("copy").alias("least_copy"))
     gone = rows.join(written(heads, "heads"), "root").where("doc_id <> least or copy <> least_copy").select("doc_id", "copy").distinct()
+    gone = written(gone, "gone")
+    only(since, gone)
     inside = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     held = docs.select(inside, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"))
-    kept = held.join(written(gone, "gone"), ["doc_id", "copy"], "left_anti")
+    kept = held.join(gone, ["doc_id", "copy"], "left_anti")
     once = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "copy"]))
     return once.select("doc.*")
