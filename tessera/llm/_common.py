@@ -51,13 +51,25 @@ def mark() -> int:
     return len(_tables)
 
 
+def tables_since(since: int) -> list[str]:
+    """The tables written since a mark that are still there."""
+    return _tables[since:]
+
+
+def remove(spark: SparkSession, paths: list[str], *unless: DataFrame) -> None:
+    """Remove written tables, and their names from the list, unless one of the given frames reads them."""
+    kept = _tables_of(unless) if paths else set()
+    for path in list(paths):
+        if path not in kept:
+            if path in _tables:
+                _delete(spark, path)
+                _tables.remove(path)
+            paths.remove(path)
+
+
 def only(since: int, *tables: DataFrame) -> None:
     """Of the tables written since a mark remove all but those that the given ones read."""
-    mine, kept = _tables[since:], _tables_of(tables)
-    for path in mine:
-        if path not in kept:
-            _delete(tables[0].sparkSession, path)
-            _tables.remove(path)
+    remove(tables[0].sparkSession, tables_since(since), *tables)
 
 
 def _tables_of(frames: tuple[DataFrame, ...]) -> set[str]:
