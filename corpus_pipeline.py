@@ -11,50 +11,72 @@ stage does with null and empty texts and with repeated rows stands at the stage.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join, packing, quality, secret_scan, substring_dedup
-from tessera.llm._common import written
+from tessera.llm._common import mark, remove, tables_since, written
 from tessera.llm.queries import vocabulary
 from tessera.sources.workers import share_path
 
 
+_left: list[str] = []  # scratch tables of stages whose result is stored by the time the next one begins
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage: gives the workers the library's path, and first removes the tables that earlier stages have left and that docs
+    does not read (a stage's result is stored before it is the next one's docs)."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        share_path(spark)
+        remove(spark, _left, docs)
+        since = mark()
+        out = work(spark, docs, sf_dir)
+        _left[:] = [*_left, *tables_since(since)]
+        return out
+
+    return run
+
+
+@_stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. Null and empty texts fail the base rules (no words); repeated rows go or stay together."""
-    share_path(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, similarity 0.8), that of the smallest doc_id. Null texts and
     texts without a word are near nothing and stay; repeated rows of one doc_id and text stay once."""
-    share_path(spark)
     return ngram_join.keep_one_of_each(docs)
 
 
+@_stage
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of long repeats go; a text that loses all its words goes as well. Null and empty texts stay as they are; rows of
     equal doc_id don't remove each other's words, so repeated rows are each kept; a null doc_id loses nothing."""
-    share_path(spark)
     kept = substring_dedup.remove_repeats(docs).where("n_words = 0 or n_removed < n_words")
     names = docs.columns
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in names else None
     return kept.select(*[n_chars if c == "n_chars" else F.col(c) for c in names])
 
 
+@_stage
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text. Null and empty texts stay as they are; equal texts, repeated rows too, are masked alike."""
-    share_path(spark)
     kept = secret_scan.redact(docs)
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None
     return kept.select(*[n_chars if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 2048 tokens: one row per piece. A null or empty text is one piece with the end id;
     repeated rows are packed once each."""
-    share_path(spark)
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
