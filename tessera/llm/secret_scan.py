@@ -39,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import mark, only, written
+from tessera.llm._common import mark as tables_now
+from tessera.llm._common import only, written
 
 BASE = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -254,7 +255,7 @@ def redact(docs: DataFrame, fdr: float = 0.01, mark: str = "[secret]") -> DataFr
     that occurs often is scanned once. Only texts with spans have a row on the other side of that join."""
     keys = ["key", "other_key"]
     key = [F.xxhash64("text", F.lit(1)).alias("key"), F.xxhash64(F.lit(2), "text").alias("other_key")]
-    since = mark()
+    since = tables_now()
     texts = docs.where("text is not null").select(*key, F.col("text").alias("text")).dropDuplicates(keys)
     spans = written(_spans(texts, keys, fdr, 0.001).select(*keys, spans_in_order().alias("spans")).where(F.size("spans") > 0), "spans")
     only(since, spans)
