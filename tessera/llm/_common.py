@@ -32,6 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's URI in the shared folder, for files that tasks write themselves; `release` removes it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{_run}/{name}-{uuid.uuid4().hex}")
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 _tables: list[str] = []  # folders written and not removed, oldest first
 
 

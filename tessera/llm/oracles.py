@@ -96,9 +96,34 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 """
 
 
+def _op13(parts: int = 16, width: int = 4, entries: int = 64, rounds: int = 2) -> str:
+    places = [f"x{i}" for i in range(width)]
+    cut = ", ".join(f"z[p * {width} + {i + 1}] AS x{i}" for i in range(width))
+    steps = [f"c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, {', '.join(places)} FROM cut QUALIFY e < {entries})"]
+    far = " + ".join(f"(cut.{x} - c.{x}) * (cut.{x} - c.{x})" for x in places)
+    for k in range(rounds + 1):
+        steps.append(f"n{k} AS MATERIALIZED (SELECT vec_id, cut.p, min({far}) AS far, min(({far}) * {entries} + e) % {entries} AS e FROM cut JOIN c{k} c ON c.p = cut.p GROUP BY 1, 2)")
+        if k < rounds:
+            moved = ", ".join(f"coalesce(m.{x}, c.{x}) AS {x}" for x in places)
+            means = ", ".join(f"CAST(floor(CAST(sum({x}) AS DOUBLE) / count(*)) AS BIGINT) AS {x}" for x in places)
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, {moved} FROM c{k} c LEFT JOIN (SELECT p, e, {means} FROM cut JOIN n{k} USING (vec_id, p) GROUP BY 1, 2) m ON m.p = c.p AND m.e = c.e)")
+    flat = " || ',' || ".join(places)
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS z FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+cut AS MATERIALIZED (SELECT vec_id, p, {cut} FROM v, range({parts}) r(p)),
+{', '.join(steps)},
+coded AS MATERIALIZED (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM n{rounds} GROUP BY 1),
+sums AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM coded JOIN v USING (vec_id) GROUP BY 1)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg({flat}, ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN v USING (vec_id) JOIN sums ON sums.label IS NOT DISTINCT FROM v.label
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_ngram_jaccard": OP3,
     "op4_quality_rules": _op4(),
     "op7_substring_dedup": OP7,
     "op9_license_scan": _op9(),
+    "op13_vector_codes": _op13(),
 }

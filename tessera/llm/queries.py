@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, bpe, license_scan, ngram_join, packing, pii, quality, secret_scan, substring_dedup, toxicity
+from tessera.llm import audio, bpe, license_scan, ngram_join, packing, pii, quality, secret_scan, spelling, substring_dedup, token_store, toxicity, vector_codes
+from tessera.llm._common import written
 
 
 def vocabulary(name: str) -> str:
@@ -80,8 +81,30 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_features(audio.stored_media(_docs(spark, sf_dir)))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_docs(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    store = token_store.write_tokens(docs, vocabulary("word_bpe_49k.json"), end_id=1)
+    read = token_store.read_tokens(store, docs.select("doc_id").distinct())
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    books = vector_codes.fit(vectors, parts=16, entries=64, rounds=2)
+    coded = vector_codes.label_errors(written(vector_codes.encode(vectors, books), "codes"))
+    return coded.select(F.col("id").alias("vec_id"), vector_codes.hex_code().alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_bpe, op3_ngram_jaccard, op4_quality_rules, op5_pii, op6_toxicity, op7_substring_dedup, op8_secret_scan, op9_license_scan, op10_audio)
+    f.__name__: f
+    for f in (
+        *(op1_best_fit_packing, op2_bpe, op3_ngram_jaccard, op4_quality_rules, op5_pii, op6_toxicity, op7_substring_dedup),
+        *(op8_secret_scan, op9_license_scan, op10_audio, op11_spelling_variants, op12_token_store, op13_vector_codes),
+    )
 }
 
 
