@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import secrets
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -156,17 +157,25 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _LONG = 16
+Key = tuple[int, int]
+
+
+def new_key() -> Key:
+    """A key for the word names of one run."""
+    return secrets.randbits(64), secrets.randbits(64)
 
 
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of a text column: byte spans, owning row and names.
 
     `space` tells the separating bytes; fold lower-cases A-Z first. A word's name is 128 bits in two lanes, `hash` and
-    `check`: words of up to 16 bytes are two integers and a length, mixed without loss in each lane; longer ones are hashed
-    by BLAKE2b. Equal words have equal names whatever the batch, and no regularity of the words makes names collide.
+    `check`: words of up to 16 bytes are two integers and a length, mixed in each lane with a number of the key; longer ones
+    are hashed by BLAKE2b under the key. Equal words have equal names whatever the batch. Names under the fixed key are for
+    choosing only, as whoever knows it can build words of one name; what is verified by name takes a key of `new_key`,
+    drawn for the run, so that no text can have been made for it.
     Beside the text this keeps some bytes a byte and a few numbers a word."""
 
-    def __init__(self, col: pa.Array, fold: bool = False, space: np.ndarray = SPACE):
+    def __init__(self, col: pa.Array, fold: bool = False, space: np.ndarray = SPACE, key: Key = (_NAME, _NAME << 1 & 2**64 - 1)):
         data, off = text_bytes(col)
         self.data, self.offsets, self.rows = data, off, len(off) - 1
         n = len(data)
@@ -184,6 +193,7 @@ class Words:
         self.row = np.searchsorted(off, self.starts, "right") - 1
         self.counts = np.bincount(self.row, minlength=self.rows)[: self.rows]
         self.first = np.concatenate([[0], np.cumsum(self.counts)])  # words of row r: first[r]..first[r+1]
+        self.key = key
         self._padded = np.concatenate([_FOLD[data] if fold else data, np.zeros(2 * _LONG, np.uint8)])
         self.hash, self.check = self._named(self.ends - self.starts)
 
@@ -195,16 +205,21 @@ class Words:
             got = eight[self.starts + at].view("<u8")[:, 0]
             halves.append(got & _LOW_BYTES[np.clip(length - at, 0, 8)])
         size = length.astype(np.uint64)
-        lanes = [mix(halves[0] ^ mix(halves[1] ^ mix(size + np.uint64(seed)))) for seed in (_NAME, _NAME << 1 & 2**64 - 1)]
+        lanes = [mix(halves[0] ^ mix(halves[1] ^ mix(size + np.uint64(seed)))) for seed in self.key]
         long = np.flatnonzero(length > _LONG)
         if len(long):
             stops = (self.starts[long] + length[long]).tolist()
-            whole = [hashlib.blake2b(self._padded[a:b], digest_size=16).digest() for a, b in zip(self.starts[long].tolist(), stops, strict=True)]
+            secret = b"".join(k.to_bytes(8, "little") for k in self.key)
+            whole = [hashlib.blake2b(self._padded[a:b], digest_size=16, key=secret).digest() for a, b in zip(self.starts[long].tolist(), stops, strict=True)]
             digest = np.frombuffer(b"".join(whole), "<u8").reshape(-1, 2)
             for k in (0, 1):
                 lanes[k][long] = digest[:, k]
         return lanes[0], lanes[1]
 
+    def names(self) -> np.ndarray:
+        """One name of 64 bits a word, of both lanes."""
+        return mix(self.hash * np.uint64(_NAME) + self.check)
+
     def prefixes(self, k: int) -> np.ndarray:
         """Names of the words' first k bytes (of all, where shorter)."""
         return self._named(np.minimum(self.ends - self.starts, k))[0]

@@ -1,9 +1,11 @@
 """N-gram Jaccard join: exact near-duplicate classes by a grouped prefix join.
 
-Sets are distinct k-word shingles (64-bit names) of lower-cased words. Two sets with Jaccard similarity >= t share a
-token among the first n - ceil(t*n) + 1 of each in any common total order. The order here is (hash tier, document
-frequency, hash): the tier comes from the hash alone and tier 0 holds about 2.5 times as many tokens as a prefix
-needs, so only a fraction of the tokens is ever counted, yet prefixes consist of each document's rarest tokens there.
+Sets are distinct k-word shingles of lower-cased words, named by 64 bits of both lanes of the words' names under a key that
+is drawn for the run (a count is wrong only if two of the shingles of one pair of documents share a name by chance). Two
+sets with Jaccard similarity >= t share a token among the first n - ceil(t*n) + 1 of each in any common total order. The
+order here is (hash tier, document frequency, hash): the tier comes from the hash alone and tier 0 holds about 2.5 times
+as many tokens as a prefix needs, so only a fraction of the tokens is ever counted, yet prefixes consist of each
+document's rarest tokens there.
 
 1. One Arrow pass turns texts into sets; documents with equal sets are one unit from then on (one row per partition
    and unit carries its low tokens, so a hot copy is combined before any shuffle). A unit is named by 128 bits of a
@@ -12,7 +14,9 @@ needs, so only a fraction of the tokens is ever counted, yet prefixes consist of
 3. Units with identical (size, prefix) collapse into one group. Groups meet through (prefix token, size band). Group pairs
    there must pass the size filter and the positional filter (tokens left after the shared one must suffice for the
    overlap); of the pairs that pass only a spanning forest is kept, so no pairs of a bucket are written. A bucket of
-   more than `bucket` groups is not gathered: its groups point at its smallest one, unfiltered, by a combinable minimum.
+   more than `bucket` groups is not gathered: per size only the group with most tokens left is compared, which tells from
+   how many tokens left on the size's groups pass with some group, and these point at it (`size_thresholds`). That gives the
+   same families as comparing all pairs, whatever the size of a bucket.
 4. Connected groups are expanded to their units, whose whole sets are read again and verified exactly. A family is cut
    into blocks of bounded total size, compared by an inverted index; a task returns a spanning forest of its links only.
    No cap, no sampling: a pair of a family goes unchecked only where verified links already connect it.
@@ -20,8 +24,8 @@ needs, so only a fraction of the tokens is ever counted, yet prefixes consist of
 
 Defined cases: null and empty texts have the empty set and link with nothing; fewer than k words give one shingle of
 all of them; rows with a null doc_id get counted shingles and a null component_id; rows of one doc_id and different
-texts are judged apart; repeated rows are each returned; a table without rows gives no rows; only doc_id and text are
-read, whatever other columns are called.
+texts are judged apart; repeated rows are each returned; a table without rows gives no rows; texts are taken whole, however
+long (a text is one row of shingle names); only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -33,23 +37,24 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import ASK, Answers, Words, ask_rows, census, components, grams, mark, only, partitions, shards_for, text_slices, written
+from tessera.llm._common import ASK, Answers, Key, Words, ask_rows, census, components, grams, mark, new_key, only, partitions, shards_for, text_slices, written
 
 _SETS = "doc_id long, copy long, unit long, mark long, n_shingles long, low binary"
 
 
 def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle names of each row."""
-    h = grams(words.hash, k)
+    names = words.names()
+    h = grams(names, k)
     for r in range(words.rows):
         a, n = int(words.first[r]), int(words.counts[r])
         if n >= k:
             yield np.unique(h[a : a + n - k + 1])
         elif n:
-            yield grams(words.hash[a : a + n], n)
+            yield grams(names[a : a + n], n)
         else:
             yield h[:0]
 
@@ -87,13 +92,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").alias("text"))
 
 
-def _sets(docs: DataFrame, k: int, order: TokenOrder) -> DataFrame:
+def _sets(docs: DataFrame, k: int, order: TokenOrder, key: Key) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for whole in batches:
             for batch in text_slices(whole):
                 units, marks, sizes, lows = [], [], [], []
-                for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(Words(batch.column(2), fold=True), k), strict=True):
+                for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(Words(batch.column(2), fold=True, key=key), k), strict=True):
                     unit, mark = name_of(s.tobytes())
                     first = len(s) > 0 and doc is not None and (unit, mark) not in seen
                     if first:
@@ -202,12 +207,65 @@ def passing_pairs(token: np.ndarray, band: np.ndarray, grp: np.ndarray, n: np.nd
     return grp[a], grp[b]
 
 
+def least_tokens(n: Column, m: Column, t: Fraction) -> Column:
+    """How many tokens groups of sizes n and m must both have left after a shared one."""
+    top, both = t.numerator, t.numerator + t.denominator
+    return F.floor((top * (n + m) + (both - 1)) / both).cast("long") - 1
+
+
+def size_thresholds(n: np.ndarray, left: np.ndarray, alike: np.ndarray, t: Fraction) -> np.ndarray:
+    """Per size of a bucket (rising) the least number of tokens left with which a group passes with some group of the bucket,
+    -1 where none does. left: the most tokens left in a size; alike: whether two of its groups pass with each other.
+
+    A pair of sizes passes for exactly those groups of both that have `least` tokens left, so its groups with most decide
+    whether any does."""
+    least = lambda x, y: -(-(t.numerator * (x + y)) // (t.numerator + t.denominator)) - 1
+    none = np.iinfo(np.int64).max
+    need = np.where(alike, least(n, n), none)
+    i, d = np.arange(len(n)), 1
+    while len(i := i[i + d < len(n)]):
+        i = i[n[i] * t.denominator >= n[i + d] * t.numerator]
+        j = i + d
+        bound = least(n[i], n[j])
+        ok = (left[i] >= bound) & (left[j] >= bound)
+        need[i[ok]] = np.minimum(need[i[ok]], bound[ok])
+        need[j[ok]] = np.minimum(need[j[ok]], bound[ok])
+        d += 1
+    return np.where(need == none, -1, need)
+
+
+def _large_edges(tokens: DataFrame, t: Fraction) -> DataFrame:
+    """Edges of the buckets that are not gathered, from their rows (token, band, grp, n, place)."""
+    rows = tokens.withColumn("left", F.col("n") - F.col("place") - 1)
+    size = F.col("n")
+    top = F.max(F.struct("left", "grp")).alias("top")
+    sizes = rows.groupBy("token", "band", "n").agg(top, (F.count_if(F.col("left") >= least_tokens(size, size, t)) > 1).alias("alike"))
+    sizes = written(sizes.select("token", "band", "n", F.col("top.left").alias("left"), F.col("top.grp").alias("head"), "alike"), "bucket-sizes")
+
+    def decide(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
+        n, left, head = (table[c].to_numpy() for c in ("n", "left", "head"))
+        need = size_thresholds(n, left, table["alike"].to_numpy(), t)
+        on = need >= 0
+        same = np.zeros(len(n), np.int64)
+        a, b = passing_pairs(same, same, head, n, n - 1 - left, t)
+        k = int(on.sum())
+        columns = [np.concatenate([x, y]) for x, y in ((table["token"].to_numpy()[on], same[: len(a)]), (table["band"].to_numpy()[on], same[: len(a)]), (n[on], same[: len(a)]), (need[on], same[: len(a)]), (head[on], b))]
+        other = pa.array(np.concatenate([np.zeros(k, np.int64), a]), mask=np.arange(k + len(a)) < k)
+        return pa.table([*(pa.array(c.astype(np.int64)) for c in columns), other], names=["token", "band", "n", "need", "head", "other"])
+
+    told = written(sizes.groupBy("token", "band").applyInArrow(decide, "token long, band long, n long, need long, head long, other long"), "thresholds")
+    between = told.where("other is not null").select(F.col("other").alias("a"), F.col("head").alias("b"))
+    inside = rows.join(told.where("other is null").drop("other"), ["token", "band", "n"]).where("left >= need and grp <> head")
+    return inside.select(F.col("grp").alias("a"), F.col("head").alias("b")).unionByName(between)
+
+
 def _group_edges(tokens: DataFrame, t: Fraction, bucket: int) -> DataFrame:
     """Edges (a, b) between groups from rows (token, band, grp, n, place)."""
-    sizes = tokens.groupBy("token", "band").agg(F.count("*").alias("groups"), F.min("grp").alias("head"))
-    hot = written(sizes.where(F.col("groups") > bucket).select("token", "band", "head"), "hot-tokens")
+    sizes = tokens.groupBy("token", "band").agg(F.count("*").alias("groups"))
+    hot = written(sizes.where(F.col("groups") > bucket).select("token", "band", F.lit(True).alias("large")), "hot-tokens")
     placed = tokens.join(hot, ["token", "band"], "left")
-    stars = placed.where("grp <> head").select(F.col("grp").alias("a"), F.col("head").alias("b"))
+    stars = _large_edges(placed.where("large").drop("large"), t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -231,7 +289,7 @@ def _group_edges(tokens: DataFrame, t: Fraction, bucket: int) -> DataFrame:
         if held is not None:
             yield edges(held)
 
-    cold = placed.where("head is null").select("token", "band", "grp", "n", "place")
+    cold = placed.where("large is null").select("token", "band", "grp", "n", "place")
     pairs = cold.repartition(partitions(tokens.sparkSession), "token", "band").sortWithinPartitions("token", "band", "n", "grp").mapInArrow(run, "a long, b long")
     return stars.unionByName(pairs)
 
@@ -264,7 +322,7 @@ def _candidate_bits(families: DataFrame) -> np.ndarray:
     return table
 
 
-def _candidate_sets(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:
+def _candidate_sets(docs: DataFrame, families: DataFrame, k: int, key: Key) -> DataFrame:
     """(unit, family, n, tokens): each candidate unit's whole set, read again from the document that stands for it."""
     bits = _candidate_bits(families)
     n_bits = len(bits) * 32
@@ -278,7 +336,7 @@ def _candidate_sets(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole):
-                found = list(shingle_sets(Words(batch.column("text"), fold=True), k))
+                found = list(shingle_sets(Words(batch.column("text"), fold=True, key=key), k))
                 same = pa.array([name_of(s.tobytes())[1] == mark for s, mark in zip(found, batch.column("mark").to_pylist(), strict=True)], pa.bool_())
                 rows = [*(batch.column(c) for c in ("unit", "family", "n")), pa.array([s.tobytes() for s in found], pa.binary())]
                 yield pa.record_batch(rows, names=["unit", "family", "n", "tokens"]).filter(same)  # a doc_id may have other texts
@@ -373,13 +431,14 @@ def _classes(docs: DataFrame, k: int, threshold: str | Fraction, block_tokens: i
     t = Fraction(threshold)
     spark = docs.sparkSession
     order = TokenOrder(t)
-    sets = settle_names(written(_sets(docs, k, order), "sets"))
+    key = new_key()
+    sets = settle_names(written(_sets(docs, k, order, key), "sets"))
     first = sets.where("low is not null")
     shards = shards_for(spark, first.agg(F.sum(F.length("low"))).first()[0])
     lows = first.select(F.pmod("unit", F.lit(shards)).cast("int").alias("shard"), "unit", "mark", "doc_id", "n_shingles", "low")
     prefixes = written(_prefixes(lows, order, shards), "prefixes")
     families = written(_families(prefixes, t, bucket), "candidates")  # written, so that its size decides how texts meet it
-    links = _verified_links(written(_candidate_sets(docs, families, k), "candidate-sets"), t, block_tokens)
+    links = _verified_links(written(_candidate_sets(docs, families, k, key), "candidate-sets"), t, block_tokens)
     roots = components(links).withColumnRenamed("node", "unit")
     known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     return sets.join(roots, "unit", "left").select("doc_id", "copy", "unit", "n_shingles", F.when(known, F.coalesce("root", "unit")).alias("root"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm._common import written
+from tessera.llm._common import mark, only, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -210,18 +210,29 @@ def rules_in_force(docs: DataFrame, labels: DataFrame, risk: float = RISK, confi
     return cuts.select("stratum", "hold_good", "certifiable", on.alias("in_force"))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = 0.05, good_weight: float = 10.0, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, carry, BASE and kept for every row of docs. labels: doc_id, quality (1 good, 0 bad; null is no label)."""
-    found = written(features(docs, carry), "features")
-    judged = found.withColumn("stratum", _stratum()).join(_learned(found, labels, risk, confidence, good_weight), "stratum", "left")
+def _judged(found: DataFrame, cuts: DataFrame) -> DataFrame:
+    """found (of `features`) with the column kept."""
+    judged = found.withColumn("stratum", _stratum()).join(cuts, "stratum", "left")
     rejected = F.lit(False)
     for rule in RULES:
         rejected = rejected | F.coalesce(_ratio(rule) > F.col(f"cut_{rule}"), F.lit(False))
-    return judged.select("doc_id", *carry, *BASE, (~(F.col("base_failed") | rejected)).alias("kept"))
+    return judged.withColumn("kept", ~(F.col("base_failed") | rejected))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that pass, with their columns, which the features carry along."""
+def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = 0.05, good_weight: float = 10.0) -> DataFrame:
+    """doc_id, BASE and kept for every row of docs. labels: doc_id, quality (1 good, 0 bad; null is no label)."""
+    found = written(features(docs), "features")
+    return _judged(found, _learned(found, labels, risk, confidence, good_weight)).select("doc_id", *BASE, "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = 0.05, good_weight: float = 10.0) -> DataFrame:
+    """The rows of docs that pass, with their columns.
+
+    Cutoffs are learned from a table of the features; then the texts are read once more, judged and passed on in one go,
+    so that no document is written or shuffled on the way."""
+    since = mark()
+    cuts = _learned(written(features(docs), "features"), labels, risk, confidence, good_weight)
+    only(since, cuts)
     lang = [F.col("lang").alias("lang")] if "lang" in docs.columns else []
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), *lang)
-    return quality_verdicts(rows, labels, carry=("doc",), **options).where("kept").select("doc.*")
+    return _judged(features(rows, carry=("doc",)), cuts).where("kept").select("doc.*")

@@ -162,7 +162,7 @@ def _task_pairs(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["word", "near", "near_n"])
 
 
-def near_words(words: DataFrame, block: int = 4096) -> DataFrame:
+def near_words(words: DataFrame, block: int = 1024) -> DataFrame:
     """(word, near, near_n) of every pair of the table's words (word, n; each once) that is one edit apart, both ways."""
     masked = written(_with_masks(words), "masks")
     bands = [F.struct(F.lit(k).alias("band"), F.col("mask").bitwiseAND(F.lit(letters)).alias("value")) for k, letters in enumerate(BANDS.view(np.int64).tolist())]
@@ -203,7 +203,7 @@ def _roots(forms: DataFrame) -> DataFrame:
             return steps
 
 
-def spelling_variants(docs: DataFrame, least_length: int = 6, least_count: int = 5, factor: int = 5, divisor: int = 199, block: int = 4096) -> DataFrame:
+def spelling_variants(docs: DataFrame, least_length: int = 6, least_count: int = 5, factor: int = 5, divisor: int = 199, block: int = 1024) -> DataFrame:
     """word, n, n_near, form, form_n, root of every distinct word of `least_length` characters found `least_count` times."""
     words = written(word_counts(docs, least_length, least_count, divisor), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near")))

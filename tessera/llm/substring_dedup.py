@@ -17,11 +17,13 @@ Spark rounds, over shards of documents dealt by a hash of (doc_id, text):
 A shard sends a name once however many of its documents hold it, so frequent passages cost one entry a shard. The three
 rounds read one exchange of the texts; shards and buckets hold some 64 MB whatever the input.
 
-128-bit names are cryptographic at the level of words; two different stretches among m have one name with a chance of
-about m * m / 2 ** 129 (10 ** -12 for the windows of 100 TB). Names of 64 bits only choose what is verified.
+128-bit names of windows are built from the words' two lanes under a key that is drawn for the run; two different stretches
+among m have one name with a chance of about m * m / 2 ** 129 (10 ** -12 for the windows of 100 TB). Names of 64 bits
+only choose what is verified.
 
 Defined cases: null and empty texts have no words; rows with a null doc_id lose nothing and cause no removal; rows of
-equal doc_id don't remove each other's words; repeated rows are each returned; a table without rows gives no rows.
+equal doc_id don't remove each other's words; repeated rows are each returned; a table without rows gives no rows; texts
+are taken whole, a very long one as one row of its shard.
 Columns of docs named n_words or n_removed are replaced, any other name is kept.
 """
 
@@ -35,7 +37,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import ASK, Answers, Words, ask_rows, census, grams, mix, partitions, shards_for, text_slices, written
+from tessera.llm._common import ASK, Answers, Words, ask_rows, census, grams, mix, new_key, partitions, shards_for, text_slices, written
 
 _FAR = np.int64(1 << 60)
 _RUN, _PAIR, _SIDE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), 0x8EBC6AF09C88C6E3
@@ -240,7 +242,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, rounds: int = 2, high: int
 
     Returns the columns of docs, text being the kept words joined by one space where any was removed, and n_words,
     n_removed. Windows are judged on the input."""
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, new_key()
     shards = buckets = shards_for(spark, docs.agg(F.sum(F.octet_length("text"))).first()[0])
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed")]
     own = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
@@ -250,7 +252,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, rounds: int = 2, high: int
     def each(table: pa.Table):
         """Slices of a shard with what all rounds use: words, windows, doc_id and known of each text."""
         for batch in _slices(table) if table.num_rows else ():
-            words = Words(batch.column(batch.schema.get_field_index("text")))
+            words = Words(batch.column(batch.schema.get_field_index("text")), key=key)
             yield batch, words, Windows(words, width), *_docs_of(batch)
 
     def ask_symbols(table: pa.Table) -> pa.Table:

@@ -6,7 +6,7 @@ A store is a folder of shard files, a table `shards` (one row a shard) and a tab
   document; then the documents' offsets (64 bits, in ids, one more than documents) and a footer of the numbers of
   documents and ids, the width and a mark. Shards, and documents inside them, follow ascending doc_id.
 * The index maps a doc_id to the shard and row of its first document and to how many it has (they follow each other, over
-  shards if need be). Keys are dealt to buckets of some 2**14 by a hash; each bucket has a minimal perfect hash by hashing
+  shards if need be). Keys are dealt to buckets of some 2**10 by a hash; each bucket has a minimal perfect hash by hashing
   and displacing: groups of three keys on average, the largest first, each with the first seed that sends its keys to
   free slots (groups of one key name their slot). A slot stores the key's fingerprint of 64 bits, so a key that the store
   doesn't hold is told from one that it does. A look-up is one seed, one slot, one comparison and one read.
@@ -45,7 +45,7 @@ from tessera.llm.lookup_tokens import LookupEncoder
 MARK = b"TESSERA1"
 _FOOTER = 32
 _LEAST = np.iinfo(np.int64).min
-_BUCKET = 1 << 14
+_BUCKET = 1 << 10
 _DIRECT = 1 << 31  # a seed with this bit is the slot itself
 _WRITTEN = "shard int, doc_id long, row long, n long, file string, ids long"
 _INDEX = "bucket int, n int, seeds binary, prints binary, shards binary, rows binary, counts binary"

@@ -280,3 +280,75 @@ def test_long_copies_are_settled_by_high_symbols(spark):
     rows = [(i, text if i % 2 else f"{text} and something else {i}", "en", "s", 0) for i in range(6)]
     got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_repeats(H.frame(spark, rows)).collect()}
     assert got == {i: (len(w), sum(m)) for i, w, m in H.without_repeats(rows)}
+
+
+def test_words_built_to_share_a_name_do_not(spark):
+    """Under the fixed key two words of 16 bytes can be built to have one first lane; keys of a run are drawn anew."""
+    from tessera.llm._common import _NAME, mix, new_key
+
+    one = lambda x: int(mix(np.array([x], np.uint64))[0])
+    inner = one(16 + _NAME & 2**64 - 1)
+    first = b"Passwordmanageme"
+    a, b = (int.from_bytes(first[i : i + 8], "little") for i in (0, 8))
+    want = a ^ one(b ^ inner)
+    for k in range(10**6):  # another second half whose first half is text
+        other = int.from_bytes(f"{k:08d}".encode(), "little")
+        half = want ^ one(other ^ inner)
+        if all(c not in b" \t\n\v\f\r" for c in half.to_bytes(8, "little")):
+            break
+    second = half.to_bytes(8, "little") + other.to_bytes(8, "little")
+    assert first != second
+    column = pa.StringArray.from_buffers(2, pa.py_buffer(np.array([0, 16, 32], np.int32).tobytes()), pa.py_buffer(first + second))
+    fixed, drawn = Words(column), Words(column, key=new_key())
+    assert fixed.rows == len(fixed.hash) == 2
+    assert fixed.hash[0] == fixed.hash[1] and fixed.names()[0] != fixed.names()[1]
+    assert drawn.hash[0] != drawn.hash[1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(6, 30), st.integers(0, 5)), min_size=2, max_size=14), st.sampled_from([Fraction(4, 5), Fraction(9, 10)]))
+def test_large_buckets_have_the_same_families(groups, t):
+    """Sizes compared by their best group give the components of all passing pairs."""
+    from tessera.llm.ngram_join import size_thresholds
+
+    rows = sorted((n, min(place, n - 1), g) for g, (n, place) in enumerate(groups))
+    n, place, _ = (np.array(c, np.int64) for c in zip(*rows))
+    left = n - place - 1
+    passes = lambda i, j: n[i] * t.denominator >= n[j] * t.numerator and (1 + min(left[i], left[j])) * (t.numerator + t.denominator) >= t.numerator * (n[i] + n[j])
+
+    def parts(edges):
+        parent = list(range(len(n)))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in edges:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in range(len(n))]
+
+    want = parts([(i, j) for i in range(len(n)) for j in range(i + 1, len(n)) if passes(i, j)])
+    sizes = np.unique(n)
+    heads = [max(np.flatnonzero(n == s), key=lambda i: left[i]) for s in sizes]
+    bound = lambda x, y: -(-(t.numerator * (x + y)) // (t.numerator + t.denominator)) - 1
+    alike = np.array([(left[n == s] >= bound(s, s)).sum() > 1 for s in sizes])
+    need = size_thresholds(sizes, left[heads], alike, t)
+    same = np.zeros(len(sizes), np.int64)
+    a, b = passing_pairs(same, same, np.array(heads), sizes, sizes - 1 - left[heads], t)
+    stars = [(i, heads[k]) for k, s in enumerate(sizes) for i in np.flatnonzero(n == s) if need[k] >= 0 and left[i] >= need[k]]
+    assert parts([*zip(a, b), *stars]) == want
+
+
+@pytest.mark.parametrize("bucket", [1, 3])
+def test_a_token_that_all_have(spark, bucket):
+    """One hot shingle in every document: buckets that are not gathered give the same classes."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(60):
+        body = " ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(5, 40)))
+        rows.append((i, "all have these words " + body, "en", "s", 0))
+        if i % 3 == 0:
+            rows.append((100 + i, "all have these words " + body + " more", "en", "s", 0))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_classes(H.frame(spark, rows), k=3, threshold="9/10", bucket=bucket).collect()}
+    assert got == H.classes(rows, 3, 9, 10)

@@ -275,3 +275,38 @@ def test_oracles(spark, sf_dir, name):
     assert columns is None and not ours and not theirs
 
 
+
+
+def test_one_long_text_does_not_switch_toxicity_off(spark):
+    """A labelled text longer than the word bound stands in the sample by stretches, and one that does not fit is passed over."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(240):
+        bad = i % 3 == 0
+        text = " ".join(rng.choice(words, 30)) + (" vile filth scum" if bad else " kind calm sun")
+        rows.append((i, text * (400 if i < 12 else 1), "en", "s", 0))
+        labels.append((i, 1, int(bad)))
+    got = toxicity.toxicity(H.frame(spark, rows), H.labels(spark, labels), max_words=6000, text_words=1000).collect()
+    held = [r for r in got if r.held_out]
+    assert len({r.score for r in got}) > 50
+    assert np.mean([r.predicted == labels[r.doc_id][2] for r in held]) > 0.9
+
+
+def test_stretches_and_what_fits():
+    at = toxicity.stretches(10_000, 1000)
+    assert len(at) <= 1000 and at[0] == 0 and at[-1] == 9999 and (np.diff(at) > 0).all()
+    assert toxicity.stretches(7, 1000).tolist() == list(range(7))
+    assert toxicity.taken([5, 9, 3, 2], 10) == [0, 2, 3]
+
+
+def test_stages_do_not_touch_each_others_tables(spark, tmp_path):
+    """Two stages built before either runs, on different documents."""
+    rows = H.corpus(60)
+    H.labels(spark, [(i, i % 2, 0) for i in range(60)]).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = H.frame(spark, rows)
+    first = [corpus_pipeline.good_quality(spark, docs, str(tmp_path)), corpus_pipeline.one_of_each(spark, docs, str(tmp_path))]
+    more = [corpus_pipeline.without_repeats(spark, docs, str(tmp_path)), corpus_pipeline.without_secrets(spark, docs, str(tmp_path))]
+    counts = [df.count() for df in (*first, *more)]
+    alone = [stage(spark, docs, str(tmp_path)).count() for _, stage in corpus_pipeline.STAGES[:-1]]
+    assert counts == alone and all(counts)

@@ -341,3 +341,56 @@ def test_media_query(spark, tmp_path):
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
         assert r.feature == _plain_summary(payload)
     assert rows[1].feature == rows[2].feature and rows[5].feature == rows[6].feature
+
+
+def test_very_long_runs_of_digits():
+    """Leading zeros without end, and numbers of thousands of digits, are parts of addresses or of nothing."""
+    zeros = "0" * 5000
+    assert [s[:3] for s in pii.find_pii(f"x {zeros}.1.2.3 y") if s.kind == "ip"] == [("ip", 2, 2 + 5006)]
+    assert not [s for s in pii.find_pii(f"x {'9' * 5000}.1.2.3 {zeros}1234 y") if s.kind in ("ip", "card")]
+
+
+def _iban(country, rng):
+    body = "".join(rng.choice(list("0123456789"), pii.IBAN_LENGTHS[country] - 4))
+    digits = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{country}{98 - int(digits) % 97:02d}{body}"
+
+
+def test_ibans_of_every_country_and_spacing_are_found():
+    rng = np.random.default_rng(4)
+    for country in pii.IBAN_LENGTHS:
+        code = _iban(country, rng)
+        for spaced in (code, " ".join(code[i : i + 4] for i in range(0, len(code), 4)), f"{code[:4]} {code[4:8]} {code[8:]}"):
+            for after in ("", " BIC", " SWIFT", " EUR 12", " A", ".", ", BANK"):
+                found = [s for s in pii.find_pii(f"to {spaced}{after}") if s.kind == "iban"]
+                assert [(s.start, s.end) for s in found] == [(3, 3 + len(spaced))], (country, spaced, after)
+        assert not [s for s in pii.find_pii(f"to {code}7 or X{code}") if s.kind == "iban"]
+
+
+def test_recall_of_every_kind():
+    """Planted in sentences: at least nine of ten are found, whole."""
+    rng = np.random.default_rng(5)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card():
+        body = rng.choice(["4", "51", "37"]) + digits(13)
+        last = next(d for d in "0123456789" if pii.luhn(body + d))
+        return " ".join((body + last)[i : i + 4] for i in range(0, 20, 4)).strip() if rng.random() < 0.5 else body + last
+
+    made = {
+        "email": lambda: (f"{rng.choice(['jo', 'a.b', 'x_1'])}@{rng.choice(['mail', 'my-host'])}.{rng.choice(['org', 'co.uk'])}", "write to {} now"),
+        "ip": lambda: (".".join(map(str, rng.integers(0, 256, 4))), "the host {} answers"),
+        "card": lambda: (card(), "paid by card {} today"),
+        "phone": lambda: (f"+{rng.integers(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", "call {} soon"),
+        "iban": lambda: (_iban(rng.choice(list(pii.IBAN_LENGTHS)), rng), "account {} BANK"),
+        "national": lambda: (f"{rng.integers(100, 600)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}", "social security {} given"),
+        "birth": lambda: (f"19{rng.integers(10, 99)}-{rng.integers(10, 13)}-{rng.integers(10, 28)}", "born {} in town"),
+        "account": lambda: (str(rng.integers(1, 9)) + digits(9), "customer account {} closed"),
+    }
+    for kind, make in made.items():
+        hits = 0
+        for _ in range(200):
+            value, frame = make()
+            at = frame.index("{}")
+            hits += any(s.kind == kind and (s.start, s.end) == (at, at + len(value)) for s in pii.find_pii(frame.format(value)))
+        assert hits >= 180, (kind, hits)
