@@ -18,26 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join, packing, quality, secret_scan, substring_dedup
-from tessera.llm._common import mark, remove, tables_since, written
+from tessera.llm._common import discard, mark, only, written
 from tessera.llm.queries import vocabulary
 from tessera.sources.workers import share_path
 
 
-_left: list[str] = []  # scratch tables of stages whose result is stored by the time the next one begins
-
-
 def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage: gives the workers the library's path, and first removes the tables that earlier stages have left and that docs
-    does not read (a stage's result is stored before it is the next one's docs)."""
+    """A stage: gives the workers the library's path first. Its result may read small scratch tables of its own, which stay as
+    long as whoever calls it needs that; stages share nothing."""
 
     @functools.wraps(work)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         share_path(spark)
-        remove(spark, _left, docs)
-        since = mark()
-        out = work(spark, docs, sf_dir)
-        _left[:] = [*_left, *tables_since(since)]
-        return out
+        return work(spark, docs, sf_dir)
 
     return run
 
@@ -93,7 +86,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages. Once a stage's result is written, what it read and its own scratch tables are removed; those that the last
+    stage's result reads stay until `release`."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
+        since = mark()
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        only(since, docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
