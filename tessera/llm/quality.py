@@ -235,4 +235,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence
     only(since, cuts)
     lang = [F.col("lang").alias("lang")] if "lang" in docs.columns else []
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), *lang)
-    return _judged(features(rows, carry=("doc",)), cuts).where("kept").select("doc.*")
+    # a condition that is not deterministic stays above the features; pushed below, it would repeat their expressions many times over
+    found = features(rows, carry=("doc",)).withColumn("_here", F.spark_partition_id())
+    return _judged(found, cuts).where("kept and _here >= 0").select("doc.*")
