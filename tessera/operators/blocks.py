@@ -105,9 +105,10 @@ def explained(cells: DataFrame, fitted: str = "xhat", baseline: str = "column_me
 
 
 def block_means(labelled: DataFrame, how: str = "mean") -> DataFrame:
-    """labelled: cells with r and c. Adds xhat, the block's mean or median."""
-    w = W.partitionBy("r", "c")
-    return labelled.withColumn("xhat", F.avg("value").over(w) if how == "mean" else F.percentile("value", 0.5).over(w))
+    """labelled: cells with r and c. Adds xhat, the block's mean or median, from one row per block (means are combined before
+    the exchange, so no task holds a block)."""
+    own = prototypes(labelled, how).select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("b").alias("xhat"))
+    return labelled.join(own, F.col("r").eqNullSafe(F.col("_r")) & F.col("c").eqNullSafe(F.col("_c"))).drop("_r", "_c")
 
 
 def prototypes(labelled: DataFrame, how: str = "mean") -> DataFrame:
@@ -379,12 +380,15 @@ def top_settings(scores: DataFrame, metric: str, n: int) -> DataFrame:
 
 def cluster_profiles(features: DataFrame, assignments: DataFrame, factor: str, key: str, columns: Sequence[str], keep: int | None = None, by: str = "size", seed: int = 0) -> DataFrame:
     """Mean feature profile and size per cluster of a factor; keep: so many, by greatest `size`, greatest sample `variance`
-    over the profile's features, or at `random` (a hash of the cluster and the seed)."""
+    over the profile's features, at `random` (a hash of the cluster and the seed), or by `hierarchy`: profiles are bisected
+    into `keep` meta-clusters, of each of which the largest cluster stays (missing features count as the feature's mean)."""
     means = features.groupBy(key).agg(*[F.avg(C.finite(c)).alias(c) for c in columns])
     own = assignments.where(F.col("factor_name") == factor).select(F.col("item_name").cast("long").alias(key), "cluster_id").where("cluster_id is not null")
     out = means.join(own, key).groupBy("cluster_id").agg(F.count("*").alias("size"), *[F.avg(c).alias(c) for c in columns])
     if keep is None:
         return out
+    if by == "hierarchy":
+        return _largest_of_each(out, columns, keep, seed)
     total = sum((F.coalesce(c, F.lit(0.0)) for c in columns), F.lit(0.0))
     n = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
     spread = sum((F.coalesce(F.pow(F.col(c) - F.col("_mean"), 2), F.lit(0.0)) for c in columns), F.lit(0.0)) / F.nullif(n - 1, F.lit(0))
@@ -392,6 +396,19 @@ def cluster_profiles(features: DataFrame, assignments: DataFrame, factor: str, k
     return out.withColumn("_mean", F.try_divide(total, n)).withColumn("_var", spread).orderBy(order, "cluster_id").limit(keep).drop("_mean", "_var")
 
 
+def _largest_of_each(profiles: DataFrame, columns: Sequence[str], keep: int, seed: int) -> DataFrame:
+    """Of each of `keep` meta-clusters of the profiles the largest cluster (then the least id)."""
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    means = profiles.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"_m_{c}") for c in columns])
+    filled = profiles.join(F.broadcast(means)).select("cluster_id", "size", *columns, *[F.coalesce(c, f"_m_{c}").alias(f"_f_{c}") for c in columns])
+    data = VectorAssembler(inputCols=[f"_f_{c}" for c in columns], outputCol="_x").transform(filled)
+    meta = BisectingKMeans(k=keep, featuresCol="_x", predictionCol="_meta", seed=seed).fit(data).transform(data)
+    place = F.row_number().over(W.partitionBy("_meta").orderBy(F.desc("size"), "cluster_id"))
+    return meta.withColumn("_place", place).where("_place = 1").select("cluster_id", "size", *columns)
+
+
 def row_pattern_order(labelled: DataFrame) -> DataFrame:
     """Stores in order of modal block, least block, mean block, then the whole pattern of blocks over sorted items."""
     counts = labelled.groupBy("store", "block_id").agg(F.count("*").alias("n"))

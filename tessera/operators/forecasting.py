@@ -64,6 +64,64 @@ def prepared(df: DataFrame, value: str, share: float = 0.8, least_rows: int = 30
     return S.split_by_fraction(S.fill_days(once, value, keys, date), share, keys, date)
 
 
+def membership_medians(medians: DataFrame, assignments: DataFrame, factor: str, key: str, pairs: DataFrame, most: int, value: str = "median") -> DataFrame:
+    """key, date and `<key>_median_1` .. `<key>_median_<most>`: the medians, by date, of the clusters that a store or item is in, in
+    the order of their ids.
+
+    medians: cluster_id, date, value, written by cluster_id. Only the partitions of clusters in which an eligible key is are
+    read: the keys of `pairs` meet the assignments first, and these prune the scan while it starts."""
+    keys = pairs.select(key).distinct()
+    own = assignments.where(F.col("factor_name") == factor).select(F.col("item_name").cast("long").alias(key), "cluster_id").where("cluster_id is not null").distinct()
+    own = own.join(F.broadcast(keys), key, "left_semi") if _small(keys) else own.join(keys, key, "left_semi")
+    place = F.row_number().over(W.partitionBy(key).orderBy("cluster_id"))
+    ranked = own.withColumn("_k", place).where(F.col("_k") <= most)
+    met = medians.join(ranked, "cluster_id")
+    return met.groupBy(key, "date").agg(*[F.max(F.when(F.col("_k") == k, C.finite(value))).alias(f"{key}_median_{k}") for k in range(1, most + 1)])
+
+
+def _small(df: DataFrame, rows: int = 100_000) -> bool:
+    """Whether a table has at most so many rows (one count that stops there)."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def with_covariates(df: DataFrame, value: str, medians: dict[str, DataFrame], assignments: DataFrame, most: int = 2, past: Sequence[str] = (), share: float = 0.8, least_rows: int = 30, least_points: int = 15, keys: Sequence[str] = S.KEYS, date: str = "date") -> tuple[DataFrame, dict[str, list[str]]]:
+    """The prepared series of all eligible pairs at once with their covariates, and these by group.
+
+    Groups: `past` columns (known up to the day before), `future` ones (calendar and cluster medians, known for the day). A
+    pair is eligible by its rows (`eligible`) and by its training part: `least_points` present values with a positive
+    deviation. Missing or infinite covariates are 0; the target keeps its gaps filled with 0 as `prepared` does.
+    medians: "store" and "item" -> table of cluster medians (see membership_medians)."""
+    first = df.join(eligible(df, value, least_rows, least_points, keys).select(*keys), list(keys), "left_semi")
+    once = first.groupBy(*keys, date).agg(F.min(C.finite(value)).alias(value), *[F.max(C.finite(c)).alias(c) for c in past])
+    filled = S.fill_days(once.select(*keys, date, value), value, keys, date)
+    series = S.split_by_fraction(filled.join(once.drop(value), [*keys, date], "left") if past else filled, share, keys, date)
+    train = F.when(F.col("split") == "train", C.finite(value))
+    able = series.groupBy(*keys).agg(F.count(train).alias("n"), F.stddev_samp(train).alias("std")).where((F.col("n") >= least_points) & (F.col("std") > 0)).select(*keys)
+    series = series.join(able, list(keys), "left_semi")
+    calendar = ["dayofweek", "monthofyear", "paycycle_ratio", "season_ratio"]
+    out = series.withColumns({"dayofweek": C.day_of_week(date), "monthofyear": F.month(date), "paycycle_ratio": C.pay_cycle(date), "season_ratio": C.season_phase(date)})
+    named: list[str] = []
+    for key, factor in (("store", "Store"), ("item", "SKU")):
+        if key in medians:
+            own = membership_medians(medians[key], assignments, factor, key, able, most)
+            out = out.join(own.withColumnRenamed("date", date), [key, date], "left")
+            named += [f"{key}_median_{k}" for k in range(1, most + 1)]
+    groups = {"past": list(past), "future": [*calendar, *named]}
+    covariates = [c for names in groups.values() for c in names]
+    return out.withColumns({c: F.coalesce(C.finite(c), F.lit(0.0)) for c in covariates}), groups
+
+
+#: Lags of the wider and the plain design: of the target and of past covariates, and of future ones (the day itself and before).
+DESIGNS = {False: {"steps": 30, "past_steps": 30, "future_steps": 15}, True: {"steps": 60, "past_steps": 60, "future_steps": 15}}
+
+
+def design_lags(wide: bool = False, past: bool = False, future: bool = False) -> dict[str, tuple[int, ...]]:
+    """steps, past_steps, future_steps of `lag_frame` for a design: 30 or 60 lags of target and past covariates, 15 of future ones
+    (-15 to -1); groups that are not used have none."""
+    d = DESIGNS[wide]
+    return {"steps": tuple(range(1, d["steps"] + 1)), "past_steps": tuple(range(1, d["past_steps"] + 1)) if past else (), "future_steps": tuple(range(1, d["future_steps"] + 1)) if future else ()}
+
+
 # ------------------------------------------------------------------ local models (numpy in grouped Arrow batches)
 
 
@@ -362,10 +420,10 @@ def batch_predict(df: DataFrame, coefficients: DataFrame, features: Sequence[str
     return df.join(coefficients, ["store_cluster", "item_cluster"]).withColumn("yhat", F.expm1(F.greatest(dot, F.lit(1e-6)))).drop("w", "intercept")
 
 
-def suggest_learning_rate(curve: DataFrame, skip_start: int = 10, skip_end: int = 5) -> DataFrame:
-    """curve: step, lr, loss. The lr with the steepest fall of the loss by central difference, ends skipped."""
-    w = W.orderBy("step")  # a curve has some hundred points
-    n = curve.agg(F.count("*").alias("_n"))
-    rows = curve.withColumn("_g", (F.lead("loss").over(w) - F.lag("loss").over(w)) / 2).withColumn("_i", F.row_number().over(w)).join(F.broadcast(n))
+def suggest_learning_rate(curve: DataFrame, skip_start: int = 10, skip_end: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """curve: by, step, lr, loss. The lr with the steepest fall of the loss by central difference, ends skipped, per curve."""
+    w = W.partitionBy(*by).orderBy("step")  # a curve has some hundred points
+    n = F.count("*").over(W.partitionBy(*by))
+    rows = curve.withColumn("_g", (F.lead("loss").over(w) - F.lag("loss").over(w)) / 2).withColumn("_i", F.row_number().over(w)).withColumn("_n", n)
     rows = rows.where((F.col("_i") > skip_start) & (F.col("_i") <= F.col("_n") - skip_end) & F.col("_g").isNotNull())
-    return rows.agg(F.min_by("lr", F.struct("_g", "step")).alias("lr"))
+    return rows.groupBy(*by).agg(F.min_by("lr", F.struct("_g", "step")).alias("lr"))

@@ -122,9 +122,11 @@ def original_bundle(df: DataFrame, by: Sequence[str], y: str = "y", p: str = "yh
 
 
 def naive_percent_mav(df: DataFrame, keys: Sequence[str], y: str = "y", date: str = "date") -> DataFrame:
-    """The previous value as forecast: 100 * sum of absolute changes over sum of absolute values, per series."""
-    rows = df.withColumn("_p", F.lag(y).over(W.partitionBy(*keys).orderBy(date))).where("_p is not null")
-    return rows.groupBy(*keys).agg((100 * F.try_divide(F.sum(F.abs(F.col("_p") - F.col(y))), F.sum(F.abs(y)))).alias("naive_percent_mav"))
+    """The previous value as forecast: 100 * mean absolute change over mean absolute value (1e-12 at least), per series, over
+    rows with both values finite and y not negative."""
+    before = F.lag(y).over(W.partitionBy(*keys).orderBy(date))
+    rows = df.withColumn("_p", C.finite(before)).withColumn("_y", C.finite(y)).where("_p is not null and _y >= 0")
+    return rows.groupBy(*keys).agg((100 * F.avg(F.abs(F.col("_p") - F.col("_y"))) / F.greatest(F.avg(F.abs("_y")), F.lit(1e-12))).alias("naive_percent_mav"))
 
 
 def calibrate_linear(df: DataFrame, split: str = "split", y: str = "y", p: str = "yhat") -> DataFrame:

@@ -40,8 +40,18 @@ def only_pairs(df: DataFrame, pairs: DataFrame, exact: bool = False) -> DataFram
 def sample_pairs(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
     """n distinct (store, item) pairs: the first ones, or by a seeded hash."""
     pairs = df.select("store", "item").distinct()
-    order = [F.xxhash64("store", "item", F.lit(seed))] if seed is not None else []
-    return pairs.orderBy(*order, "store", "item").limit(n)
+    return pairs.orderBy("store", "item").limit(n) if seed is None else bottom_k(pairs, n, key=["store", "item"], seed=seed)
+
+
+def bottom_k(df: DataFrame, k: int, by: Sequence[str] = (), key: Sequence[str] = ("store", "item", "date"), seed: int = 0) -> DataFrame:
+    """A uniform sample of k rows per group (of all rows without one) that is the same for every partitioning: those of least
+    md5 of key and seed, ties by the key. Every task keeps its own k least per group before the exchange."""
+    mark = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))))
+    marked = df.withColumn("_mark", mark)
+    if not by:
+        return marked.orderBy("_mark", *key).limit(k).drop("_mark")
+    place = F.row_number().over(W.partitionBy(*by).orderBy("_mark", *key))
+    return marked.withColumn("_place", place).where(F.col("_place") <= k).drop("_mark", "_place")
 
 
 def top_n(df: DataFrame, value: str, group: str, n: int) -> DataFrame:
@@ -140,6 +150,22 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with the check inside its plan: whatever action runs it fails on a key that repeats. One aggregate by the keys, which a
+    join on them reuses, and no job of its own."""
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(True).alias("_"))
+    one = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.any_value(row).alias("_row"))
+    told = F.concat(F.lit(f"duplicate {list(keys)}: "), F.to_json(F.struct(*keys)))
+    once = one.where(F.when(F.col("_n") > 1, F.raise_error(told).cast("boolean")).otherwise(True))
+    return once.select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
+
+
+def many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """A join in which no key of the right side may occur twice; checked while it runs."""
+    return left.join(unique(right, keys), list(keys), how)
+
+
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
@@ -191,15 +217,17 @@ def with_predictions(test: DataFrame, predictions: DataFrame, keys: Sequence[str
 
 
 def with_blocks(panel: DataFrame, assigned: DataFrame, keys: Sequence[str] = ("store", "item")) -> DataFrame:
-    """block_id by key; raises where a key has several blocks; rows outside every block (NULL or negative) go."""
-    own = assert_unique(assigned.select(*keys, "block_id").distinct(), keys)
-    return panel.join(own, list(keys)).where("block_id >= 0")
+    """block_id by key; a key with several blocks fails the query; rows outside every block (NULL or negative) go."""
+    own = assigned.select(*keys, "block_id").distinct()
+    return many_to_one(panel, own, keys, "inner").where("block_id >= 0")
 
 
-def with_cluster_mean(pairs: DataFrame, value: str, clusters: Sequence[str] = ("store_cluster", "item_cluster"), name: str = "cluster_mean") -> DataFrame:
-    """The mean of a pair's cluster joined back to it; one row per pair, checked by construction."""
-    means = pairs.groupBy(*clusters).agg(F.avg(value).alias(name))
-    return pairs.join(means, list(clusters), "left")
+def with_cluster_mean(pairs: DataFrame, value: str, clusters: Sequence[str] = ("store_cluster", "item_cluster"), name: str = "cluster_mean", means: DataFrame | None = None) -> DataFrame:
+    """The mean of a pair's cluster joined back to it: of the pairs themselves (one row per cluster by construction), or from a
+    table of means, in which a cluster that occurs twice fails the query."""
+    if means is not None:
+        return many_to_one(pairs, means.select(*clusters, F.col(value).alias(name)), clusters)
+    return pairs.join(pairs.groupBy(*clusters).agg(F.avg(value).alias(name)), list(clusters), "left")
 
 
 def with_median_columns(series: DataFrame, medians: DataFrame, cluster: str, value: str, names: Sequence, prefix: str) -> DataFrame:

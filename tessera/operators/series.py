@@ -250,7 +250,8 @@ def calendar_features(df: DataFrame, date: str = "date") -> DataFrame:
 
 
 def ma1_walk_forward(df: DataFrame, value: str = "growth_rate", keys: Sequence[str] = KEYS, date: str = "date", least: int = 7) -> DataFrame:
-    """One-step forecasts of a constant + MA(1), refitted on every prefix of at least `least` finite, varied values.
+    """One-step forecasts of a constant + MA(1), refitted on every prefix of at least `least` finite, varied values and written
+    on the row that follows the prefix; a series of fewer than three values, or of `least` at most, has none.
 
     Order-dependent and iterative, hence grouped Arrow; theta by a grid on conditional least squares. An error is linear in
     the mean, e = E - mean * M with E and M running over the values, so each prefix costs one step and not a pass."""
@@ -266,16 +267,16 @@ def ma1_walk_forward(df: DataFrame, value: str = "growth_rate", keys: Sequence[s
         shift = x[0] if len(x) else 0.0  # keeps the sums of squares small beside their differences
         e, m, ee, em, mm = np.zeros((5, len(grid)))
         total, least_x, most_x = 0.0, np.inf, -np.inf
-        for i, v in enumerate(x - shift, 1):
+        for i, v in enumerate((x - shift)[:-1], 1):  # after i values the next one, row i, is forecast
             if not np.isfinite(v):
                 break
             e, m = v - grid * e, 1 - grid * m
             ee, em, mm = ee + e * e, em + e * m, mm + m * m
             total, least_x, most_x = total + v, min(least_x, v), max(most_x, v)
-            if i >= least and most_x > least_x:
+            if i >= least and len(x) >= 3 and most_x > least_x:
                 mean = total / i
                 k = (ee - 2 * mean * em + mean * mean * mm).argmin()
-                out[i - 1] = shift + mean + grid[k] * (e[k] - mean * m[k])
+                out[i] = shift + mean + grid[k] * (e[k] - mean * m[k])
         return pdf[[*keys, date]].assign(forecast=out)
 
     return df.groupBy(*keys).applyInPandas(run, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions import columns as C
 from tessera.operators import series as S
+from tessera.operators.quantiles import global_quantiles
 
 GROWTH_FEATURES = ("gr_median", "gr_std", "gr_iqr", "frac_up", "frac_sideways", "frac_down", "up_to_down_ratio", "ac_lag1", "ac_lag4", "ac_lag12", "trend_slope", "seasonal_strength")
 
@@ -129,7 +130,8 @@ def feature_diagnostics(features: DataFrame, columns: Sequence[str], most_missin
 
 
 def impute_medians(features: DataFrame, columns: Sequence[str]) -> DataFrame:
-    stats = features.agg(*[C.safe_median(c).alias(f"_m_{c}") for c in columns])
+    """Missing cells to their column's median, for which no task gathers a column."""
+    stats = global_quantiles(features, {c: C.finite(c) for c in columns}, [0.5]).select(*[F.get(c, F.lit(0)).alias(f"_m_{c}") for c in columns])
     return features.join(F.broadcast(stats)).withColumns({c: F.coalesce(C.finite(c), F.col(f"_m_{c}")) for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
@@ -164,11 +166,11 @@ def variance_ratio(clusters: DataFrame) -> DataFrame:
 
 
 def one_block_per_pair(df: DataFrame, value: str, how: str = "mean") -> DataFrame:
-    """One row per (store, item) with its only block_id; raises where a pair has several."""
-    if df.groupBy("store", "item").agg(F.count_distinct("block_id").alias("n")).where("n > 1").limit(1).count():
-        raise ValueError("a (store, item) pair has more than one block_id")
+    """One row per (store, item) with its only block_id; a pair with several fails the query (checked in the same aggregate)."""
     agg = {"mean": F.avg, "median": C.safe_median}[how]
-    return df.groupBy("store", "item").agg(agg(value).alias(value), F.min("block_id").alias("block_id"))
+    rows = df.groupBy("store", "item").agg(agg(value).alias(value), F.min("block_id").alias("block_id"), F.max("block_id").alias("_most"))
+    several = F.raise_error(F.lit("a (store, item) pair has more than one block_id")).cast("boolean")
+    return rows.where(F.when(F.col("block_id") < F.col("_most"), several).otherwise(True)).drop("_most")
 
 
 def compare_models(rows: DataFrame, metrics: Sequence[str], agg: str = "mean", by: Sequence[str] = ("Setting", "Model")) -> DataFrame:

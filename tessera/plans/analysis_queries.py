@@ -422,9 +422,9 @@ def _(spark, d):
     return E.original_bundle(X.logs(spark, d), ["store"])
 
 
-@query("m15_naive_percent_mav", "store:b item:b naive_percent_mav:f", "SELECT store, item, 100 * sum(abs(yhat - y)) / sum(abs(y)) AS naive_percent_mav FROM fc WHERE yhat IS NOT NULL GROUP BY 1, 2")
+@query("m15_naive_percent_mav", "store:b item:b naive_percent_mav:f", "SELECT store, item, 100 * avg(abs(yhat - y)) / greatest(avg(abs(y)), 1e-12) AS naive_percent_mav FROM (SELECT store, item, y - 20 AS y, yhat - 20 AS yhat FROM fc) WHERE yhat IS NOT NULL AND y >= 0 GROUP BY 1, 2")
 def _(spark, d):
-    return E.naive_percent_mav(X.forecasts(spark, d).drop("yhat"), ["store", "item"])
+    return E.naive_percent_mav(X.forecasts(spark, d).drop("yhat").withColumn("y", F.col("y") - 20), ["store", "item"])
 
 
 @query("m09_linear_calibration", "store:b item:b date:d yhat:f", """SELECT store, item, date, mb + s * (yhat - ma) AS yhat FROM split_fc, (SELECT covar_pop(yhat, y) / var_pop(yhat) AS s, avg(yhat) AS ma, avg(y) AS mb FROM split_fc WHERE split = 'val' AND yhat IS NOT NULL)""")
@@ -754,10 +754,11 @@ def _(spark, d):
     return L.batch_predict(X.sales_cells(spark, d).join(X.labels2(spark, d), ["store", "item"]), coef, ["value"])
 
 
-@query("l19_learning_rate", "lr:f", "SELECT lr FROM (SELECT lr, step, (lead(loss) OVER w - lag(loss) OVER w) / 2 AS g, row_number() OVER w AS i FROM (SELECT i AS step, pow(10, -5 + i / 10.0) AS lr, pow(i - 25, 4) / 10000.0 - i AS loss FROM range(40) t(i)) WINDOW w AS (ORDER BY step)) WHERE i > 10 AND i <= 35 ORDER BY g, step LIMIT 1")
+@query("l19_learning_rate", "store:b lr:f", "SELECT store, lr FROM (SELECT *, row_number() OVER (PARTITION BY store ORDER BY g, step) AS q FROM (SELECT store, step, lr, (lead(loss) OVER w - lag(loss) OVER w) / 2 AS g, row_number() OVER w AS i, count(*) OVER (PARTITION BY store) AS n FROM (SELECT store, date_diff('day', DATE '1992-01-01', date) AS step, pow(10, -5 + date_diff('day', DATE '1992-01-01', date) / 1000.0) AS lr, avg(unit_sales) AS loss FROM panel GROUP BY store, date) WINDOW w AS (PARTITION BY store ORDER BY step)) WHERE i > 10 AND i <= n - 5 AND g IS NOT NULL) WHERE q = 1")
 def _(spark, d):
-    i = F.col("id").cast("double")
-    return L.suggest_learning_rate(spark.range(40).select(F.col("id").alias("step"), F.pow(F.lit(10.0), i / 10 - 5).alias("lr"), (F.pow(i - 25, F.lit(4.0)) / 10000.0 - i).alias("loss")))
+    step = F.datediff("date", F.lit("1992-01-01").cast("date"))
+    curves = X.panel(spark, d).groupBy("store", step.alias("step")).agg(F.avg("unit_sales").alias("loss")).withColumn("lr", F.pow(F.lit(10.0), F.col("step") / 1000 - 5))
+    return L.suggest_learning_rate(curves, by=["store"])
 
 
 @query("t01_tumbling", "event_type:s start:d n:b total:f", "SELECT event_type, CAST(DATE '1970-01-01' + CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 3 * 3 AS INTEGER) AS DATE) AS start, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")

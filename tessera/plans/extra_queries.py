@@ -11,6 +11,7 @@ from tessera.operators import matrix as M
 from tessera.operators import panel as P
 from tessera.operators import series as S
 from tessera.operators import statistics as A
+from tessera.plans import analysis_queries
 from tessera.plans import fixtures as X
 from tessera.plans import pipelines
 from tessera.plans.spec import Query
@@ -119,11 +120,12 @@ def _(spark, d):
     return A.with_mav(X.daily(spark, d), "growth_rate", log1p=False, name="mav")
 
 
-@query("a25_kept_features", "store:b item:b n_kept:b", "SELECT store, item, 12 AS n_kept FROM weeks GROUP BY 1, 2")
+@query("a25_kept_features", "feature:s", f"SELECT feature FROM ({next(q.sql for q in analysis_queries.QUERIES if q.name == 'a24_feature_diagnostics')}) WHERE dropped = 'false'")
 def _(spark, d):
     features, _, _ = pipelines.weekly_features(X.panel(spark, d))
-    kept = [c for c in features.columns if c not in ("store", "item")]
-    return features.select("store", "item", F.lit(len(kept)).alias("n_kept"))
+    kept = [c for c in ("gr_median", "ac_lag12", "seasonal_strength") if c in features.columns]
+    present = features.agg(*[F.count(c).alias(c) for c in kept])  # after imputation every kept feature is present
+    return present.unpivot([], kept, "feature", "n").where("n > 0").select("feature")
 
 
 _WIN = """WITH z AS (SELECT min(date) AS z FROM panel), e AS (SELECT store, item, date, unit_sales AS s, onpromotion AS p, date_diff('day', z, date) AS pos FROM panel, z),
@@ -145,12 +147,6 @@ def _(spark, d):
     return S.with_calendar(S.sales_windows(X.panel(spark, d), 7))
 
 
-@query("w09_windows_udtf", "window_id:b start_date:d end_date:d", "SELECT i AS window_id, CAST(DATE '1996-01-01' + CAST(i * 10 AS INTEGER) AS DATE) AS start_date, least(CAST(DATE '1996-01-01' + CAST(i * 10 + 9 AS INTEGER) AS DATE), DATE '1996-03-15') AS end_date FROM range(8) t(i)")
-def _(spark, d):
-    pipelines.register_udtf(spark)
-    return spark.sql("SELECT * FROM generate_windows(DATE '1996-01-01', DATE '1996-03-15', 10, false)")
-
-
 # ------------------------------------------------------------------ blocks, matrices, solvers
 
 
@@ -189,76 +185,6 @@ def _(spark, d):
     return spark.createDataFrame([(int(stores[i]), k) for k, i in enumerate(K.leaf_order(x))], "store long, position long")
 
 
-# ------------------------------------------------------------------ solvers on planted blocks, whose labels SQL knows
-
-
-def _planted(spark, d):
-    """Stores x items in 3 x 4 blocks of distinct levels, with a small disturbance."""
-    levels = F.array(*[F.lit(float(v)) for v in (9, 1, 5, 3, 2, 8, 0, 6, 4, 7, 3, 0)])
-    block = F.get(levels, (F.col("store_cluster") * 4 + F.col("item_cluster")).cast("int"))
-    return X.labels2(spark, d).select("store", "item", (block + (F.col("store") * 7 + F.col("item") * 13) % 11 / 100).alias("value"))
-
-
-def _recovered(spark, rows):
-    """(solver, side, true label, found label) rows -> agreement of each solver's side."""
-    from tessera.operators import metrics as E
-
-    out = None
-    for solver, side, truth, found in rows:
-        pairs = spark.createDataFrame([(int(a), int(b)) for a, b in zip(truth, found, strict=True)], "a long, b long")
-        own = E.agreement(pairs, "a", "b").select(F.lit(solver).alias("solver"), F.lit(side).alias("side"), "ari", "nmi")
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-_SOLVERS = (("double_kmeans", "rows"), ("double_kmeans", "cols"), ("double_kmedians", "rows"), ("double_kmedians", "cols"), ("untied", "rows"), ("spectral", "rows"))
-
-
-@query("c01_planted_blocks", "solver:s side:s ari:f nmi:f", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', 1.0, 1.0)" for a, b in _SOLVERS) + ") v(solver, side, ari, nmi)")
-def _(spark, d):
-    x, stores, items = K.collect_matrix(_planted(spark, d))
-    truth = {"rows": [s % 3 for s in stores], "cols": [i % 4 for i in items]}
-    best = lambda norm: min((K.double_kmeans(x, 3, 4, norm, seed=k) for k in range(12)), key=lambda m: m.history[-1])
-    l2, l1 = best("l2"), best("l1")
-    untied = min((K.untied_double_kmeans(x, 3, 4, seed=k) for k in range(12)), key=lambda m: m[3][-1])
-    found = {("double_kmeans", "rows"): l2.row_labels, ("double_kmeans", "cols"): l2.col_labels, ("double_kmedians", "rows"): l1.row_labels, ("double_kmedians", "cols"): l1.col_labels, ("untied", "rows"): untied[0], ("spectral", "rows"): K.spectral_coclusters(x, 3)[0]}
-    return _recovered(spark, [(a, b, truth[b], found[a, b]) for a, b in _SOLVERS])
-
-
-@query("c09_planted_fit", "solver:s fits:s", "SELECT * FROM (VALUES ('binary_tri_factorisation', 'true'), ('nmf', 'true'), ('nmtf', 'true'), ('parafac', 'true'), ('tucker', 'true')) v(solver, fits)")
-def _(spark, d):
-    """Each factorisation of the planted matrix leaves less than 1 % of its sum of squares."""
-    import numpy as np
-
-    x, _, _ = K.collect_matrix(_planted(spark, d))
-    rest = lambda fitted, of=x: float(((of - fitted) ** 2).sum() / (of**2).sum())
-    cube = np.stack([x, 2 * x], axis=2)
-    tri = min(rest(K.binary_tri_factorisation(x, 3, 4, seed=k).fitted) for k in range(12))
-    w, h = K.nmf(x, 4, iterations=2000)
-    f, s, g, _ = K.nmtf(x, 3, 4, iterations=2000)
-    p, _ = K.parafac(cube, 4)
-    core, (a, b, c), _ = K.tucker(cube, (3, 4, 1))
-    found = {
-        "binary_tri_factorisation": tri,
-        "nmf": rest(w @ h),
-        "nmtf": rest(f @ s @ g.T if g.shape[0] == x.shape[1] else f @ s @ g),
-        "parafac": rest(np.einsum("ir,jr,kr->ijk", *p), cube),
-        "tucker": rest(np.einsum("abc,ia,jb,kc->ijk", core, a, b, c), cube),
-    }
-    return spark.createDataFrame([(k, str(v < 0.01).lower()) for k, v in found.items()], "solver string, fits string")
-
-
-@query("c23_planted_sweep", "n_row:b n_col:b", "SELECT 3 AS n_row, 4 AS n_col")
-def _(spark, d):
-    return K.sweep(spark, K.collect_matrix(_planted(spark, d))[0], [2, 3, 4], [3, 4, 5], restarts=6).orderBy("bic", "n_row", "n_col").limit(1)
-
-
-@query("c43_planted_validation", "n_row:b fits:s", "SELECT 3 AS n_row, 'true' AS fits")
-def _(spark, d):
-    scores = K.cross_validate(spark, K.collect_matrix(_planted(spark, d))[0], [2, 3], [3, 4])
-    return scores.orderBy("mse").limit(1).withColumn("fits", (F.col("mse") < 0.1).cast("string"))
-
-
 # ------------------------------------------------------------------ forecasts
 
 
@@ -292,34 +218,9 @@ def _(spark, d):
     return L.forecast_local(rows, "unit_sales", ["naive"], scaled=True)
 
 
-@query("l10_planted_regression", "Model:s good:s", "SELECT * FROM (VALUES ('linear_regression', 'true'), ('huber', 'true')) v(Model, good)")
-def _(spark, d):
-    """y = 0.5 y(-1) + weekday, without noise, beside a column that tells nothing: the models must explain the validation rows."""
-    days = X.stores(spark, d).select("store", F.lit(1).cast("long").alias("item"), F.explode(F.sequence(F.lit(0), F.lit(179))).alias("i"))
-    rows = days.withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("i"))).withColumn("promo", (F.xxhash64("store", "i") % 2).cast("double"))
-    at = F.transform(F.sequence(F.lit(0), F.col("i")), lambda k: F.pow(F.lit(0.5), F.col("i") - k) * ((k + F.col("store")) % 7))
-    rows = rows.withColumn("y", F.aggregate(at, F.lit(0.0), lambda a, b: a + b))
-    frame = L.lag_frame(S.split_by_fraction(rows, 0.8), "y", (1, 7), future=["promo"])
-    found = L.benchmark(frame, "y", L.lag_names("y", (1, 7), future=["promo"]), ["linear_regression", "huber"])
-    return found.where("Dataset = 'val'").select("Model", (F.col("R2") > 0.9).cast("string").alias("good"))
-
-
 # ------------------------------------------------------------------ streams
 
 
-@query("t03_online_median", "event_type:s n:b low:s high:s", "SELECT event_type, count(value) AS n, 'true' AS low, 'true' AS high FROM events GROUP BY 1")
-def _(spark, d):
-    schema = X.table(spark, d, "events").schema
-    stream = T.event_stream(spark, d, schema, name="events.parquet")
-    path = scratch_path(spark, "online")
-    table = T.drain(T.online_median(stream, "event_type", "value", 0.01), f"online_{path[-32:]}", path, "update")
-    ends = X.table(spark, d, "events").groupBy("event_type").agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    last = table.groupBy("event_type").agg(F.max("n").alias("n"), F.max_by("estimate", "n").alias("e"))
-    inside = lambda c: F.col(c).cast("string")
-    rows = last.join(ends, "event_type").withColumn("low", F.col("e") >= F.least("a", F.lit(0.0)) - 0.01).withColumn("high", F.col("e") <= F.greatest("b", F.lit(0.0)) + 0.01)
-    return rows.select("event_type", "n", inside("low").alias("low"), inside("high").alias("high"))
-
-
 @query("t01_stream_tumbling", "event_type:s start:d n:b total:f", "SELECT event_type, CAST(DATE '1970-01-01' + CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 3 * 3 AS INTEGER) AS DATE) AS start, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
 def _(spark, d):
     stream = T.event_stream(spark, d, X.table(spark, d, "events").schema, name="events.parquet")

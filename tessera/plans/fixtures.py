@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,55 +23,67 @@ HOLIDAYS = [
 
 _VALUES = ", ".join(f"(DATE '{d}', '{t}', '{loc}', '{n}')" for d, t, loc, n in HOLIDAYS)
 
-#: CTEs that give every reference query the same tables.
-CTES = f"""
-panel AS MATERIALIZED (
+#: CTEs that give every reference query the same tables; each stands after those it reads.
+CTES = {
+    "panel": """MATERIALIZED (
   SELECT CAST(s_nationkey AS BIGINT) AS store, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) AS item,
          CAST(l_shipdate AS DATE) AS date, SUM(l_quantity) AS unit_sales,
          MAX(CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END) AS onpromotion
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
-stores AS MATERIALIZED (
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3)""",
+    "stores": """MATERIALIZED (
   SELECT CAST(n_nationkey AS BIGINT) AS store, n_name AS city, r_name AS state, chr(CAST(65 + n_nationkey % 5 AS INTEGER)) AS type,
-         CAST(n_nationkey % 7 AS BIGINT) AS cluster FROM nation JOIN region ON n_regionkey = r_regionkey),
-items AS MATERIALIZED (
+         CAST(n_nationkey % 7 AS BIGINT) AS cluster FROM nation JOIN region ON n_regionkey = r_regionkey)""",
+    "items": """MATERIALIZED (
   SELECT CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) AS item, min(p_type) AS family, CAST(min(p_size) AS BIGINT) AS class,
-         CASE WHEN CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) % 4 = 0 THEN 1 ELSE 0 END AS perishable FROM part GROUP BY p_brand),
-transactions AS (
+         CASE WHEN CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) % 4 = 0 THEN 1 ELSE 0 END AS perishable FROM part GROUP BY p_brand)""",
+    "transactions": """(
   SELECT CAST(s_nationkey AS BIGINT) AS store, CAST(l_shipdate AS DATE) AS date, count(DISTINCT l_orderkey) AS transactions
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
-holidays AS (SELECT * FROM (VALUES {_VALUES}) AS h(date, type, locale, locale_name)),
-store_members AS (
-  SELECT store, CAST(c AS BIGINT) AS c FROM (SELECT store, unnest([CAST(cluster % 5 AS BIGINT), CAST(10 + store % 3 AS BIGINT)]) AS c FROM stores)),
-item_members AS (
-  SELECT item, CAST(c AS BIGINT) AS c FROM (SELECT item, unnest([CAST(item % 5 AS BIGINT), CAST(100 + item % 2 AS BIGINT)]) AS c FROM items)),
-labels2 AS (SELECT s.store, i.item, CAST(s.store % 3 AS BIGINT) AS store_cluster, CAST(i.item % 4 AS BIGINT) AS item_cluster FROM stores s CROSS JOIN items i),
-daily AS MATERIALIZED (
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)""",
+    "holidays": f"""(SELECT * FROM (VALUES {_VALUES}) AS h(date, type, locale, locale_name))""",
+    "store_members": """(
+  SELECT store, CAST(c AS BIGINT) AS c FROM (SELECT store, unnest([CAST(cluster % 5 AS BIGINT), CAST(10 + store % 3 AS BIGINT)]) AS c FROM stores))""",
+    "item_members": """(
+  SELECT item, CAST(c AS BIGINT) AS c FROM (SELECT item, unnest([CAST(item % 5 AS BIGINT), CAST(100 + item % 2 AS BIGINT)]) AS c FROM items))""",
+    "labels2": """(SELECT s.store, i.item, CAST(s.store % 3 AS BIGINT) AS store_cluster, CAST(i.item % 4 AS BIGINT) AS item_cluster FROM stores s CROSS JOIN items i)""",
+    "daily": """MATERIALIZED (
   SELECT *, coalesce((unit_sales - lag(unit_sales) OVER w) / nullif(lag(unit_sales) OVER w, 0), 0) AS growth_rate
-  FROM panel WINDOW w AS (PARTITION BY store, item ORDER BY date)),
-weeks0 AS (
-  SELECT store, item, CAST(date_trunc('week', date) AS DATE) + 6 AS week_end, sum(unit_sales) AS sales_wk FROM panel GROUP BY 1, 2, 3),
-spans AS (
-  SELECT store, item, CAST(unnest(generate_series(min(week_end), max(week_end), INTERVAL 7 DAY)) AS DATE) AS week_end FROM weeks0 GROUP BY 1, 2),
-weeks AS MATERIALIZED (
+  FROM panel WINDOW w AS (PARTITION BY store, item ORDER BY date))""",
+    "weeks0": """(
+  SELECT store, item, CAST(date_trunc('week', date) AS DATE) + 6 AS week_end, sum(unit_sales) AS sales_wk FROM panel GROUP BY 1, 2, 3)""",
+    "spans": """(
+  SELECT store, item, CAST(unnest(generate_series(min(week_end), max(week_end), INTERVAL 7 DAY)) AS DATE) AS week_end FROM weeks0 GROUP BY 1, 2)""",
+    "weeks": """MATERIALIZED (
   SELECT *, (sales_wk - lag(sales_wk) OVER w) / nullif(lag(sales_wk) OVER w, 0) AS growth_rate
   FROM (SELECT s.store, s.item, s.week_end, coalesce(w0.sales_wk, 0) AS sales_wk FROM spans s LEFT JOIN weeks0 w0 USING (store, item, week_end))
-  WINDOW w AS (PARTITION BY store, item ORDER BY week_end)),
-cells AS (SELECT store, item, avg(growth_rate) AS value, count(growth_rate) AS n FROM daily GROUP BY 1, 2),
-sales_cells AS MATERIALIZED (SELECT store, item, ln(1 + avg(unit_sales)) AS value FROM panel GROUP BY 1, 2),
-blocked AS (SELECT c.store, c.item, value, CAST(c.store % 3 AS BIGINT) AS r, CAST(c.item % 4 AS BIGINT) AS c FROM sales_cells c),
-row_m AS (SELECT store, CAST(store % 3 AS BIGINT) AS r FROM stores UNION SELECT store, 3 FROM stores WHERE store % 2 = 0),
-col_m AS (SELECT item, CAST(item % 4 AS BIGINT) AS c FROM items UNION SELECT item, 4 FROM items WHERE item % 3 = 0),
-blocks AS MATERIALIZED (
-  SELECT r, c, avg(value) / 2 + (r - c) * 0.01 AS b FROM sales_cells JOIN row_m USING (store) JOIN col_m USING (item) GROUP BY 1, 2),
-cand AS MATERIALIZED (SELECT s.store, s.item, s.value, r, c, b FROM sales_cells s JOIN row_m USING (store) JOIN col_m USING (item) JOIN blocks USING (r, c)),
-fc AS MATERIALIZED (
+  WINDOW w AS (PARTITION BY store, item ORDER BY week_end))""",
+    "cells": """(SELECT store, item, avg(growth_rate) AS value, count(growth_rate) AS n FROM daily GROUP BY 1, 2)""",
+    "sales_cells": """MATERIALIZED (SELECT store, item, ln(1 + avg(unit_sales)) AS value FROM panel GROUP BY 1, 2)""",
+    "blocked": """(SELECT c.store, c.item, value, CAST(c.store % 3 AS BIGINT) AS r, CAST(c.item % 4 AS BIGINT) AS c FROM sales_cells c)""",
+    "row_m": """(SELECT store, CAST(store % 3 AS BIGINT) AS r FROM stores UNION SELECT store, 3 FROM stores WHERE store % 2 = 0)""",
+    "col_m": """(SELECT item, CAST(item % 4 AS BIGINT) AS c FROM items UNION SELECT item, 4 FROM items WHERE item % 3 = 0)""",
+    "blocks": """MATERIALIZED (
+  SELECT r, c, avg(value) / 2 + (r - c) * 0.01 AS b FROM sales_cells JOIN row_m USING (store) JOIN col_m USING (item) GROUP BY 1, 2)""",
+    "cand": """MATERIALIZED (SELECT s.store, s.item, s.value, r, c, b FROM sales_cells s JOIN row_m USING (store) JOIN col_m USING (item) JOIN blocks USING (r, c))""",
+    "fc": """MATERIALIZED (
   SELECT store, item, date, unit_sales AS y, lag(unit_sales) OVER w AS yhat, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY store, item) AS n
-  FROM panel WINDOW w AS (PARTITION BY store, item ORDER BY date)),
-split_fc AS MATERIALIZED (SELECT *, CASE WHEN pos >= floor((n - 1) * 0.8) THEN 'val' ELSE 'train' END AS split FROM fc),
-logs AS (SELECT store, item, date, ln(1 + y) AS y, ln(1 + yhat) AS yhat, CASE WHEN item % 4 = 0 THEN 1.25 ELSE 1.0 END AS weight FROM fc WHERE yhat IS NOT NULL),
-factors AS MATERIALIZED (
-  SELECT CAST(vec_id AS BIGINT) AS id, CAST(unnest(range(len(embedding))) AS BIGINT) AS component, CAST(unnest(embedding) AS DOUBLE) AS loading FROM embeddings)
-"""
+  FROM panel WINDOW w AS (PARTITION BY store, item ORDER BY date))""",
+    "split_fc": """MATERIALIZED (SELECT *, CASE WHEN pos >= floor((n - 1) * 0.8) THEN 'val' ELSE 'train' END AS split FROM fc)""",
+    "logs": """(SELECT store, item, date, ln(1 + y) AS y, ln(1 + yhat) AS yhat, CASE WHEN item % 4 = 0 THEN 1.25 ELSE 1.0 END AS weight FROM fc WHERE yhat IS NOT NULL)""",
+    "factors": """MATERIALIZED (
+  SELECT CAST(vec_id AS BIGINT) AS id, CAST(unnest(range(len(embedding))) AS BIGINT) AS component, CAST(unnest(embedding) AS DOUBLE) AS loading FROM embeddings)""",
+}
+
+
+def with_tables(sql: str) -> str:
+    """The CTEs that sql reads, directly or through others, in their order."""
+    used: set[str] = set()
+    left = [sql]
+    while left:
+        words = set(re.findall(r"\w+", left.pop()))
+        found = {name for name in CTES if name in words} - used
+        used |= found
+        left += [CTES[name] for name in found]
+    return ", ".join(f"{name} AS {body}" for name, body in CTES.items() if name in used)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

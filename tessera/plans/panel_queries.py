@@ -121,7 +121,7 @@ def _(spark, d):
     return P.sample_pairs(X.panel(spark, d), 25)
 
 
-@query("p13_sampled_pairs", "store:b item:b")
+@query("p13_sampled_pairs", "store:b item:b", "SELECT store, item FROM (SELECT DISTINCT store, item FROM panel) ORDER BY md5(concat_ws('|', CAST(store AS VARCHAR), CAST(item AS VARCHAR), '7')), store, item LIMIT 25")
 def _(spark, d):
     return P.sample_pairs(X.panel(spark, d), 25, seed=7)
 
@@ -215,9 +215,10 @@ def _(spark, d):
     return io.pruned_scan(X.panel(spark, d), ["date", "unit_sales"], [1, 2], [3, 7])
 
 
-@query("s02_latest_versions", "store_cluster:s item_cluster:s name:s version:b path:s", "SELECT * FROM (VALUES ('1', '2', 'rf', 3, 'x/model_1_2_rf-v3.ckpt'), ('1', '3', 'rf', 0, 'x/model_1_3_rf.ckpt')) t(store_cluster, item_cluster, name, version, path)")
+@query("s02_latest_versions", "store_cluster:s item_cluster:s name:s version:b path:s", "SELECT CAST(store AS VARCHAR) AS store_cluster, CAST(item AS VARCHAR) AS item_cluster, 'rf' AS name, max(month(date)) AS version, 'x/model_' || store || '_' || item || '_rf-v' || max(month(date)) || '.ckpt' AS path FROM panel GROUP BY store, item")
 def _(spark, d):
-    return io.latest_versions(spark.createDataFrame([("x/model_1_2_rf.ckpt",), ("x/model_1_2_rf-v3.ckpt",), ("x/model_1_2_rf-v2.ckpt",), ("x/model_1_3_rf.ckpt",), ("x/other.txt",)], "path string"))
+    files = X.panel(spark, d).select(F.concat(F.lit("x/model_"), "store", F.lit("_"), "item", F.lit("_rf-v"), F.month("date"), F.lit(".ckpt")).alias("path"))
+    return io.latest_versions(files.unionByName(files.select(F.concat("path", F.lit("/notes.txt")).alias("path"))).where("path not like '%notes%'"))
 
 
 @query("s03_submission", "id:s unit_sales:s", "SELECT store || '_' || item || '_' || date AS id, printf('%.4f', greatest(growth_rate, 0)) AS unit_sales FROM daily")
@@ -319,7 +320,18 @@ def _(spark, d):
     return S.next_window_targets(S.wide_windows(X.panel(spark, d), 3), ["sales_day_1"])
 
 
-@query("w13_ma1_forecast", "store:b item:b date:d forecast:f")
+@query(
+    "w13_ma1_forecast",
+    "store:b item:b date:d forecast:f",
+    """WITH RECURSIVE g AS (SELECT list(-0.95 + 1.9 * i / 38 ORDER BY i) AS grid FROM range(39) t(i)),
+      s AS (SELECT store, item, date, growth_rate AS v, row_number() OVER w AS i, first_value(growth_rate) OVER w AS shift, count(*) OVER (PARTITION BY store, item) AS len FROM daily WINDOW w AS (PARTITION BY store, item ORDER BY date)),
+      z AS (SELECT store, item, CAST(0 AS BIGINT) AS i, list_transform(grid, lambda x: 0.0::DOUBLE) AS e, list_transform(grid, lambda x: 0.0::DOUBLE) AS m, list_transform(grid, lambda x: [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]) AS q, 0.0::DOUBLE AS total, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, 0.0::DOUBLE AS shift FROM (SELECT DISTINCT store, item FROM s), g),
+      r AS (SELECT * FROM z UNION ALL SELECT store, item, i, e, m, list_transform(range(1, 40), lambda k: [q[k][1] + e[k] * e[k], q[k][2] + e[k] * m[k], q[k][3] + m[k] * m[k]]) AS q, total, low, high, shift FROM
+        (SELECT r.store, r.item, s.i, list_transform(range(1, 40), lambda k: (s.v - s.shift) - grid[k] * r.e[k]) AS e, list_transform(range(1, 40), lambda k: 1 - grid[k] * r.m[k]) AS m, r.q, r.total + (s.v - s.shift) AS total, least(coalesce(r.low, s.v), s.v) AS low, greatest(coalesce(r.high, s.v), s.v) AS high, s.shift FROM r JOIN s ON s.store = r.store AND s.item = r.item AND s.i = r.i + 1, g)),
+      f AS (SELECT store, item, i, e, m, grid, total / i AS mean, shift, list_transform(q, lambda x: x[1] - 2 * (total / i) * x[2] + (total / i) * (total / i) * x[3]) AS sse FROM r, g WHERE i >= 7 AND high > low),
+      b AS (SELECT *, list_position(sse, list_min(sse)) AS k FROM f)
+      SELECT s.store, s.item, s.date, b.shift + mean + grid[k] * (e[k] - mean * m[k]) AS forecast FROM s LEFT JOIN b ON b.store = s.store AND b.item = s.item AND b.i = s.i - 1""",
+)
 def _(spark, d):
     return S.ma1_walk_forward(X.daily(spark, d))
 

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import columns as C
 from tessera.operators import blocks as B
 from tessera.operators import clustering as K
 from tessera.operators import forecasting as L
+from tessera.operators import global_models as G
+from tessera.operators import isotonic as I
 from tessera.operators import matrix as M
+from tessera.operators import metrics as E
 from tessera.operators import panel as P
 from tessera.operators import series as S
 from tessera.operators import statistics as A
@@ -121,6 +125,23 @@ def forecast_all(panel: DataFrame, models: Sequence[str], value: str = "unit_sal
     return L.evaluate(L.forecast_local(series, value, models), series, value)
 
 
+def calibrated_suite(frame: DataFrame, value: str, features: Sequence[str], strengths: dict[str, float], fold: Column, folds: int) -> DataFrame:
+    """The benchmark suite: per model (a ridge strength by name) the report rows of M8 for plain predictions, and for predictions
+    through an isotonic calibration that was fitted on the training rows' out-of-fold predictions, which no model has seen.
+
+    Everything is fitted from one pass of moments per model; the calibration maps are pooled by `isotonic_blocks`."""
+    out = None
+    for name, reg in strengths.items():
+        model = G.fit_ridge(frame.where("split = 'train'"), value, features, reg)
+        plain = frame.select("split", F.col(value).alias("y"), model.column().alias("yhat"))
+        unseen = G.out_of_fold_ridge(frame.where("split = 'train'"), value, features, fold, folds, reg).select(F.col(value).alias("y"), "yhat")
+        calibrated = I.apply_isotonic(plain, I.isotonic_blocks(unseen, "yhat", "y"), "yhat", "yhat")
+        for done, rows in ((False, plain), (True, calibrated)):
+            report = E.report_rows(rows, calibrate=False).withColumn("Calibrated", F.lit(done)).withColumn("Model", F.lit(name))
+            out = report if out is None else out.unionByName(report)
+    return out
+
+
 def register_udtf(spark: SparkSession) -> None:
     """SQL table function generate_windows(first, last, days, calendar): window_id, start_date, end_date."""
     from pyspark.sql.functions import udtf
@@ -143,6 +164,53 @@ def register_udtf(spark: SparkSession) -> None:
     spark.udtf.register("generate_windows", GenerateWindows)
 
 
+def register_series_windows(spark: SparkSession) -> None:
+    """SQL table function series_windows(rows => TABLE(t) ..., days => n): the windows of n days of every series of a table with
+    store, item and date: store, item, window_id, start_date, end_date, n_rows (rows inside). The function itself asks for the
+    partitioning by series and the order by date, so the call needs neither, and a series is streamed row by row."""
+    from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
+
+    @udtf
+    class SeriesWindows:
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, days: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable:
+                raise ValueError("rows must be a table")
+            if days.value is None or days.value <= 0:
+                raise ValueError("days must be a positive constant")
+            names = {f.name: f.dataType for f in rows.dataType.fields}
+            schema = T.StructType().add("store", names["store"]).add("item", names["item"])
+            schema = schema.add("window_id", T.IntegerType()).add("start_date", T.DateType()).add("end_date", T.DateType()).add("n_rows", T.LongType())
+            return AnalyzeResult(schema, partitionBy=[PartitioningColumn("store"), PartitioningColumn("item")], orderBy=[OrderingColumn("date")])
+
+        def __init__(self):
+            self.key = self.first = self.at = None
+            self.n = 0
+
+        def _window(self):
+            import datetime as dt
+
+            start = self.first + dt.timedelta(days=self.at * self.days)
+            return (*self.key, self.at, start, start + dt.timedelta(days=self.days - 1), self.n)
+
+        def eval(self, rows, days: int):
+            if rows["date"] is None:
+                return
+            if self.first is None:
+                self.key, self.first, self.at, self.days = (rows["store"], rows["item"]), rows["date"], 0, days
+            at = (rows["date"] - self.first).days // days
+            while self.at < at:  # windows without a row are there as well
+                yield self._window()
+                self.at, self.n = self.at + 1, 0
+            self.n += 1
+
+        def terminate(self):
+            if self.first is not None:
+                yield self._window()
+
+    spark.udtf.register("series_windows", SeriesWindows)
+
+
 def sideways_share(weeks: DataFrame, tau: float = 0.01) -> DataFrame:
     """Share of sideways weeks per series."""
     return weeks.groupBy("store", "item").agg(C.frac_sideways("growth_rate", tau).alias("sideways"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analysis_queries, extra_queries, panel_queries
+from tessera.plans import analysis_queries, extra_queries, model_queries, panel_queries
 
 FLAGSHIP = "p01_cluster_median_growth"
-ALL = {q.name: q for q in (*panel_queries.QUERIES, *analysis_queries.QUERIES, *extra_queries.QUERIES)}
+ALL = {q.name: q for q in (*panel_queries.QUERIES, *analysis_queries.QUERIES, *extra_queries.QUERIES, *model_queries.QUERIES)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

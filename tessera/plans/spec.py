@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.fixtures import CTES
+from tessera.plans.fixtures import with_tables
 
 #: b BIGINT, f DOUBLE rounded to 6 digits, d DATE, s VARCHAR
 _SPARK = {"b": lambda c: F.col(c).cast("long"), "f": lambda c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0), "d": lambda c: F.col(c).cast("date"), "s": lambda c: F.col(c).cast("string")}
@@ -32,4 +32,5 @@ class Query:
         if self.sql is None:
             return None
         out = ", ".join(f"{_SQL[t].format(c)} AS {c}" for c, t in self._columns())
-        return f"WITH {CTES.strip()}, answer AS ({self.sql.strip()})\nSELECT {out} FROM answer"
+        tables = with_tables(self.sql)
+        return f"WITH {tables}{', ' if tables else ''}answer AS ({self.sql.strip()})\nSELECT {out} FROM answer"

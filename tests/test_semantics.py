@@ -137,6 +137,25 @@ def test_duplicates_raise(spark):
     assert P.assert_unique(df, ["store", "item", "date"]) is df
 
 
+def test_unique_is_checked_inside_the_plan(spark):
+    from pyspark.errors import PySparkException
+
+    df = series(spark, [1.0, 2.0])
+    keys = ["store", "item", "date"]
+    assert sorted(P.unique(df, keys).collect()) == sorted(df.collect())
+    twice = P.unique(df.unionByName(df), keys)  # no job yet
+    for action in (lambda: twice.count(), lambda: twice.select("store").collect(), lambda: P.many_to_one(df, df.unionByName(df), keys).collect()):
+        with pytest.raises(PySparkException, match="duplicate"):
+            action()
+    one = df.withColumn("block_id", F.lit(1))
+    other = one.unionByName(one.withColumn("block_id", F.lit(2)))
+    with pytest.raises(PySparkException, match="more than one block_id"):
+        A.one_block_per_pair(other, "x").collect()
+    with pytest.raises(PySparkException, match="duplicate"):
+        P.with_blocks(df.select("store", "item"), other).collect()
+    assert P.unique(df.select("store").distinct(), ["store"]).columns == ["store"]
+
+
 def test_extremes_break_ties_by_key_and_all_zero_means_all(spark):
     df = spark.createDataFrame([(i, 5.0) for i in range(6)], "item long, v double")
     assert sorted(r.item for r in P.extreme_and_median_neighbours(df, "v", "item", 1, 0, 1).collect()) == [0, 1, 2]
@@ -398,13 +417,14 @@ def test_long_series_folds(spark):
     assert med == pytest.approx(pd.Series(x).expanding().median().fillna(0).tolist())
     ma = {r.date: r.forecast for r in S.ma1_walk_forward(df.where("date between 7 and 60"), "v").collect()}
     grid, y = np.linspace(-0.95, 0.95, 39), x[7:61]
-    for i in (7, 20, 54):
+    assert all(ma[k] is None for k in range(7, 14))
+    for i in (7, 20, 53):
         d = y[:i] - y[:i].mean()
         e, sse = np.zeros(39), np.zeros(39)
         for v in d:
             e = v - grid * e
             sse += e * e
-        assert ma[7 + i - 1] == pytest.approx(y[:i].mean() + grid[sse.argmin()] * e[sse.argmin()])
+        assert ma[7 + i] == pytest.approx(y[:i].mean() + grid[sse.argmin()] * e[sse.argmin()])
 
 
 def test_local_models_follow_seasons_trends_and_covariates():
