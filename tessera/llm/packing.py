@@ -4,8 +4,9 @@ Bounded-space online best fit: at most `open_bins` bins are open; a bitset has a
 open bin has, so the tightest bin that still holds a piece is the lowest set bit at or above the piece's length. When
 a new bin is needed and all are open, the fullest closes.
 
-Tokenising is one Arrow pass over the texts. Only the pieces (some 50 bytes each) are shuffled, by a hash of
-(doc_id, piece), so a hot source spreads evenly; the partition count follows the data (adaptive coalescing). Within a
+Tokenising is one Arrow pass over the texts. Only the pieces (some 50 bytes each) are shuffled, by a hash of all they
+have (ids, place and checksum), so a hot source and rows without a doc_id spread evenly; the partition count follows the
+data (adaptive coalescing). Within a
 partition pieces are ordered by that hash, hence a retried task packs identically, and each look-ahead block of
 `block` pieces goes in by falling length.
 
@@ -120,8 +121,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1 << 16, bloc
                 n = 0
         yield from flush()
 
-    keys = [c for c in ("doc_id", "piece") if c in names] or names
-    dealt = pieces.withColumn("_order", F.xxhash64(*keys)).repartition("_order").sortWithinPartitions("_order", *keys)
+    # by everything a piece has, so that rows without a doc_id, or of one doc_id, are dealt out as well
+    dealt = pieces.withColumn("_order", F.xxhash64(*names)).repartition("_order").sortWithinPartitions("_order", *names)
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
     return dealt.mapInArrow(place, schema)
 

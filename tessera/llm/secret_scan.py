@@ -23,12 +23,17 @@ themselves are named, of overlapping ones that with most bits.
 Passes: (1) Arrow over the texts: base spans, candidates, byte counts, written to the shared folder; (2) the candidates'
 tests and their histogram (8 x 256 cells at most go to the driver); (3) selection and assembly, DataFrame only.
 
+`fdr` holds for that hypothesis: long identifiers and paths whose characters hang together are rarer than it expects, and
+may be reported somewhat more often.
+
 Defined cases: null and empty texts have no spans; a null doc_id is kept; repeated rows are each returned (and counted);
+texts are taken whole, the work growing with their length however many tokens one holds;
 ties in bits go to the longer, then the first piece; a table without rows gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import string
@@ -174,8 +179,12 @@ def judge(found: list[dict], log_share: np.ndarray, alpha: float) -> tuple[list[
         mean = top + math.log2(sum(2.0 ** max(-1000.0, e - top) for e in es) / len(es)) if top > -math.inf else top
         told[number] = {"stratum": sum(sizes[number] >= s for s in STRATA) - 1, "bits": _bits(mean)}
     apart: list[dict] = []
+    taken: dict[int, list[tuple[int, int]]] = {}  # per run the kept pieces by start; as none overlap, only neighbours can
     for t in sorted(passed, key=lambda t: (-t["bits"], t["start"] - t["end"], t["start"])):
-        if all(t["end"] <= o["start"] or o["end"] <= t["start"] for o in apart if o["run"] == t["run"]):
+        kept = taken.setdefault(t["run"], [])
+        at = bisect.bisect(kept, (t["start"], t["end"]))
+        if (at == 0 or kept[at - 1][1] <= t["start"]) and (at == len(kept) or t["end"] <= kept[at][0]):
+            kept.insert(at, (t["start"], t["end"]))
             apart.append(t)
     pieces = [{**t, "stratum": told[t["run"]]["stratum"], "run_bits": told[t["run"]]["bits"]} for t in sorted(apart, key=lambda t: t["start"])]
     return list(told.values()), pieces

@@ -394,3 +394,15 @@ def test_recall_of_every_kind():
             at = frame.index("{}")
             hits += any(s.kind == kind and (s.start, s.end) == (at, at + len(value)) for s in pii.find_pii(frame.format(value)))
         assert hits >= 180, (kind, hits)
+
+
+def test_thousands_of_tokens_in_one_text():
+    """The judge's work grows with the tokens, and keeps the best of overlapping pieces."""
+    rng = np.random.default_rng(6)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
+    text = " ".join("".join(rng.choice(alphabet, 44)) for _ in range(3000))
+    found = [dict(zip(("run", "size", "start", "end", "token"), c)) for c in secret_scan.candidates(text)]
+    _, pieces = secret_scan.judge(found, secret_scan.log_shares(np.bincount(np.frombuffer(b"some plain words " * 50, np.uint8), minlength=256)), 0.001)
+    assert len(pieces) > 1000
+    spans = [(p["start"], p["end"]) for p in pieces]
+    assert spans == sorted(spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
