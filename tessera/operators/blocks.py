@@ -227,6 +227,38 @@ def mask_by_stats(stats: DataFrame, rule: str = "delta_then_size", size_quantile
     return stats.join(F.broadcast(cuts)).withColumn("allowed", allowed).drop(*cuts.columns)
 
 
+def filter_blocks(cells: DataFrame, rows: DataFrame, cols: DataFrame, blocks: DataFrame, strategy: str = "delta_then_size", keep: int = 4, score: str = "gaussian_delta", n_cols: int | None = None, **rule) -> tuple[DataFrame, DataFrame]:
+    """(r, c, b, allowed) by a strategy, and every cell's best block among the allowed ones (-1 where it has none).
+
+    strategy: gap (`keep` blocks at least), top_k (`keep` blocks), or a rule of `mask_by_stats` with its options."""
+    if strategy == "gap":
+        allowed = mask_by_gap(blocks, keep)
+    elif strategy == "top_k":
+        allowed = mask_top_k(blocks, keep)
+    else:
+        told = mask_by_stats(block_stats(cells, rows, cols, blocks), strategy, **rule).select("r", "c", "allowed")
+        allowed = blocks.join(told, ["r", "c"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    allowed = allowed.select("r", "c", "b", "allowed")
+    return allowed, assign_blocks(cells, rows, cols, blocks, score, n_cols, allowed, on_empty="skip")
+
+
+def predict_blocks(cells: DataFrame, rows: DataFrame, cols: DataFrame, blocks: DataFrame, loss: str = "gaussian", score: str | None = None, **options) -> DataFrame:
+    """Every cell's block for data that the model was not fitted on: missing cells count 0, the score follows the loss
+    (gaussian_delta or poisson_delta) unless it is given; options as in assign_blocks."""
+    known = cells.withColumn("value", F.coalesce(C.finite("value"), F.lit(0.0)))
+    return assign_blocks(known, rows, cols, blocks, score or ("gaussian_delta" if loss == "gaussian" else "poisson_delta"), **options)
+
+
+def fit_summary(blocks: DataFrame, assigned: DataFrame, tol: float = 1e-6, weak: float = 0.1) -> DataFrame:
+    """One row: sparsity (share of blocks with |b| below tol), weak_fraction (share below `weak` times the greatest |b|) and
+    coverage (share of cells that have a block)."""
+    size = F.abs("b")
+    top = blocks.agg(F.max(size).alias("_top"))
+    share = lambda c: F.avg(c.cast("double"))
+    of_blocks = blocks.join(F.broadcast(top)).agg(share(size < tol).alias("sparsity"), share(size < weak * F.col("_top")).alias("weak_fraction"))
+    return of_blocks.crossJoin(assigned.agg(share(F.col("r") >= 0).alias("coverage")))  # one row each
+
+
 def cell_mask(cells: DataFrame, rows: DataFrame, cols: DataFrame, mask: DataFrame) -> DataFrame:
     """Cells that some allowed block covers."""
     covered = cells.select("store", "item").join(rows, "store").join(cols, "item").join(mask.where("allowed").select("r", "c"), ["r", "c"], "left_semi").select("store", "item").distinct()
@@ -360,6 +392,21 @@ def silhouette(cells: DataFrame, labels: DataFrame, metric: str = "euclid") -> D
     return per.agg(F.avg(score).alias("s")).crossJoin(small).select(F.when(F.col("ok"), F.col("s")).alias("silhouette"))
 
 
+def safe_silhouette(cells: DataFrame, row_labels: DataFrame | None, col_labels: DataFrame | None, metric: str = "euclid", prefer: str = "row") -> DataFrame:
+    """The silhouette of the preferred side (row_labels: store, r; col_labels: item, c); where it is null or that side has no
+    labels, that of the other side; null where neither has one."""
+    swapped = cells.select(F.col("item").alias("store"), F.col("store").alias("item"), "value")
+    by_col = None if col_labels is None else col_labels.select(F.col("item").alias("store"), F.col("c").alias("r"))
+    sides = [(cells, row_labels), (swapped, by_col)]
+    found = [silhouette(x, labels, metric) for x, labels in (sides if prefer == "row" else sides[::-1]) if labels is not None]
+    if not found:
+        return cells.sparkSession.createDataFrame([(None,)], "silhouette double")
+    if len(found) == 1:
+        return found[0]
+    second = found[1].withColumnRenamed("silhouette", "_other")
+    return found[0].crossJoin(second).select(F.coalesce("silhouette", "_other").alias("silhouette"))  # one row each
+
+
 def best_setting(scores: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Best row per (n_row, n_col), then the best of all first: `order` ends in a unique key."""
     w = W.partitionBy(*keys).orderBy(*order)

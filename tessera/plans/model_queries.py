@@ -219,6 +219,50 @@ def _(spark, d):
     return B.cluster_profiles(x, X.assignments(spark, d), "Store", "store", ["a", "b"], keep=3, by="hierarchy")
 
 
+# ------------------------------------------------------------------ block filters and fit summaries
+
+
+def _model(spark, d):
+    return X.sales_cells(spark, d), X.row_members(spark, d), X.col_members(spark, d), X.blocks(spark, d)
+
+
+_TOP = "(SELECT r, c FROM blocks WHERE abs(b) >= (SELECT min(a) FROM (SELECT abs(b) AS a FROM blocks ORDER BY a DESC LIMIT 6)))"
+_BEST = "row_number() OVER (PARTITION BY store, item ORDER BY (value - fit) * f.b - 0.5 * f.b * f.b DESC, f.r, f.c) AS rn FROM (SELECT *, sum(b) OVER (PARTITION BY store, item) AS fit FROM cand) f"
+
+
+@query("c20_filter_blocks", "store:b item:b r:b c:b", f"SELECT store, item, coalesce(r, -1) AS r, coalesce(c, -1) AS c FROM sales_cells LEFT JOIN (SELECT * FROM (SELECT store, item, f.r, f.c, {_BEST} JOIN {_TOP} t ON t.r = f.r AND t.c = f.c) WHERE rn = 1) USING (store, item)")
+def _(spark, d):
+    return B.filter_blocks(*_model(spark, d), strategy="top_k", keep=6, n_cols=5)[1]
+
+
+@query("c16_predict_blocks", "store:b item:b r:b c:b", f"SELECT store, item, r, c FROM (SELECT store, item, f.r, f.c, {_BEST.replace('FROM cand', 'FROM (SELECT * REPLACE (CASE WHEN item % 5 = 0 THEN 0 ELSE value END AS value) FROM cand)')}) WHERE rn = 1")
+def _(spark, d):
+    x, *model = _model(spark, d)
+    return B.predict_blocks(x.withColumn("value", F.when(F.col("item") % 5 != 0, F.col("value"))), *model, n_cols=5)
+
+
+@query(
+    "c24_fit_summary",
+    "sparsity:f weak_fraction:f coverage:f",
+    f"""SELECT (SELECT avg(CASE WHEN abs(b) < 0.05 THEN 1.0 ELSE 0.0 END) FROM blocks) AS sparsity, (SELECT avg(CASE WHEN abs(b) < 0.99 * m THEN 1.0 ELSE 0.0 END) FROM blocks, (SELECT max(abs(b)) AS m FROM blocks)) AS weak_fraction,
+      (SELECT count(DISTINCT (store, item)) FROM cand JOIN {_TOP} USING (r, c)) / (SELECT CAST(count(*) AS DOUBLE) FROM sales_cells) AS coverage""",
+)
+def _(spark, d):
+    model = _model(spark, d)
+    return B.fit_summary(model[3], B.filter_blocks(*model, strategy="top_k", keep=6, n_cols=5)[1], tol=0.05, weak=0.99)
+
+
+@query(
+    "c40_column_silhouette",
+    "silhouette:f",
+    """SELECT avg((b - a) / greatest(a, b)) AS silhouette FROM (SELECT item, max(CASE WHEN c = c2 THEN dd END) AS a, min(CASE WHEN c <> c2 THEN dd END) AS b FROM (SELECT item, item % 4 AS c, i2 % 4 AS c2, avg(dist) AS dd FROM (SELECT x.item, y.item AS i2, sum(abs(x.value - y.value)) AS dist FROM sales_cells x JOIN sales_cells y ON x.store = y.store AND x.item <> y.item GROUP BY 1, 2) GROUP BY 1, 2, 3) GROUP BY 1)""",
+)
+def _(spark, d):
+    x = X.sales_cells(spark, d)
+    alone = x.select("store").distinct().withColumn("r", F.col("store"))  # every row cluster has one member, so the columns decide
+    return B.safe_silhouette(x, alone, x.select("item").distinct().withColumn("c", F.col("item") % 4), "manhattan")
+
+
 # ------------------------------------------------------------------ table functions and streams
 
 

@@ -235,3 +235,28 @@ def test_keyed_state_goes_on_after_a_restart(spark, tmp_path):
     for x in [i % 5 for i in range(8)] + [i % 5 for i in range(6)]:
         estimate += 0.5 * np.sign(x - estimate)
     assert [r.n for r in first] == [8] and [(r.n, r.estimate, r.ended) for r in second] == [(14, estimate, False)]
+
+
+def test_filters_and_summaries_of_blocks(spark):
+    cells = spark.createDataFrame([(s, i, float(5 * (s < 2) + (i == 2))) for s in range(4) for i in range(3)], "store long, item long, value double")
+    rows = spark.createDataFrame([(s, int(s >= 2)) for s in range(4)], "store long, r long")
+    cols = spark.createDataFrame([(i, 0) for i in range(3)], "item long, c long")
+    blocks = spark.createDataFrame([(0, 0, 5.0), (1, 0, 1e-9)], "r long, c long, b double")
+    for strategy, options in (("gap", {"keep": 1}), ("top_k", {"keep": 1}), ("quantiles", {"size_quantile": 0.0}), ("delta_then_size", {})):
+        allowed, assigned = B.filter_blocks(cells, rows, cols, blocks, strategy, **options)
+        assert {r.r for r in allowed.where("allowed").collect()} == ({0} if strategy != "quantiles" else {0, 1}), strategy
+        if strategy == "top_k":
+            summary = B.fit_summary(blocks, assigned).first()
+            assert tuple(summary) == (0.5, 0.5, 0.5)
+    with pytest.raises(ValueError):
+        B.filter_blocks(cells, rows, cols, blocks, "other")
+    gaps = cells.withColumn("value", F.when(F.col("item") != 1, F.col("value")))
+    assert B.predict_blocks(gaps, rows, cols, blocks, n_cols=1).where("r < 0").count() == 0
+
+
+def test_silhouette_of_the_other_side(spark):
+    cells = spark.createDataFrame([(s, i, float(10 * (i // 2) + s)) for s in range(3) for i in range(4)], "store long, item long, value double")
+    lone = cells.select("store").distinct().withColumn("r", F.col("store"))
+    cols = cells.select("item").distinct().withColumn("c", F.floor(F.col("item") / 2))
+    assert B.safe_silhouette(cells, lone, cols).first().silhouette == pytest.approx(1.0)
+    assert B.safe_silhouette(cells, lone, None).first().silhouette is None and B.safe_silhouette(cells, None, None).first().silhouette is None
