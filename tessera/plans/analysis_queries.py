@@ -285,7 +285,14 @@ def _(spark, d):
     return M.reorder(x, rows, cols)
 
 
-@query("r08_pattern_order", "store:b position:b")
+@query(
+    "r08_pattern_order",
+    "store:b position:b",
+    """WITH b AS (SELECT store, item, store % 3 * 4 + item % 4 AS block_id FROM sales_cells),
+      m AS (SELECT store, block_id AS modal FROM (SELECT store, block_id, row_number() OVER (PARTITION BY store ORDER BY count(*) DESC, block_id) AS q FROM b GROUP BY 1, 2) WHERE q = 1),
+      p AS (SELECT store, min(block_id) AS least, avg(block_id) AS mean, list(block_id ORDER BY item) AS pattern FROM b GROUP BY 1)
+      SELECT store, row_number() OVER (ORDER BY modal, least, mean, pattern, store) - 1 AS position FROM p JOIN m USING (store)""",
+)
 def _(spark, d):
     return B.row_pattern_order(X.sales_cells(spark, d).select("store", "item", (F.col("store") % 3 * 4 + F.col("item") % 4).alias("block_id")))
 
@@ -713,7 +720,16 @@ def _(spark, d):
     return K.label_frame(spark, rows, K.spectral_coclusters(x, 3)[0], "store", "r")
 
 
-@query("l01_dataset", "store:b item:b date:d split:s yhat:f y:f")
+@query(
+    "l01_dataset",
+    "store:b item:b date:d split:s yhat:f y:f",
+    """WITH s AS (SELECT store, item, date, y, yhat, CASE WHEN date_diff('day', date, b) < 30 THEN 'test' WHEN date_diff('day', date, b) < 90 THEN 'val' ELSE 'train' END AS split FROM fc, (SELECT max(date) AS b FROM fc)),
+      i AS (SELECT s.*, coalesce(yhat, med, 0) AS x FROM s, (SELECT quantile_cont(yhat, 0.5) AS med FROM s WHERE split = 'train')),
+      r AS (SELECT min(x) AS lo, max(x) AS hi, floor(quantile_cont(y, 0.01)) AS ql, ceil(quantile_cont(y, 0.99)) AS qh FROM i WHERE split = 'train'),
+      c AS (SELECT store, item, date, split, (x - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END AS xs, least(greatest(y, ql), qh) AS yc FROM i, r),
+      t AS (SELECT quantile_cont(yc, 0.25) AS a, quantile_cont(yc, 0.5) AS m, quantile_cont(yc, 0.75) AS b FROM c WHERE split = 'train')
+      SELECT store, item, date, split, xs AS yhat, (yc - m) / CASE WHEN b > a THEN b - a ELSE 1 END AS y FROM c, t""",
+)
 def _(spark, d):
     return L.dataset(X.forecasts(spark, d).drop("split"), ["yhat"], "y", 60, 30)
 
