@@ -130,20 +130,22 @@ _MEDIANS = """sm AS (SELECT c, date, quantile_cont(unit_sales, 0.5) AS median FR
 
 @query(
     "l02_covariate_series",
-    "store:b item:b date:d split:s unit_sales:f onpromotion:f dayofweek:f store_median_1:f store_median_2:f",
+    "store:b item:b split:s n:b unit_sales:f onpromotion:f dayofweek:f store_median_1:f store_median_2:f",
     f"""WITH {_MEDIANS}, e AS (SELECT store, item, min(date) AS a, max(date) AS b FROM panel GROUP BY 1, 2 HAVING count(*) >= 30 AND count(unit_sales) >= 15 AND stddev_samp(unit_sales) > 0),
       g AS (SELECT store, item, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM e),
       f AS (SELECT g.store, g.item, g.date, coalesce(p.unit_sales, 0) AS unit_sales, coalesce(p.onpromotion, 0) AS onpromotion, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY g.store, g.item) AS n FROM g LEFT JOIN panel p ON p.store = g.store AND p.item = g.item AND p.date = g.date WINDOW w AS (PARTITION BY g.store, g.item ORDER BY g.date)),
       s AS (SELECT *, CASE WHEN pos >= floor((n - 1) * 0.8) THEN 'val' ELSE 'train' END AS split FROM f),
       ok AS (SELECT store, item FROM s WHERE split = 'train' GROUP BY 1, 2 HAVING count(unit_sales) >= 15 AND stddev_samp(unit_sales) > 0)
-      SELECT s.store, s.item, s.date, split, unit_sales, onpromotion, isodow(s.date) - 1 AS dayofweek, coalesce(m1, 0) AS store_median_1, coalesce(m2, 0) AS store_median_2 FROM s JOIN ok USING (store, item) LEFT JOIN sw ON sw.store = s.store AND sw.date = s.date""",
+      SELECT s.store, s.item, split, count(*) AS n, sum(unit_sales) AS unit_sales, sum(onpromotion) AS onpromotion, sum(isodow(s.date) - 1) AS dayofweek, sum(coalesce(m1, 0)) AS store_median_1, sum(coalesce(m2, 0)) AS store_median_2 FROM s JOIN ok USING (store, item) LEFT JOIN sw ON sw.store = s.store AND sw.date = s.date GROUP BY 1, 2, 3""",
 )
 def _(spark, d):
     panel, members = X.panel(spark, d), X.assignments(spark, d)
     expanded = P.with_memberships(panel, members, "store", "Store").withColumnRenamed("store_cluster_id", "cluster_id")
     path = scratch_path(spark, "medians")
     P.cluster_medians(expanded, "cluster_id", "unit_sales", "median").write.partitionBy("cluster_id").parquet(path)
-    return L.with_covariates(panel, "unit_sales", {"store": spark.read.parquet(path)}, members, past=["onpromotion"])[0]
+    series, groups = L.with_covariates(panel, "unit_sales", {"store": spark.read.parquet(path)}, members, past=["onpromotion"])
+    told = ["unit_sales", "onpromotion", *(c for c in groups["future"] if c == "dayofweek" or c.startswith("store_"))]
+    return series.groupBy("store", "item", "split").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in told])
 
 
 # ------------------------------------------------------------------ calibration
