@@ -525,3 +525,13 @@ def test_values_split_with_least_squares():
         ends = B.value_groups(x, 3)
         assert sse([int(np.searchsorted(x, e, "right")) for e in ends[:-1]]) == pytest.approx(want)
     assert B.value_groups([2.0, 2.0, 1.0], 3) == [1.0, 2.0]
+
+
+def test_submission_rounds_the_exact_value(spark):
+    values = [0.00005, 0.00015, 0.00025, 0.12345, 0.03125, 0.09375, 2.00005, 1 / 3, 1e-9, -1.0, None, 2.0**70]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, unit_sales double")
+    got = out(io.submission(df), "unit_sales", "id")
+    assert got == ["0.0001", "0.0001", "0.0003", "0.1235", "0.0312", "0.0938", "2.0000", "0.3333", "0.0000", "0.0000", "0.0000", "1180591620717411303424.0000"]
+    import duckdb
+
+    assert got == [duckdb.execute("SELECT printf('%.4f', greatest(?::DOUBLE, 0))", [v]).fetchone()[0] for v in values]
