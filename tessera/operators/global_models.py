@@ -162,7 +162,9 @@ def forecast_recursive(series: DataFrame, model: LinearModel, value: str, steps:
 
     start = F.struct(F.col("_past").alias("past"), F.array().cast("array<double>").alias("out"))
     told = F.when(F.size("_past") == longest, F.aggregate("_ahead", start, step, lambda acc: acc["out"]))
-    out = one.select(*keys, *carried, told.alias("_out"), F.posexplode("_ahead").alias("_i", "_a"))
+    # the fold is bound to its series before the rows go apart: beside the explosion it would run again for every row
+    done = one.select(*keys, *carried, "_ahead", told.alias("_out"))
+    out = done.select(*keys, *carried, "_out", F.posexplode("_ahead").alias("_i", "_a"))
     back_to = lambda c: c * F.col(f"_spread_{value}") + F.col(f"_middle_{value}") if carried else c
     return out.select(*keys, F.col("_a.date").alias(date), (F.col("_i") + 1).alias("step"), back_to(F.col("_a.y")).alias("y"), back_to(F.get("_out", F.col("_i"))).alias("yhat"))
 

@@ -16,7 +16,7 @@ from tessera.operators.scalers import PanelScaler, PanelScalerModel
 from tessera.plans import fixtures as X
 from tessera.plans import pipelines
 from tessera.plans.spec import Query
-from tessera.sources.scratch import scratch_path
+from tessera.sources.scratch import scratch_path, stored
 from tessera.streaming import streams as T
 
 QUERIES: list[Query] = []
@@ -61,12 +61,13 @@ def _(spark, d):
 
 @query("l10_recursive_covariates", "Model:s store:b item:b RMSE:f MAE:f SMAPE:f RMSSE:f")
 def _(spark, d):
-    rows = G.scaled_by_key(_split(spark, d, "onpromotion").join(L.eligible(X.panel(spark, d), "unit_sales").select("store", "item"), ["store", "item"], "left_semi"), ["unit_sales"])
+    split = stored(_split(spark, d, "onpromotion"), "split")
+    rows = G.scaled_by_key(split.join(L.eligible(split, "unit_sales").select("store", "item"), ["store", "item"], "left_semi"), ["unit_sales"])
     lags = (1, 2, 3, 7, 14)
     options = {"steps": lags, "future": ["onpromotion"], "future_steps": (0,)}
     model = G.fit_ridge(L.lag_frame(rows, "unit_sales", **options).where("split = 'train'"), "unit_sales", L.lag_names("unit_sales", **options), reg=0.01)
     told = G.forecast_recursive(rows, model, "unit_sales", lags, future=["onpromotion"]).withColumn("Model", F.lit("ridge"))
-    return L.evaluate(told.where("yhat is not null"), _split(spark, d), "unit_sales")
+    return L.evaluate(stored(told.where("yhat is not null"), "told"), split, "unit_sales")
 
 
 _TRIALS = [(i, float(10**k)) for i, k in enumerate(range(-3, 6))]

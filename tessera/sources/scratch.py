@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -25,3 +25,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         base = "file://" + _own[0]
     stem, dot, suffix = name.partition(".")
     return f"{base.rstrip('/')}/{stem}-{uuid.uuid4().hex}{dot}{suffix}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once and read again in as many parts as there are cores: what is read several times is computed once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.repartition(max(1, spark.sparkContext.defaultParallelism)).write.parquet(path)
+    return spark.read.parquet(path)

@@ -52,6 +52,13 @@ def test_recursive_forecasts_feed_back(spark):
         G.forecast_recursive(df, model, "y", (1, 3))
 
 
+def test_a_series_is_forecast_once_and_not_for_each_of_its_rows(spark):
+    model = G.LinearModel(("y_lag_1",), (0.5,), 1.0)
+    told = G.forecast_recursive(long_series(spark, [[1, 2, 3, 4, 5]], 3), model, "y", (1,))
+    above, _, below = told._jdf.queryExecution().optimizedPlan().toString().partition("Generate ")
+    assert "aggregate(" in below and "aggregate(" not in above
+
+
 def test_scaled_forecasts_return_to_their_units(spark):
     values = [list(np.arange(40) * 3.0 + 5), list(np.arange(40) * 100.0)]
     df = G.scaled_by_key(long_series(spark, values, 30), ["y"])
