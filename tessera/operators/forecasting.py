@@ -14,6 +14,7 @@ from tessera.operators import matrix as M
 from tessera.operators import metrics as E
 from tessera.operators import series as S
 from tessera.operators.quantiles import global_quantiles
+from tessera.sources.scratch import stored
 
 #: model -> where it is fitted (one series, or all at once) and which covariates it takes there
 MODELS: dict[str, dict[str, bool]] = {
@@ -377,8 +378,8 @@ def fit_global(frame: DataFrame, value: str, features: Sequence[str], model: str
 
 
 def benchmark(frame: DataFrame, value: str, features: Sequence[str], models: Sequence[str]) -> DataFrame:
-    """Regression metrics per model and split (Dataset)."""
-    out = None
+    """Regression metrics per model and split (Dataset). The frame is written once: every fit and every prediction reads it."""
+    frame, out = stored(frame.select("split", value, *features), "frame"), None
     for m in models:
         pred = fit_global(frame, value, features, m).transform(frame).select(F.lit(m).alias("Model"), F.col("split").alias("Dataset"), F.col(value).alias("y"), "yhat")
         out = pred if out is None else out.unionByName(pred)

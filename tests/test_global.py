@@ -267,3 +267,17 @@ def test_silhouette_of_the_other_side(spark):
     cols = cells.select("item").distinct().withColumn("c", F.floor(F.col("item") / 2))
     assert B.safe_silhouette(cells, lone, cols).first().silhouette == pytest.approx(1.0)
     assert B.safe_silhouette(cells, lone, None).first().silhouette is None and B.safe_silhouette(cells, None, None).first().silhouette is None
+
+
+def test_a_benchmark_computes_its_frame_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rng = np.random.default_rng(2)
+    df = long_series(spark, [list(map(float, rng.normal(5, 2, 40))) for _ in range(3)], 30)
+    frame = L.lag_frame(df, "y", (1, 2)).withColumn("y", F.udf(counted, "double")("y"))
+    got = {(r.Model, r.Dataset) for r in L.benchmark(frame, "y", L.lag_names("y", (1, 2)), ["linear_regression", "huber"]).collect()}
+    assert len(got) == 4 and seen.value == 3 * 38
