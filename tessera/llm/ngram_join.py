@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import ASK, Answers, Key, Words, ask_rows, census, components, grams, mark, new_key, only, partitions, shards_for, text_slices, written
+from tessera.llm._common import ASK, Answers, Key, Words, ask_rows, census, components, grams, id_bits, mark, new_key, only, partitions, shards_for, text_slices, written
 
 _SETS = "doc_id long, copy long, unit long, mark long, n_shingles long, low binary"
 
@@ -307,24 +307,9 @@ def _families(prefixes: DataFrame, t: Fraction, bucket: int) -> DataFrame:
     return prefixes.join(several, "grp").select("unit", "mark", "doc_id", "n", "family")
 
 
-_MOST_BITS = 1 << 26  # 8 MB
-
-
-def _candidate_bits(families: DataFrame) -> np.ndarray:
-    """A bit table that holds every candidate's doc_id, some 16 bits for each and 8 MB at most: the second read of the texts
-    passes these and a share of others, which the join then drops. A full table passes more, never less."""
-    n = families.count()
-    bits = min(_MOST_BITS, 1 << max(16, (16 * n).bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    rows = families.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("m")).toArrow()
-    table = np.zeros(bits // 32, np.uint32)
-    table[rows["w"].to_numpy()] = rows["m"].to_numpy()
-    return table
-
-
 def _candidate_sets(docs: DataFrame, families: DataFrame, k: int, key: Key) -> DataFrame:
     """(unit, family, n, tokens): each candidate unit's whole set, read again from the document that stands for it."""
-    bits = _candidate_bits(families)
+    bits = id_bits(families)
     n_bits = len(bits) * 32
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -310,3 +310,29 @@ def test_stages_do_not_touch_each_others_tables(spark, tmp_path):
     counts = [df.count() for df in (*first, *more)]
     alone = [stage(spark, docs, str(tmp_path)).count() for _, stage in corpus_pipeline.STAGES[:-1]]
     assert counts == alone and all(counts)
+
+
+def test_toxicity_reads_every_labelled_word(spark):
+    texts = [(i, "word " * (25_000 if i == 3 else i), "en", "s", 0) for i in range(12)]
+    usable = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    rows = toxicity._rows(H.frame(spark, texts), usable, 1 << 16, None).collect()
+    assert {r.doc_id: r.words for r in rows} == {i: 25_000 if i == 3 else i for i in range(10)}
+    assert all(len(r.ids) == 2 * toxicity.PARTS * r.words for r in rows)
+
+
+def test_toxicity_is_trained_in_shards(spark, monkeypatch):
+    """Every row counts once for the bucket frequencies, and averaged shards learn what their rows tell."""
+    monkeypatch.setattr(toxicity, "_SHARD", 64)
+    counted, own = [], toxicity.first_model
+    monkeypatch.setattr(toxicity, "first_model", lambda seen, n: counted.append((seen.max(axis=1), n)) or own(seen, n))
+    rng = np.random.default_rng(8)
+    rows, truth = [], []
+    for i in range(800):
+        words = ["common", *(f"w{k}" for k in rng.integers(0, 50, 20)), *(["scum"] if i % 4 == 0 else [])]
+        rows.append((i, " ".join(words), "en", "s", 0))
+        truth.append((i, 1, int(i % 4 == 0)))
+    got = toxicity.toxicity(H.frame(spark, rows), H.labels(spark, truth)).collect()
+    (seen, n) = counted[0]
+    assert n.sum() > 400 and seen.tolist() == n.tolist()
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.predicted == truth[r.doc_id][2] for r in held]) > 0.95
