@@ -18,18 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join, packing, quality, secret_scan, substring_dedup
-from tessera.llm._common import discard, mark, only, written
+from tessera.llm._common import discard, mark, only, small_batches, written
 from tessera.llm.queries import vocabulary
 from tessera.sources.workers import share_path
 
 
 def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage: gives the workers the library's path first. Its result may read small scratch tables of its own, which stay as
+    """A stage: gives the workers the library's path and bounds their batches first. Its result may read small scratch tables of its own, which stay as
     long as whoever calls it needs that; stages share nothing."""
 
     @functools.wraps(work)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         share_path(spark)
+        small_batches(spark)
         return work(spark, docs, sf_dir)
 
     return run

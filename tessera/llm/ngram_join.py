@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import ASK, Answers, Key, Words, ask_rows, census, components, grams, id_bits, mark, new_key, only, partitions, shards_for, text_slices, written
+from tessera.llm._common import ASK, Answers, Key, Words, ask_rows, census, components, grams, id_bits, mark, new_key, only, partitions, shards_for, text_slices, tidy_group, tidy_pair, tidy_rows, written
 
 _SETS = "doc_id long, copy long, unit long, mark long, n_shingles long, low binary"
 
@@ -110,7 +110,7 @@ def _sets(docs: DataFrame, k: int, order: TokenOrder, key: Key) -> DataFrame:
                 columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (units, marks, sizes)), pa.array(lows, pa.binary())]
                 yield pa.record_batch(columns, names=["doc_id", "copy", "unit", "mark", "n_shingles", "low"])
 
-    return _keyed(docs).mapInArrow(run, _SETS)
+    return _keyed(docs).mapInArrow(tidy_rows(run), _SETS)
 
 
 def settle_names(sets: DataFrame) -> DataFrame:
@@ -159,8 +159,8 @@ def _prefixes(lows: DataFrame, order: TokenOrder, buckets: int) -> DataFrame:
         kinds = [pa.list_(pa.int64()) if c in ("prefix", "places") else pa.int64() for c in out]
         return pa.table([pa.array(c, kind) for c, kind in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    replies = census(lows.groupBy("shard").applyInArrow(ask, ASK))
-    return lows.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(choose, _PREFIXES)
+    replies = census(lows.groupBy("shard").applyInArrow(tidy_group(ask), ASK))
+    return lows.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(tidy_pair(choose), _PREFIXES)
 
 
 def passing_pairs(token: np.ndarray, band: np.ndarray, grp: np.ndarray, n: np.ndarray, place: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +290,7 @@ def _group_edges(tokens: DataFrame, t: Fraction, bucket: int) -> DataFrame:
             yield edges(held)
 
     cold = placed.where("large is null").select("token", "band", "grp", "n", "place")
-    pairs = cold.repartition(partitions(tokens.sparkSession), "token", "band").sortWithinPartitions("token", "band", "n", "grp").mapInArrow(run, "a long, b long")
+    pairs = cold.repartition(partitions(tokens.sparkSession), "token", "band").sortWithinPartitions("token", "band", "n", "grp").mapInArrow(tidy_rows(run), "a long, b long")
     return stars.unionByName(pairs)
 
 
@@ -327,8 +327,8 @@ def _candidate_sets(docs: DataFrame, families: DataFrame, k: int, key: Key) -> D
                 yield pa.record_batch(rows, names=["unit", "family", "n", "tokens"]).filter(same)  # a doc_id may have other texts
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null")
-    read = read.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(n_bits))).mapInArrow(possible, "doc_id long, text string")
-    return read.join(families, "doc_id").select("unit", "mark", "family", "n", "text").mapInArrow(sets, "unit long, family long, n long, tokens binary")
+    read = read.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(n_bits))).mapInArrow(tidy_rows(possible), "doc_id long, text string")
+    return read.join(families, "doc_id").select("unit", "mark", "family", "n", "text").mapInArrow(tidy_rows(sets), "unit long, family long, n long, tokens binary")
 
 
 def _task_links(table: pa.Table, t: Fraction) -> pa.Table:
@@ -390,7 +390,7 @@ def _verified_links(sets: DataFrame, t: Fraction, block_tokens: int) -> DataFram
     moves its sets once for each block of stragglers, not once for each other block. Only families of several blocks
     have a row in the tables of block counts; these are written first, so that a large family meets them in a join of
     its own stage, broadcast or split by size."""
-    links = lambda tasks: tasks.applyInArrow(lambda table: _task_links(table, t), "a long, b long")
+    links = lambda tasks: tasks.applyInArrow(tidy_group(lambda table: _task_links(table, t)), "a long, b long")
     several = written(_blocks_of(sets, block_tokens, "blocks").where("blocks > 1"), "blocks")
     block = F.pmod(F.xxhash64("unit", F.lit(7)), F.col("blocks")).cast("int")
     placed = sets.join(several, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", block)

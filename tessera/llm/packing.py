@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import tidy_rows
 from tessera.llm.lookup_tokens import LookupEncoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -86,7 +87,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                         col.append(x)
             yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy_rows(cut), PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1 << 16, block: int = 1 << 16) -> DataFrame:
@@ -124,7 +125,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1 << 16, bloc
     # by everything a piece has, so that rows without a doc_id, or of one doc_id, are dealt out as well
     dealt = pieces.withColumn("_order", F.xxhash64(*names)).repartition("_order").sortWithinPartitions("_order", *names)
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return dealt.mapInArrow(place, schema)
+    return dealt.mapInArrow(tidy_rows(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import mark as tables_now
-from tessera.llm._common import only, written
+from tessera.llm._common import only, tidy_rows, written
 
 BASE = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -156,7 +156,7 @@ def _scan(docs: DataFrame, keys: list[str]) -> DataFrame:
             yield pa.record_batch([*(batch.column(k) for k in keys), *columns], names=[*keys, "base", "candidates", "bytes"])
 
     schema = ", ".join(f"{k} long" for k in keys) + ", base array<struct<kind:string,start:int,end:int>>"
-    return docs.select(*keys, "text").mapInArrow(run, schema + ", candidates array<struct<run:int,size:int,start:int,end:int,token:string>>, bytes array<bigint>")
+    return docs.select(*keys, "text").mapInArrow(tidy_rows(run), schema + ", candidates array<struct<run:int,size:int,start:int,end:int,token:string>>, bytes array<bigint>")
 
 
 def judge(found: list[dict], log_share: np.ndarray, alpha: float) -> tuple[list[dict], list[dict]]:
@@ -209,7 +209,7 @@ def _tested(scanned: DataFrame, keys: list[str], log_share: np.ndarray, alpha: f
 
     schema = ", ".join(f"{k} long" for k in keys) + ", base array<struct<kind:string,start:int,end:int>>, runs array<struct<stratum:int,bits:int>>"
     schema += ", tokens array<struct<start:int,end:int,encoding:string,stratum:int,run_bits:int,bits:int,p:double>>"
-    return scanned.select(*keys, "base", "candidates").mapInArrow(run, schema)
+    return scanned.select(*keys, "base", "candidates").mapInArrow(tidy_rows(run), schema)
 
 
 def e_bh_cutoffs(histogram: dict[tuple[int, int], int], totals: dict[int, int], fdr: float) -> list[int]:

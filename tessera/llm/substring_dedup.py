@@ -37,7 +37,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import ASK, Answers, Words, ask_rows, census, grams, mix, new_key, partitions, shards_for, text_slices, written
+from tessera.llm._common import ASK, Answers, Words, ask_rows, census, grams, mix, new_key, partitions, shards_for, text_slices, tidy_group, tidy_pair, written
 
 _FAR = np.int64(1 << 60)
 _RUN, _PAIR, _SIDE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), 0x8EBC6AF09C88C6E3
@@ -329,9 +329,9 @@ def remove_repeats(docs: DataFrame, width: int = 13, rounds: int = 2, high: int
             return pa.table([pa.array([], t) for t in (kinds["row"], pa.int64(), pa.string(), pa.int64(), pa.int64())], names=["row", "doc_id", "text", "n_words", "n_removed"])
         return pa.concat_tables(out)
 
-    symbols = written(census(dealt.groupBy("shard").applyInArrow(ask_symbols, ASK)), "symbols")
-    repeats = census(dealt.groupBy("shard").cogroup(symbols.groupBy("shard")).applyInArrow(ask_windows, ASK))
+    symbols = written(census(dealt.groupBy("shard").applyInArrow(tidy_group(ask_symbols), ASK)), "symbols")
+    repeats = census(dealt.groupBy("shard").cogroup(symbols.groupBy("shard")).applyInArrow(tidy_pair(ask_windows), ASK))
     verified = symbols.where("checks is not null").unionByName(repeats)
-    kept = dealt.groupBy("shard").cogroup(verified.groupBy("shard")).applyInArrow(remove, kept_schema)
+    kept = dealt.groupBy("shard").cogroup(verified.groupBy("shard")).applyInArrow(tidy_pair(remove), kept_schema)
     order = [F.col(f"row.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns if c not in ("n_words", "n_removed")]
     return kept.select(*order, "n_words", "n_removed")
